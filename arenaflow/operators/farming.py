@@ -12,6 +12,7 @@ from arenaflow.functions.temporal import (
     asof_lookup, cell_number, gap_sessions, nearest_lookup, ordered_index, running_total,
 )
 from arenaflow.schemas import PROPERTY_ARRAY
+from arenaflow.session import cut_lineage
 
 ENTITY = ["extraction_id", "entity_instance_id"]
 CAMP = ["extraction_id", "camp_id"]
@@ -272,10 +273,23 @@ def action_order(actions: DataFrame) -> DataFrame:
 def derive_farming_actions(combat: DataFrame, players: DataFrame, positions: DataFrame, instances: DataFrame,
                            checkpoints: DataFrame, entity_events: DataFrame, updates: DataFrame) -> DataFrame:
     """Farming actions of all extractions from the raw tables."""
-    located = camps(spawner_facts(instances, checkpoints, entity_events))
-    creeps = camp_creeps(located, creep_facts(instances, checkpoints, entity_events, updates))
-    damage = locate_damage(eligible_damage(combat, players), positions)
-    return farming_actions(nearest_camp(damage, located, creeps), located, creeps)
+    located, creeps, assigned = assigned_damage(
+        combat, players, positions, instances, checkpoints, entity_events, updates)
+    return farming_actions(assigned, located, creeps)
+
+
+def assigned_damage(combat: DataFrame, players: DataFrame, positions: DataFrame, instances: DataFrame,
+                    checkpoints: DataFrame, entity_events: DataFrame, updates: DataFrame,
+                    radius: float = fixed.CAMP_RADIUS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Camps, their creeps and the damage assigned to them.
+
+    Camps, creeps and assigned damage are small next to the raw tables and are
+    used several times, so each is written to a reliable checkpoint once.
+    """
+    located = cut_lineage(camps(spawner_facts(instances, checkpoints, entity_events)))
+    creeps = cut_lineage(camp_creeps(located, creep_facts(instances, checkpoints, entity_events, updates)))
+    damage = cut_lineage(locate_damage(eligible_damage(combat, players), positions))
+    return located, creeps, cut_lineage(nearest_camp(damage, located, creeps, radius))
 
 
 def action_violations(actions: DataFrame) -> DataFrame:

@@ -271,13 +271,13 @@ class Fights:
     @cached_property
     def relevant_damage(self) -> DataFrame:
         """Damage between participants of opposite teams; its value does not matter."""
-        return self.nearby_events.where(
+        return cut_lineage(self.nearby_events.where(
             (F.col("event_type") == fixed.DAMAGE) & ~F.col("target_illusion")
             & F.array_contains("slots", F.col("target.player_slot"))
             & F.array_contains("slots", F.col("source.player_slot"))
             & (F.col("target.player_slot") != F.col("source.player_slot"))
             & (F.col("target.team_id") != F.col("source.team_id"))
-        ).select(*FIGHT, "first_death", "last_death", "sequence", "t", "x", "y")
+        ).select(*FIGHT, "first_death", "last_death", "sequence", "t", "x", "y"))
 
     @cached_property
     def intervals(self) -> DataFrame:
@@ -317,7 +317,7 @@ class Fights:
         damage = self.relevant_damage.where("x IS NOT NULL").join(
             self.intervals.select(*FIGHT, "combat_start", "combat_end"), FIGHT
         ).where("t BETWEEN combat_start AND combat_end").select(*FIGHT, F.lit(1).alias("kind"), "t", "sequence", "x", "y")
-        return deaths.unionByName(near_any(damage, deaths, FIGHT, fixed.LOCAL_RADIUS))
+        return cut_lineage(deaths.unionByName(near_any(damage, deaths, FIGHT, fixed.LOCAL_RADIUS)))
 
     @cached_property
     def map_views(self) -> DataFrame:

@@ -443,15 +443,20 @@ SELECT extraction_id, row_number() OVER (PARTITION BY extraction_id
   session_start AS start_game_time_ms, CASE WHEN cleared THEN last_death ELSE session_end END AS end_game_time_ms,
   CASE WHEN cleared THEN 'cleared' ELSE 'not_cleared' END AS result, damage_event_count, total_damage,
   initial_creep_count, dead_initial_creep_count
-FROM (SELECT s.*, a.handle, a.camp_type, a.px, a.py, count(c.camp_id) AS initial_creep_count,
-    count(c.death_ms) AS dead_initial_creep_count, max(c.death_ms) AS last_death,
-    count(c.camp_id) > 0 AND count(c.death_ms) = count(c.camp_id) AND max(c.death_ms) <= s.session_end + {gap_ms} AS cleared
-  FROM sessions s JOIN spawners a ON a.extraction_id = s.extraction_id AND a.camp_id = s.camp_id
-  LEFT JOIN camp_creeps c ON c.extraction_id = s.extraction_id AND c.camp_id = s.camp_id
+FROM (SELECT *, initial_creep_count > 0 AND dead_initial_creep_count = initial_creep_count
+    AND last_death <= session_end + {gap_ms} AS cleared FROM fates)"""
+
+
+VIEWS["fates"] = """
+SELECT s.*, a.handle, a.camp_type, a.px, a.py, f.initial_creep_count, f.dead_initial_creep_count, f.last_death
+FROM sessions s JOIN spawners a ON a.extraction_id = s.extraction_id AND a.camp_id = s.camp_id
+JOIN (SELECT s.extraction_id, s.player_slot, s.camp_id, s.session_number, count(c.camp_id) AS initial_creep_count,
+    count(c.death_ms) AS dead_initial_creep_count, max(c.death_ms) AS last_death
+  FROM sessions s LEFT JOIN camp_creeps c ON c.extraction_id = s.extraction_id AND c.camp_id = s.camp_id
     AND c.creation_ms <= s.session_start AND (c.deletion_ms IS NULL OR c.deletion_ms > s.session_start)
     AND (c.death_ms IS NULL OR c.death_ms >= s.session_start)
-  GROUP BY ALL)"""
-
+  GROUP BY ALL) f ON f.extraction_id = s.extraction_id AND f.player_slot = s.player_slot AND f.camp_id = s.camp_id
+  AND f.session_number = s.session_number"""
 
 RECURSIVE = {"reach"}
 

@@ -293,7 +293,8 @@ class Telemetry:
     def acquisitions(self) -> DataFrame:
         """Line items as acquisition attempts of their part's match."""
         return self.table("lineitem").select(
-            F.format_string("a%010d-%d", "l_orderkey", "l_linenumber").alias("acquisition_id"),
+            F.format_string("a%010d-%d-%d-%d-%s", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+            .alias("acquisition_id"),
             F.col("l_partkey").cast("decimal(20,0)").alias("match_id"), F.col("l_shipdate").alias("requested_at"),
             F.lit(None).cast("timestamp_ntz").alias("completed_at"), F.when(
                 F.col("l_returnflag") == "A", "succeeded").when(
