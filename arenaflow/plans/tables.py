@@ -380,6 +380,7 @@ class Telemetry:
             (F.col("sequence") + 1).alias("match_id"), seconds.alias("start_time"),
             F.when(k % 10 == 9, 0).otherwise(7).alias("lobby_type"), (k * 30).alias("duration"),
             F.when(k % 3 != 0, k).alias("avg_rank_tier"), F.when(k % 4 != 0, k % 12).alias("num_rank_tier")))
-        broken = F.when(k % 20 == 7, F.regexp_replace(body, '"start_time":', '"start_at":')).when(
-            k % 20 == 8, F.regexp_replace(body, '"lobby_type":(\\d+)', '"lobby_type":"$1"')).otherwise(body)
-        return self.ev.select("sequence", broken.alias("value"))
+        text = F.col("body")
+        broken = F.when(k % 20 == 7, F.regexp_replace(text, '"start_time":', '"start_at":')).when(
+            k % 20 == 8, F.regexp_replace(text, '"lobby_type":(\\d+)', '"lobby_type":"$1"')).otherwise(text)
+        return self.ev.select("sequence", "k", body.alias("body")).select("sequence", broken.alias("value"))

@@ -21,35 +21,36 @@ def parse_candidates(lines: DataFrame, column: str = "value") -> DataFrame:
     JSON types matter (a quoted number is invalid) so rows are read as VARIANT.
     An optional field that is present but out of range rejects its whole row.
     """
-    doc = lines.select("*", F.try_parse_json(column).alias("__doc"))
-
-    def part(field: str) -> Column:
-        return F.try_variant_get("__doc", f"$.{field}", "variant")
-
-    def kind(field: str) -> Column:
-        return F.coalesce(F.schema_of_variant(part(field)), F.lit("VOID"))
-
-    def integer(field: str) -> Column:
-        return F.when(kind(field) == "BIGINT", F.try_variant_get("__doc", f"$.{field}", "bigint"))
+    fields = ("match_id", "start_time", "lobby_type", *CANDIDATE_FIELDS)
+    carried = [name for name in lines.columns if name != column]
+    documents = lines.select(*carried, F.try_parse_json(column).alias("__doc"))
+    # Kinds and values leave through a one-row generator.  A later filter cannot
+    # be pushed through it, so the document is parsed once per row and not once
+    # per mention in the condition.
+    read = documents.select(*carried, F.inline(F.array(F.struct(
+        F.try_variant_get("__doc", "$.match_id", "string").alias("__id"),
+        *[F.schema_of_variant(F.try_variant_get("__doc", f"$.{name}", "variant")).alias(f"__kind_{name}") for name in fields],
+        *[F.try_variant_get("__doc", f"$.{name}", "bigint").alias(f"__value_{name}") for name in fields]))))
+    typed = read.select(
+        *carried, "__id", F.col("__kind_match_id").alias("__id_kind"),
+        *[F.coalesce(F.col(f"__kind_{name}"), F.lit("VOID")).alias(f"__is_{name}") for name in fields],
+        *[F.when(F.col(f"__kind_{name}") == "BIGINT", F.col(f"__value_{name}")).alias(f"__{name}") for name in fields])
 
     def in_range(field: str, low: int, high: int = _SAFE) -> Column:
-        return F.coalesce(integer(field).between(low, high), F.lit(False))
+        return F.coalesce(F.col(f"__{field}").between(low, high), F.lit(False))
 
     def optional(field: str, low: int, high: int = _SAFE) -> Column:
-        return (kind(field) == "VOID") | in_range(field, low, high)
+        return (F.col(f"__is_{field}") == "VOID") | in_range(field, low, high)
 
-    text_id = F.try_variant_get("__doc", "$.match_id", "string")
-    match_ok = F.when(kind("match_id") == "BIGINT", in_range("match_id", 1)).when(
-        kind("match_id") == "STRING", text_id.rlike("^[1-9][0-9]*$")).otherwise(F.lit(False))
+    match_ok = in_range("match_id", 1) | (
+        (F.col("__is_match_id") == "STRING") & F.coalesce(F.col("__id").rlike("^[1-9][0-9]*$"), F.lit(False)))
     valid = (
         match_ok & in_range("start_time", 1) & in_range("lobby_type", 0)
         & optional("duration", 0) & optional("game_mode", 0) & optional("avg_rank_tier", 1, 99)
         & optional("num_rank_tier", 0) & optional("cluster", 0))
-    return doc.select(
-        *[name for name in lines.columns if name != column],
-        text_id.alias("match_id"), integer("start_time").alias("start_time"),
-        integer("lobby_type").alias("lobby_type"), *[integer(name).alias(name) for name in CANDIDATE_FIELDS],
-        (~F.coalesce(valid, F.lit(False))).alias("invalid"))
+    return typed.select(
+        *carried, F.col("__id").alias("match_id"), *[F.col(f"__{name}").alias(name) for name in fields[1:]],
+        (~valid).alias("invalid"))
 
 
 def ranked_candidates(parsed: DataFrame) -> DataFrame:
