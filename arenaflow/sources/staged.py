@@ -107,7 +107,9 @@ def probability_objects(lines: DataFrame, column: str = "value") -> DataFrame:
         return F.try_variant_get("document", f"$.{field}", target)
 
     number = "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"
-    typed = parsed.select(
+    # One-row generator: a later filter on ``invalid`` cannot be pushed through it
+    # and parse the document again for every field.
+    typed = parsed.select(F.inline(F.array(F.struct(
         get("extractionId", "string").alias("extraction_id"),
         get("sampleIndex", "bigint").alias("sample_index"),
         get("gameTimeSeconds", "double").alias("game_time_seconds"),
@@ -118,7 +120,7 @@ def probability_objects(lines: DataFrame, column: str = "value") -> DataFrame:
             & (kind("sampleIndex") == "BIGINT")
             & kind("gameTimeSeconds").rlike(number) & kind("radiantProbability").rlike(number)
         ).alias("typed"),
-    )
+    ))))
     valid = (
         F.col("typed")
         & F.col("sample_index").between(0, 4294967295)
