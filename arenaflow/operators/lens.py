@@ -79,10 +79,6 @@ def top_groups_plus_other(facts: DataFrame, group: list[str], credited: str,
     """
     key = ["extraction_id", "player_slot"]
     named = leading_groups(group_totals(facts, group, credited), group, size)
-    match = [facts[name].eqNullSafe(named[name]) for name in [*key, *group]]
-    condition = match[0]
-    for part in match[1:]:
-        condition = condition & part
     finest = facts.groupBy(*key, "interval_start", *group).agg(F.sum("damage").alias("damage"))
     left, right = finest.alias("f"), named.alias("n")
     condition = F.lit(True)

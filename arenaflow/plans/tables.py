@@ -342,7 +342,8 @@ class Telemetry:
         picks = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), draft), ",")
         payload = F.concat(F.expr("substring(overview, 1, length(overview) - 1)"), F.lit(',"picks_bans":['), "picks",
                            F.lit("]}"))
-        orders = self.table("orders").select("o_orderkey")
+        # A key of a few bytes grows to kilobytes of JSON: spread the keys first.
+        orders = self.table("orders").select("o_orderkey").repartition(self.spark.sparkContext.defaultParallelism)
         first = orders.select("o_orderkey", overview.alias("overview"), picks.alias("picks")).select(
             F.concat(F.lit("d"), "o_orderkey").alias("extraction_id"), (o * 2).alias("sequence"),
             F.lit(fixed.OVERVIEW_DOCUMENT).alias("record_type"), payload.alias("payload"))

@@ -134,11 +134,13 @@ def resample_positions(states: DataFrame, grid: DataFrame, roster: DataFrame, ce
     entity = ["extraction_id", "entity_uid"]
     full = carry_forward(states, entity, ["tick"], {name: (name, "last") for name in HERO_STATE}, cell)
     lives = full.groupBy(*entity).agg(F.min("tick").alias("born"))
-    asked = grid.join(lives, "extraction_id").where("tick >= born").select(
-        *entity, "tick", "game_time_milliseconds")
+    # State is looked up once per entity and sampled tick; the grid times of a
+    # tick are attached at the end.
+    asked = grid.select("extraction_id", "tick").distinct().join(lives, "extraction_id").where(
+        "tick >= born").select(*entity, "tick")
     held = asof_lookup(asked, full, entity, "tick", "tick", ["generation"], ["generation", "deleted", *HERO_STATE],
                        cell, "state")
-    current = held.select("extraction_id", "game_time_milliseconds", F.col("tick").alias("demo_tick"),
+    current = held.select("extraction_id", "tick",
                           *[F.col(f"state.{name}").alias(name) for name in ("generation", "deleted", *HERO_STATE)]
                           ).where("NOT coalesce(deleted, false)")
 
@@ -168,14 +170,14 @@ def resample_positions(states: DataFrame, grid: DataFrame, roster: DataFrame, ce
         F.col("player").between(0, 9)
         & (F.col("chosen_player").isNotNull() | (~other_selected & F.coalesce(original, F.lit(False))))
         & (F.col("life_state") == 0) & ~copied & agrees & (hero > 0) & team.isin(fixed.RADIANT, fixed.DIRE)
-    ).select("extraction_id", "game_time_milliseconds", "demo_tick", F.col("player").alias("game_player_id"),
-             "generation", hero.alias("hero_id"), team.alias("team_id"),
+    ).select("extraction_id", "tick", F.col("player").alias("game_player_id"), "generation", hero.alias("hero_id"), team.alias("team_id"),
              world_coordinate(F.col("cell_x"), F.col("offset_x")).alias("world_x"),
              world_coordinate(F.col("cell_y"), F.col("offset_y")).alias("world_y")
              ).where("world_x IS NOT NULL AND world_y IS NOT NULL")
-    return eligible.groupBy("extraction_id", "game_time_milliseconds", "game_player_id").agg(
-        F.max_by(F.struct("demo_tick", "hero_id", "team_id", "world_x", "world_y"), "generation").alias("row")
-    ).select("extraction_id", "game_time_milliseconds", "game_player_id", "row.*")
+    newest = eligible.groupBy("extraction_id", "tick", "game_player_id").agg(
+        F.max_by(F.struct("hero_id", "team_id", "world_x", "world_y"), "generation").alias("row"))
+    return grid.join(newest, ["extraction_id", "tick"]).select(
+        "extraction_id", "game_time_milliseconds", "game_player_id", F.col("tick").alias("demo_tick"), "row.*")
 
 
 def probability_samples(graph: DataFrame, spans: DataFrame, spectator: DataFrame) -> DataFrame:
