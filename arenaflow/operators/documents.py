@@ -138,7 +138,8 @@ def hero_draft_events(records: DataFrame) -> DataFrame:
     """
     entries = _documents(records, fixed.OVERVIEW_DOCUMENT).select(
         "extraction_id",
-        F.posexplode(F.try_variant_get(F.try_parse_json("payload"), "$.picks_bans", "array<variant>"))
+        F.posexplode(F.try_variant_get(
+            F.try_parse_json(F.get_json_object("payload", "$.picks_bans")), "$", "array<variant>"))
         .alias("draft_order", "entry"),
     )
 

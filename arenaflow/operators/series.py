@@ -231,7 +231,7 @@ def catalog_list(acquisitions: DataFrame, extractions: DataFrame, limit: int, of
             F.coalesce("e_error_code", "a_error_code").alias("error_code"),
             F.coalesce("e_error_message", "a_error_message").alias("error_message"),
         )
-        .orderBy(F.col("acquired_at").desc_nulls_first(), F.col("match_id").desc())
+        .orderBy(F.col("acquired_at").desc_nulls_last(), F.col("match_id").desc())
         .offset(offset).limit(limit)
     )
 

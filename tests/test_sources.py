@@ -89,6 +89,7 @@ def test_staged_files_are_verified(spark, tmp_path):
     files["entityInstances"]["records"] = 2
     files["entityEvents"]["sha256"] = "0" * 64
     files["propertyUpdates"]["bytes"] = 99
+    files["checkpoints"]["bytes"] = 3
     document = {"schemaVersion": 1, "extractionId": "e1", "files": files, "config": {"maxOutputBytes": 1000, "maxRecords": 5}}
     parsed = manifest.parse_manifests(spark.createDataFrame([(json.dumps(document),)], "value STRING"))
     listed = manifest.manifest_files(parsed)
