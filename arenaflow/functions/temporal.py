@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def cell_number(time: Column, width: float) -> Column:
@@ -31,6 +32,7 @@ def asof_lookup(
     forward: bool = False,
     highest: bool = False,
     few_requests: bool = False,
+    unique_times: bool = False,
 ) -> DataFrame:
     """Attach the newest fact at or before each request (or oldest at or after).
 
@@ -42,40 +44,47 @@ def asof_lookup(
     the one with the highest ``tie_breaker``, whatever its time.
 
     With ``few_requests`` only facts in a requested cell are ordered; all other
-    facts are reduced to their cell summary.
+    facts are reduced to their cell summary.  ``unique_times`` promises that a
+    key has one fact per time, so facts need not be collapsed first.
     """
     pick = F.min_by if forward else F.max_by
     usable = facts.where(" AND ".join(f"`{name}` IS NOT NULL" for name in [*keys, fact_time]))
-    tie = F.struct(*[F.col(name) for name in tie_breaker]) if tie_breaker else F.lit(0)
-    payload = [fact_time, *[name for name in values if name != fact_time]]
-    if highest:
-        payload = [*tie_breaker, *[name for name in payload if name not in tie_breaker]]
-    single = usable.groupBy(*keys, F.col(fact_time).alias("__time")).agg(
-        pick(F.struct(*payload), tie).alias("__fact")
-    )
-    fact_type = single.schema["__fact"].dataType
+    carried_names = [*tie_breaker, *values] if highest else list(values)
+    names = [name for name in dict.fromkeys(carried_names) if name != fact_time]
+    payload = [*names, fact_time] if highest else [fact_time, *names]
+    # Columns are picked one by one: fixed-width buffers keep a hash aggregate,
+    # a struct buffer would sort every fact first.
+    if unique_times:
+        single = usable.select(*keys, *payload)
+    else:
+        tie = F.col(tie_breaker[0]) if len(tie_breaker) == 1 else F.struct(*[F.col(name) for name in tie_breaker])
+        single = usable.groupBy(*keys, fact_time).agg(*[
+            pick(name, tie if tie_breaker else F.lit(0)).alias(name) for name in names]) if names else usable.select(
+            *keys, fact_time).distinct()
+    single = single.withColumn("__cell", cell_number(F.col(fact_time), cell_width))
     fact_rows = single.select(
-        *keys, "__time", cell_number(F.col("__time"), cell_width).alias("__cell"),
-        F.lit(0).alias("__kind"), "__fact",
+        *keys, F.col(fact_time).alias("__time"), "__cell", F.lit(0).alias("__kind"), F.struct(*payload).alias("__fact"),
         F.lit(None).cast(_struct_of(requests)).alias("__request"),
     )
+    fact_type = fact_rows.schema["__fact"].dataType
     request_rows = requests.select(
         *keys, F.col(request_time).alias("__time"),
         cell_number(F.col(request_time), cell_width).alias("__cell"),
         F.lit(1).alias("__kind"), F.lit(None).cast(fact_type).alias("__fact"),
         F.struct("*").alias("__request"),
     )
-    rows = fact_rows.unionByName(request_rows)
-    ordered = rows
+    asked = request_rows.select(*keys, "__cell").distinct()
+    ordered = fact_rows
     if few_requests:
-        asked = request_rows.select(*keys, "__cell").distinct()
-        ordered = fact_rows.join(asked, [*keys, "__cell"], "left_semi").select(rows.columns).unionByName(request_rows)
+        ordered = fact_rows.join(asked, [*keys, "__cell"], "left_semi").select(request_rows.columns)
+    ordered = ordered.unionByName(request_rows)
 
     time_order = F.col("__time").desc() if forward else F.col("__time").asc()
     inside = (
         Window.partitionBy(*keys, "__cell").orderBy(time_order, F.col("__kind"))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+
     def running(column: str) -> Column:
         return F.max(column) if highest else F.last(column, ignorenulls=True)
 
@@ -86,12 +95,16 @@ def asof_lookup(
         Window.partitionBy(*keys).orderBy(cell_order)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
+    if highest:
+        summaries = fact_rows.groupBy(*keys, "__cell").agg(F.max("__fact").alias("__cell_fact"))
+    else:
+        edge = F.min(fact_time) if forward else F.max(fact_time)
+        summaries = single.groupBy(*keys, "__cell").agg(
+            edge.alias("__edge"), *[pick(name, F.col(fact_time)).alias(name) for name in names]
+        ).withColumnRenamed("__edge", fact_time).select(*keys, "__cell", F.struct(*payload).alias("__cell_fact"))
     carried = (
-        rows.groupBy(*keys, "__cell")
-        .agg(
-            F.max("__fact").alias("__cell_fact") if highest
-            else pick("__fact", F.when(F.col("__kind") == 0, F.col("__time"))).alias("__cell_fact")
-        )
+        summaries.unionByName(asked.withColumn("__cell_fact", F.lit(None).cast(fact_type)))
+        .groupBy(*keys, "__cell").agg(F.max("__cell_fact").alias("__cell_fact"))
         .withColumn("__carried", running("__cell_fact").over(across))
         .where("__carried IS NOT NULL")
         .select(*keys, "__cell", "__carried")
@@ -102,9 +115,7 @@ def asof_lookup(
     return joined.select("__request.*", found.alias(output))
 
 
-def _struct_of(frame: DataFrame):
-    from pyspark.sql.types import StructType
-
+def _struct_of(frame: DataFrame) -> StructType:
     return StructType(frame.schema.fields)
 
 
@@ -119,6 +130,7 @@ def nearest_lookup(
     tolerance: float,
     cell_width: float,
     output: str,
+    unique_times: bool = False,
 ) -> DataFrame:
     """Nearest fact in time within ``tolerance``; a tie goes to the earlier fact.
 
@@ -126,9 +138,9 @@ def nearest_lookup(
     two as-of lookups answer it without pairing requests with candidates.
     """
     before = asof_lookup(requests, facts, keys, request_time, fact_time, tie_breaker, values,
-                         cell_width, "__before")
+                         cell_width, "__before", unique_times=unique_times)
     both = asof_lookup(before, facts, keys, request_time, fact_time, tie_breaker, values,
-                       cell_width, "__after", forward=True)
+                       cell_width, "__after", forward=True, unique_times=unique_times)
     back = F.col(request_time) - F.col(f"__before.{fact_time}")
     ahead = F.col(f"__after.{fact_time}") - F.col(request_time)
     back_ok, ahead_ok = back <= tolerance, ahead <= tolerance

@@ -165,7 +165,7 @@ def locate_damage(damage: DataFrame, positions: DataFrame) -> DataFrame:
         F.col("world_x").cast("double").alias("hero_x"), F.col("world_y").cast("double").alias("hero_y"))
     return nearest_lookup(
         damage, samples, ["extraction_id", "player_slot"], "time_ms", "sample_ms", ["sample_sequence"],
-        ["hero_x", "hero_y"], fixed.POSITION_TOLERANCE_MS, 60_000, "sample",
+        ["hero_x", "hero_y"], fixed.POSITION_TOLERANCE_MS, 60_000, "sample", unique_times=True,
     ).where("sample IS NOT NULL").select("*", "sample.hero_x", "sample.hero_y").drop("sample")
 
 
@@ -205,8 +205,8 @@ def nearest_camp(damage: DataFrame, located: DataFrame, creeps: DataFrame,
         (F.col("squared") <= radius * radius)
         & alive_at(F.col("time_ms"), F.col("creation_ms"), F.col("deletion_ms"))
     ).select("extraction_id", "player_slot", "sequence", "time_ms", "damage", "camp_id", "squared")
-    candidates = asof_lookup(reachable, alive_counts(creeps), CAMP, "time_ms", "at", [], ["alive"], 60_000, "count"
-                             ).where(F.col("count.alive") > 0)
+    candidates = asof_lookup(reachable, alive_counts(creeps), CAMP, "time_ms", "at", [], ["alive"], 60_000, "count",
+                             unique_times=True).where(F.col("count.alive") > 0)
     return candidates.groupBy("extraction_id", "player_slot", "sequence", "time_ms", "damage").agg(
         F.min(F.struct("squared", "camp_id")).alias("best")).select(
         "extraction_id", "player_slot", "sequence", "time_ms", "damage", F.col("best.camp_id").alias("camp_id"))

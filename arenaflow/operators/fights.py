@@ -126,7 +126,7 @@ def locate_anchors(anchors: DataFrame, positions: DataFrame) -> DataFrame:
                                 F.col("game_time_milliseconds").cast("bigint").alias("sample_time"),
                                 "sequence", "world_x", "world_y"),
         ["extraction_id", "victim_slot"], "sample_time", "sample_time", ["sequence"], ["world_x", "world_y"],
-        60_000, "sample", few_requests=True)
+        60_000, "sample", few_requests=True, unique_times=True)
     x, y = F.col("sample.world_x").cast("double"), F.col("sample.world_y").cast("double")
     usable = finite(x) & finite(y)
     return located.withColumn("x", F.coalesce("x", F.when(usable, x))).withColumn(
@@ -159,8 +159,10 @@ def anchor_edges(anchors: DataFrame, gap: float = fixed.LINK_GAP_SECONDS,
     # of one of its ends.
     located = active.where("located")
     width = 60.0
-    before = asof_lookup(located, sessions, key, "t", "opened", ["member"], ["closed", "member"], width, "previous")
-    both = asof_lookup(before, sessions, key, "t", "opened", ["member"], ["member"], width, "following", forward=True)
+    before = asof_lookup(located, sessions, key, "t", "opened", ["member"], ["closed", "member"], width, "previous",
+                         unique_times=True)
+    both = asof_lookup(before, sessions, key, "t", "opened", ["member"], ["member"], width, "following", forward=True,
+                       unique_times=True)
     reach = both.select("extraction_id", F.col("sequence").alias("left_id"), F.explode(F.array_compact(F.array(
         F.when(F.col("t") - F.col("previous.closed") <= gap, F.col("previous.member")),
         F.when(F.col("following.opened") - F.col("t") <= gap, F.col("following.member"))))).alias("right_id"))
@@ -391,7 +393,7 @@ class Fights:
             "team_id", F.explode(F.array(F.lit(fixed.RADIANT), F.lit(fixed.DIRE)))).withColumn(
             "sample", F.greatest(F.lit(0), F.floor(F.col("at") / 60)).cast("bigint"))
         found = asof_lookup(asked, points, ["extraction_id", "team_id"], "sample", "sample_index", ["net_worth"],
-                            ["net_worth"], 60, "found")
+                            ["net_worth"], 60, "found", unique_times=True)
         return _both_ends(found, [*FIGHT, "team_id"], F.col("found.net_worth"), "change").select(
             *FIGHT, "team_id", half_up(F.col("change")).alias("net_worth_change"))
 
@@ -402,7 +404,7 @@ class Fights:
             self._boundaries(False), self.probability.select(
                 "extraction_id", "game_time_seconds", "sample_index", "radiant_probability", "source"),
             ["extraction_id"], "at", "game_time_seconds", ["sample_index"], ["radiant_probability", "source"],
-            120.0, "found")
+            120.0, "found", unique_times=True)
         ends = found.groupBy(*FIGHT).agg(*[
             F.max(F.when(F.col("side") == side, F.col("found"))).alias(side) for side in ("start", "end")])
         same = F.col("start.source") == F.col("end.source")

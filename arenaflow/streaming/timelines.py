@@ -139,7 +139,7 @@ def resample_positions(states: DataFrame, grid: DataFrame, roster: DataFrame, ce
     asked = grid.select("extraction_id", "tick").distinct().join(lives, "extraction_id").where(
         "tick >= born").select(*entity, "tick")
     held = asof_lookup(asked, full, entity, "tick", "tick", ["generation"], ["generation", "deleted", *HERO_STATE],
-                       cell, "state")
+                       cell, "state", unique_times=True)
     current = held.select("extraction_id", "tick",
                           *[F.col(f"state.{name}").alias(name) for name in ("generation", "deleted", *HERO_STATE)]
                           ).where("NOT coalesce(deleted, false)")
