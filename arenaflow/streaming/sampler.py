@@ -173,10 +173,13 @@ def stream_first_candidates(candidates: DataFrame, delay_minutes: int = fixed.WI
 class WindowSampler:
     """``foreachBatch`` target: stores candidates and selects from windows as they close.
 
-    State lives in tables of the shared folder: ``candidates`` appended per
-    batch, ``selections`` written once per closed window.  A repeated batch
-    overwrites its own folder, so a restart neither repeats nor loses rows.
-    Late candidates of a selected window are stored but never selected.
+    State lives in tables of the shared folder, one folder per batch:
+    ``candidates`` by day, the newest start time seen (``progress``) and
+    ``selections``.  A repeated batch overwrites its own folders, so a restart
+    neither repeats nor loses rows.  A batch selects the windows that closed
+    since the batch before and reads only days that can still hold them, so its
+    work does not grow with the age of the stream.  Late candidates of a closed
+    window are stored but never selected.
     """
 
     def __init__(self, folder: str, quota: Quota, delay_minutes: int = fixed.WINDOW_DELAY_MINUTES):
@@ -184,29 +187,40 @@ class WindowSampler:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
-            f"{self.folder}/candidates/batch={batch_id}")
-        stored = spark.read.schema(batch.withColumn("batch_id", F.lit(batch_id)).schema).option(
-            "recursiveFileLookup", "true").parquet(f"{self.folder}/candidates")
-        newest = stored.agg(F.max("start_time")).first()[0]
+        stamped = batch.withColumn("batch_id", F.lit(batch_id)).withColumn("day", self._day(F.col("start_time")))
+        stamped.write.mode("overwrite").partitionBy("day").parquet(f"{self.folder}/candidates/batch={batch_id}")
+        stored = spark.read.schema(stamped.schema).parquet(f"{self.folder}/candidates").where(
+            F.col("batch_id") <= batch_id)
+        before = self._newest_before(spark, batch_id)
+        arrived = stored.where(F.col("batch_id") == batch_id).agg(F.max("start_time")).first()[0]
+        newest = max((time for time in (before, arrived) if time is not None), default=None)
         if newest is None:
             return
-        single = dedupe_candidates(stored, ["batch_id", "start_time", "match_id"])
-        closed = closed_windows(
-            single.withColumn("window_seconds", (F.floor(F.col("start_time") / 3600) * 3600)), F.lit(newest), self.delay)
-        earlier = self._finalized(spark, batch_id)
-        if earlier is not None:
-            closed = closed.join(earlier, "window_start", "left_anti")
+        spark.createDataFrame([(batch_id, newest)], "batch_id INT, newest BIGINT").write.mode("overwrite").parquet(
+            f"{self.folder}/progress/batch={batch_id}")
+        if before is not None:
+            settled = before - self.delay * 60
+            stored = stored.where(F.col("day") >= (settled - 3600) // 86400)
+        single = dedupe_candidates(stored.drop("day"), ["batch_id", "start_time", "match_id"]).withColumn(
+            "window_seconds", F.floor(F.col("start_time") / 3600) * 3600)
+        closed = closed_windows(single, F.lit(newest), self.delay)
+        if before is not None:
+            closed = closed.where(F.col("window_seconds") + 3600 > settled)
         selected = stratified_select(closed.drop("window_seconds"), self.quota)
         selected.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
             f"{self.folder}/selections/batch={batch_id}")
 
-    def _finalized(self, spark, batch_id: int) -> DataFrame | None:
-        """Windows selected by earlier batches."""
+    @staticmethod
+    def _day(start_time: Column) -> Column:
+        return F.floor(start_time / 86400).cast("bigint")
+
+    def _newest_before(self, spark, batch_id: int) -> int | None:
+        """Newest start time of earlier batches; one small row per batch is read."""
         try:
-            earlier = spark.read.option("recursiveFileLookup", "true").parquet(f"{self.folder}/selections")
-        except Exception as problem:  # nothing was selected before the first batch
-            if "PATH_NOT_FOUND" not in str(problem) and "UNABLE_TO_INFER_SCHEMA" not in str(problem):
+            progress = spark.read.schema("batch_id INT, newest BIGINT").option(
+                "recursiveFileLookup", "true").parquet(f"{self.folder}/progress")
+        except Exception as problem:  # no batch has finished yet
+            if "PATH_NOT_FOUND" not in str(problem):
                 raise
             return None
-        return earlier.where(F.col("batch_id") < batch_id).select("window_start").distinct()
+        return progress.where(F.col("batch_id") < batch_id).agg(F.max("newest")).first()[0]
