@@ -53,9 +53,11 @@ def _roster_heroes(players: DataFrame) -> DataFrame:
         combat_log_name(F.col("hero_id")).alias("combat_log_name")).where("combat_log_name IS NOT NULL")
 
 
-def fight_events(combat: DataFrame, clock: DataFrame, roster: DataFrame) -> DataFrame:
+def fight_events(combat: DataFrame, context: DataFrame) -> DataFrame:
     """Actual-game events on the rebased clock with their unambiguous heroes.
 
+    ``context`` holds one row per extraction: bounds, clock and roster maps.
+
     ``target`` and ``source`` are roster heroes or NULL; the credited source
     falls back to the attacker when its own name does not resolve.
     """
@@ -63,7 +65,6 @@ def fight_events(combat: DataFrame, clock: DataFrame, roster: DataFrame) -> Data
         "extraction_id", "sequence", "event_type", "game_time", "target_name", "attacker_name", "damage_source_name",
         "target_team", "assist_players", "target_illusion", "location_x", "location_y", "value",
         F.coalesce("target_building", F.lit(False)).alias("target_building"))
-    context = clock.join(roster, "extraction_id", "left")
     x, y = F.col("location_x").cast("double"), F.col("location_y").cast("double")
     located = finite(x) & finite(y)
     return (
@@ -214,8 +215,13 @@ class Fights:
 
     @cached_property
     def events(self) -> DataFrame:
-        return fight_events(self.combat, game_clock(self.combat, self.bounds),
-                            roster_context(self.players, self.metadata))
+        return fight_events(self.combat, self.context)
+
+    @cached_property
+    def context(self) -> DataFrame:
+        """Bounds, clock and roster maps: one row per extraction, written once and joined often."""
+        roster = roster_context(self.players, self.metadata)
+        return cut_lineage(game_clock(self.combat, self.bounds).join(roster, "extraction_id", "left"))
 
     @cached_property
     def anchors(self) -> DataFrame:
@@ -483,17 +489,14 @@ class Fights:
     @cached_property
     def fight_list(self) -> DataFrame:
         """One record per fight with its metrics and availability flags."""
-        team = self.team_results
-
-        def side(code: int, prefix: str) -> DataFrame:
-            fields = ("hero_damage", "hero_healing", "earned_gold_change", "experience_change", "net_worth_change")
-            return team.where(F.col("team_id") == code).select(
-                *FIGHT, F.col("kills").alias(f"{prefix}_kills"), F.col("deaths").alias(f"{prefix}_deaths"),
-                *[F.col(field).alias(f"{prefix}_{field}") for field in fields])
-
+        fields = ("kills", "deaths", "hero_damage", "hero_healing", "earned_gold_change", "experience_change",
+                  "net_worth_change")
+        teams = self.team_results.groupBy(*FIGHT).agg(*[
+            F.max(F.when(F.col("team_id") == code, F.col(field))).alias(f"{name.lower()}_{field}")
+            for code, name in fixed.TEAM_NAMES.items() for field in fields])
         fallen = self.objectives.groupBy(*FIGHT).agg(F.count("*").alias("objective_count"))
         return (
-            self.fights.join(side(fixed.RADIANT, "radiant"), FIGHT).join(side(fixed.DIRE, "dire"), FIGHT)
+            self.fights.join(teams, FIGHT)
             .join(self.probability_changes, FIGHT, "left").join(fallen, FIGHT, "left")
             .join(self.availability, "extraction_id")
             .select(
@@ -502,9 +505,7 @@ class Fights:
                 "outcome_end", "death_count", F.col("radiant").alias("radiant_participants"),
                 F.col("dire").alias("dire_participants"), "center_x", "center_y",
                 F.col("center_x").isNotNull().alias("location_available"),
-                *[f"{prefix}_{field}" for prefix in ("radiant", "dire") for field in (
-                    "kills", "deaths", "hero_damage", "hero_healing", "earned_gold_change", "experience_change",
-                    "net_worth_change")],
+                *[f"{name.lower()}_{field}" for name in fixed.TEAM_NAMES.values() for field in fields],
                 "radiant_win_probability_change", "win_probability_source",
                 F.coalesce("objective_count", F.lit(0)).alias("objective_count"),
                 "earned_gold_available", "experience_available", "net_worth_available", "positions_available",
