@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arenaflow import fixed_values as fixed
 from arenaflow.functions.columns import count_if, finite, half_up
 from arenaflow.functions.heroes import combat_log_name
 from arenaflow.functions.temporal import (
-    asof_lookup, cell_number, gap_sessions, nearest_lookup, ordered_index, running_total,
+    asof_lookup, carry_forward, cell_number, gap_sessions, nearest_lookup, ordered_index, running_total,
 )
 from arenaflow.schemas import PROPERTY_ARRAY
 from arenaflow.session import cut_lineage
@@ -82,19 +82,19 @@ def death_times(creeps: DataFrame, updates: DataFrame) -> DataFrame:
     """Time of the first death transition in update order.
 
     Health must fall to zero from a nonzero value, or the life state must leave
-    zero.  The checkpoint value seeds each property's history.  An entity's two
-    tracked properties hold few updates, so the order is local to a short group.
+    zero.  The checkpoint value seeds each property's history.
     """
     tracked = updates.where(F.col("property_path").isin("m_iHealth", "m_lifeState")).select(
         *ENTITY, "sequence", "property_path", F.col("value").try_cast("int").alias("value"), "game_time")
-    seeded = tracked.join(creeps.select(*ENTITY, "health", "life_state"), ENTITY)
-    order = Window.partitionBy(*ENTITY, "property_path").orderBy("sequence")
+    history = carry_forward(tracked, [*ENTITY, "property_path"], ["sequence"], {"previous": ("value", "last")}, 65536,
+                            inclusive=False)
+    compared = history.join(creeps.select(*ENTITY, "health", "life_state"), ENTITY)
     seed = F.when(F.col("property_path") == "m_iHealth", F.col("health")).otherwise(F.col("life_state"))
-    previous = F.coalesce(F.lag("value").over(order), seed)
+    previous = F.coalesce(F.col("previous"), seed)
     died = (
         ((F.col("property_path") == "m_iHealth") & (previous != 0) & (F.col("value") == 0))
         | ((F.col("property_path") == "m_lifeState") & (previous == 0) & (F.col("value") != 0)))
-    return seeded.withColumn("died", died).where("died").groupBy(*ENTITY).agg(
+    return compared.withColumn("died", died).where("died").groupBy(*ENTITY).agg(
         F.min_by("game_time", "sequence").alias("death_time"))
 
 
