@@ -341,9 +341,24 @@ def decode(frame: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     return with_columns(frame, [T.StructField("decoded", T.StringType())], start, ids)
 
 
+def encode_and_decode(frame: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """``encode``, then ``decode`` of its ids in the same task: one worker and one vocabulary instead of two."""
+    def start():
+        coder = loaded(path)
+
+        def make(batch):
+            ids = coder.encode(texts_of(batch, text))
+            return [ids, [coder.decode(value) for value in ids]]
+
+        return make
+
+    fields = [T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]
+    return with_columns(frame, fields, start, text).withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
+
+
 def round_trip(documents: DataFrame, path: str, text: str = "text", spread_bytes: int = SEGMENT) -> DataFrame:
     """Encode every text, the very long ones spread over tasks, and decode the ids again."""
     size = F.coalesce(F.octet_length(text), F.lit(0))
-    short = encode(documents.where(size <= spread_bytes), path, text)
-    long = encode_spread(documents.where(size > spread_bytes), path, text)
-    return decode(short.unionByName(long), path)
+    short = encode_and_decode(documents.where(size <= spread_bytes), path, text)
+    long = decode(encode_spread(documents.where(size > spread_bytes), path, text), path)
+    return short.unionByName(long)

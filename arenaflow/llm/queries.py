@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arenaflow.llm import bpe, packing, token_counts
+from arenaflow.llm import bpe, ctph, packing, simhash, token_counts, toxicity
 
 WORDS = "word_bpe_49k.json"
 BYTES = "byte_bpe_50k.json"
@@ -25,6 +25,10 @@ def op1_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op2_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_groups(table(spark, folder, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path(WORDS))
 
@@ -35,9 +39,19 @@ def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op4_piecewise_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return ctph.compare_edited(table(spark, folder, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     builder.__name__: builder
-    for builder in (op1_bpe_round_trip, op3_best_fit_packing, op5_token_counts)
+    for builder in (
+        op1_bpe_round_trip, op2_simhash_groups, op3_best_fit_packing, op4_piecewise_fingerprints, op5_token_counts,
+        op9_toxicity)
 }
 #: SQL for those that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
