@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arenaflow.llm import bpe, ctph, packing, simhash, token_counts, toxicity
+from arenaflow.llm import bpe, ctph, html_text, neighbours, packing, simhash, token_counts, toxicity
 
 WORDS = "word_bpe_49k.json"
 BYTES = "byte_bpe_50k.json"
@@ -43,6 +43,16 @@ def op4_piecewise_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return ctph.compare_edited(table(spark, folder, "documents"))
 
 
+def op7_projected_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+def op8_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages, html_text.fit(pages)).select("page_id", "url", "text", "n_chars")
+
+
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -51,7 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     builder.__name__: builder
     for builder in (
         op1_bpe_round_trip, op2_simhash_groups, op3_best_fit_packing, op4_piecewise_fingerprints, op5_token_counts,
-        op9_toxicity)
+        op7_projected_neighbours, op8_main_text, op9_toxicity)
 }
 #: SQL for those that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
