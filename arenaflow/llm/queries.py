@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arenaflow.llm import bpe, ctph, html_text, neighbours, packing, simhash, token_counts, toxicity
+from arenaflow.llm import bpe, ctph, html_text, line_dedup, neighbours, packing, simhash, token_counts, toxicity
 
 WORDS = "word_bpe_49k.json"
 BYTES = "byte_bpe_50k.json"
@@ -57,11 +57,15 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op10_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.mark_lines(table(spark, folder, "documents")).drop("_row")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     builder.__name__: builder
     for builder in (
         op1_bpe_round_trip, op2_simhash_groups, op3_best_fit_packing, op4_piecewise_fingerprints, op5_token_counts,
-        op7_projected_neighbours, op8_main_text, op9_toxicity)
+        op7_projected_neighbours, op8_main_text, op9_toxicity, op10_fuzzy_lines)
 }
 #: SQL for those that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
