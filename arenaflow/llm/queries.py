@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arenaflow.llm import bpe, ctph, html_text, line_dedup, neighbours, packing, simhash, token_counts, toxicity
+from arenaflow.llm import bpe, ctph, html_text, line_dedup, mixing, neighbours, packing, simhash, token_counts, toxicity
 
 WORDS = "word_bpe_49k.json"
 BYTES = "byte_bpe_50k.json"
@@ -43,6 +43,10 @@ def op4_piecewise_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return ctph.compare_edited(table(spark, folder, "documents"))
 
 
+def op6_context_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.score_documents(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op7_projected_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
     return neighbours.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
@@ -65,7 +69,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     builder.__name__: builder
     for builder in (
         op1_bpe_round_trip, op2_simhash_groups, op3_best_fit_packing, op4_piecewise_fingerprints, op5_token_counts,
-        op7_projected_neighbours, op8_main_text, op9_toxicity, op10_fuzzy_lines)
+        op6_context_mixing, op7_projected_neighbours, op8_main_text, op9_toxicity,
+        op10_fuzzy_lines)
 }
 #: SQL for those that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
