@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from arenaflow.llm.frames import texts_of, with_columns
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>?|([^<]+|<)", re.S)
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>?|<[a-zA-Z][^>]*\Z|([^<]+|<)", re.S)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _RAW = {name: re.compile(rf"</{name}\b[^>]*>?", re.I) for name in (
     "script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")}

@@ -100,7 +100,10 @@ class Model:
         return float(self.windows(words).max()) if words else -np.inf
 
     def score(self, text: str) -> float:
-        value = self.slope * self.worst(text) + self.shift
+        worst = self.worst(text)
+        if worst == -np.inf:
+            return 0.0
+        value = self.slope * worst + self.shift
         return float(1 / (1 + np.exp(-np.clip(value, -500, 500))))
 
 
