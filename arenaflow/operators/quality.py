@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from arenaflow import fixed_values as fixed
 from arenaflow.functions.columns import count_if, finite
+from arenaflow.functions.heroes import HERO_NAME_PREFIX
 from arenaflow.functions.ranks import exact_order_statistics
 from arenaflow.operators.versions import actual_game
 from arenaflow.sources.staged import apply_storage_policy, blob_owners
@@ -69,57 +70,52 @@ def _is_hero_target() -> Column:
     return (F.col("target_hero") == F.lit(True)) & F.col("target_team").isin(fixed.RADIANT, fixed.DIRE)
 
 
-def event_field_audit(combat: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Presence counts of the fields fights rely on, in one aggregation per extraction."""
-    kind = F.col("event_type")
-    death, damage, heal, xp = (kind == name for name in (fixed.DEATH, fixed.DAMAGE, fixed.HEAL, fixed.XP))
-    hero = _is_hero_target()
-    source, attacker = F.col("damage_source_name"), F.col("attacker_name")
-    has_source, has_attacker = F.nullif(source, F.lit("")).isNotNull(), F.nullif(attacker, F.lit("")).isNotNull()
-    differs = ~source.eqNullSafe(attacker)
-    hero_source = F.coalesce(source, F.lit("")).startswith("npc_dota_hero_")
-    timed = finite(F.col("game_time"))
-    real = F.col("target_illusion") == F.lit(False)
-    name = F.lower(F.coalesce("target_name", F.lit("")))
-    hero_death, hero_damage = death & hero, damage & hero
-    counts = {
-        "death_rows": death,
-        "hero_death_rows": hero_death,
-        "non_illusion_hero_death_rows": hero_death & real,
-        "death_rows_with_victim_and_time":
-            hero_death & real & timed & F.nullif("target_name", F.lit("")).isNotNull(),
-        "hero_death_rows_with_attacker": hero_death & has_attacker,
-        "hero_death_rows_with_credited_source": hero_death & has_source,
-        "hero_death_rows_with_distinct_credited_source": hero_death & has_source & differs,
-        "hero_death_rows_with_assists": hero_death & (F.size(F.coalesce("assist_players", F.array().cast("array<int>"))) > 0),
-        "hero_death_rows_with_location": hero_death & finite(F.col("location_x")) & finite(F.col("location_y")),
-        "damage_rows": damage,
-        "hero_target_damage_rows": hero_damage,
-        "enemy_hero_damage_shape_rows":
-            hero_damage & F.col("attacker_team").isin(fixed.RADIANT, fixed.DIRE)
-            & (F.col("attacker_team") != F.col("target_team")) & (F.col("value") > 0) & timed,
-        "hero_target_damage_hero_source_rows": hero_damage & hero_source,
-        "hero_target_damage_controlled_source_rows": hero_damage & hero_source & differs,
-        "illusion_damage_rows": damage & (
-            F.coalesce(F.col("attacker_illusion"), F.lit(False)) | F.coalesce(F.col("target_illusion"), F.lit(False))),
-        "heal_rows": heal,
-        "hero_target_heal_rows": heal & (F.col("target_hero") == F.lit(True)),
-        "heal_hero_source_rows": heal & (F.col("target_hero") == F.lit(True)) & hero_source,
-        "heal_distinct_source_rows": heal & has_source & differs,
-        "experience_rows": xp,
-        "experience_rows_with_value_and_time": xp & F.col("value").isNotNull() & timed,
-        "experience_hero_target_name_rows": xp & F.coalesce("target_name", F.lit("")).startswith("npc_dota_hero_"),
-        "experience_attacker_rows": xp & has_attacker,
-        "experience_source_rows": xp & has_source,
-        "building_death_rows": death & (F.col("target_building") == F.lit(True)),
-        "tower_death_rows": death & name.contains("tower"),
-        "barracks_death_rows": death & (name.contains("barracks") | name.contains("_rax")),
-        "roshan_death_rows": death & name.contains("roshan"),
-        "tormentor_death_rows": death & name.contains("tormentor"),
+def _filled(name: str) -> Column:
+    return F.nullif(F.col(name), F.lit("")).isNotNull()
+
+
+def _audited_fields() -> dict[str, Column]:
+    """What an event can carry for a fight to use it, each as a condition on one row."""
+    named = F.lower(F.coalesce("target_name", F.lit("")))
+    other = ~F.col("damage_source_name").eqNullSafe(F.col("attacker_name"))
+    sides = (fixed.RADIANT, fixed.DIRE)
+    teams = F.col("attacker_team").isin(*sides) & F.col("target_team").isin(*sides) & (
+        F.col("attacker_team") != F.col("target_team"))
+    return {
+        "amount": F.col("value").isNotNull(),
+        "assist list": F.size(F.coalesce("assist_players", F.array().cast("array<int>"))) > 0,
+        "attacker": _filled("attacker_name"),
+        "barracks": named.contains("barracks") | named.contains("_rax"),
+        "building": F.col("target_building"),
+        "copy": F.coalesce("attacker_illusion", F.lit(False)) | F.coalesce("target_illusion", F.lit(False)),
+        "enemy hit": teams & (F.col("value") > 0) & finite(F.col("game_time")),
+        "hero source": F.col("damage_source_name").startswith(HERO_NAME_PREFIX),
+        "own target": ~F.col("target_illusion"),
+        "place": finite(F.col("location_x")) & finite(F.col("location_y")),
+        "roshan": named.contains("roshan"),
+        "source": _filled("damage_source_name"),
+        "source apart from attacker": _filled("damage_source_name") & other,
+        "target": _filled("target_name"),
+        "time": finite(F.col("game_time")),
+        "tormentor": named.contains("tormentor"),
+        "tower": named.contains("tower"),
     }
-    relevant = combat.where(kind.isin(fixed.DEATH, fixed.DAMAGE, fixed.HEAL, fixed.XP))
-    return actual_game(relevant, bounds).groupBy("extraction_id").agg(
-        *[count_if(condition).alias(label) for label, condition in counts.items()])
+
+
+def event_field_audit(combat: DataFrame, bounds: DataFrame) -> DataFrame:
+    """How often each field is filled, per extraction and kind of event: ``events, filled, filled_on_hero``.
+
+    One aggregation over the log; its few rows are turned into one row per field.
+    """
+    hero = F.coalesce(_is_hero_target(), F.lit(False))
+    fields = _audited_fields()
+    relevant = combat.where(F.col("event_type").isin(fixed.DEATH, fixed.DAMAGE, fixed.HEAL, fixed.XP))
+    counted = actual_game(relevant, bounds).groupBy("extraction_id", "event_type").agg(
+        F.count(F.lit(1)).alias("events"),
+        *[F.struct(count_if(condition), count_if(condition & hero)).alias(name) for name, condition in fields.items()])
+    return counted.select("extraction_id", "event_type", "events", F.inline(F.array(*[
+        F.struct(F.lit(name).alias("field"), F.col(f"`{name}`.col1").alias("filled"),
+                 F.col(f"`{name}`.col2").alias("filled_on_hero")) for name in fields])))
 
 
 def assist_mapping_audit(combat: DataFrame, bounds: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -4,10 +4,19 @@ from __future__ import annotations
 
 import re
 
-from arenaflow.functions.heroes import hero_rows
-
-_SLUGS = ", ".join(f"'{slug}'" for _, _, slug in hero_rows()[:18])
-_LABELS = ", ".join("'" + name.replace("'", "''") + "'" for _, name, _ in hero_rows()[:18])
+# Fixed values, stated apart from the package's own hero table: names and labels of heroes 1 to 18.
+_HERO_SLUGS = (
+    "antimage", "axe", "bane", "bloodseeker", "crystal_maiden", "drow_ranger", "earthshaker", "juggernaut",
+    "mirana", "morphling", "nevermore", "phantom_lancer", "puck", "pudge", "razor", "sand_king", "storm_spirit",
+    "sven",
+)
+_HERO_LABELS = (
+    "Anti-Mage", "Axe", "Bane", "Bloodseeker", "Crystal Maiden", "Drow Ranger", "Earthshaker", "Juggernaut",
+    "Mirana", "Morphling", "Shadow Fiend", "Phantom Lancer", "Puck", "Pudge", "Razor", "Sand King", "Storm Spirit",
+    "Sven",
+)
+_SLUGS = ", ".join(f"'{slug}'" for slug in _HERO_SLUGS)
+_LABELS = ", ".join(f"'{name}'" for name in _HERO_LABELS)
 
 
 def _name(slot: str) -> str:
