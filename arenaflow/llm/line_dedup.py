@@ -1,9 +1,9 @@
 """Fuzzy line dedup by MinHash, with DataFrame and SQL functions only.
 
 A line's shingles are its runs of ``SHINGLE`` characters, lower-cased.  Their
-hashes are sorted once and cut into ``BINS`` ranges; the smallest hash of each
-range is one MinHash value (one-permutation hashing), and an empty range borrows
-the smallest hash of all.  Bands of values bring lines together, the exact
+hashes are sorted once; every band starts at a point of its own in the ring of
+hashes and takes the ``VALUES`` next ones, which are equal in two lines about as
+often as their similarity to that power.  Bands bring lines together, the exact
 Jaccard similarity of their shingle sets decides, and distributed union-find
 keeps the first line of every component.
 
@@ -14,17 +14,18 @@ connected.  Equal lines are one line from the start.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arenaflow.llm.components import components
-from arenaflow.llm.frames import stored
+from arenaflow.llm.frames import partitions, stored
+from arenaflow.session import scratch_path
 
 SHINGLE = 8
 SIMILARITY = 0.8
-#: Hash ranges by the highest five bits; the bands below use as many of them as they need.
-BINS = 32
-BANDS = 6
+BANDS = 5
 VALUES = 3
 
 
@@ -34,32 +35,27 @@ def _bound(value: str, name: str, body: str) -> str:
 
 
 def _shingles(line: str, size: int) -> str:
-    """Hashes of the shingles of a line; a shorter line is one shingle.  Characters are cut from four-byte code points."""
-    return _bound(f"encode({line}, 'UTF-32')", "points",
-                  f"transform(sequence(1, greatest(4 * (char_length({line}) - {size}), 0) + 1, 4), "
-                  f"at -> xxhash64(substring(points, at, {4 * size})))")
+    """Hashes of the shingles of a line; a shorter line is one shingle.  Characters are UTF-16 units, two bytes each."""
+    return _bound(f"encode({line}, 'UTF-16BE')", "units",
+                  f"transform(sequence(1, greatest(octet_length(units) - {2 * size - 2}, 1), 2), "
+                  f"at -> xxhash64(substring(units, at, {2 * size})))")
 
 
 def band_keys(line: str = "line", size: int = SHINGLE, bands: int = BANDS, values: int = VALUES) -> Column:
     """One key for each band of MinHash values of a line."""
-    if bands * values >= BINS:
-        raise ValueError(f"at most {BINS - 1} values")
-    low = -BINS // 2
-
-    def least(number: int) -> str:
-        return f"coalesce(get(least, cast(array_position(ranges, {low + number}) AS int) - 1), least[0])"
-
-    keys = ", ".join(
-        f"xxhash64({band}, {', '.join(least(band * values + place) for place in range(values))})" for band in range(bands))
-    firsts = ("filter(hashes, (hash, at) -> at = 0 OR shiftright(hash, 59) <> shiftright(hashes[greatest(at - 1, 0)], 59))")
-    # Above the ranges in use only the smallest hash of all matters, and only where no range in use has one.
-    bound = (low + bands * values) << 59
-    used = _bound(_shingles(line, size), "all", _bound(
-        f"filter(all, hash -> hash < {bound})", "low", "if(size(low) > 0, low, array(array_min(all)))"))
+    jumps = ", ".join(str(1 << power) for power in range(30, -1, -1))
+
+    def key(band: int) -> str:
+        start = -(1 << 63) + band * (1 << 64) // bands
+        # Binary search for the last hash below the start of the band, by jumps of falling size.
+        before = f"aggregate(jumps, -1, (at, jump) -> if(get(hashes, at + jump) < {start}L, at + jump, at))"
+        taken = ", ".join(f"get(hashes, (before + {place}) % count)" for place in range(1, values + 1))
+        return _bound(before, "before", f"xxhash64({band}, {taken})")
+
+    keys = ", ".join(map(key, range(bands)))
     return F.expr(_bound(
-        f"sort_array({used})", "hashes",
-        _bound(firsts, "least", _bound("transform(least, hash -> cast(shiftright(hash, 59) AS int))", "ranges",
-                                       f"array({keys})"))))
+        f"sort_array({_shingles(line, size)})", "hashes", _bound("size(hashes)", "count", _bound(
+            f"filter(array({jumps}), jump -> jump <= count)", "jumps", f"array({keys})"))))
 
 
 def similarity(left: str, right: str, size: int = SHINGLE) -> Column:
@@ -81,16 +77,27 @@ def lines_of(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -
 
 
 def line_groups(lines: DataFrame, size: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
-    """``vertex, root`` of the lines (by hash) that resemble another line, directly or through others."""
-    unique = stored(lines.select("line").distinct().select(F.xxhash64("line").alias("id"), "line"), "lines")
-    keyed = unique.select("id", F.explode(band_keys("line", size)).alias("key"))
-    met = stored(keyed, "bands")
+    """``vertex, root`` of the lines (by hash) that resemble another line, directly or through others.
+
+    Lines are written once in buckets of their number, so that pairs come to
+    the lines and no line is shuffled again.
+    """
+    spark = lines.sparkSession
+    name = f"lines_{uuid.uuid4().hex}"
+    buckets = partitions(spark)
+    # Equal lines fall together before the shuffle, which deals rows as the buckets do.
+    lines.groupBy(F.xxhash64("line").alias("id")).agg(F.min("line").alias("line")).write.bucketBy(
+        buckets, "id").option("path", scratch_path(spark, "lines")).saveAsTable(name)
+    unique = spark.table(name)
+    met = stored(unique.select("id", F.explode(band_keys("line", size)).alias("key")), "bands")
     shared = met.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     pairs = met.join(shared, "key").select("id", F.explode(F.array("first", "last")).alias("other")).where(
         "id <> other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     known = pairs.join(unique.select(F.col("id").alias("a"), F.col("line").alias("left")), "a").join(
         unique.select(F.col("id").alias("b"), F.col("line").alias("right")), "b")
-    return components(known.where(similarity("left", "right", size) >= least).select("a", "b"))
+    found = stored(known.where(similarity("left", "right", size) >= least).select("a", "b"), "line-links")
+    spark.sql(f"DROP TABLE {name}")
+    return components(found)
 
 
 def mark_lines(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE,
