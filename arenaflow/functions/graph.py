@@ -14,24 +14,27 @@ from pyspark.sql import functions as F
 from arenaflow.session import cut_lineage
 
 
-def connected_components(edges: DataFrame, left: str, right: str, maximum_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """Label every vertex that has an edge with the smallest vertex it reaches.
 
     Returns ``vertex, component``.  Vertices without edges are their own
     component and are left to the caller.  Vertices may be any orderable type.
+    Every round lowers the sum of a forest's labels until all are stars; a round
+    that changes nothing before that is an error.
     """
     current = cut_lineage(
         edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v"))
         .where("u <> v").distinct()
     )
-    for _ in range(maximum_rounds):
+    while True:
         small = cut_lineage(_small_star(_large_star(current)))
         if _is_star_forest(small):
             return small.select(F.col("u").alias("vertex"), F.col("v").alias("component")).unionByName(
                 small.select(F.col("v").alias("vertex"), F.col("v").alias("component"))
             ).distinct()
+        if current.exceptAll(small).isEmpty() and small.exceptAll(current).isEmpty():
+            raise RuntimeError("components do not settle")
         current = small
-    raise RuntimeError(f"components did not settle in {maximum_rounds} rounds")
 
 
 def _is_star_forest(edges: DataFrame) -> bool:

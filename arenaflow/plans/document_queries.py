@@ -35,7 +35,8 @@ QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY started_at DESC, extra
 SELECT *, count(*) OVER (PARTITION BY match_id) AS n FROM fetches
 QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY requested_at DESC, acquisition_id DESC) = 1""",
     "analysed": """
-SELECT match_id, started_at AS start_time, CAST(floor(o_totalprice) AS BIGINT) AS duration_seconds FROM latest WHERE match_id % 3 = 0""",
+SELECT match_id, started_at AS start_time, CAST(floor(o_totalprice) AS BIGINT) AS duration_seconds FROM latest
+WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""",
     "states": """
 SELECT i.match_id, CASE WHEN s.match_id IS NOT NULL THEN 'succeeded' ELSE coalesce(a.status, f.status, 'unknown') END AS status,
   s.start_time, s.duration_seconds
@@ -44,7 +45,9 @@ FROM ids i LEFT JOIN newest_attempt a USING (match_id) LEFT JOIN newest_fetch f
 
 
 def _analysed(t: Telemetry) -> DataFrame:
-    return versions.latest_successful(t.extractions).where("match_id % 3 = 0").select(
+    documented = t.table("lineitem").where("l_returnflag = 'R'").select(
+        F.format_string("e%010d", "l_orderkey").alias("extraction_id"))
+    return versions.latest_successful(t.extractions).join(documented, "extraction_id", "left_semi").select(
         "match_id", F.col("started_at").alias("start_time"), F.floor("o_totalprice").cast("bigint").alias("duration_seconds"),
         *[F.lit(None).cast("string").alias(name) for name in (
             "winner_team", "radiant_score", "dire_score", "radiant_team_name", "dire_team_name")])
@@ -106,10 +109,10 @@ def farming_availability(t: Telemetry) -> DataFrame:
 
 @query("match_id:i extraction_id:s", """
 SELECT match_id, extraction_id FROM attempts WHERE status = 'succeeded' AND o_orderkey % 2 = 1
-  AND match_id IN (SELECT c_custkey FROM customer WHERE c_nationkey < 5)
+  AND match_id IN (SELECT c_custkey FROM customer)
 QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY completed_at DESC NULLS LAST, extraction_id DESC) = 1""", _CATALOG)
 def find_loaded(t: Telemetry) -> DataFrame:
-    requests = t.table("customer").where("c_nationkey < 5").select(
+    requests = t.table("customer").select(
         F.col("c_custkey").cast("decimal(20,0)").alias("match_id"),
         F.sha2(F.concat(F.lit("r"), "c_custkey"), 256).alias("replay_sha256"), F.lit("reader").alias("parser_name"),
         F.lit("v1").alias("parser_version"), F.lit("3").alias("exporter_version"), F.lit("1").alias("maxInputBytes"),
@@ -138,6 +141,8 @@ def unpublished(t: Telemetry) -> DataFrame:
 
 _P = "range(10) AS slots(p)"
 _DOCUMENTS = {
+    "current_docs": """
+SELECT o_orderkey AS o FROM orders WHERE o_orderstatus <> 'P' AND o_orderpriority <> '1-URGENT'""",
     "docs": "SELECT 'd' || o_orderkey AS extraction_id, o_orderkey AS o FROM orders",
     "doc_matches": """
 SELECT extraction_id, o, o + 1 AS match_id, 1700000000 + o AS start_seconds, 1200 + o % 2400 AS duration_seconds,
@@ -163,9 +168,18 @@ SELECT extraction_id, CASE WHEN p % 5 = 4 AND p = 4 AND o % 8 = 0 THEN 3 ELSE p
 
 
 def _latest(t: Telemetry) -> DataFrame:
-    return t.table("orders").where("o_orderkey % 10 <> 0").select(
-        F.concat(F.lit("d"), "o_orderkey").alias("extraction_id"),
-        (F.col("o_orderkey") + 1).cast("decimal(20,0)").alias("match_id"))
+    """One attempt per order that fails for pending ones, and a newer one without documents for urgent ones."""
+    orders = t.table("orders")
+    match_id = (F.col("o_orderkey") + 1).cast("decimal(20,0)").alias("match_id")
+    first = orders.select(
+        F.concat(F.lit("d"), "o_orderkey").alias("extraction_id"), match_id,
+        F.when(F.col("o_orderstatus") == "P", "failed").otherwise("succeeded").alias("status"),
+        F.col("o_orderdate").cast("timestamp").alias("started_at"), F.col("o_orderdate").cast("timestamp").alias("completed_at"))
+    second = orders.where("o_orderpriority = '1-URGENT'").select(
+        F.concat(F.lit("r"), "o_orderkey").alias("extraction_id"), match_id, F.lit("succeeded").alias("status"),
+        *[(F.col("o_orderdate").cast("timestamp") + F.expr("INTERVAL 1 DAY")).alias(name)
+          for name in ("started_at", "completed_at")])
+    return versions.latest_successful(first.unionByName(second)).select("extraction_id", "match_id")
 
 
 @query("extraction_id:s match_id:i start_seconds:i duration_seconds:i lobby_type:i winner_team_id:i winner_team:s "
@@ -246,10 +260,10 @@ FROM (SELECT hero_id, count(DISTINCT match_id) AS picks,
     count(DISTINCT CASE WHEN team_id = winner_team_id THEN match_id END) AS wins,
     count(DISTINCT CASE WHEN team_id <> winner_team_id THEN match_id END) AS losses,
     avg(gold_per_min) AS average_gpm, avg(xp_per_min) AS average_xpm
-  FROM doc_players JOIN doc_matches USING (extraction_id, o) WHERE o % 10 <> 0 GROUP BY hero_id) p
-FULL JOIN (SELECT hero_id, count(DISTINCT o) AS bans FROM doc_drafts WHERE NOT is_pick AND o % 10 <> 0 GROUP BY hero_id) b
+  FROM doc_players JOIN doc_matches USING (extraction_id, o) WHERE o IN (SELECT o FROM current_docs) GROUP BY hero_id) p
+FULL JOIN (SELECT hero_id, count(DISTINCT o) AS bans FROM doc_drafts WHERE NOT is_pick AND o IN (SELECT o FROM current_docs) GROUP BY hero_id) b
   ON p.hero_id = b.hero_id
-CROSS JOIN (SELECT count(*) AS match_count FROM doc_matches WHERE o % 10 <> 0) scope"""
+CROSS JOIN (SELECT count(*) AS match_count FROM doc_matches WHERE o IN (SELECT o FROM current_docs)) scope"""
 
 
 @query("hero_id:i match_count:i picks:i bans:i wins:i losses:i pick_rate:d ban_rate:d win_rate:d loss_rate:d average_gpm:d "
@@ -261,14 +275,14 @@ def hero_stats(t: Telemetry) -> DataFrame:
 
 @query("extraction_id:s match_id:i lobby_type:i lobby_type_name:s winner_team:s", """
 SELECT *, CASE o % 4 WHEN 0 THEN '7' WHEN 1 THEN '1' WHEN 2 THEN '12' ELSE 'OTHER' END AS lobby_type_name
-FROM doc_matches WHERE o % 10 <> 0""", _DOCUMENTS)
+FROM doc_matches WHERE o IN (SELECT o FROM current_docs)""", _DOCUMENTS)
 def match_summary(t: Telemetry) -> DataFrame:
     return versions.match_summary(documents.matches(t.records), _latest(t), t.records)
 
 
 @query("match_id:i player_slot:i team_id:i team_slot:i hero_id:i strip:s", """
 SELECT o + 1 AS match_id, *, '0:' || item_0 || ',1:-,2:-,3:' || item_3 || ',4:-,5:-,6:-,7:-,8:-,9:-' AS strip
-FROM doc_players WHERE o % 10 <> 0""", _DOCUMENTS)
+FROM doc_players WHERE o IN (SELECT o FROM current_docs)""", _DOCUMENTS)
 def match_players(t: Telemetry) -> DataFrame:
     found = versions.match_players(documents.players(t.records), _latest(t), documents.player_items(t.records))
     return found.withColumn("strip", F.array_join(F.transform("items", lambda item: F.concat(
@@ -278,7 +292,7 @@ def match_players(t: Telemetry) -> DataFrame:
 @query("match_id:i duration_seconds:i exporter_version:s manifest_schema_version:i extraction_profile:s roster_players:i", """
 SELECT m.match_id, m.duration_seconds, '3' AS exporter_version, 3 AS manifest_schema_version, 'p' || (o % 3) AS extraction_profile,
   CASE WHEN o % 7 = 0 THEN 9 ELSE 10 END AS roster_players
-FROM doc_matches m WHERE o % 10 <> 0 ORDER BY start_seconds DESC NULLS LAST, match_id DESC LIMIT 50""", _DOCUMENTS)
+FROM doc_matches m WHERE o IN (SELECT o FROM current_docs) ORDER BY start_seconds DESC NULLS LAST, match_id DESC LIMIT 50""", _DOCUMENTS)
 def newest_matches(t: Telemetry) -> DataFrame:
     key = F.substring("extraction_id", 2, 20).cast("bigint")
     catalogued = t.extractions.withColumn("extraction_id", F.concat(F.lit("d"), key))
@@ -339,7 +353,7 @@ def _entities(t: Telemetry) -> tuple[DataFrame, DataFrame]:
 @query("match_id:i winner_team_id:i winner_team:s game_mode_id:i game_start_time:d game_end_time:d duration_seconds:d", """
 SELECT o + 1 AS match_id, 2 + o % 3 AS winner_team_id, CASE o % 3 WHEN 0 THEN 'Radiant' WHEN 1 THEN 'Dire' ELSE 'Unknown' END AS winner_team,
   22 AS game_mode_id, (o % 100) * 1.5 AS game_start_time, 2000 + o % 700 AS game_end_time,
-  2000 + o % 700 - (o % 100) * 1.5 AS duration_seconds FROM docs WHERE o % 10 <> 0""", _DOCUMENTS)
+  2000 + o % 700 - (o % 100) * 1.5 AS duration_seconds FROM docs WHERE o IN (SELECT o FROM current_docs)""", _DOCUMENTS)
 def summary_from_checkpoint(t: Telemetry) -> DataFrame:
     instances, checkpoints = _entities(t)
     return versions.summary_from_checkpoint(instances, checkpoints, _latest(t))
@@ -349,7 +363,7 @@ def summary_from_checkpoint(t: Telemetry) -> DataFrame:
 SELECT o + 1 AS match_id, p AS player_index, CASE WHEN p < 5 THEN 2 ELSE 3 END AS team_id,
   CASE WHEN p < 5 THEN 'Radiant' ELSE 'Dire' END AS team, 'n' || p AS player_name, 1 + (o + p) % 100 AS hero_id,
   CASE WHEN p = 2 THEN 'CHero' END AS hero_class, (o + p) % 20 AS kills, (o + p) % 30 AS level
-FROM docs, {_P} WHERE o % 10 <> 0 AND (o + p) % 9 <> 0""", _DOCUMENTS)
+FROM docs, {_P} WHERE o IN (SELECT o FROM current_docs) AND (o + p) % 9 <> 0""", _DOCUMENTS)
 def players_from_checkpoint(t: Telemetry) -> DataFrame:
     instances, checkpoints = _entities(t)
     return versions.players_from_checkpoint(instances, checkpoints, _latest(t))

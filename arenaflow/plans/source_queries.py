@@ -31,13 +31,13 @@ def staged_combat_events(t: Telemetry) -> DataFrame:
 
 
 def _position_lines(t: Telemetry) -> DataFrame:
-    k = F.col("k")
+    k, person = F.col("k"), F.col("slot") % 10
     milliseconds = (F.floor(F.col("t_ms") / 100) * 100).cast("string")
-    return t.ev.where("slot < 10").select(F.to_json(F.struct(
+    return t.ev.select(F.to_json(F.struct(
         F.col("extraction_id").alias("extractionId"), F.col("sequence"), F.col("sequence").alias("demoTick"),
         F.when((F.col("ext") % 4 == 1) & (k == 50), F.concat(milliseconds, F.lit(".5"))).otherwise(milliseconds)
-        .alias("gameTimeMilliseconds"), F.col("slot").alias("gamePlayerId"),
-        (1 + F.col("slot") % 18).alias("heroId"), F.col("team_id").alias("teamId"),
+        .alias("gameTimeMilliseconds"), person.alias("gamePlayerId"),
+        (1 + person).alias("heroId"), (2 + (F.col("ext") * 19 + person) % 2).alias("teamId"),
         F.when((F.col("ext") % 4 == 1) & (k == 51), F.lit("9000")).otherwise(F.col("px").cast("string")).alias("worldX"),
         F.col("py").alias("worldY"))).alias("value"))
 
@@ -51,7 +51,7 @@ def _strict(t: Telemetry) -> DataFrame:
 
 @query("extraction_id:s rows:i invalid_rows:i", """
 SELECT extraction_id, count(*) AS rows, count(*) FILTER (WHERE ext % 4 = 1 AND k IN (50, 51)) AS invalid_rows
-FROM ev WHERE slot < 10 GROUP BY extraction_id""")
+FROM ev GROUP BY extraction_id""")
 def strict_position_rows(t: Telemetry) -> DataFrame:
     return _strict(t).groupBy("extraction_id").agg(
         F.count("*").alias("rows"), F.count(F.when(F.col("invalid"), 1)).alias("invalid_rows"))
@@ -63,8 +63,8 @@ SELECT extraction_id, game_player_id, player_slot FROM candidates WHERE game_pla
 QUALIFY count(*) OVER (PARTITION BY extraction_id, game_player_id) = 1""",
     "judged": """
 SELECT e.*, m.player_slot, (e.ext % 4 = 1 AND e.k IN (50, 51)) OR m.player_slot IS NULL AS rejected,
-  m.player_slot IS NULL OR m.player_slot <> e.slot AS mismatch
-FROM ev e LEFT JOIN mapped m ON m.extraction_id = e.extraction_id AND m.game_player_id = e.slot WHERE e.slot < 10""",
+  m.player_slot IS NULL OR m.player_slot <> e.slot % 10 AS mismatch
+FROM ev e LEFT JOIN mapped m ON m.extraction_id = e.extraction_id AND m.game_player_id = e.slot % 10""",
 }
 
 
@@ -74,11 +74,11 @@ def position_mismatches(t: Telemetry) -> DataFrame:
 
 
 @query("extraction_id:s sequence:i game_time_milliseconds:i player_slot:i hero_id:i team_id:i world_x:d world_y:d", """
-SELECT extraction_id, sequence, t_ms // 100 * 100 AS game_time_milliseconds, player_slot, 1 + slot % 18 AS hero_id, team_id,
-  px AS world_x, py AS world_y FROM judged
+SELECT extraction_id, sequence, t_ms // 100 * 100 AS game_time_milliseconds, player_slot, 1 + slot % 10 AS hero_id,
+  2 + (ext * 19 + slot % 10) % 2 AS team_id, px AS world_x, py AS world_y FROM judged
 WHERE extraction_id NOT IN (SELECT extraction_id FROM judged WHERE rejected)""", _IMPORT)
 def imported_positions(t: Telemetry) -> DataFrame:
-    declared = t.ev.where("slot < 10").groupBy("extraction_id").agg(F.count("*").alias("declared_rows"))
+    declared = t.ev.groupBy("extraction_id").agg(F.count("*").alias("declared_rows"))
     return documents.hero_position_samples(_strict(t), t.metadata_candidates, t.players, declared)
 
 

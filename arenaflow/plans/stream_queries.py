@@ -79,13 +79,14 @@ def closed_window_candidates(t: Telemetry) -> DataFrame:
 @query("window_start:s candidate_count:i known_rank_count:i selected_count:i target:i under_target:b", """
 SELECT strftime(make_timestamp(s * 1000000), '%Y-%m-%dT%H:%M:%S.000Z') AS window_start, coalesce(n, 0) AS candidate_count,
   coalesce(known, 0) AS known_rank_count, coalesce(c, 0) AS selected_count, 6 AS target, coalesce(c, 0) < 6 AS under_target
-FROM (SELECT unnest(generate_series(1704067200 - 7200, 1704067200 + 30 * 86400, 3600)) AS s) hours
+FROM (SELECT unnest(generate_series((SELECT min(hour) - 7200 FROM ranked), (SELECT max(hour) + 3600 FROM ranked), 3600)) AS s) hours
 LEFT JOIN (SELECT hour, count(*) AS n, count(rank) AS known FROM ranked GROUP BY hour) r ON r.hour = s
 LEFT JOIN (SELECT hour, count(*) AS c FROM chosen GROUP BY hour) x ON x.hour = s""", _SAMPLE)
 def window_summaries(t: Telemetry) -> DataFrame:
     found = cut_lineage(_ranked(t))
-    return sampler.window_summary(found, sampler.stratified_select(found, QUOTA), 1704067200 - 7200,
-                                  1704067200 + 30 * 86400, QUOTA)
+    first, last = found.agg(F.min("start_time"), F.max("start_time")).first()
+    first, last = (value // 3600 * 3600 for value in (first, last))
+    return sampler.window_summary(found, sampler.stratified_select(found, QUOTA), first - 7200, last + 3600, QUOTA)
 
 
 # --- streams --------------------------------------------------------------------------------
@@ -222,11 +223,11 @@ _GRID = {
 SELECT extraction_id, t_ms // 5000 AS tick, max(t_ms) AS reached FROM ev GROUP BY extraction_id, t_ms // 5000""",
     "steps": """
 SELECT extraction_id, tick, unnest(generate_series(CASE WHEN before IS NULL THEN 0 ELSE (before // 100 + 1) * 100 END,
-    least(reached, 2000000) // 100 * 100, 100)) AS g
-FROM (SELECT *, max(reached) OVER (PARTITION BY extraction_id ORDER BY tick ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM marks)""",
+    least(reached, 1000 * duration_seconds) // 100 * 100, 100)) AS g
+FROM (SELECT *, max(reached) OVER (PARTITION BY extraction_id ORDER BY tick ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM marks JOIN matches USING (extraction_id))""",
     "changes": """
 SELECT extraction_id, slot, t_ms // 5000 AS tick, arg_max(k, sequence) AS k, arg_max(sequence, sequence) AS s FROM ev
-WHERE slot < 10 GROUP BY extraction_id, slot, t_ms // 5000""",
+GROUP BY extraction_id, slot, t_ms // 5000""",
     "lives": "SELECT extraction_id, slot, min(tick) AS born FROM changes GROUP BY ALL",
     "asked": "SELECT s.extraction_id, l.slot, s.tick, s.g FROM steps s JOIN lives l ON l.extraction_id = s.extraction_id AND s.tick >= l.born",
 }
@@ -238,7 +239,7 @@ def _ticks(t: Telemetry) -> DataFrame:
 
 
 def _grid(t: Telemetry) -> DataFrame:
-    end = t.matches.select("extraction_id", F.lit(2000000).cast("bigint").alias("end_ms"))
+    end = t.matches.select("extraction_id", (F.col("duration_seconds").cast("bigint") * 1000).alias("end_ms"))
     return timelines.sample_grid(_ticks(t), end)
 
 
@@ -252,9 +253,9 @@ def position_grid(t: Telemetry) -> DataFrame:
 SELECT a.extraction_id, a.g AS game_time_milliseconds, a.slot AS game_player_id, 1 + a.slot AS hero_id, 2 + a.slot % 2 AS team_id,
   (64 + c.k) * 128 - 16384 + c.k * 0.5 AS world_x, (c.s % 128 + 64) * 128 - 16384 AS world_y
 FROM asked a ASOF JOIN changes c ON c.extraction_id = a.extraction_id AND c.slot = a.slot AND a.tick >= c.tick
-WHERE c.k % 10 <> 0 AND c.k % 13 <> 1 AND (64 + c.k) * 128 - 16384 + c.k * 0.5 BETWEEN -8288 AND 8288""", _GRID)
+WHERE a.slot < 10 AND c.k % 10 <> 0 AND c.k % 13 <> 1 AND (64 + c.k) * 128 - 16384 + c.k * 0.5 BETWEEN -8288 AND 8288""", _GRID)
 def resampled_positions(t: Telemetry) -> DataFrame:
-    changed = t.ev.where("slot < 10").groupBy(
+    changed = t.ev.groupBy(
         "extraction_id", "slot", F.floor(F.col("t_ms") / 5000).cast("bigint").alias("tick")).agg(
         F.max_by(F.struct("k", F.col("sequence").alias("s")), "sequence").alias("r"))
     k = F.col("r.k")
@@ -266,7 +267,7 @@ def resampled_positions(t: Telemetry) -> DataFrame:
         (k % 13 == 1).alias("illusion"), F.lit(False).alias("clone"), F.lit(False).alias("phantom"),
         F.lit(fixed.INVALID_HANDLE).cast("bigint").alias("replicating_handle"), (64 + k).alias("cell_x"),
         (F.col("r.s") % 128 + 64).alias("cell_y"), (k * 0.5).alias("offset_x"), F.lit(0.0).alias("offset_y"))
-    roster = t.ev.where("slot < 5").select("extraction_id", "slot").distinct().select(
+    roster = t.ev.where("slot % 2 = 0").select("extraction_id", "slot").distinct().select(
         "extraction_id", F.col("slot").cast("int").alias("game_player_id"),
         (1 + F.col("slot")).cast("int").alias("roster_hero_id"), (2 + F.col("slot") % 2).cast("int").alias("roster_team_id"),
         (F.lit(100) + F.col("slot")).alias("selected_handle"))
