@@ -255,11 +255,11 @@ def _mapped_players(candidates: DataFrame, roster: DataFrame) -> DataFrame:
 
 
 def hero_position_samples(strict: DataFrame, candidates: DataFrame, roster: DataFrame,
-                          declared: DataFrame | None = None) -> DataFrame:
+                          declared: DataFrame) -> DataFrame:
     """Imported samples of extractions whose rows are all valid and agree with the roster.
 
-    ``declared`` (``extraction_id, declared_rows``) also requires the imported
-    count to equal the manifest.  A failing row rejects its whole extraction.
+    ``declared`` holds ``extraction_id, declared_rows`` of the manifest, which
+    the imported count must equal.  A failing row rejects its whole extraction.
     """
     mapped = _mapped_players(candidates, roster)
     checked = strict.join(mapped, ["extraction_id", "game_player_id"], "left").withColumn(
@@ -270,9 +270,7 @@ def hero_position_samples(strict: DataFrame, candidates: DataFrame, roster: Data
     )
     accepted = checked.groupBy("extraction_id").agg(
         F.max("rejected").alias("any_rejected"), F.count("*").alias("stored_rows")
-    ).where("NOT any_rejected")
-    if declared is not None:
-        accepted = accepted.join(declared, "extraction_id").where("stored_rows = declared_rows")
+    ).where("NOT any_rejected").join(declared, "extraction_id").where("stored_rows = declared_rows")
     return checked.join(accepted.select("extraction_id"), "extraction_id", "left_semi").select(
         "extraction_id", "sequence", "game_time_milliseconds", "player_slot", "hero_id", "team_id",
         F.col("world_x").cast("float").alias("world_x"), F.col("world_y").cast("float").alias("world_y"),

@@ -11,6 +11,7 @@ from arenaflow.plans.match_queries import bounds
 from arenaflow.plans.registry import query
 from arenaflow.plans.tables import Telemetry
 from arenaflow.schemas import staged_name, table_schema
+from arenaflow.session import scratch_path
 from arenaflow.sources import catalog, manifest, staged
 
 # --- staged rows ----------------------------------------------------------------------------
@@ -33,8 +34,10 @@ def staged_combat_events(t: Telemetry) -> DataFrame:
 def _position_lines(t: Telemetry) -> DataFrame:
     k, person = F.col("k"), F.col("slot") % 10
     milliseconds = (F.floor(F.col("t_ms") / 100) * 100).cast("string")
-    return t.ev.select(F.to_json(F.struct(
-        F.col("extraction_id").alias("extractionId"), F.col("sequence"), F.col("sequence").alias("demoTick"),
+    claimed = F.when((F.col("ext") % 4 == 1) & (k == 52), F.lit("other")).when(
+        (F.col("ext") % 4 != 1) | (k != 53), F.col("extraction_id"))
+    return t.ev.select(F.col("extraction_id").alias(staged.OWNER), F.to_json(F.struct(
+        claimed.alias("extractionId"), F.col("sequence"), F.col("sequence").alias("demoTick"),
         F.when((F.col("ext") % 4 == 1) & (k == 50), F.concat(milliseconds, F.lit(".5"))).otherwise(milliseconds)
         .alias("gameTimeMilliseconds"), person.alias("gamePlayerId"),
         (1 + person).alias("heroId"), (2 + (F.col("ext") * 19 + person) % 2).alias("teamId"),
@@ -46,11 +49,11 @@ def _strict(t: Telemetry) -> DataFrame:
     from arenaflow.schemas import staged_schema
 
     return staged.strict_positions(_position_lines(t).select(
-        F.from_json("value", staged_schema("heroPositions")).alias("r")).select("r.*"))
+        staged.OWNER, F.from_json("value", staged_schema("heroPositions")).alias("r")).select(staged.OWNER, "r.*"))
 
 
 @query("extraction_id:s rows:i invalid_rows:i", """
-SELECT extraction_id, count(*) AS rows, count(*) FILTER (WHERE ext % 4 = 1 AND k IN (50, 51)) AS invalid_rows
+SELECT extraction_id, count(*) AS rows, count(*) FILTER (WHERE ext % 4 = 1 AND k IN (50, 51, 52, 53)) AS invalid_rows
 FROM ev GROUP BY extraction_id""")
 def strict_position_rows(t: Telemetry) -> DataFrame:
     return _strict(t).groupBy("extraction_id").agg(
@@ -62,7 +65,7 @@ _IMPORT = {
 SELECT extraction_id, game_player_id, player_slot FROM candidates WHERE game_player_id BETWEEN 0 AND 9
 QUALIFY count(*) OVER (PARTITION BY extraction_id, game_player_id) = 1""",
     "judged": """
-SELECT e.*, m.player_slot, (e.ext % 4 = 1 AND e.k IN (50, 51)) OR m.player_slot IS NULL AS rejected,
+SELECT e.*, m.player_slot, (e.ext % 4 = 1 AND e.k IN (50, 51, 52, 53)) OR e.ext % 7 = 3 OR m.player_slot IS NULL AS rejected,
   m.player_slot IS NULL OR m.player_slot <> e.slot % 10 AS mismatch
 FROM ev e LEFT JOIN mapped m ON m.extraction_id = e.extraction_id AND m.game_player_id = e.slot % 10""",
 }
@@ -78,7 +81,8 @@ SELECT extraction_id, sequence, t_ms // 100 * 100 AS game_time_milliseconds, pla
   2 + (ext * 19 + slot % 10) % 2 AS team_id, px AS world_x, py AS world_y FROM judged
 WHERE extraction_id NOT IN (SELECT extraction_id FROM judged WHERE rejected)""", _IMPORT)
 def imported_positions(t: Telemetry) -> DataFrame:
-    declared = t.ev.groupBy("extraction_id").agg(F.count("*").alias("declared_rows"))
+    declared = t.ev.groupBy("extraction_id", "ext").agg(
+        (F.count("*") + F.when(F.col("ext") % 7 == 3, 1).otherwise(0)).alias("declared_rows"))
     return documents.hero_position_samples(_strict(t), t.metadata_candidates, t.players, declared)
 
 
@@ -87,19 +91,35 @@ def _probability_lines(t: Telemetry) -> DataFrame:
     index = F.when((F.col("ext") % 4 == 1) & (k == 50), F.concat(F.lit('"'), "sequence", F.lit('"'))).otherwise(
         F.col("sequence").cast("string"))
     mixed = (F.col("ext") % 5 == 2) & (k < 50)
-    return t.ev.where("kind = 'view'").select(F.concat(
-        F.lit('{"extractionId":"'), "extraction_id", F.lit('","sampleIndex":'), index, F.lit(',"gameTimeSeconds":'),
+    claimed = F.when((F.col("ext") % 4 == 3) & (k == 51), F.lit("other")).otherwise(F.col("extraction_id"))
+    return t.ev.where("kind = 'view'").select(F.col("extraction_id").alias(staged.OWNER), F.concat(
+        F.lit('{"extractionId":"'), claimed, F.lit('","sampleIndex":'), index, F.lit(',"gameTimeSeconds":'),
         (F.col("t_ms") / 1000.0).cast("string"), F.lit(',"radiantProbability":'), (k / 100.0).cast("string"),
-        F.lit(',"source":"'), F.when(mixed, fixed.SPECTATOR_UPDATES).otherwise(fixed.GRAPH_HISTORY), F.lit('"}')
-    ).alias("value"))
+        F.lit(',"source":"'), F.when(mixed, fixed.SPECTATOR_UPDATES).otherwise(fixed.GRAPH_HISTORY), F.lit('"'),
+        F.when((F.col("ext") % 4 == 3) & (k == 52), F.lit("")).otherwise(F.lit("}"))).alias("value"))
 
 
 @query("extraction_id:s sample_index:i game_time_seconds:d radiant_probability:d source:s", """
 SELECT extraction_id, sequence AS sample_index, t_ms / 1000.0::DOUBLE AS game_time_seconds, k / 100.0::DOUBLE AS radiant_probability,
   'graph_history' AS source FROM ev WHERE kind = 'view' AND extraction_id NOT IN (
-  SELECT extraction_id FROM ev WHERE kind = 'view' AND ((ext % 4 = 1 AND k = 50) OR ext % 5 = 2))""")
+  SELECT extraction_id FROM ev WHERE kind = 'view' AND ((ext % 4 = 1 AND k = 50) OR (ext % 4 = 3 AND k IN (51, 52)) OR ext % 5 = 2 OR ext % 7 = 3))""")
 def imported_probabilities(t: Telemetry) -> DataFrame:
-    return staged.import_probabilities(staged.probability_objects(_probability_lines(t)))
+    declared = t.ev.groupBy("extraction_id", "ext").agg(
+        (F.count_if(F.col("kind") == "view") + F.when(F.col("ext") % 7 == 3, 1).otherwise(0)).alias("declared_rows"))
+    return staged.import_probabilities(staged.probability_objects(_probability_lines(t)), declared)
+
+
+@query("extraction_id:s events:i sequences:i", """
+SELECT extraction_id, count(*) AS events, sum(sequence) AS sequences FROM combat GROUP BY extraction_id""")
+def published_events(t: Telemetry) -> DataFrame:
+    """Three loads of the log: some extractions, then all under the same label, then all again under another."""
+    warehouse = scratch_path(t.spark, "published")
+    rows = t.ev.select("extraction_id", "ext").distinct().withColumn("status", F.lit("succeeded"))
+    log = {"events": t.combat.select("extraction_id", "sequence", "event_type")}
+    for label, part in (("first", rows.where("ext % 2 = 0")), ("first", rows), ("second", rows)):
+        catalog.publish_extractions(t.spark, warehouse, log, part, label)
+    return catalog.read_published(t.spark, warehouse, "events").groupBy("extraction_id").agg(
+        F.count("*").alias("events"), F.sum("sequence").alias("sequences"))
 
 
 # --- storage policy -------------------------------------------------------------------------

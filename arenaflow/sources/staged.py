@@ -48,11 +48,21 @@ def to_warehouse(staged: DataFrame, logical: str) -> DataFrame:
 # --- strict scans ---------------------------------------------------------------------------
 
 
+#: The extraction whose staged folder holds a row, whatever the row itself says.
+OWNER = "file_extraction_id"
+
+
+def _owner() -> Column:
+    return F.regexp_extract("_metadata.file_path", "([^/]+)/[^/]+$", 1).alias(OWNER)
+
+
 def strict_positions(staged: DataFrame) -> DataFrame:
     """Typed position rows next to their source text and an ``invalid`` flag.
 
-    ``staged`` holds every field as text; the flag is true when the text is not
-    an integer where one is required, or when a value is out of range.
+    ``staged`` holds every field as text and the extraction of its file in
+    ``OWNER``, which a row is charged to; the flag is true when the row names
+    another extraction or none, when the text is not an integer where one is
+    required, or when a value is out of range.
     """
     digits, signed = "^[0-9]+$", "^-?[0-9]+$"
 
@@ -60,7 +70,7 @@ def strict_positions(staged: DataFrame) -> DataFrame:
         return F.col(staged_name("heroPositions", name))
 
     typed = staged.select(
-        text("extraction_id").alias("extraction_id"),
+        F.col(OWNER).alias("extraction_id"), text("extraction_id").alias("claimed"),
         *[text(name).alias(f"source_{name}") for name in
           ("sequence", "demo_tick", "game_time_milliseconds", "game_player_id", "hero_id", "team_id")],
         *[text(name).try_cast("bigint").alias(name) for name in
@@ -76,7 +86,7 @@ def strict_positions(staged: DataFrame) -> DataFrame:
         return ~finite(F.col(name)) | ~F.col(name).between(fixed.WORLD_MINIMUM, fixed.WORLD_MAXIMUM)
 
     invalid = (
-        F.col("extraction_id").isNull()
+        ~F.col("claimed").eqNullSafe(F.col("extraction_id")) | F.col("extraction_id").isNull()
         | bad_integer("sequence") | bad_integer("demo_tick", signed)
         | bad_integer("game_time_milliseconds") | (F.col("game_time_milliseconds") % fixed.SAMPLE_MS != 0)
         | (F.col("game_time_milliseconds") > 4294967295)
@@ -85,20 +95,28 @@ def strict_positions(staged: DataFrame) -> DataFrame:
         | bad_integer("team_id") | ~F.col("team_id").isin(fixed.RADIANT, fixed.DIRE)
         | outside("world_x") | outside("world_y")
     )
-    return typed.withColumn("invalid", F.coalesce(invalid, F.lit(True)))
+    return typed.withColumn("invalid", F.coalesce(invalid, F.lit(True))).drop("claimed")
 
 
 def read_strict_positions(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return strict_positions(spark.read.schema(staged_schema("heroPositions")).option("mode", "FAILFAST").json(path))
+    """Strict rows of staged files ``.../<extraction>/<file>``; a broken line is an invalid row of its file."""
+    rows = spark.read.schema(staged_schema("heroPositions")).option("mode", "PERMISSIVE").json(path)
+    return strict_positions(rows.select("*", _owner()))
+
+
+def read_probability_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Lines of staged files with the extraction of their folder."""
+    return spark.read.text(path).select("value", _owner())
 
 
 def probability_objects(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Probability rows checked by JSON *type*, as text lines of JSON objects.
+    """Probability rows checked by JSON *type*, as text lines of JSON objects with the extraction of their file.
 
-    A quoted number is invalid even though it would cast.  ``invalid`` marks
-    such rows; a NULL never passes.
+    A quoted number is invalid even though it would cast, and so is a row that
+    names another extraction than its file's.  ``invalid`` marks such rows and
+    lines that are no object; a NULL never passes.
     """
-    parsed = lines.select(F.try_parse_json(column).alias("document"))
+    parsed = lines.select(OWNER, F.try_parse_json(column).alias("document"))
 
     def kind(field: str) -> Column:
         return F.schema_of_variant(F.try_variant_get("document", f"$.{field}", "variant"))
@@ -110,7 +128,7 @@ def probability_objects(lines: DataFrame, column: str = "value") -> DataFrame:
     # One-row generator: a later filter on ``invalid`` cannot be pushed through it
     # and parse the document again for every field.
     typed = parsed.select(F.inline(F.array(F.struct(
-        get("extractionId", "string").alias("extraction_id"),
+        F.col(OWNER).alias("extraction_id"), get("extractionId", "string").alias("claimed"),
         get("sampleIndex", "bigint").alias("sample_index"),
         get("gameTimeSeconds", "double").alias("game_time_seconds"),
         get("radiantProbability", "double").alias("radiant_probability"),
@@ -122,27 +140,29 @@ def probability_objects(lines: DataFrame, column: str = "value") -> DataFrame:
         ).alias("typed"),
     ))))
     valid = (
-        F.col("typed")
+        F.col("typed") & (F.col("claimed") == F.col("extraction_id"))
         & F.col("sample_index").between(0, 4294967295)
         & finite(F.col("game_time_seconds")) & (F.col("game_time_seconds") >= 0)
         & finite(F.col("radiant_probability")) & F.col("radiant_probability").between(0.0, 1.0)
         & F.col("source").isin(fixed.GRAPH_HISTORY, fixed.SPECTATOR_UPDATES)
     )
-    return typed.withColumn("invalid", ~F.coalesce(valid, F.lit(False))).drop("typed")
+    return typed.withColumn("invalid", ~F.coalesce(valid, F.lit(False))).drop("typed", "claimed")
 
 
-def import_probabilities(objects: DataFrame) -> DataFrame:
-    """Samples of the extractions whose rows are all valid and share one source.
+def import_probabilities(objects: DataFrame, declared: DataFrame) -> DataFrame:
+    """Samples of the extractions whose rows are all valid, share one source and are as many as declared.
 
-    One bad row rejects the whole extraction, as a load is all or nothing.
+    ``declared`` holds ``extraction_id, declared_rows`` of the manifest.  One bad
+    row rejects the whole extraction, as a load is all or nothing.
     """
     accepted = (
         objects.groupBy("extraction_id")
-        .agg(F.max("invalid").alias("any_invalid"),
+        .agg(F.max("invalid").alias("any_invalid"), F.count(F.lit(1)).alias("stored_rows"),
              F.min("source").alias("lowest"), F.max("source").alias("highest"))
-        .where("extraction_id IS NOT NULL AND NOT any_invalid AND lowest = highest")
+        .join(declared, "extraction_id")
+        .where("NOT any_invalid AND lowest = highest AND stored_rows = declared_rows")
     )
-    return objects.join(accepted, "extraction_id", "left_semi").drop("invalid")
+    return objects.join(accepted.select("extraction_id"), "extraction_id", "left_semi").drop("invalid")
 
 
 # --- storage policy -------------------------------------------------------------------------

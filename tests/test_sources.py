@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,19 +102,47 @@ def test_staged_files_are_verified(spark, tmp_path):
     assert [row.total_records for row in manifest.enforce_limits(parsed).collect()] == [7]
 
 
-def test_publication_is_idempotent_and_commits_last(spark, tmp_path):
+def _attempts(spark, *names):
+    return spark.createDataFrame([(name, "succeeded") for name in names], "extraction_id STRING, status STRING")
+
+
+def _published(spark, warehouse, **only):
+    return sorted(row.n for row in catalog.read_published(spark, warehouse, "facts", **only).collect())
+
+
+def test_publication_is_idempotent_and_keeps_every_load(spark, tmp_path):
     warehouse = str(tmp_path / "w")
     rows = spark.createDataFrame([("e1", 1), ("e1", 2), ("e2", 3)], "extraction_id STRING, n INT")
-    first = spark.createDataFrame([("e1", "succeeded")], "extraction_id STRING, status STRING")
-    assert catalog.publish_extractions(spark, warehouse, {"facts": rows}, first, "b1") == "loaded"
-    assert catalog.publish_extractions(spark, warehouse, {"facts": rows}, first, "b2") == "already_loaded"
-    # A batch that failed before its catalog row leaves nothing visible.
-    rows.where("extraction_id = 'e2'").withColumn("batch", F.lit("b3")).write.mode("append").partitionBy("batch").parquet(
-        f"{warehouse}/facts")
-    assert sorted(row.n for row in catalog.read_published(spark, warehouse, "facts").collect()) == [1, 2]
-    second = spark.createDataFrame([("e2", "succeeded")], "extraction_id STRING, status STRING")
-    assert catalog.publish_extractions(spark, warehouse, {"facts": rows}, second, "b3") == "loaded"
-    assert sorted(row.n for row in catalog.read_published(spark, warehouse, "facts").collect()) == [1, 2, 3]
+    assert catalog.publish_extractions(spark, warehouse, {"facts": rows}, _attempts(spark, "e1"), "b1") == "loaded"
+    assert catalog.publish_extractions(spark, warehouse, {"facts": rows}, _attempts(spark, "e1"), "b2") == "already_loaded"
+    # The same label with a superset adds the new extraction and hides nothing.
+    assert catalog.publish_extractions(spark, warehouse, {"facts": rows}, _attempts(spark, "e1", "e2"), "b1") == "loaded"
+    assert _published(spark, warehouse) == [1, 2, 3]
+    assert _published(spark, warehouse, extraction_id="e1") == [1, 2]
+
+
+def test_a_failed_load_is_recorded_and_can_be_repeated(spark, tmp_path):
+    warehouse = str(tmp_path / "w")
+    rows = spark.createDataFrame([("e1", 1), ("e1", 2)], "extraction_id STRING, n INT")
+    broken = rows.select("extraction_id", F.raise_error(F.lit("no")).alias("m"))
+    with pytest.raises(Exception):
+        catalog.publish_extractions(spark, warehouse, {"facts": rows, "more": broken}, _attempts(spark, "e1"), "b1")
+    kept = spark.read.parquet(f"{warehouse}/catalog/extractions").collect()
+    assert [(row.status, row.error_code is not None) for row in kept] == [("failed", True)]
+    assert _published(spark, warehouse) == []
+    assert catalog.publish_extractions(spark, warehouse, {"facts": rows}, _attempts(spark, "e1"), "b2") == "loaded"
+    assert _published(spark, warehouse) == [1, 2]
+
+
+def test_of_two_loads_at_once_one_counts(spark, tmp_path):
+    warehouse = str(tmp_path / "w")
+    rows = spark.createDataFrame([("e1", 1), ("e1", 2)], "extraction_id STRING, n INT")
+    catalog.publish_extractions(spark, warehouse, {"facts": rows}, _attempts(spark, "e1"), "b1")
+    # As a load that began before the first one had committed would do.
+    catalog.publish_extractions(spark, str(tmp_path / "x"), {"facts": rows}, _attempts(spark, "e1"), "b2")
+    for name in ("facts", "catalog/extractions"):
+        shutil.copytree(tmp_path / "x" / name, tmp_path / "w" / name, dirs_exist_ok=True)
+    assert _published(spark, warehouse) == [1, 2]
 
 
 def test_positions_reject_the_whole_extraction(spark):
@@ -128,13 +157,14 @@ def test_positions_reject_the_whole_extraction(spark):
     from arenaflow.schemas import staged_schema
     schema = staged_schema("heroPositions")
     frame = spark.createDataFrame([tuple(entry[name] for name in schema.fieldNames()) for entry in data], schema)
-    strict = staged.strict_positions(frame)
+    strict = staged.strict_positions(frame.withColumn(staged.OWNER, F.col("extractionId")))
     names = ["good"] + [f"bad{number}" for number in range(len(bad))]
     candidates = spark.createDataFrame([(name, 0, 0, 2) for name in names],
                                        "extraction_id STRING, game_player_id INT, player_slot BIGINT, team_id INT")
     players = spark.createDataFrame([(name, 0, 2, 1) for name in names],
                                     "extraction_id STRING, player_slot BIGINT, team_id INT, hero_id INT")
-    kept = documents.hero_position_samples(strict, candidates, players).collect()
+    declared = strict.groupBy("extraction_id").agg(F.count("*").alias("declared_rows"))
+    kept = documents.hero_position_samples(strict, candidates, players, declared).collect()
     assert [(row.extraction_id, row.world_x) for row in kept] == [("good", 10.5)]
     assert [row.extraction_id for row in documents.position_mismatches(
         strict.where("NOT invalid"), candidates, players).collect()] == ["bad7"]
@@ -146,8 +176,10 @@ def test_probability_types_are_strict(spark):
              good % ("b", '"0"', 0, 1, "graph_history"), good % ("c", 0, 0, 1.5, "graph_history"),
              good % ("d", 0, 0, 1, "graph_history"), good % ("d", 1, 0, 1, "spectator_updates"),
              good % ("e", 0, -1, 1, "graph_history"), good % ("f", 0, 0, 1, "guess"), good % ("g", "1.0", 0, 1, "graph_history")]
-    frame = spark.createDataFrame([(line,) for line in lines] + [("[]",)], "value STRING")
-    kept = staged.import_probabilities(staged.probability_objects(frame)).collect()
+    owner = F.coalesce(F.get_json_object("value", "$.extractionId"), F.lit("h")).alias(staged.OWNER)
+    frame = spark.createDataFrame([(line,) for line in lines] + [("[]",)], "value STRING").select("value", owner)
+    declared = frame.groupBy(F.col(staged.OWNER).alias("extraction_id")).agg(F.count("*").alias("declared_rows"))
+    kept = staged.import_probabilities(staged.probability_objects(frame), declared).collect()
     assert sorted((row.extraction_id, row.sample_index, row.radiant_probability) for row in kept) == [
         ("a", 0, 1.0), ("a", 1, 0.25)]
 
@@ -321,3 +353,27 @@ def test_catalog_order_differs_between_statistics(spark):
     assert (row.stored_matches, row.total_records) == (2, 7)
     status = versions.latest_status(acquisitions, extractions, extractions.limit(0))
     assert {row.match_id: row.status for row in status.collect()} == {1: "failed", 2: "succeeded"}
+
+
+def test_broken_rows_reject_the_extraction_of_their_file(spark, tmp_path):
+    good = '{"extractionId":"%s","sampleIndex":%s,"gameTimeSeconds":0,"radiantProbability":1,"source":"graph_history"}'
+    position = ('{"extractionId":%s,"sequence":"%s","demoTick":"1","gameTimeMilliseconds":"100","gamePlayerId":"0","heroId":"1",'
+                '"teamId":"2","worldX":"1","worldY":"2"}')
+    files = {
+        "a": ([good % ("a", 0), good % ("a", 1)], [position % ('"a"', 1)]),
+        "b": ([good % ("b", 0), '{"extractionId":"b","samp', '{"sampleIndex":1}', '{"extractionId":7}'],
+              [position % ('"b"', 1), position % ("null", 2)]),
+        "c": ([good % ("c", 0), good % ("a", 1)], [position % ('"c"', 1), position % ('"a"', 2)]),
+        "d": ([good % ("d", 0)], [position % ('"d"', 1), "{"]),
+    }
+    for name, (chances, positions) in files.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "probability.ndjson").write_text("".join(f"{line}\n" for line in chances))
+        (tmp_path / name / "positions.ndjson").write_text("".join(f"{line}\n" for line in positions))
+    declared = spark.createDataFrame([("a", 2), ("b", 4), ("c", 2), ("d", 2)], "extraction_id STRING, declared_rows BIGINT")
+    objects = staged.probability_objects(staged.read_probability_lines(spark, f"{tmp_path}/*/probability.ndjson"))
+    kept = staged.import_probabilities(objects, declared).collect()
+    assert sorted((row.extraction_id, row.sample_index) for row in kept) == [("a", 0), ("a", 1)]
+    strict = staged.read_strict_positions(spark, f"{tmp_path}/*/positions.ndjson")
+    assert {(row.extraction_id, row.bad) for row in strict.groupBy("extraction_id").agg(
+        F.max("invalid").alias("bad")).collect()} == {("a", False), ("b", True), ("c", True), ("d", True)}
