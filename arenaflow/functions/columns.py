@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,10 +31,6 @@ def newest_first(*columns: Column) -> Column:
     return F.struct(*[part for column in columns for part in (column.isNotNull(), column)])
 
 
-def row_payload(names: Sequence[str]) -> Column:
-    return F.struct(*[F.col(name) for name in names])
-
-
 def stable_digest(*parts: Column) -> Column:
     """Hex SHA-256 of the parts joined by NUL characters."""
     pieces: list[Column] = []
@@ -47,9 +41,5 @@ def stable_digest(*parts: Column) -> Column:
     return F.sha2(F.concat(*pieces), 256)
 
 
-def equal_or_null(left: Column, right: Column) -> Column:
-    return left.eqNullSafe(right)
-
-
 def count_if(condition: Column) -> Column:
     return F.count(F.when(condition, F.lit(1)))

@@ -270,14 +270,6 @@ def action_order(actions: DataFrame) -> DataFrame:
                          60_000, "action_index")
 
 
-def derive_farming_actions(combat: DataFrame, players: DataFrame, positions: DataFrame, instances: DataFrame,
-                           checkpoints: DataFrame, entity_events: DataFrame, updates: DataFrame) -> DataFrame:
-    """Farming actions of all extractions from the raw tables."""
-    located, creeps, assigned = assigned_damage(
-        combat, players, positions, instances, checkpoints, entity_events, updates)
-    return farming_actions(assigned, located, creeps)
-
-
 def assigned_damage(combat: DataFrame, players: DataFrame, positions: DataFrame, instances: DataFrame,
                     checkpoints: DataFrame, entity_events: DataFrame, updates: DataFrame,
                     radius: float = fixed.CAMP_RADIUS) -> tuple[DataFrame, DataFrame, DataFrame]:

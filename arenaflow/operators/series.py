@@ -62,17 +62,18 @@ def hero_stats(matches: DataFrame, latest: DataFrame, players: DataFrame, drafts
     size = scope.agg(F.count_distinct("match_id").alias("match_count"))
     decided = F.col("winner_team_id").isin(fixed.RADIANT, fixed.DIRE)
 
-    def match_where(condition: Column) -> Column:
-        return F.count_distinct(F.when(condition, F.col("match_id")))
-
-    played = players.where("hero_id > 0").join(scope, "extraction_id").groupBy("hero_id").agg(
-        F.count_distinct("match_id").alias("picks"),
-        match_where(decided & (F.col("team_id") == F.col("winner_team_id"))).alias("wins"),
-        match_where(decided & (F.col("team_id") != F.col("winner_team_id"))).alias("losses"),
-        F.avg("gold_per_min").alias("average_gpm"), F.avg("xp_per_min").alias("average_xpm"),
-    )
-    banned = drafts.where("NOT is_pick").join(scope, "extraction_id").groupBy("hero_id").agg(
-        F.count_distinct("match_id").alias("bans"))
+    # A match counts once however many rows it has: first per hero and match, then per hero.
+    per_match = players.where("hero_id > 0").join(scope, "extraction_id").groupBy("hero_id", "match_id").agg(
+        F.max((decided & (F.col("team_id") == F.col("winner_team_id"))).cast("int")).alias("won"),
+        F.max((decided & (F.col("team_id") != F.col("winner_team_id"))).cast("int")).alias("lost"),
+        *[function(name).alias(f"{label}_{name}") for name in ("gold_per_min", "xp_per_min")
+          for label, function in (("sum", F.sum), ("rows", F.count))])
+    played = per_match.groupBy("hero_id").agg(
+        F.count("match_id").alias("picks"), F.sum("won").alias("wins"), F.sum("lost").alias("losses"),
+        *[(F.sum(f"sum_{name}") / F.nullif(F.sum(f"rows_{name}"), F.lit(0))).alias(average)
+          for name, average in (("gold_per_min", "average_gpm"), ("xp_per_min", "average_xpm"))])
+    banned = drafts.where("NOT is_pick").join(scope, "extraction_id").groupBy("hero_id", "match_id").agg(
+        F.lit(1).alias("once")).groupBy("hero_id").agg(F.count("match_id").alias("bans"))
     # Both sides hold one row per hero and the scope is one row.
     combined = played.join(banned, "hero_id", "full_outer").crossJoin(F.broadcast(size))
 
@@ -103,8 +104,14 @@ def hero_heatmap(positions: DataFrame, start_ms: int, end_ms: int, player_slot:
     The image Y axis points down, so Y is inverted; positions outside the world
     are clamped to the border cells.
     """
-    if start_ms > end_ms:
-        raise ValueError("start time must not be after end time")
+    if not 0 <= start_ms <= end_ms:
+        raise ValueError("times must not be negative, and the start not after the end")
+    if grid < 1:
+        raise ValueError("the grid needs a cell")
+    if team_id is not None and team_id not in (fixed.RADIANT, fixed.DIRE):
+        raise ValueError("unknown team")
+    if player_slot is not None and player_slot < 0:
+        raise ValueError("unknown player slot")
     chosen = positions.where(F.col("game_time_milliseconds").between(start_ms, end_ms))
     if player_slot is not None:
         chosen = chosen.where(F.col("player_slot") == player_slot)

@@ -29,11 +29,6 @@ def latest_successful(extractions: DataFrame) -> DataFrame:
     )
 
 
-def only_latest(table: DataFrame, latest: DataFrame) -> DataFrame:
-    """Rows of the selected extractions."""
-    return table.join(latest.select("extraction_id"), "extraction_id", "left_semi")
-
-
 def _newest(table: DataFrame, time: str, identifier: str, fields: dict[str, str]) -> DataFrame:
     return table.groupBy("match_id").agg(
         F.max_by(

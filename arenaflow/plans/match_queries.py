@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from arenaflow.functions.heroes import pretty_name
 from arenaflow.functions.temporal import asof_lookup, gap_sessions, nearest_lookup
+from arenaflow import fixed_values as fixed
 from arenaflow.operators import damage, farming, fights, lens, quality, series, versions
 from arenaflow.plans import oracle
 from arenaflow.plans.registry import query
@@ -167,9 +168,18 @@ def lens_probability(t: Telemetry) -> DataFrame:
 
 
 @query("extraction_id:s problem:s", """
-SELECT extraction_id, 'mixed sources' AS problem FROM probability GROUP BY extraction_id HAVING count(DISTINCT source) > 1""")
+SELECT * FROM (SELECT extraction_id, unnest([
+  CASE WHEN count(DISTINCT source) > 1 THEN 'mixed sources' END,
+  CASE WHEN bool_or(source = 'guess') THEN 'unknown source' END,
+  CASE WHEN bool_or(radiant_probability > 1) THEN 'value out of range' END]) AS problem
+FROM (SELECT extraction_id, CASE WHEN sample_index % 97 = 5 THEN 'guess' ELSE source END AS source,
+    CASE WHEN sample_index % 89 = 7 THEN 1.5 ELSE radiant_probability END AS radiant_probability FROM probability)
+GROUP BY extraction_id) AS found WHERE problem IS NOT NULL""")
 def win_probability_violations(t: Telemetry) -> DataFrame:
-    return series.win_probability_violations(t.probability)
+    index = F.col("sample_index")
+    return series.win_probability_violations(t.probability.withColumns({
+        "source": F.when(index % 97 == 5, F.lit("guess")).otherwise(F.col("source")),
+        "radiant_probability": F.when(index % 89 == 7, F.lit(1.5)).otherwise(F.col("radiant_probability"))}))
 
 
 @query("extraction_id:s player_slot:i baseline_gold:i final_gold:i rounded_gold_per_minute:i difference:i within_tolerance:b", """
@@ -640,9 +650,27 @@ def creep_facts(t: Telemetry) -> DataFrame:
 
 @query("extraction_id:s entity_instance_id:i problem:s", """
 SELECT c.extraction_id, c.entity_instance_id, 'spawner handle does not resolve exactly once' AS problem FROM creeps c
-WHERE (SELECT count(*) FROM spawners s WHERE s.extraction_id = c.extraction_id AND s.handle = c.spawner_handle) <> 1""")
+WHERE c.entity_instance_id % 9 NOT IN (4, 5)
+  AND (SELECT count(*) FROM spawners s WHERE s.extraction_id = c.extraction_id AND s.handle = c.spawner_handle) <> 1
+UNION ALL SELECT extraction_id, entity_instance_id, ['creep needs exactly one creation', 'creep has several deletions',
+  'creep deletion has no time', 'creep has no creation time', 'creep has the invalid spawner handle',
+  'creep has no spawner handle'][1 + entity_instance_id % 9] FROM creeps WHERE entity_instance_id % 9 < 6
+UNION ALL SELECT extraction_id, sequence, ['spawner needs exactly one creation', 'spawner has several deletions',
+  'spawner deletion has no time'][1 + sequence % 9] FROM spawners WHERE sequence % 9 < 3""")
 def link_violations(t: Telemetry) -> DataFrame:
-    return farming.link_violations(farming.spawner_facts(t.instances, t.checkpoints, t.entity_events), _creeps(t))
+    """Entities whose number decides which rule they break besides the links that do not resolve."""
+    kind = F.col("entity_instance_id") % 9
+
+    def lives(frame: DataFrame) -> DataFrame:
+        return frame.withColumns({
+            "create_count": F.when(kind == 0, 2).otherwise(F.col("create_count")),
+            "delete_count": F.when(kind == 1, 2).when(kind == 2, 1).otherwise(F.col("delete_count")),
+            "deletion_ms": F.when(kind != 2, F.col("deletion_ms"))})
+
+    creeps = lives(_creeps(t)).withColumns({
+        "creation_ms": F.when(kind != 3, F.col("creation_ms")),
+        "spawner_handle": F.when(kind == 4, F.lit(fixed.INVALID_HANDLE)).when(kind != 5, F.col("spawner_handle"))})
+    return farming.link_violations(lives(farming.spawner_facts(t.instances, t.checkpoints, t.entity_events)), creeps)
 
 
 @query("extraction_id:s camp_id:i entity_instance_id:i handle_count:i",
@@ -683,11 +711,29 @@ def farming_actions(t: Telemetry) -> DataFrame:
 
 
 @query("extraction_id:s action_index:i problem:s", """
-SELECT extraction_id, action_index, 'ends before it starts' AS problem FROM actions WHERE end_game_time_ms < start_game_time_ms
-UNION ALL SELECT extraction_id, action_index, 'invalid creep counts' FROM actions
-WHERE initial_creep_count <= 0 OR dead_initial_creep_count > initial_creep_count""", _FARM)
+SELECT extraction_id, action_index, ['wrong definition', 'negative identifier', 'position is not finite', 'ends before it starts',
+  'unknown result', 'no damage events', 'no damage', 'invalid creep counts', 'cleared with live creeps'][1 + n] AS problem
+FROM (SELECT *, (action_index * 7 + player_slot) % 10 AS n FROM actions) WHERE n < 9""", _FARM)
 def action_violations(t: Telemetry) -> DataFrame:
-    return farming.action_violations(_actions(t))
+    """Actions of which nine in ten break one rule each."""
+    kind = (F.col("action_index") * 7 + F.col("player_slot")) % 10
+
+    def broken(name: str, *values: tuple[int, Column]) -> Column:
+        column = F.col(name)
+        for number, value in values:
+            column = F.when(kind == number, value).otherwise(column)
+        return column
+
+    actions = _actions(t)
+    return farming.action_violations(actions.select("extraction_id", "action_index", "player_slot", *[
+        broken(name, *values).alias(name) for name, values in {
+            "definition_name": [(0, F.lit("another"))], "camp_id": [(1, F.lit(-1))],
+            "camp_world_x": [(2, F.lit(float("nan")))], "camp_world_y": [], "start_game_time_ms": [],
+            "end_game_time_ms": [(3, F.col("start_game_time_ms") - 1)],
+            "result": [(4, F.lit("unknown")), (7, F.lit("not_cleared")), (8, F.lit("cleared"))],
+            "damage_event_count": [(5, F.lit(0))], "total_damage": [(6, F.lit(0))],
+            "initial_creep_count": [(7, F.lit(0))], "dead_initial_creep_count": [(7, F.lit(0)), (8, F.lit(0))],
+        }.items()]))
 
 
 @query("match_id:i " + _ACTION, "SELECT m.match_id, a.* FROM actions a JOIN matches m USING (extraction_id)", _FARM)
