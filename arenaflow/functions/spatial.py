@@ -72,8 +72,8 @@ def band_edges(points: DataFrame, group: list[str], gap: float, distance: float)
         (F.col("a.cy") + F.col("dy")).alias("cy"))
     others = cells.select(*group, F.col("a.ct").alias("ct"), F.col("a.cx").alias("cx"), F.col("a.cy").alias("cy"),
                           F.col("a").alias("b"))
-    pairs = _decide(seeking.join(others, [*group, "ct", "cx", "cy"]).drop("ct", "cx", "cy"), gap, distance).select(
-        *group, F.struct("a.member").alias("from"), F.struct("b.member").alias("to"), "a", "b", "always")
+    pairs = cut_lineage(_decide(seeking.join(others, [*group, "ct", "cx", "cy"]).drop("ct", "cx", "cy"), gap, distance).select(
+        *group, F.struct("a.member").alias("from"), F.struct("b.member").alias("to"), "a", "b", "always"))
 
     def decided(frame: DataFrame) -> DataFrame:
         return frame.where("always").select(
@@ -85,10 +85,9 @@ def band_edges(points: DataFrame, group: list[str], gap: float, distance: float)
         unclear = pairs.where("NOT always")
         direct = unclear.where(F.col("a.n") * F.col("b.n") <= DIRECT_PAIRS)
         edges = edges.unionByName(_direct_edges(points, direct, group, gap, distance, level_gap, level_side))
-        crowded = unclear.where(F.col("a.n") * F.col("b.n") > DIRECT_PAIRS)
+        crowded = unclear.where(F.col("a.n") * F.col("b.n") > DIRECT_PAIRS).select(*group, "from", "to", "a", "b")
         if crowded.isEmpty():
             return edges.distinct()
-        crowded = cut_lineage(crowded.select(*group, "from", "to", "a", "b"))
         finer_gap, finer_side = level_gap / 4, level_side / 4
         children = _cells(points, group, finer_gap, finer_side, "child").select(
             *group, F.floor(F.col("child.ct") / 4).cast("bigint").alias("ct"),
@@ -100,7 +99,7 @@ def band_edges(points: DataFrame, group: list[str], gap: float, distance: float)
             return keyed.join(children, [*group, "ct", "cx", "cy"]).drop("ct", "cx", "cy", side_name) \
                 .withColumnRenamed("child", side_name)
 
-        pairs = _decide(split(split(crowded, "a"), "b"), gap, distance)
+        pairs = cut_lineage(_decide(split(split(crowded, "a"), "b"), gap, distance))
         edges = edges.unionByName(decided(pairs))
         level_gap, level_side = finer_gap, finer_side
 

@@ -21,7 +21,7 @@ from arenaflow.functions.ranks import exact_median
 from arenaflow.functions.spatial import band_edges, densest_seed
 from arenaflow.functions.temporal import asof_lookup, cell_number, gap_cells
 from arenaflow.operators.versions import game_clock, marker_availability
-from arenaflow.session import cut_lineage
+from arenaflow.session import cut_lineage, write_once
 
 FIGHT = ["extraction_id", "fight_id"]
 _HERO = "struct<player_slot: bigint, team_id: int>"
@@ -215,7 +215,8 @@ class Fights:
 
     @cached_property
     def events(self) -> DataFrame:
-        return fight_events(self.combat, self.context)
+        """The log once: resolved, narrow rows that anchors, damage, metrics, objectives and availability all read."""
+        return write_once(fight_events(self.combat, self.context), "fight-events")
 
     @cached_property
     def context(self) -> DataFrame:
@@ -225,8 +226,7 @@ class Fights:
 
     @cached_property
     def anchors(self) -> DataFrame:
-        found = cut_lineage(anchor_deaths(self.events))
-        return cut_lineage(group_anchors(cut_lineage(locate_anchors(found, self.positions))))
+        return cut_lineage(group_anchors(cut_lineage(locate_anchors(anchor_deaths(self.events), self.positions))))
 
     @cached_property
     def participants(self) -> DataFrame:
@@ -273,19 +273,19 @@ class Fights:
             cell_number(low, width), cell_number(high, width))))
         timed = self.events.where(finite(F.col("t")) & (F.col("event_type") != fixed.DEATH)).withColumn(
             "minute", cell_number(F.col("t"), width))
-        return timed.join(windows, ["extraction_id", "minute"]).where(
-            (F.col("t") >= low) & (F.col("t") <= high)).drop("minute")
+        return write_once(timed.join(windows, ["extraction_id", "minute"]).where(
+            (F.col("t") >= low) & (F.col("t") <= high)).drop("minute"), "nearby-events")
 
     @cached_property
     def relevant_damage(self) -> DataFrame:
         """Damage between participants of opposite teams; its value does not matter."""
-        return cut_lineage(self.nearby_events.where(
+        return self.nearby_events.where(
             (F.col("event_type") == fixed.DAMAGE) & ~F.col("target_illusion")
             & F.array_contains("slots", F.col("target.player_slot"))
             & F.array_contains("slots", F.col("source.player_slot"))
             & (F.col("target.player_slot") != F.col("source.player_slot"))
             & (F.col("target.team_id") != F.col("source.team_id"))
-        ).select(*FIGHT, "first_death", "last_death", "sequence", "t", "x", "y"))
+        ).select(*FIGHT, "first_death", "last_death", "sequence", "t", "x", "y")
 
     @cached_property
     def intervals(self) -> DataFrame:
@@ -329,7 +329,7 @@ class Fights:
 
     @cached_property
     def map_views(self) -> DataFrame:
-        return cut_lineage(map_view(self.combat_points, FIGHT, ["kind", "t", "sequence"]))
+        return map_view(self.combat_points, FIGHT, ["kind", "t", "sequence"])
 
     @cached_property
     def fights(self) -> DataFrame:

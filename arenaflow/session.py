@@ -22,6 +22,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def write_once(frame: DataFrame, label: str) -> DataFrame:
+    """Write ``frame`` below the shared folder and read it again: columns are pruned and filters pushed when it is reused."""
+    path = scratch_path(frame.sparkSession, label)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def cut_lineage(frame: DataFrame, eager: bool = True) -> DataFrame:
     """Materialise ``frame`` through a reliable checkpoint."""
     spark = frame.sparkSession
