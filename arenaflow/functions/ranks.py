@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPLITS = 64
+#: Times that a range is cut again: rows ordered in one task are about one in SPLITS ** ROUNDS of a group.
+ROUNDS = 2
 
 
 def exact_order_statistics(
@@ -20,39 +22,39 @@ def exact_order_statistics(
 
     ``positions`` maps an output name to a position expressed over the column
     ``n`` (the group's row count).  Equal values are counted first; a bounded
-    quantile sketch then cuts each group into ranges, and only rows of the range
-    that holds a wanted position are ordered.
+    quantile sketch then cuts each group into ranges, the range that holds a
+    wanted position is cut again, and only the rows left are ordered.
     """
     counted = frame.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__count"))
+    sizes = counted.groupBy(*keys).agg(F.sum("__count").alias("n"))
+    wanted = sizes.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(name).alias("__name"), positions[name].cast("bigint").alias("__position")) for name in positions
+    ])).alias("want")).select(*keys, "want.*")
+    rows, wanted = _narrowed(counted, wanted, list(keys), value)
+    for _ in range(ROUNDS - 1):
+        rows, wanted = _narrowed(rows, wanted, [*keys, "__name"], value)
+    inside = Window.partitionBy(*keys, "__name").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    found = rows.join(wanted, [*keys, "__name"]).withColumn(
+        "__from", F.coalesce(F.sum("__count").over(inside), F.lit(0))).where(
+        (F.col("__position") >= F.col("__from")) & (F.col("__position") < F.col("__from") + F.col("__count")))
+    return found.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("__name") == name, F.col(value))).alias(name) for name in positions])
+
+
+def _narrowed(rows: DataFrame, wanted: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of the range that holds each wanted position, by name, and the positions counted from its start."""
     fractions = F.array(*[F.lit(step / SPLITS) for step in range(1, SPLITS)])
-    shape = counted.groupBy(*keys).agg(
-        F.sum("__count").alias("n"),
-        F.percentile_approx(value, fractions, F.lit(1000)).alias("__splits"),
-    )
-    ranged = counted.join(shape.select(*keys, "__splits"), list(keys)).withColumn(
-        "__range", F.size(F.filter("__splits", lambda split: split < F.col(value)))
-    ).drop("__splits")
+    splits = rows.groupBy(*keys).agg(F.percentile_approx(value, fractions, F.lit(1000)).alias("__splits"))
+    ranged = rows.join(splits, keys).withColumn(
+        "__range", F.size(F.filter("__splits", lambda split: split < F.col(value)))).drop("__splits")
     order = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = (
-        ranged.groupBy(*keys, "__range").agg(F.sum("__count").alias("__size"))
-        .withColumn("__before", F.coalesce(F.sum("__size").over(order), F.lit(0)))
-    )
-    names = list(positions)
-    wanted = shape.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(name).alias("name"), positions[name].cast("bigint").alias("position")) for name in names
-    ])).alias("want")).select(*keys, "want.*")
-    located = wanted.join(ranges, list(keys)).where(
-        (F.col("position") >= F.col("__before")) & (F.col("position") < F.col("__before") + F.col("__size"))
-    )
-    inside = Window.partitionBy(*keys, "name").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    candidates = (
-        ranged.join(located, [*keys, "__range"])
-        .withColumn("__from", F.col("__before") + F.coalesce(F.sum("__count").over(inside), F.lit(0)))
-        .where((F.col("position") >= F.col("__from")) & (F.col("position") < F.col("__from") + F.col("__count")))
-    )
-    return candidates.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("name") == name, F.col(value))).alias(name) for name in names]
-    )
+    ranges = ranged.groupBy(*keys, "__range").agg(F.sum("__count").alias("__size")).withColumn(
+        "__before", F.coalesce(F.sum("__size").over(order), F.lit(0)))
+    located = wanted.join(ranges, keys).where(
+        (F.col("__position") >= F.col("__before")) & (F.col("__position") < F.col("__before") + F.col("__size")))
+    names = [name for name in wanted.columns if name != "__position"]
+    kept = ranged.join(located.select(*names, "__range"), [*keys, "__range"]).select(*names, value, "__count")
+    return kept, located.select(*names, (F.col("__position") - F.col("__before")).alias("__position"))
 
 
 def exact_median(frame: DataFrame, keys: Sequence[str], value: str, output: str) -> DataFrame:

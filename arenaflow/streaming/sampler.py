@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -188,19 +189,17 @@ class WindowSampler:
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         stamped = batch.withColumn("batch_id", F.lit(batch_id)).withColumn("day", self._day(F.col("start_time")))
-        stamped.write.mode("overwrite").partitionBy("day").parquet(f"{self.folder}/candidates/batch={batch_id}")
-        stored = spark.read.schema(stamped.schema).parquet(f"{self.folder}/candidates").where(
-            F.col("batch_id") <= batch_id)
+        stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch_id").parquet(
+            f"{self.folder}/candidates")
         before = self._newest_before(spark, batch_id)
-        arrived = stored.where(F.col("batch_id") == batch_id).agg(F.max("start_time")).first()[0]
+        arrived = batch.agg(F.max("start_time")).first()[0]
         newest = max((time for time in (before, arrived) if time is not None), default=None)
         if newest is None:
             return
-        spark.createDataFrame([(batch_id, newest)], "batch_id INT, newest BIGINT").write.mode("overwrite").parquet(
+        spark.createDataFrame([(newest,)], "newest BIGINT").write.mode("overwrite").parquet(
             f"{self.folder}/progress/batch={batch_id}")
-        if before is not None:
-            settled = before - self.delay * 60
-            stored = stored.where(F.col("day") >= (settled - 3600) // 86400)
+        settled = None if before is None else before - self.delay * 60
+        stored = self._stored(spark, stamped.schema, batch_id, settled, newest)
         single = dedupe_candidates(stored.drop("day"), ["batch_id", "start_time", "match_id"]).withColumn(
             "window_seconds", F.floor(F.col("start_time") / 3600) * 3600)
         closed = closed_windows(single, F.lit(newest), self.delay)
@@ -214,13 +213,27 @@ class WindowSampler:
     def _day(start_time: Column) -> Column:
         return F.floor(start_time / 86400).cast("bigint")
 
+    def _stored(self, spark, schema, batch_id: int, settled: int | None, newest: int) -> DataFrame:
+        """Candidates of the days that can hold open windows, up to this batch; no other folder is listed."""
+        days = "*"
+        if settled is not None:
+            days = "{" + ",".join(str(day) for day in range((settled - 3600) // 86400, newest // 86400 + 1)) + "}"
+        rows = _read(spark, schema, f"{self.folder}/candidates/day={days}", f"{self.folder}/candidates")
+        return rows.where(F.col("batch_id") <= batch_id)
+
     def _newest_before(self, spark, batch_id: int) -> int | None:
-        """Newest start time of earlier batches; one small row per batch is read."""
-        try:
-            progress = spark.read.schema("batch_id INT, newest BIGINT").option(
-                "recursiveFileLookup", "true").parquet(f"{self.folder}/progress")
-        except Exception as problem:  # no batch has finished yet
-            if "PATH_NOT_FOUND" not in str(problem):
-                raise
+        """Newest start time up to the batch before: one row in that batch's folder."""
+        if batch_id == 0:
             return None
-        return progress.where(F.col("batch_id") < batch_id).agg(F.max("newest")).first()[0]
+        return _read(spark, "newest BIGINT", f"{self.folder}/progress/batch={batch_id - 1}").agg(F.max("newest")).first()[0]
+
+
+def _read(spark, schema, path: str, base: str | None = None) -> DataFrame:
+    """Rows below a path, none where it does not exist yet."""
+    reader = spark.read.schema(schema)
+    try:
+        return (reader.option("basePath", base) if base else reader).parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
