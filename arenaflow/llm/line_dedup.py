@@ -9,9 +9,11 @@ often as their similarity to that power.  Bands bring lines together, the exact
 Jaccard similarity of their shingle sets decides, and distributed union-find
 keeps the first line of every component.
 
-Within a band value each line meets two others, the ones with the smallest and
-the largest number, not every other: lines of one component need only be
-connected.  Equal lines are one line from the start.
+Within a band value each line first meets two others, the ones with the smallest
+and the largest number.  Where that leaves several components, rounds follow in
+which ever more members (``LEADERS`` times as many each time) meet the rest, until
+every two lines of a band value have been compared or are connected: lines of one
+component are not compared again.  Equal lines are one line from the start.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ SIMILARITY = 0.8
 BANDS = 6
 VALUES = 3
 FEW_WORDS = 8
+LEADERS = 8
+CHUNK = 4096
 
 
 def _bound(value: str, name: str, body: str) -> str:
@@ -101,15 +105,57 @@ def line_groups(lines: DataFrame, size: int = SHINGLE, least: float = SIMILARITY
         buckets, "id").option("path", scratch_path(spark, "lines")).saveAsTable(name)
     unique = spark.table(name)
     met = stored(unique.select("id", F.explode(band_keys("line", size)).alias("key")), "bands")
-    shared = met.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    pairs = met.join(shared, "key").select("id", F.explode(F.array("first", "last")).alias("other")).where(
-        "id <> other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-    # Few pairs fall into a bucket, so they are hashed there and the lines stream past unsorted.
-    known = pairs.hint("shuffle_hash").join(unique.select(F.col("id").alias("a"), F.col("line").alias("left")), "a").hint(
-        "shuffle_hash").join(unique.select(F.col("id").alias("b"), F.col("line").alias("right")), "b")
-    found = stored(known.where(similarity("left", "right", size) >= least).select("a", "b"), "line-links")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        # Few pairs fall into a bucket, so they are hashed there and the lines stream past unsorted.
+        known = pairs.hint("shuffle_hash").join(
+            unique.select(F.col("id").alias("a"), F.col("line").alias("left")), "a").hint("shuffle_hash").join(
+            unique.select(F.col("id").alias("b"), F.col("line").alias("right")), "b")
+        return stored(known.where(similarity("left", "right", size) >= least).select("a", "b"), "line-links")
+
+    shared = met.groupBy("key").agg(
+        F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("size")).where("first < last")
+    found = linked(met.join(shared, "key").select("id", F.explode(F.array("first", "last")).alias("other")).where(
+        "id <> other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
+    # With three members or fewer, every pair has the first or the last in it.  Turns follow the line's number alone, so
+    # that band values of the same lines have the same leaders and ask for the same pairs.
+    inner = met.join(shared.where("size > 3"), "key").where("id <> first AND id <> last").select(
+        "key", "id", "size", F.expr("(pmod(xxhash64(id), 1073741824L) * size) div 1073741824L").alias("turn"))
+    groups = components(found)
+    low, high = 0, LEADERS
+    while True:
+        inner = _unsettled(inner.where(F.col("size") > low), groups)
+        if inner.isEmpty():
+            break
+        found = found.unionAll(linked(_led_pairs(inner, low, high)))
+        groups = components(found)
+        low, high = high, high * LEADERS
     spark.sql(f"DROP TABLE {name}")
-    return components(found)
+    return groups
+
+
+def _unsettled(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """Members of the band values that still hold lines of several components, with the component as ``label``."""
+    labelled = members.select("key", "id", "size", "turn").join(
+        groups, F.col("id") == F.col("vertex"), "left").select(
+        "key", "id", "size", "turn", F.coalesce("root", "id").alias("label"))
+    several = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    return stored(labelled.join(several.select("key"), "key", "left_semi"), "open-bands")
+
+
+def _led_pairs(members: DataFrame, low: int, high: int) -> DataFrame:
+    """Pairs of members of two components whose earlier one has a turn from ``low`` to below ``high``.
+
+    Large band values are cut into chunks, and leaders meet every chunk.
+    """
+    chunks = F.ceil(F.col("size") / F.lit(CHUNK)).cast("long")
+    met = members.select("key", "id", "turn", "label", F.pmod(F.xxhash64("id"), chunks).alias("chunk"))
+    leaders = members.where(F.col("turn").between(low, high - 1)).select(
+        "key", F.col("id").alias("leader"), F.col("turn").alias("led"), F.col("label").alias("lead_label"),
+        F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk"))
+    later = (F.col("turn") > F.col("led")) | (F.col("turn") == F.col("led")) & (F.col("id") > F.col("leader"))
+    return met.join(leaders, ["key", "chunk"]).where(later & (F.col("label") != F.col("lead_label"))).select(
+        F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
 
 
 def mark_lines(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE,

@@ -179,6 +179,29 @@ def test_fuzzy_lines(spark):
     assert "Python" not in line_dedup.mark_lines(frame)._jdf.queryExecution().toString()
 
 
+def _same_line(spark, pairs):
+    """Which pairs of lines end in one component."""
+    lines = sorted({line for pair in pairs for line in pair})
+    frame = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    kept = {lines[row["doc_id"]]: row["kept_doc_id"] for row in line_dedup.mark_lines(frame).collect()}
+    return [kept[one] == kept[two] for one, two in pairs]
+
+
+def test_fuzzy_lines_of_mixed_band_values(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    # All lines share one band value, whatever they resemble.
+    monkeypatch.setattr(line_dedup, "band_keys", lambda *given: F.array(F.lit(1).cast("long")))
+    monkeypatch.setattr(line_dedup, "CHUNK", 16)
+    draw = random.Random(3)
+    pairs = []
+    for _ in range(40):
+        line = " ".join("".join(draw.choices("aeiounst", k=6)) for _ in range(20))
+        pairs.append((line, line + " x"))
+    assert all(_same_line(spark, pairs))
+    assert not any(_same_line(spark, [(one[0], two[0]) for one, two in zip(pairs, pairs[1:])]))
+
+
 def test_mixing_scores(spark):
     draw = random.Random(9)
     syllables = ["the", "an", "on", "ing", "ed", "st", "re"]
