@@ -1,9 +1,7 @@
 """Fuzzy line dedup by MinHash, with DataFrame and SQL functions only.
 
-A line's shingles are its runs of ``SHINGLE`` characters, lower-cased.  Signatures
-take those that start at words (blanks left out), which are a sample that moves
-with the text; lines of fewer than ``FEW_WORDS`` words, such as those of scripts
-without blanks, take all.  The hashes are sorted once; every band starts at a point of its own in the ring of
+A line's shingles are its runs of ``SHINGLE`` characters, lower-cased.  The
+hashes of all of them are sorted once; every band starts at a point of its own in the ring of
 hashes and takes the ``VALUES`` next ones, which are equal in two lines about as
 often as their similarity to that power.  Bands bring lines together, the exact
 Jaccard similarity of their shingle sets decides, and distributed union-find
@@ -31,7 +29,6 @@ SHINGLE = 8
 SIMILARITY = 0.8
 BANDS = 6
 VALUES = 3
-FEW_WORDS = 8
 LEADERS = 8
 CHUNK = 4096
 
@@ -48,14 +45,6 @@ def _shingles(line: str, size: int) -> str:
                   f"at -> xxhash64(substring(units, at, {2 * size})))")
 
 
-def _signed_shingles(line: str, size: int) -> str:
-    """Hashes of the shingles that a signature is made of."""
-    words = "concat(word, coalesce(get(words, at + 1), ''), coalesce(get(words, at + 2), ''))"
-    return _bound(f"split({line}, ' ')", "words",
-                  f"if(size(words) >= {FEW_WORDS}, transform(words, (word, at) -> xxhash64(substring({words}, 1, {size}))), "
-                  f"{_shingles(line, size)})")
-
-
 def band_keys(line: str = "line", size: int = SHINGLE, bands: int = BANDS, values: int = VALUES) -> Column:
     """One key for each band of MinHash values of a line."""
     jumps = ", ".join(str(1 << power) for power in range(30, -1, -1))
@@ -69,7 +58,7 @@ def band_keys(line: str = "line", size: int = SHINGLE, bands: int = BANDS, value
 
     keys = ", ".join(map(key, range(bands)))
     return F.expr(_bound(
-        f"sort_array({_signed_shingles(line, size)})", "hashes", _bound("size(hashes)", "count", _bound(
+        f"sort_array(array_distinct({_shingles(line, size)}))", "hashes", _bound("size(hashes)", "count", _bound(
             f"filter(array({jumps}), jump -> jump <= count)", "jumps", f"array({keys})"))))
 
 

@@ -202,6 +202,16 @@ def test_fuzzy_lines_of_mixed_band_values(spark, monkeypatch):
     assert not any(_same_line(spark, [(one[0], two[0]) for one, two in zip(pairs, pairs[1:])]))
 
 
+def test_fuzzy_lines_of_seven_and_eight_words(spark):
+    draw = random.Random(5)
+    pairs = [("ab " * 30 + "ab", "ab " * 43 + "ab")]
+    for _ in range(10):
+        words = ["".join(draw.choices("aeiounst", k=18)) for _ in range(7)]
+        pairs += [(" ".join(words), "a " + " ".join(words)), (" ".join(words[:6]), " ".join(words[:5]) + "  " + words[5]),
+                  ("x" + " ".join(words), " ".join([*words, "y"]))]
+    assert all(_same_line(spark, pairs))
+
+
 def test_mixing_scores(spark):
     draw = random.Random(9)
     syllables = ["the", "an", "on", "ing", "ed", "st", "re"]
