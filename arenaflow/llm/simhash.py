@@ -9,6 +9,9 @@ overflowed are abandoned.
 A block gives a spanning forest of its links, never all pairs: members already
 known to be connected are not compared again.  Blocks above ``BLOCK`` members
 are cut into chunks that meet pairwise in tasks of their own.
+
+Where texts decide, fingerprints only name candidates: pairs are verified by
+their shingle sets, and blocks go on past pairs that fail.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from arenaflow.llm.frames import partitions, stored, texts_of, with_columns
 SEED = 42
 BLOCK = 4096
 SMALL = 32
+PAIRWISE = 256
 QUERIES_AT_ONCE = 64
 PLANES_AT_ONCE = 12
 _ROWS_AT_ONCE = 1 << 14
@@ -45,16 +49,23 @@ def _bit_counts(hashes: np.ndarray) -> np.ndarray:
     return counts
 
 
-def fingerprint(text: str, size: int = 3, width: int = 1) -> list[int]:
-    """``width`` unsigned 64-bit words; the first is the SimHash of XXH64, the others of hashes mixed from it."""
+def _shingle_hashes(text: str, size: int) -> np.ndarray:
+    """XXH64 of the shingles of a text, eight bytes in a row; a shorter text is one shingle."""
     from xxhash import xxh64_digest
 
     words = text.encode().lower().split()
     if not words:
-        return [0] * width
+        return np.empty((0, 8), np.uint8)
     shingles = [b" ".join(words)] if len(words) < size else map(
         b" ".join, zip(*(words[at:] for at in range(size))))
-    hashes = np.frombuffer(b"".join(map(xxh64_digest, shingles, repeat(SEED))), np.uint8).reshape(-1, 8)
+    return np.frombuffer(b"".join(map(xxh64_digest, shingles, repeat(SEED))), np.uint8).reshape(-1, 8)
+
+
+def fingerprint(text: str, size: int = 3, width: int = 1) -> list[int]:
+    """``width`` unsigned 64-bit words; the first is the SimHash of XXH64, the others of hashes mixed from it."""
+    hashes = _shingle_hashes(text, size)
+    if not len(hashes):
+        return [0] * width
     found = []
     for word in range(width):
         if word:
@@ -256,13 +267,32 @@ def _small_links(node: np.ndarray, words: np.ndarray, starts: np.ndarray, sizes:
                 yield one, two
 
 
+def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole blocks from batches in the order of their first column."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        block = batch.column(0).to_numpy()
+        last = int(np.flatnonzero(block == block[-1])[0]) if block[0] != block[-1] else 0
+        if last or (held and held[-1].column(0)[-1].as_py() != block[0]):
+            if last == 0:
+                yield pa.Table.from_batches(held)
+                held = [batch]
+                continue
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = [batch.slice(last)]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _links(batches: Iterator[pa.RecordBatch], radius: int, width: int) -> Iterator[pa.RecordBatch]:
-    """Links of blocks that come in order, each whole; a block never exceeds two chunks."""
-    held: list[pa.RecordBatch] = []
-
+    """Links of blocks that come in order; a block never exceeds two chunks."""
     def solve(table: pa.Table) -> pa.RecordBatch:
         block = table.column(0).to_numpy()
         node = table.column(1).to_numpy()
@@ -276,22 +306,8 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int, width: int) -> Iterat
         found = np.array(pairs, dtype=np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(node[found[:, 0]]), pa.array(node[found[:, 1]])], schema=_EDGES)
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        block = batch.column(0).to_numpy()
-        last = int(np.flatnonzero(block == block[-1])[0]) if block[0] != block[-1] else 0
-        if last or (held and held[-1].column(0)[-1].as_py() != block[0]):
-            if last == 0:
-                yield solve(pa.Table.from_batches(held))
-                held = [batch]
-                continue
-            yield solve(pa.Table.from_batches([*held, batch.slice(0, last)]))
-            held = [batch.slice(last)]
-        else:
-            held.append(batch)
-    if held:
-        yield solve(pa.Table.from_batches(held))
+    for table in _whole_blocks(batches):
+        yield solve(table)
 
 
 def link(prints: DataFrame, radius: int, masks: list[list[int]], width: int = 1) -> DataFrame:
@@ -301,6 +317,124 @@ def link(prints: DataFrame, radius: int, masks: list[list[int]], width: int = 1)
     return dealt.mapInArrow(lambda batches: _links(batches, radius, width), "a long, b long")
 
 
+# candidates and their verification
+
+_CANDIDATES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("done", pa.int64())])
+
+
+def _led_pairs(words: np.ndarray, node: np.ndarray, label: np.ndarray, radius: int, done: int, budget: float,
+               ) -> tuple[list[np.ndarray], int]:
+    """Pairs of a block within ``radius`` and of two labels, led by ever more members from number ``done`` on.
+
+    Stops after the leaders that bring more than ``budget`` pairs a member; the
+    second value is the number of leaders done.
+    """
+    order = np.argsort(node * np.int64(_GOLDEN >> 1), kind="stable")
+    node, label, planes = node[order], label[order], Planes(words[order])
+    count, found, total, step = len(node), [], 0, 1
+    while done < count and total <= budget * count:
+        upto = min(count, done + step)
+        open_ = np.zeros(len(planes.planes[0]) * 64, np.uint8)
+        open_[done + 1:count] = 1
+        leaders = np.arange(done, upto)
+        row, member = planes.within(leaders, radius, np.packbits(open_, bitorder="little").view(np.uint64))
+        leader = leaders[row]
+        good = (member > leader) & (label[leader] != label[member])
+        found.append(np.stack([node[leader[good]], node[member[good]]], axis=1))
+        total += int(good.sum())
+        done, step = upto, min(2 * step, QUERIES_AT_ONCE)
+    return found, done
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], radius: int, width: int, budget: float) -> Iterator[pa.RecordBatch]:
+    """Pairs within ``radius`` (``done`` -1), and blocks left unfinished with the number of their leaders done."""
+    for table in _whole_blocks(batches):
+        block, node, label, done = (table.column(at).to_numpy() for at in range(4))
+        words = np.stack([table.column(4 + word).to_numpy() for word in range(width)], axis=1).view(np.uint64)
+        starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        sizes = np.diff(np.append(starts, len(block)))
+        number = np.repeat(np.arange(len(starts)), sizes)
+        small = sizes <= PAIRWISE
+        rows = np.flatnonzero(small[number])
+        left, right = [], []
+        for step in range(1, int(sizes[small].max(initial=1))):
+            one = np.flatnonzero(number[rows[step:]] == number[rows[:-step]])
+            one, two = rows[one], rows[one + step]
+            close = (np.bitwise_count(words[one] ^ words[two]).sum(axis=1) <= radius) & (label[one] != label[two])
+            left.append(one[close])
+            right.append(two[close])
+        left, right = (np.concatenate([*side, np.empty(0, np.int64)]).astype(np.int64) for side in (left, right))
+        # A block of many links is led by few members first, so that a group is no square of its size.
+        crowded = ~small | (np.bincount(number[left], minlength=len(sizes)) > SMALL * sizes / 2)
+        kept = ~crowded[number[left]]
+        found, open_ = [np.stack([node[left[kept]], node[right[kept]]], axis=1)], []
+        for start, size in zip(starts[crowded], sizes[crowded]):
+            whole = slice(start, start + size)
+            pairs, upto = _led_pairs(words[whole], node[whole], label[whole], radius, int(done[start]), budget)
+            found += pairs
+            if upto < size:
+                open_.append((block[start], upto))
+        pairs, left_open = np.concatenate(found), np.array(open_, dtype=np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.concatenate([pairs[:, 0], left_open[:, 0]])),
+            pa.array(np.concatenate([pairs[:, 1], np.zeros(len(left_open), np.int64)])),
+            pa.array(np.concatenate([np.full(len(pairs), -1), left_open[:, 1]]))], schema=_CANDIDATES)
+
+
+def _resemble(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sorted shingle sets have this Jaccard similarity or more."""
+    for batch in batches:
+        kept = np.zeros(batch.num_rows, bool)
+        for at, (one, two) in enumerate(zip(batch.column(2), batch.column(3))):
+            one, two = one.values.to_numpy(), two.values.to_numpy()
+            if min(len(one), len(two)) < least * max(len(one), len(two)):
+                continue
+            both = len(np.intersect1d(one, two, assume_unique=True))
+            kept[at] = both >= least * (len(one) + len(two) - both)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=_EDGES).filter(pa.array(kept))
+
+
+def _verified(pairs: DataFrame, documents: DataFrame, keys: DataFrame, text: str, size: int, least: float) -> DataFrame:
+    """The pairs whose texts resemble each other; ``keys`` names a document (``_key``) for each node."""
+    def start():
+        return lambda batch: [[np.unique(_shingle_hashes(value, size).view(np.int64)) for value in texts_of(batch, text)]]
+
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(keys, "node")
+    texts = documents.join(asked, "_key").select("node", text).dropDuplicates(["node"])
+    sets = stored(with_columns(texts, [T.StructField("_set", T.ArrayType(T.LongType()))], start, text).select(
+        "node", "_set"), "shingle-sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("_set").alias("one")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("_set").alias("two")), "b").select("a", "b", "one", "two")
+    return stored(both.mapInArrow(lambda batches: _resemble(batches, least), "a long, b long"), "verified-links")
+
+
+def _verified_groups(nodes: DataFrame, radius: int, masks: list[list[int]], width: int, verify) -> DataFrame:
+    """``vertex, root`` by the pairs within ``radius`` that ``verify`` confirms.
+
+    Every pair of a block is verified or already connected by confirmed ones: a
+    block stops at its budget of pairs and goes on in the next round, with a
+    larger budget and without the pairs of one component.
+    """
+    names = _word_names(width)
+    spark = nodes.sparkSession
+    blocks = _blocks(nodes, masks, width)
+    members = blocks.select("block", "node", F.col("node").alias("label"), F.lit(0).cast("long").alias("done"), *names)
+    found, budget = None, 0.5
+    while True:
+        dealt = members.repartition(partitions(spark), "block").sortWithinPartitions("block")
+        made = stored(dealt.mapInArrow(lambda batches, limit=budget: _candidates(batches, radius, width, limit),
+                                       "a long, b long, done long"), "candidates")
+        links = verify(made.where("done < 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        found = links if found is None else found.unionAll(links)
+        groups = components(found)
+        open_ = made.where("done >= 0").select(F.col("a").alias("block"), "done")
+        if open_.isEmpty():
+            return groups
+        members = blocks.join(open_, "block").join(groups, F.col("node") == F.col("vertex"), "left").select(
+            "block", "node", F.coalesce("root", "node").alias("label"), "done", *names)
+        budget *= 8
+
+
 # whole operators
 
 def _first_ids(prints: DataFrame, links: DataFrame, doc_id: str) -> DataFrame:
@@ -336,22 +470,27 @@ def deduplicate(documents: DataFrame, text: str = "text", doc_id: str = "doc_id"
                 similarity: float = 0.8, width: int = 4) -> DataFrame:
     """Documents without those that resemble one with a smaller id, directly or through others.
 
-    Fingerprints have ``width`` words; two are linked when they differ in no
-    more bits than shingle sets of this similarity do on average, with one
-    standard deviation in favour of finding them.  Of rows with the same id, or
-    none, one stays by its text.  All columns of the input are kept.
+    Two resemble each other when the Jaccard similarity of their shingle sets is
+    ``similarity`` or more.  Candidates are fingerprints of ``width`` words that
+    differ in no more bits than such sets do on average plus three standard
+    deviations.  Of rows with the same id, or none, one stays by its text.  All
+    columns of the input are kept.
     """
     share = differing_share(similarity)
     bits = 64 * width
-    radius = math.floor(bits * share + math.sqrt(bits * share * (1 - share)))
+    radius = math.floor(bits * share + 3 * math.sqrt(bits * share * (1 - share)))
     names = _word_names(width)
     key = F.xxhash64(doc_id, text).alias("_key")
     prints = stored(with_fingerprints(documents.select(doc_id, text), text, size, width).select(
         doc_id, key, F.xxhash64(*names).alias("node"), *names), "wide-fingerprints")
     nodes = stored(prints.select("node", *names).distinct(), "nodes")
-    links = link(nodes, radius, sampled_masks(width, share, nodes.count()), width)
+    keys = prints.groupBy("node").agg(F.min("_key").alias("_key"))
+    keyed = documents.select(key, text)
+    groups = _verified_groups(
+        nodes, radius, sampled_masks(width, radius / bits, nodes.count(), per_block=64), width,
+        lambda pairs: _verified(pairs, keyed, keys, text, size, similarity))
     labelled = prints.select(doc_id, "_key", "node").join(
-        components(links), F.col("node") == F.col("vertex"), "left").select(
+        groups, F.col("node") == F.col("vertex"), "left").select(
         doc_id, "_key", F.coalesce("root", "node").alias("root"))
     first = labelled.groupBy("root").agg(F.min(F.struct(
         F.col(doc_id).isNull().alias("unnamed"), F.col(doc_id).alias("id"), "_key")).alias("first"))

@@ -108,6 +108,57 @@ def test_large_blocks_meet_in_chunks(spark, monkeypatch):
     assert len(set(found.values())) == len(set(wanted.values()))
 
 
+def _jaccard(one, two):
+    first, second = ({tuple(words[at:at + 5]) for at in range(len(words) - 4)} for words in (one.split(), two.split()))
+    return len(first & second) / len(first | second)
+
+
+def _changed(draw, text, similarity):
+    """A copy with words exchanged from the front until its similarity is at most this, and the similarity before the last."""
+    words, at, last = text.split(), 2, text
+    while True:
+        words[at] = "".join(draw.choices("xyz", k=8))
+        if _jaccard(text, " ".join(words)) < similarity:
+            return last, " ".join(words)
+        last, at = " ".join(words), at + 1
+
+
+def test_near_copies_are_verified(spark):
+    draw = random.Random(12)
+    texts, near, apart = [], [], []
+    for _ in range(40):
+        base = " ".join("".join(draw.choices("aeiounst", k=6)) for _ in range(200))
+        at = len(texts)
+        if len(near) < 20:
+            texts += [base, _changed(draw, base, 0.8)[0]]
+            near.append(at)
+        else:
+            texts += [base, _changed(draw, base, 0.75)[1]]
+            apart.append(at)
+    assert all(_jaccard(texts[at], texts[at + 1]) >= 0.8 for at in near)
+    assert all(_jaccard(texts[at], texts[at + 1]) < 0.75 for at in apart)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = {row["doc_id"] for row in simhash.deduplicate(frame).collect()}
+    assert left == set(near) | {at + step for at in apart for step in (0, 1)}
+
+
+def test_near_copies_go_on_past_failed_pairs(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PAIRWISE", 1)
+    draw = random.Random(13)
+    base = ["".join(draw.choices("aeiounst", k=6)) for _ in range(200)]
+    texts = []
+    for _ in range(60):
+        words = list(base)
+        for at in draw.sample(range(5, 195, 10), 3):
+            words[at] = "".join(draw.choices("xyz", k=8))
+        texts.append(" ".join(words))
+    texts.append(" ".join(base))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pairs = [_jaccard(one, two) for one, two in itertools.combinations(texts[:-1], 2)]
+    assert sum(value < 0.8 for value in pairs) > len(pairs) / 2 and min(_jaccard(texts[-1], one) for one in texts) >= 0.8
+    assert [row["doc_id"] for row in simhash.deduplicate(frame).collect()] == [0]
+
+
 def test_projected_neighbours(spark):
     draw = np.random.default_rng(2)
     centres = draw.standard_normal((30, 16))
