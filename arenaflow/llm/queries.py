@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arenaflow.llm import bpe, ctph, html_text, line_dedup, mixing, neighbours, packing, simhash, token_counts, toxicity
+from arenaflow.llm import (
+    bpe, ctph, html_text, line_dedup, merkle, mixing, neighbours, packing, simhash, sql, token_counts, toxicity)
 
 WORDS = "word_bpe_49k.json"
 BYTES = "byte_bpe_50k.json"
@@ -65,12 +66,19 @@ def op10_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.mark_lines(table(spark, folder, "documents")).drop("_row")
 
 
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return merkle.manifest(
+        table(spark, folder, "documents"), doubted=F.crc32(F.col("doc_id").cast("string")) % 5 == 0,
+        claims={"text": F.translate("text", upper, lower)})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     builder.__name__: builder
     for builder in (
         op1_bpe_round_trip, op2_simhash_groups, op3_best_fit_packing, op4_piecewise_fingerprints, op5_token_counts,
         op6_context_mixing, op7_projected_neighbours, op8_main_text, op9_toxicity,
-        op10_fuzzy_lines)
+        op10_fuzzy_lines, op13_merkle_manifest)
 }
 #: SQL for those that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op13_merkle_manifest": sql.MERKLE_MANIFEST}
