@@ -10,9 +10,9 @@ def _leaf(text: str) -> str:
 
 
 _CRC32 = """xor(4294967295, list_reduce(
-    list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), c -> ascii(c)::BIGINT)),
-    (crc, byte) -> list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
-                               (x, turn) -> xor(x >> 1, 3988292384 * (x & 1)))))"""
+    list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+                               lambda x, turn: xor(x >> 1, 3988292384 * (x & 1)))))"""
 
 MERKLE_MANIFEST = f"""
 WITH RECURSIVE leaves AS (
