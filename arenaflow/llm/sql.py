@@ -62,3 +62,27 @@ SELECT doc_id, leaf, subroots.digest AS subroot, top.digest AS root, sha256(proo
 FROM folded JOIN subroots ON folded.tree = subroots.tree
      JOIN (SELECT digest, level FROM upper_nodes WHERE size = 1) AS top ON step = height + top.level
 """
+
+CHOSEN_PATH_GROUPS = rf"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) > 1
+        THEN list_transform(range(1, len(w)), lambda at: w[at] || ' ' || w[at + 1]) ELSE w END) AS shingle
+    FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+    SELECT one.doc_id AS a, two.doc_id AS b
+    FROM shingles AS one JOIN shingles AS two ON one.shingle = two.shingle AND one.doc_id < two.doc_id
+         JOIN sizes AS s ON s.doc_id = one.doc_id JOIN sizes AS t ON t.doc_id = two.doc_id
+    WHERE 100 * least(s.n, t.n) >= 80 * greatest(s.n, t.n)
+    GROUP BY one.doc_id, two.doc_id, s.n, t.n HAVING 100 * count(*) >= 80 * (s.n + t.n - count(*))),
+reached(doc_id, other) AS (
+    SELECT doc_id, doc_id FROM documents
+    UNION
+    SELECT reached.doc_id, CASE WHEN links.a = reached.other THEN links.b ELSE links.a END
+    FROM reached JOIN links ON links.a = reached.other OR links.b = reached.other),
+lowest AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM lowest LEFT JOIN sizes USING (doc_id)
+"""
