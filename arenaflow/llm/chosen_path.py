@@ -6,15 +6,15 @@ each of its documents to one child for each, named by the minwise token found
 there.  Documents of similarity s share a child with probability about s, so
 that two children a node make the surviving paths of a similar pair a branching
 process that does not die out (at 0.8 it lives with probability 0.94), while
-unrelated documents part at once.  Nodes of up to ``SMALL`` documents are
+unrelated documents part at once.  Small nodes, with up to ``SMALL`` squared pairs left, are
 compared exhaustively, larger ones branch again; independent trees bring the
 share of missed pairs below what is asked for (``trees``).
 
 Larger nodes are thinned before they branch: a few of their documents, the
 pivots, meet all others, so that a large group of copies is one component
-after a round or two, and nodes whose documents are all connected are
-left.  Pairs are only compared while their documents are not connected yet;
-sketches name candidates and the full sets decide.  Documents with the same set are one class from the start.
+after a round or two.  Only pairs of documents that are not connected yet are left to
+compare, so a node becomes small when few of its documents lie outside its largest component.
+Sketches name candidates and the full sets decide.  Documents with the same set are one class from the start.
 
 Hashes of sets have 128 bits.  A shingle is a hash of 64 bits within its set.
 """
@@ -36,7 +36,7 @@ from arenaflow.llm.frames import partitions, stored, texts_of, with_columns
 
 POSITIONS = 64
 SMALL = 128
-PIVOTS = 3
+PIVOTS = 4
 SEED = 42
 #: Buckets of documents asked for; the broadcast table of those hit has at most so many rows.
 BUCKETS = 1 << 20
@@ -156,7 +156,7 @@ def _pivot_pairs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.R
 
 
 def _whole_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables of whole nodes; rows come sorted by node, and a node has ``SMALL`` rows at most."""
+    """Tables of whole nodes; rows come sorted by node, and a node has about two times ``SMALL`` rows at most."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
@@ -172,17 +172,20 @@ def _whole_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _small_pairs(batches: Iterator[pa.RecordBatch], least: int, forest: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs of unconnected documents of small nodes that agree; with ``forest``, only what connects them."""
+    """Pairs of unconnected documents of small nodes that agree; with ``forest``, only what connects them.
+
+    Rows are ``node, cls, label, lead, sketch``; one of a pair must lead.
+    """
     for table in _whole_nodes(batches):
         table = table.combine_chunks()
-        node, cls, label = (table.column(at).to_numpy() for at in range(3))
-        sketch = _sketch_matrix(table.column(3))
+        node, cls, label, lead = (table.column(at).to_numpy() for at in range(4))
+        sketch = _sketch_matrix(table.column(4))
         left, right = [], []
         for step in range(1, len(node)):
             one = np.flatnonzero(node[step:] == node[:-step])
             if not len(one):
                 break
-            one = one[label[one] != label[one + step]]
+            one = one[(label[one] != label[one + step]) & (lead[one] | lead[one + step])]
             one = one[_agreeing(sketch[one], sketch[one + step]) >= least]
             left.append(one)
             right.append(one + step)
@@ -263,22 +266,44 @@ class _Verifier:
 
 
 def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Rows with the component of their class as ``label``, in nodes that still hold several, with its size ``members``."""
-    named = rows.withColumn("label", F.col("cls")) if labels is None else rows.join(labels, "cls", "left").withColumn(
-        "label", F.coalesce("label", "cls"))
-    named = named.select("node", "cls", "label")
-    sizes = named.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("low"),
-                                      F.max("label").alias("high")).where("low < high")
-    return named.join(sizes.select("node", "members"), "node")
+    """Rows with the component of their class as ``label``, in nodes that still hold several.
+
+    ``members`` is the size of the node, ``major`` its largest component and
+    ``work`` the number of pairs left: members outside that component times all.
+    """
+    named = rows.select("node", "cls", F.col("cls").alias("label")) if labels is None else rows.select("node", "cls").join(
+        labels, "cls", "left").select("node", "cls", F.coalesce("label", "cls").alias("label"))
+    parts = named.groupBy("node", "label").agg(F.count(F.lit(1)).alias("part"))
+    sizes = parts.groupBy("node").agg(F.sum("part").alias("members"), F.max(F.struct("part", "label")).alias("most"),
+                                      F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    return named.join(sizes.select(
+        "node", "members", F.col("most.label").alias("major"),
+        (F.col("members") * (F.col("members") - F.col("most.part"))).alias("work")), "node")
+
+
+def _in_chunks(rows: DataFrame) -> DataFrame:
+    """Small nodes as they are compared: above ``SMALL`` members, those outside the largest component meet all in chunks."""
+    chunks = F.ceil(F.col("members") / F.lit(SMALL)).cast("long")
+    number = F.explode(F.when(F.col("members") <= SMALL, F.array(F.lit(-1).cast("long"))).when(
+        F.col("label") != F.col("major"), F.sequence(F.lit(-1).cast("long"), chunks - 1)).otherwise(
+        F.array(F.lit(-1).cast("long"))))
+    own = F.pmod(F.xxhash64("cls"), chunks)
+    spread = rows.select("node", "cls", "label", "members", own.alias("own"), number.alias("number"))
+    # Number -1 stands for the document in its own chunk, the others for a leader that visits a chunk.
+    whole = F.col("members") <= SMALL
+    return spread.select(
+        F.when(whole, F.col("node")).otherwise(F.xxhash64("node", F.when(F.col("number") < 0, F.col("own")).otherwise(
+            F.col("number")))).alias("node"), "cls", "label", (whole | (F.col("number") >= 0)).alias("lead"))
 
 
 def _pivots(rows: DataFrame) -> DataFrame:
-    """``node, pivot`` for a few documents of every node, drawn by component so that small ones get their turn."""
+    """``node, pivot, pivot_label`` for a few documents of every node, drawn by component so that small ones get their turn."""
     drawn = rows.groupBy("node").agg(*[
-        F.min(F.struct(F.xxhash64("label", "node", F.lit(turn)), F.xxhash64("cls", F.lit(turn)), "cls")).alias(f"p{turn}")
+        F.min(F.struct(F.xxhash64("label", "node", F.lit(turn)), F.xxhash64("cls", F.lit(turn)), "cls", "label")).alias(f"p{turn}")
         for turn in range(PIVOTS)])
-    return drawn.select("node", F.explode(F.array_distinct(F.array(
-        *[F.col(f"p{turn}.cls") for turn in range(PIVOTS)]))).alias("pivot"))
+    return drawn.select("node", F.explode(F.array_distinct(F.array(*[F.struct(
+        F.col(f"p{turn}.cls").alias("pivot"), F.col(f"p{turn}.label").alias("pivot_label")) for turn in range(PIVOTS)]))).alias(
+        "drawn")).select("node", "drawn.*")
 
 
 def class_links(documents: DataFrame, classes: DataFrame, size: int, similarity: tuple[int, int],
@@ -296,31 +321,30 @@ def class_links(documents: DataFrame, classes: DataFrame, size: int, similarity:
     while True:
         rows = stored(below.select(F.col("a").alias("node"), F.col("b").alias("cls")), "children")
         members = stored(_labelled(rows, labels), "nodes")
-        small.append(members.where(F.col("members") <= SMALL).select("node", "cls"))
-        large = members.where(F.col("members") > SMALL)
+        small.append(members.where(F.col("work") <= SMALL * SMALL).select("node", "cls"))
+        large = members.where(F.col("work") > SMALL * SMALL)
         if large.isEmpty():
             break
         large = stored(large.join(taking_part, "cls").select("cls", "sketch", "node", "label"), "large-nodes")
-        pivots = _pivots(large).join(taking_part, F.col("pivot") == F.col("cls")).select(
-            "node", "pivot", F.col("sketch").alias("pivot_sketch"))
-        if labels is not None:
-            pivots = pivots.join(labels, F.col("pivot") == F.col("cls"), "left").select(
-                "node", "pivot", "pivot_sketch", F.coalesce("label", "pivot").alias("pivot_label"))
-        else:
-            pivots = pivots.withColumn("pivot_label", F.col("pivot"))
-        met = large.join(pivots, "node").where("label <> pivot_label").select(
+        chosen = _pivots(large).join(taking_part, F.col("pivot") == F.col("cls")).select(
+            "node", "pivot", "pivot_label", F.col("sketch").alias("pivot_sketch"))
+        met = large.join(chosen, "node").where("label <> pivot_label").select(
             F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b"), "sketch", "pivot_sketch")
         verifier.confirm(met.mapInArrow(lambda batches: _pivot_pairs(batches, least), "a long, b long"))
         labels = verifier.labels()
-        # Nodes that the pivots have connected do not branch.
-        open_nodes = _labelled(large.select("node", "cls"), labels).select("node").distinct()
-        below = large.join(open_nodes, "node", "left_semi").select("cls", "sketch", "node").mapInArrow(
+        # Nodes that the pivots have all but connected do not branch.
+        members = stored(_labelled(large, labels), "thinned-nodes")
+        small.append(members.where(F.col("work") <= SMALL * SMALL).select("node", "cls"))
+        open_ = members.where(F.col("work") > SMALL * SMALL)
+        if open_.isEmpty():
+            break
+        below = open_.join(taking_part, "cls").select("cls", "sketch", "node").mapInArrow(
             lambda batches: _children(batches, None), "a long, b long")
     members = small[0]
     for more in small[1:]:
         members = members.unionAll(more)
     for forest in (True, False):
-        open_ = _labelled(members, labels).join(taking_part, "cls").select("node", "cls", "label", "sketch")
+        open_ = _in_chunks(_labelled(members, labels)).join(taking_part, "cls").select("node", "cls", "label", "lead", "sketch")
         dealt = open_.repartition(partitions(documents.sparkSession), "node").sortWithinPartitions("node")
         verifier.confirm(dealt.mapInArrow(lambda batches, only=forest: _small_pairs(batches, least, only), "a long, b long"))
         labels = verifier.labels()

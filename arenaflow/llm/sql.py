@@ -68,7 +68,7 @@ WITH RECURSIVE words AS (
     SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
 shingles AS (
     SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) > 1
-        THEN list_transform(range(1, len(w)), lambda at: w[at] || ' ' || w[at + 1]) ELSE w END) AS shingle
+        THEN list_transform(range(1, len(w)), lambda p: w[p] || ' ' || w[p + 1]) ELSE w END) AS shingle
     FROM words),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
 links AS (
@@ -86,3 +86,34 @@ lowest AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_i
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM lowest LEFT JOIN sizes USING (doc_id)
 """
+
+PHRASE_COLLOCATIONS = rf"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang,
+           unnest(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+    SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda p: array_to_string(w[p:p + size - 1], ' '))) AS phrase
+    FROM words, range(1, 5) AS sizes(size)),
+counts AS (SELECT lang, size, phrase, count(*)::HUGEINT AS f FROM grams GROUP BY lang, size, phrase),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE size = 1 GROUP BY lang),
+candidates AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE size > 1 AND f >= 30),
+cuts AS (
+    SELECT c.lang, c.phrase, c.a, c.w, k, l.f AS l, r.f AS r, (2000000 * c.a) // (l.f + r.f) AS score
+    FROM candidates AS c, range(1, 4) AS ks(k)
+         JOIN counts AS l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:k], ' ')
+         JOIN counts AS r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[k + 1:], ' ')
+    WHERE k < c.size),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+    SELECT lang, array_to_string(w[p:p + width - 1], ' ') AS phrase, max(a) AS longer
+    FROM candidates, range(2, 4) AS widths(width), range(1, 4) AS starts(p)
+    WHERE width < size AND p + width - 1 <= size GROUP BY 1, 2),
+kept AS (
+    SELECT lowest.* FROM lowest LEFT JOIN inside USING (lang, phrase)
+    WHERE longer IS NULL OR 100 * longer < 80 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+       a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
