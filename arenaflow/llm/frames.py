@@ -1,4 +1,4 @@
-"""Helpers shared by the operators: Arrow columns beside a frame's own, and stored intermediate tables."""
+"""Helpers shared by the operators: Arrow columns beside a frame's own, stored intermediate tables, places in an order."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arenaflow.session import scratch_path
@@ -71,3 +72,33 @@ def stored(frame: DataFrame, label: str, partition: str | None = None) -> DataFr
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def numbered(frame: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Give rows their place in their tree by ``order`` (nulls first) as ``number``, and its size as ``count``.
+
+    Rows are ordered in ranges; only one count for each range and tree meets others.
+    """
+    columns = ["tree", *order]
+    ranged = frame.repartitionByRange(partitions(frame.sparkSession), *columns).sortWithinPartitions(*columns)
+    schema = ranged.withColumns({"part": F.spark_partition_id(), "at": F.lit(0).cast("long")})
+
+    def count(batches):
+        last, at = None, 0
+        for batch in batches:
+            places = []
+            for tree in batch.column(0).to_pylist():
+                at = at + 1 if tree == last else 0
+                last = tree
+                places.append(at)
+            yield batch.append_column("at", pa.array(places, pa.int64()))
+
+    first = ranged.withColumn("part", F.spark_partition_id()).select(
+        "tree", *[name for name in frame.columns if name != "tree"], "part")
+    placed = stored(first.mapInArrow(count, schema.select(*first.columns, "at").schema), "placed-rows")
+    sizes = placed.groupBy("tree", "part").agg(F.count(F.lit(1)).alias("size"))
+    running = sizes.selectExpr(
+        "tree", "part", "sum(size) OVER (PARTITION BY tree ORDER BY part) - size AS before",
+        "sum(size) OVER (PARTITION BY tree) AS count")
+    return placed.join(running, ["tree", "part"]).withColumn("number", F.col("before") + F.col("at")).drop(
+        "part", "at", "before")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arenaflow.llm.frames import partitions, stored
+from arenaflow.llm.frames import numbered, partitions, stored
 
 ARITY = 16
 DEPTH = 3
@@ -146,36 +146,6 @@ def _up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return _batches(tops(), _TOPS)
 
 
-def _numbered(frame: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Give rows their place in their tree by ``order`` (nulls first) as ``number``, and its size as ``count``.
-
-    Rows are ordered in ranges; only one count for each range and tree meets others.
-    """
-    columns = ["tree", *order]
-    ranged = frame.repartitionByRange(partitions(frame.sparkSession), *columns).sortWithinPartitions(*columns)
-    schema = ranged.withColumns({"part": F.spark_partition_id(), "at": F.lit(0).cast("long")})
-
-    def count(batches):
-        last, at = None, 0
-        for batch in batches:
-            places = []
-            for tree in batch.column(0).to_pylist():
-                at = at + 1 if tree == last else 0
-                last = tree
-                places.append(at)
-            yield batch.append_column("at", pa.array(places, pa.int64()))
-
-    first = ranged.withColumn("part", F.spark_partition_id()).select(
-        "tree", *[name for name in frame.columns if name != "tree"], "part")
-    placed = stored(first.mapInArrow(count, schema.select(*first.columns, "at").schema), "placed-leaves")
-    sizes = placed.groupBy("tree", "part").agg(F.count(F.lit(1)).alias("size"))
-    running = sizes.selectExpr(
-        "tree", "part", "sum(size) OVER (PARTITION BY tree ORDER BY part) - size AS before",
-        "sum(size) OVER (PARTITION BY tree) AS count")
-    return placed.join(running, ["tree", "part"]).withColumn("number", F.col("before") + F.col("at")).drop(
-        "part", "at", "before")
-
-
 def _with_block(frame: DataFrame) -> DataFrame:
     return frame.withColumn("block", F.expr(f"number div {SPAN}"))
 
@@ -238,11 +208,11 @@ def manifest(
         leaf_digest([F.col(name) for name in fields]).alias("digest"),
         F.when(F.lit(False) if doubted is None else doubted,
                leaf_digest([claims.get(name, F.col(name)) for name in fields])).alias("claimed"))
-    leaves = stored(_numbered(stored(kept, "leaves"), ["id", "digest"]), "numbered-leaves")
+    leaves = stored(numbered(stored(kept, "leaves"), ["id", "digest"]), "numbered-leaves")
     passes, subroots = _forest(leaves)
 
     # The roots of the groups are the leaves of one more tree.
-    upper = stored(_numbered(
+    upper = stored(numbered(
         subroots.select(F.lit("").alias("tree"), F.col("tree").alias("name"), "digest"), ["name"]), "subroots")
     upper_passes, tops = _forest(upper)
     messages = tops.select("tree", F.lit(0).cast("long").alias("block"), F.lit(None).cast("string").alias("subroot"),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arenaflow.llm import (
-    bpe, chosen_path, ctph, html_text, line_dedup, merkle, mixing, neighbours, packing, simhash, sql, token_counts, toxicity)
+    bpe, chosen_path, collocations, ctph, html_text, line_dedup, merkle, mixing, neighbours, packing, simhash, sql, token_counts, toxicity)
 
 WORDS = "word_bpe_49k.json"
 BYTES = "byte_bpe_50k.json"
@@ -70,6 +70,10 @@ def op11_chosen_path_groups(spark: SparkSession, folder: str) -> DataFrame:
     return chosen_path.near_duplicates(table(spark, folder, "documents"), size=2, similarity=(80, 100))
 
 
+def op12_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return merkle.manifest(
@@ -82,8 +86,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for builder in (
         op1_bpe_round_trip, op2_simhash_groups, op3_best_fit_packing, op4_piecewise_fingerprints, op5_token_counts,
         op6_context_mixing, op7_projected_neighbours, op8_main_text, op9_toxicity,
-        op10_fuzzy_lines, op11_chosen_path_groups, op13_merkle_manifest)
+        op10_fuzzy_lines, op11_chosen_path_groups, op12_phrase_collocations,
+        op13_merkle_manifest)
 }
 #: SQL for those that SQL can express.
 ORACLE_SQL: dict[str, str] = {
-    "op11_chosen_path_groups": sql.CHOSEN_PATH_GROUPS, "op13_merkle_manifest": sql.MERKLE_MANIFEST}
+    "op11_chosen_path_groups": sql.CHOSEN_PATH_GROUPS,
+    "op12_phrase_collocations": sql.PHRASE_COLLOCATIONS, "op13_merkle_manifest": sql.MERKLE_MANIFEST}
