@@ -35,7 +35,7 @@ from arenaflow.llm.components import components
 from arenaflow.llm.frames import partitions, stored, texts_of, with_columns
 
 POSITIONS = 64
-SMALL = 128
+SMALL = 1024
 PIVOTS = 4
 SEED = 42
 #: Buckets of documents asked for; the broadcast table of those hit has at most so many rows.

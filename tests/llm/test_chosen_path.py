@@ -44,7 +44,9 @@ def edited(draw, words, share):
     return [draw.choice("qwxyz") + str(draw.randrange(99)) if draw.random() < share else word for word in words]
 
 
-def test_large_families_and_common_words(spark):
+def test_large_families_and_common_words(spark, monkeypatch):
+    # Small nodes of 32 make the families branch, meet pivots and be cut into chunks.
+    monkeypatch.setattr(chosen_path, "SMALL", 32)
     draw = random.Random(3)
     vocabulary = [f"w{number}" for number in range(300)]
     rows, bases = [], [draw.choices(vocabulary, k=60) for _ in range(2)]
