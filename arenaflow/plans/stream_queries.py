@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from arenaflow import fixed_values as fixed
 from arenaflow.plans.registry import query
 from arenaflow.plans.tables import Telemetry
 from arenaflow.session import cut_lineage, scratch_path
-from arenaflow.streaming import sampler, timelines
+from arenaflow.streaming import sampler, stateful, timelines
 
 QUOTA = sampler.Quota(6, 3, 1, "sample-v1")
 
@@ -92,58 +95,222 @@ def window_summaries(t: Telemetry) -> DataFrame:
 # --- streams --------------------------------------------------------------------------------
 
 
-def _candidate_stream(t: Telemetry) -> DataFrame:
-    """The candidate rows as a stream over the events file."""
-    source = t.table("events")
-    live = Telemetry(t.spark, t.folder)
-    live.table = lambda name: t.spark.readStream.schema(source.schema).option(
-        "pathGlobFilter", "events.parquet").parquet(t.folder)
-    return _ranked(live)
+#: What a provider delivers: every candidate once, some held back to the last delivery, some offered again.
+_DELIVERED = _SAMPLE | {
+    "delivered": """
+SELECT match_id, hour, window_start, start_time, rank, rank_count, sequence AS ord,
+  CASE WHEN k % 10 = 3 THEN 3 ELSE least(t_ms // 600000, 3) END AS delivery FROM ranked
+UNION ALL
+SELECT match_id, hour, window_start, start_time, CASE WHEN k % 2 = 0 THEN k // 2 + 1 END, CASE WHEN k % 4 = 0 THEN 5 END,
+  sequence + 1000000000, least(CASE WHEN k % 10 = 3 THEN 3 ELSE least(t_ms // 600000, 3) END + k % 5 - 1, 3)
+FROM ranked WHERE k % 5 IN (1, 2)""",
+    "marks": """
+SELECT d AS delivery, (SELECT max(start_time) FROM delivered b WHERE b.delivery < d) AS seen, (SELECT max(start_time) FROM delivered) AS last
+FROM (SELECT DISTINCT delivery AS d FROM delivered) x""",
+    "judged": """
+SELECT x.*, hour + 3600 <= coalesce(seen - 259200, 0) AS late, hour + 3600 <= last - 259200 AS closed
+FROM delivered x JOIN marks USING (delivery)""",
+}
+DELIVERIES, DELAY_MINUTES = 4, 4320
 
 
-def _drain(t: Telemetry, result: DataFrame, label: str) -> DataFrame:
-    """Run a stream over everything available and read its output table."""
+def _deliveries(t: Telemetry) -> DataFrame:
+    """Lines with their ``sequence`` and ``delivery``."""
+    k = F.col("k")
+    start = F.lit(1704067200) + F.floor(F.col("t_ms") * 1080 / 1000).cast("bigint")
+    first = F.when(k % 10 == 3, 3).otherwise(F.least(F.floor(F.col("t_ms") / 600000), F.lit(3)))
+    again = F.to_json(F.struct(
+        (F.col("sequence") + 1).alias("match_id"), start.alias("start_time"), F.lit(7).alias("lobby_type"),
+        F.when(k % 2 == 0, F.floor(k / 2) + 1).alias("avg_rank_tier"), F.when(k % 4 == 0, 5).alias("num_rank_tier")))
+    at = t.ev.select("sequence", first.cast("int").alias("delivery"))
+    offered = t.ev.where("k % 5 IN (1, 2) AND k % 20 NOT IN (7, 8) AND k % 10 <> 9 AND (k % 3 = 0 OR k BETWEEN 1 AND 99)")
+    return t.candidate_lines.join(at, "sequence").select("sequence", "value", "delivery").unionByName(offered.select(
+        (F.col("sequence") + 1000000000).alias("sequence"), again.alias("value"),
+        F.least(first + k % 5 - 1, F.lit(3)).cast("int").alias("delivery")))
+
+
+def _fed(t: Telemetry, rows: DataFrame, start: Callable[[DataFrame, str], DataStreamWriter], label: str) -> str:
+    """Run a stream over deliveries, stopping it after each and starting it again from its checkpoint.
+
+    Returns the folder given to ``start`` beside the stream of rows.
+    """
     folder = scratch_path(t.spark, label)
-    result.writeStream.outputMode("append").format("parquet").option(
-        "checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/rows").awaitTermination()
-    return t.spark.read.schema(result.schema).parquet(f"{folder}/rows")
+    kept = cut_lineage(rows)
+    schema = kept.drop("delivery").schema
+    for delivery in range(DELIVERIES):
+        kept.where(F.col("delivery") == delivery).drop("delivery").write.mode("append").parquet(f"{folder}/inbox")
+        stream = t.spark.readStream.schema(schema).parquet(f"{folder}/inbox")
+        start(stream, folder).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return folder
+
+
+def _to_rows(made: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, str], DataStreamWriter]:
+    return lambda stream, folder: made(stream).writeStream.outputMode("append").format("parquet").option(
+        "path", f"{folder}/rows")
+
+
+def _streamed(t: Telemetry, rows: DataFrame, made: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
+    return t.spark.read.parquet(f"{_fed(t, rows, _to_rows(made), label)}/rows")
+
+
+def _parsed(stream: DataFrame) -> DataFrame:
+    return sampler.ranked_candidates(sampler.parse_candidates(stream))
+
+
+def _coalesced(t: Telemetry) -> DataFrame:
+    stateful.use_keyed_state(t.spark)
+    return _streamed(t, _deliveries(t), lambda stream: stateful.coalesce_candidates(
+        _parsed(stream), delay_minutes=DELAY_MINUTES), "coalesced")
+
+
+@query("match_id:i window_start:s avg_rank_tier:i num_rank_tier:i offers:i", """
+SELECT match_id, window_start, arg_max(rank, ord) FILTER (WHERE rank IS NOT NULL) AS avg_rank_tier,
+  arg_max(rank_count, ord) FILTER (WHERE rank_count IS NOT NULL) AS num_rank_tier, count(*) AS offers
+FROM judged WHERE NOT late AND closed GROUP BY match_id, window_start""", _DELIVERED)
+def streamed_coalesced_candidates(t: Telemetry) -> DataFrame:
+    return _coalesced(t).where("NOT late")
+
+
+@query("window_start:s late_count:i",
+       "SELECT window_start, count(*) AS late_count FROM judged WHERE late GROUP BY window_start", _DELIVERED)
+def streamed_late_candidates(t: Telemetry) -> DataFrame:
+    return stateful.late_counts(_coalesced(t))
 
 
 @query("window_seconds:i candidate_count:i known_rank_count:i", """
-SELECT hour AS window_seconds, count(*) AS candidate_count, count(rank) AS known_rank_count FROM ranked CROSS JOIN newest
-WHERE hour + 3600 <= top - 5400 GROUP BY hour""", _SAMPLE)
+SELECT hour AS window_seconds, count(*) AS candidate_count, count(rank) AS known_rank_count FROM judged
+WHERE NOT late AND closed GROUP BY hour""", _DELIVERED)
 def streamed_window_counts(t: Telemetry) -> DataFrame:
-    return _drain(t, sampler.stream_window_counts(_candidate_stream(t)), "window-counts").withColumn(
-        "window_seconds", F.unix_seconds("window_start_ts"))
+    return _streamed(t, _deliveries(t), lambda stream: sampler.stream_window_counts(_parsed(stream), DELAY_MINUTES),
+                     "window-counts").withColumn("window_seconds", F.unix_seconds("window_start_ts"))
 
 
-@query("match_id:i", "SELECT DISTINCT match_id FROM ranked", _SAMPLE)
+@query("match_id:i", "SELECT DISTINCT match_id FROM delivered", _DELIVERED)
 def streamed_first_candidates(t: Telemetry) -> DataFrame:
-    return _drain(t, sampler.stream_first_candidates(_candidate_stream(t)), "first-candidates")
+    # The delay spans the whole stream: within it a match leaves once, however often it is offered.
+    return _streamed(t, _deliveries(t), lambda stream: sampler.stream_first_candidates(
+        _parsed(stream), 60 * 24 * 60), "first-candidates")
+
+
+_PICKED = _DELIVERED | {
+    "merged": """
+SELECT match_id, window_start, arg_max(rank, ord) FILTER (WHERE rank IS NOT NULL) AS rank
+FROM judged WHERE NOT late AND closed GROUP BY match_id, window_start""",
+    "priority": _SAMPLE["priority"].replace("FROM ranked", "FROM merged"),
+    "control": _SAMPLE["control"].replace("FROM ranked", "FROM merged"),
+    "fill": _SAMPLE["fill"].replace("FROM ranked", "FROM merged").replace("ranked.window_start", "merged.window_start"),
+}
 
 
-@query("match_id:i window_start:s selection_group:s", """
-SELECT match_id, window_start, selection_group FROM chosen CROSS JOIN newest WHERE hour + 3600 <= top - 5400""", _SAMPLE)
+@query("match_id:i window_start:s selection_group:s", "SELECT match_id, window_start, selection_group FROM chosen", _PICKED)
 def streamed_selection(t: Telemetry) -> DataFrame:
-    folder = scratch_path(t.spark, "selection")
-    _candidate_stream(t).drop("start_ts").writeStream.foreachBatch(sampler.WindowSampler(folder, QUOTA)).option(
-        "checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/selections")
+    folder = _fed(t, _deliveries(t), lambda stream, folder: _parsed(stream).drop("start_ts").writeStream.foreachBatch(
+        sampler.WindowSampler(
+            f"{folder}/kept", QUOTA, DELAY_MINUTES, ("batch_id", "sequence"))), "selection")
+    return t.spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/kept/selections")
 
 
-@query("extraction_id:s slot:i damage_event_count:i total_damage:i first_ms:i last_ms:i", """
+_SITTINGS = {"sittings": """
 SELECT extraction_id, slot, count(*) AS damage_event_count, sum(cents) AS total_damage, min(t_ms) AS first_ms, max(t_ms) AS last_ms
 FROM (SELECT *, sum(fresh) OVER (PARTITION BY extraction_id, slot ORDER BY t_ms, sequence) AS n FROM (
   SELECT *, CASE WHEN t_ms - lag(t_ms) OVER (PARTITION BY extraction_id, slot ORDER BY t_ms, sequence) <= 30000
     THEN 0 ELSE 1 END AS fresh FROM ev))
-GROUP BY extraction_id, slot, n""")
-def session_window_actions(t: Telemetry) -> DataFrame:
-    rows = t.ev.select("extraction_id", F.col("slot").alias("player_slot"), F.lit(0).alias("camp_id"),
+GROUP BY extraction_id, slot, n"""}
+
+
+def _hits(t: Telemetry) -> DataFrame:
+    return t.ev.select("extraction_id", F.col("slot").alias("player_slot"), F.lit(0).alias("camp_id"), "t_ms",
                        F.timestamp_millis("t_ms").alias("at"), F.col("cents").alias("damage"))
-    return timelines.session_window_actions(rows, "at", "30 seconds").withColumnRenamed("player_slot", "slot").withColumn(
+
+
+def _timed(sessions: DataFrame) -> DataFrame:
+    return sessions.withColumnRenamed("player_slot", "slot").withColumn(
         "first_ms", F.unix_millis("first_damage")).withColumn("last_ms", F.unix_millis("last_damage"))
 
 
+@query("extraction_id:s slot:i damage_event_count:i total_damage:i first_ms:i last_ms:i", "SELECT * FROM sittings", _SITTINGS)
+def session_window_actions(t: Telemetry) -> DataFrame:
+    return _timed(timelines.session_window_actions(_hits(t), "at", "30 seconds"))
+
+
+@query("extraction_id:s slot:i damage_event_count:i total_damage:i first_ms:i last_ms:i", """
+SELECT * FROM sittings WHERE last_ms + 30000 <= (SELECT max(t_ms) - 60000 FROM ev)""", _SITTINGS)
+def streamed_sessions(t: Telemetry) -> DataFrame:
+    """Sessions over deliveries of ten minutes: those across a border are merged in state and leave by the watermark."""
+    delivered = _hits(t).withColumn("delivery", F.least(F.floor(F.col("t_ms") / 600000), F.lit(3)).cast("int"))
+    return _timed(_streamed(t, delivered, lambda stream: timelines.session_window_actions(
+        stream.withWatermark("at", "60 seconds"), "at", "30 seconds"), "sessions"))
+
+
+# --- linked entities ------------------------------------------------------------------------
+
+_CAPTURE = {
+    "created": """
+SELECT extraction_id, sequence * 10 AS sequence, sequence AS entity, handle, 'spawner' AS kind, handle % 3 <> 0 AS complete FROM spawners
+UNION ALL SELECT extraction_id, sequence * 10, sequence, CASE WHEN k % 9 = 0 THEN 16777215 ELSE 1012 + k % 6 END, 'creep', k % 8 <> 0
+FROM ev WHERE kind = 'view'""",
+    "seen": "SELECT extraction_id, handle, min(sequence) AS seen_at FROM created WHERE kind = 'spawner' GROUP BY ALL",
+    "linked": """
+SELECT c.*, seen_at, CASE WHEN entity % 5 = 0 THEN (entity + 700) * 10 + 3 END AS deleted_at
+FROM created c JOIN seen USING (extraction_id, handle) WHERE kind = 'creep' AND complete AND handle <> 16777215""",
+    "told": """
+SELECT extraction_id, entity, 'update' AS emission, entity * 10 + 1 AS sequence, seen_at, deleted_at, 'm_iHealth' AS path, '40' AS value FROM linked
+UNION ALL SELECT extraction_id, entity, 'update', (entity + 900) * 10 + 2, seen_at, deleted_at, 'm_lifeState', '1' FROM linked WHERE entity % 2 = 0
+UNION ALL SELECT extraction_id, entity, 'deletion', deleted_at, seen_at, deleted_at, NULL, NULL FROM linked WHERE deleted_at IS NOT NULL""",
+    "captured": """
+SELECT extraction_id, entity, unnest(['identity', 'creation', 'checkpoint']) AS emission, sequence, greatest(sequence, seen_at) AS released_at,
+  NULL AS path, NULL AS value FROM linked
+UNION ALL SELECT extraction_id, entity, emission, sequence, greatest(sequence, seen_at), path, value FROM told
+WHERE deleted_at IS NULL OR sequence <= deleted_at OR seen_at > deleted_at
+UNION ALL SELECT extraction_id, entity, unnest(CASE WHEN complete THEN ['identity', 'creation', 'checkpoint'] ELSE ['identity', 'creation'] END),
+  sequence, sequence, NULL, NULL FROM created WHERE kind = 'spawner'
+UNION ALL SELECT extraction_id, entity, 'checkpoint', sequence + 4, sequence + 4, NULL, NULL FROM created WHERE kind = 'spawner' AND NOT complete
+UNION ALL SELECT extraction_id, entity, 'deletion', sequence + 6000, sequence + 6000, NULL, NULL FROM created WHERE kind = 'spawner'""",
+}
+_CAPTURED = "SELECT *, entity AS entity_instance_id FROM captured"
+_CAPTURED_COLUMNS = "extraction_id:s entity_instance_id:i emission:s sequence:i released_at:i path:s value:s"
+
+
+def _entity_log(t: Telemetry) -> DataFrame:
+    """Creations, updates and deletions by sequence: a creep may come long before its spawner and be gone by then."""
+    def shape(frame: DataFrame, kind: str, sequence, handle, complete, path=None, value=None) -> DataFrame:
+        return frame.select(
+            "extraction_id", sequence.cast("bigint").alias("sequence"), F.lit(kind).alias("kind"),
+            F.col("sequence").alias("entity_instance_id"), handle.cast("decimal(20,0)").alias("handle"),
+            complete.alias("complete"), F.lit(path).cast("string").alias("path"), F.lit(value).cast("string").alias("value"))
+
+    k, at, none, no = F.col("k"), F.col("sequence"), F.lit(None), F.lit(False)
+    creeps, spawners, handle = t.creep_rows, t.spawner_rows, F.lit(1000) + F.col("k")
+    parts = [
+        shape(spawners, stateful.SPAWNER, at * 10, handle, handle % 3 != 0),
+        shape(spawners, stateful.UPDATE, at * 10 + 4, none, F.lit(True), "m_Type", "2"),
+        shape(spawners, stateful.DELETE, at * 10 + 6000, none, no),
+        shape(creeps, stateful.CREEP, at * 10, F.when(k % 9 == 0, fixed.INVALID_HANDLE).otherwise(
+            F.col("spawner_handle")), k % 8 != 0),
+        shape(creeps, stateful.UPDATE, at * 10 + 1, none, no, "m_iHealth", "40"),
+        shape(creeps.where("sequence % 2 = 0"), stateful.UPDATE, (at + 900) * 10 + 2, none, no, "m_lifeState", "1"),
+        shape(creeps.where("sequence % 5 = 0"), stateful.DELETE, (at + 700) * 10 + 3, none, no)]
+    log = parts[0]
+    for part in parts[1:]:
+        log = log.unionByName(part)
+    return log
+
+
+@query(_CAPTURED_COLUMNS, _CAPTURED, _CAPTURE)
+def captured_entities(t: Telemetry) -> DataFrame:
+    return stateful.linked_entities(_entity_log(t))
+
+
+@query(_CAPTURED_COLUMNS, _CAPTURED, _CAPTURE)
+def streamed_capture(t: Telemetry) -> DataFrame:
+    stateful.use_keyed_state(t.spark)
+    log = cut_lineage(_entity_log(t))
+    span = log.agg((F.max("sequence") + 1).alias("__span"))
+    delivered = log.crossJoin(F.broadcast(span)).withColumn(
+        "delivery", F.floor(F.col("sequence") * DELIVERIES / F.col("__span")).cast("int")).drop("__span")
+    return _streamed(t, delivered, stateful.stream_linked_entities, "capture")
+
+
 # --- timelines ------------------------------------------------------------------------------
 
 

@@ -183,8 +183,9 @@ class WindowSampler:
     window are stored but never selected.
     """
 
-    def __init__(self, folder: str, quota: Quota, delay_minutes: int = fixed.WINDOW_DELAY_MINUTES):
-        self.folder, self.quota, self.delay = folder, quota, delay_minutes
+    def __init__(self, folder: str, quota: Quota, delay_minutes: int = fixed.WINDOW_DELAY_MINUTES,
+                 order: tuple[str, ...] = ("batch_id", "start_time", "match_id")):
+        self.folder, self.quota, self.delay, self.order = folder, quota, delay_minutes, list(order)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -200,7 +201,7 @@ class WindowSampler:
             f"{self.folder}/progress/batch={batch_id}")
         settled = None if before is None else before - self.delay * 60
         stored = self._stored(spark, stamped.schema, batch_id, settled, newest)
-        single = dedupe_candidates(stored.drop("day"), ["batch_id", "start_time", "match_id"]).withColumn(
+        single = dedupe_candidates(stored.drop("day"), self.order).withColumn(
             "window_seconds", F.floor(F.col("start_time") / 3600) * 3600)
         closed = closed_windows(single, F.lit(newest), self.delay)
         if before is not None:
