@@ -1,20 +1,25 @@
 """MinHash near-dedup by a chosen-path set similarity join.
 
-A document is a set of word shingles and a sketch of ``POSITIONS`` minwise tokens.
+A document is a set of word shingles and a sketch of its minwise tokens.
 In a tree, a node takes two of the positions, drawn by its name, and sends
 each of its documents to one child for each, named by the minwise token found
 there.  Documents of similarity s share a child with probability about s, so
 that two children a node make the surviving paths of a similar pair a branching
 process that does not die out (at 0.8 it lives with probability 0.94), while
-unrelated documents part at once.  Small nodes, with up to ``SMALL`` squared pairs left, are
+unrelated documents part at once.  Small nodes are
 compared exhaustively, larger ones branch again; independent trees bring the
 share of missed pairs below what is asked for (``trees``).
 
-Larger nodes are thinned before they branch: a few of their documents, the
+Large nodes are thinned before they branch: a few of their documents, the
 pivots, meet all others, so that a large group of copies is one component
-after a round or two.  Only pairs of documents that are not connected yet are left to
-compare, so a node becomes small when few of its documents lie outside its largest component.
-Sketches name candidates and the full sets decide.  Documents with the same set are one class from the start.
+at once.  Only pairs of documents that are not connected yet are left to
+compare, so a node is small when it has up to ``SMALL`` documents, or up to ``SMALL`` outside its largest
+component: these meet all others in chunks, at a cost that grows with the node and not with its square.
+
+In a small node, sketches name the pairs that may be similar, and the full sets of their
+documents come to the node and decide; the likeliest pairs go first, and pairs connected by then are left out.  A pair
+that meets in several nodes is decided in the first of them.
+Documents with the same set are one class from the start.
 
 Hashes of sets have 128 bits.  A shingle is a hash of 64 bits within its set.
 """
@@ -35,6 +40,8 @@ from arenaflow.llm.components import components
 from arenaflow.llm.frames import partitions, stored, texts_of, with_columns
 
 POSITIONS = 64
+#: Positions compared, by one byte each.
+COMPARED = 256
 SMALL = 1024
 PIVOTS = 4
 SEED = 42
@@ -82,22 +89,22 @@ def shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:
     return found
 
 
-def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """``POSITIONS`` minwise tokens of every set, 32 bits each; all ones for an empty set."""
+def sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of every set, ``POSITIONS`` minwise tokens for branching and a byte of each of ``COMPARED`` ones; ones if empty."""
     draw = np.random.default_rng(SEED)
-    factors = draw.integers(0, 1 << 63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    offsets = draw.integers(0, 1 << 63, POSITIONS, dtype=np.uint64)
-    found = np.full((len(sets), POSITIONS), 0xFFFFFFFF, np.uint32)
+    factors = draw.integers(0, 1 << 31, COMPARED, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    offsets = draw.integers(0, 1 << 32, COMPARED, dtype=np.uint32)
+    found = np.full((COMPARED, len(sets)), 0xFFFFFFFF, np.uint32)
     sizes = np.array([len(own) for own in sets], np.int64)
     filled = np.flatnonzero(sizes)
-    if not len(filled):
-        return found
-    tokens = np.concatenate([sets[row] for row in filled])
-    starts = np.concatenate([[0], np.cumsum(sizes[filled])[:-1]])
-    for position in range(POSITIONS):
-        values = (tokens + offsets[position]) * factors[position]
-        found[filled, position] = np.minimum.reduceat(values, starts) >> np.uint64(32)
-    return found
+    if len(filled):
+        tokens = np.concatenate([sets[row] for row in filled])
+        tokens = (tokens ^ (tokens >> np.uint64(32))).astype(np.uint32)
+        starts = np.concatenate([[0], np.cumsum(sizes[filled])[:-1]])
+        for position in range(COMPARED):
+            found[position, filled] = np.minimum.reduceat((tokens + offsets[position]) * factors[position], starts)
+    found = np.ascontiguousarray(found.T)
+    return found[:, :POSITIONS], found.astype(np.uint8)
 
 
 def trees(similarity: float, missed: float = 1e-4) -> int:
@@ -111,8 +118,8 @@ def trees(similarity: float, missed: float = 1e-4) -> int:
 
 
 def least_agreeing(similarity: float) -> int:
-    """Positions in which a pair agrees at least, but for about one in a million."""
-    return math.floor(POSITIONS * similarity - 4.8 * math.sqrt(POSITIONS * similarity * (1 - similarity)))
+    """Compared positions in which a pair agrees at least, but for about one in a hundred thousand."""
+    return math.floor(COMPARED * similarity - 4.3 * math.sqrt(COMPARED * similarity * (1 - similarity)))
 
 
 # trees
@@ -127,16 +134,16 @@ def _branch(node: np.ndarray, sketch: np.ndarray) -> np.ndarray:
                      for taken in (first, second)], axis=1)
 
 
-def _sketch_matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, POSITIONS)
+def _matrix(column: pa.Array, kind: type, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
 def _children(batches: Iterator[pa.RecordBatch], roots: list[int] | None) -> Iterator[pa.RecordBatch]:
-    """``a`` node, ``b`` class for the children of every row (``cls, sketch`` and, below the roots, ``node``)."""
+    """``a`` node, ``b`` class for the children of every row (``cls, tokens`` and, below the roots, ``node``)."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        cls, sketch = batch.column(0).to_numpy(), _sketch_matrix(batch.column(1))
+        cls, sketch = batch.column(0).to_numpy(), _matrix(batch.column(1), np.uint32, POSITIONS)
         nodes = ([np.full(len(cls), root, np.uint64) for root in roots] if roots is not None
                  else [batch.column(2).to_numpy().view(np.uint64)])
         for node in nodes:
@@ -146,13 +153,19 @@ def _children(batches: Iterator[pa.RecordBatch], roots: list[int] | None) -> Ite
 
 
 def _agreeing(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    return (one == two).sum(axis=1)
+    return np.count_nonzero(one == two, axis=1)
 
 
 def _pivot_pairs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """``a`` pivot, ``b`` document: pairs that agree among rows ``cls, label, bits, pivots``."""
     for batch in batches:
-        close = _agreeing(_sketch_matrix(batch.column(2)), _sketch_matrix(batch.column(3))) >= least
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=_EDGES).filter(pa.array(close))
+        cls, label, bits = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2), np.uint8, COMPARED)
+        lists = batch.column(3)
+        row = np.repeat(np.arange(len(cls)), lists.value_lengths().to_numpy())
+        drawn = lists.flatten()
+        pivot, pivot_label = drawn.field("pivot").to_numpy(), drawn.field("label").to_numpy()
+        close = (label[row] != pivot_label) & (_agreeing(bits[row], _matrix(drawn.field("bits"), np.uint8, COMPARED)) >= least)
+        yield pa.RecordBatch.from_arrays([pa.array(pivot[close]), pa.array(cls[row[close]])], schema=_EDGES)
 
 
 def _whole_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -171,105 +184,128 @@ def _whole_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _small_pairs(batches: Iterator[pa.RecordBatch], least: int, forest: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs of unconnected documents of small nodes that agree; with ``forest``, only what connects them.
+def _owned_pairs(table: pa.Table, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the pairs to decide in these whole nodes, and their agreement.
 
-    Rows are ``node, cls, label, lead, sketch``; one of a pair must lead.
+    Rows are ``chunk, cls, label, lead, node, nodes, bits``: a pair is of unconnected documents of a
+    chunk, one of them leads, they agree, and no earlier node holds both.
     """
+    chunk, cls, label, lead, node = (table.column(at).to_numpy() for at in range(5))
+    nodes, bits = table.column(5).to_pylist(), _matrix(table.column(6), np.uint8, COMPARED)
+    left, right, agreed = [], [], []
+    for step in range(1, len(chunk)):
+        one = np.flatnonzero(chunk[step:] == chunk[:-step])
+        if not len(one):
+            break
+        one = one[(label[one] != label[one + step]) & (lead[one] | lead[one + step])]
+        same = _agreeing(bits[one], bits[one + step])
+        kept = [at for at in np.flatnonzero(same >= least).tolist()
+                if min(set(nodes[one[at]]).intersection(nodes[one[at] + step])) == node[one[at]]]
+        left.append(one[kept])
+        right.append(one[kept] + step)
+        agreed.append(same[kept])
+    return tuple(np.concatenate([*side, np.empty(0, np.int64)]).astype(np.int64) for side in (left, right, agreed))
+
+
+def _involved(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """``a`` chunk, ``b`` class of the documents with a pair to decide in the chunk."""
     for table in _whole_nodes(batches):
         table = table.combine_chunks()
-        node, cls, label, lead = (table.column(at).to_numpy() for at in range(4))
-        sketch = _sketch_matrix(table.column(4))
-        left, right = [], []
-        for step in range(1, len(node)):
-            one = np.flatnonzero(node[step:] == node[:-step])
-            if not len(one):
-                break
-            one = one[(label[one] != label[one + step]) & (lead[one] | lead[one + step])]
-            one = one[_agreeing(sketch[one], sketch[one + step]) >= least]
-            left.append(one)
-            right.append(one + step)
-        left, right = (np.concatenate([*side, np.empty(0, np.int64)]).astype(np.int64) for side in (left, right))
-        if forest:
-            parent: dict[tuple[int, int], tuple[int, int]] = {}
-
-            def top(key):
-                while parent.get(key, key) != key:
-                    parent[key] = parent.get(parent[key], parent[key])
-                    key = parent[key]
-                return key
-
-            kept = []
-            for at, (one, two) in enumerate(zip(left.tolist(), right.tolist())):
-                low, high = top((int(node[one]), int(label[one]))), top((int(node[two]), int(label[two])))
-                if low != high:
-                    parent[low] = high
-                    kept.append(at)
-            left, right = left[kept], right[kept]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[left], cls[right])),
-                                          pa.array(np.maximum(cls[left], cls[right]))], schema=_EDGES)
+        left, right, _ = _owned_pairs(table, least)
+        rows = np.unique(np.concatenate([left, right]))
+        yield pa.RecordBatch.from_arrays([pa.array(table.column(at).to_numpy()[rows]) for at in (0, 1)], schema=_EDGES)
 
 
-def _resemble(batches: Iterator[pa.RecordBatch], similarity: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """The pairs (``a, b, one, two``) whose sets have this similarity or more, as a fraction."""
+def _decided(batches: Iterator[pa.RecordBatch], least: int, similarity: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """Links of the documents involved (with their set as the last column) that connect what was not connected."""
+    for table in _whole_nodes(batches):
+        table = table.combine_chunks()
+        chunk, cls, label = (table.column(at).to_numpy() for at in range(3))
+        left, right, agreed = _owned_pairs(table, least)
+        sets = [np.frombuffer(value.as_buffer(), np.uint64) for value in table.column(7).chunk(0)] if len(left) else []
+        parent: dict[tuple[int, int], tuple[int, int]] = {}
+
+        def top(key):
+            while parent.get(key, key) != key:
+                parent[key] = parent.get(parent[key], parent[key])
+                key = parent[key]
+            return key
+
+        links = []
+        for at in np.argsort(-agreed, kind="stable").tolist():
+            one, two = int(left[at]), int(right[at])
+            low, high = top((int(chunk[one]), int(label[one]))), top((int(chunk[two]), int(label[two])))
+            if low != high and _alike(sets[one], sets[two], similarity):
+                parent[low] = high
+                links.append((int(cls[one]), int(cls[two])))
+        found = np.array(links, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], schema=_EDGES)
+
+
+def _alike(one: np.ndarray, two: np.ndarray, similarity: tuple[int, int]) -> bool:
+    """Whether two sorted sets have this Jaccard similarity or more, as a fraction."""
     over, under = similarity
+    if len(one) > len(two):
+        one, two = two, one
+    if not len(one) or under * len(one) < over * len(two):
+        return False
+    both = int(np.count_nonzero(two[np.minimum(np.searchsorted(two, one), len(two) - 1)] == one))
+    return under * both >= over * (len(one) + len(two) - both)
+
+
+def _resemble(batches: Iterator[pa.RecordBatch], similarity: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """The pairs (``a, b, one, two``) whose sets have this similarity or more."""
     for batch in batches:
-        kept = np.zeros(batch.num_rows, bool)
-        for at, (one, two) in enumerate(zip(batch.column(2), batch.column(3))):
-            one, two = (np.frombuffer(value.as_buffer(), np.uint64) for value in (one, two))
-            if under * min(len(one), len(two)) >= over * max(len(one), len(two)):
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                kept[at] = under * both >= over * (len(one) + len(two) - both)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=_EDGES).filter(pa.array(kept))
+        kept = [_alike(np.frombuffer(one.as_buffer(), np.uint64), np.frombuffer(two.as_buffer(), np.uint64), similarity)
+                for one, two in zip(batch.column(2), batch.column(3))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=_EDGES).filter(pa.array(kept, pa.bool_()))
 
 
-class _Verifier:
-    """Confirms pairs of classes on their full sets; a set is made from its text once, when first asked for."""
+class _Sets:
+    """Full sets of classes, each made from its text once, when first asked for."""
 
-    def __init__(self, documents: DataFrame, classes: DataFrame, size: int, similarity: tuple[int, int]):
-        self.documents, self.size, self.similarity = documents, size, similarity
+    def __init__(self, documents: DataFrame, classes: DataFrame, size: int):
+        self.documents, self.size = documents, size
         self.places = classes.select("cls", "_id", "_hash")
-        self.sets: DataFrame | None = None
-        self.links: DataFrame | None = None
-        self.tried: DataFrame | None = None
-
-    def confirm(self, pairs: DataFrame) -> None:
-        """Add the links among pairs ``a, b`` to those found so far."""
-        pairs = pairs.distinct()
-        pairs = stored(pairs if self.tried is None else pairs.join(self.tried, ["a", "b"], "left_anti"), "asked-pairs")
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-        if self.sets is not None:
-            asked = asked.join(self.sets, "cls", "left_anti")
+        self.known: DataFrame | None = None
+
+    def of(self, asked: DataFrame) -> DataFrame:
+        """``cls, _set`` of the classes asked for (``cls``, distinct), among others."""
+        if self.known is not None:
+            asked = asked.join(self.known, "cls", "left_anti")
         bucket = F.pmod(F.xxhash64("_id", "_hash"), F.lit(BUCKETS))
         places = stored(asked.join(self.places, "cls").withColumn("_bucket", bucket), "asked-places")
         near = self.documents.withColumn("_bucket", bucket).join(
             F.broadcast(places.select("_bucket").distinct()), "_bucket", "left_semi").drop("_bucket")
         texts = near.join(places.select("cls", F.col("_id").alias("_asked"), "_hash"), "_hash").where(
-            F.col("_id").eqNullSafe(F.col("_asked"))).select("cls", "_text")
+            F.col("_id").eqNullSafe(F.col("_asked"))).select("cls", "_text").dropDuplicates(["cls"])
         size = self.size
 
         def start():
             return lambda batch: [[own.tobytes() for own in shingle_sets(texts_of(batch, "_text"), size)]]
 
-        made = stored(with_columns(texts, [T.StructField("_set", T.BinaryType())], start, "_text").select(
-            "cls", "_set"), "sets")
-        self.sets = made if self.sets is None else self.sets.unionAll(made)
-        sets, similarity = self.sets.dropDuplicates(["cls"]), self.similarity
-        both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("_set").alias("one")), "a").join(
-            sets.select(F.col("cls").alias("b"), F.col("_set").alias("two")), "b").select("a", "b", "one", "two")
-        links = stored(both.mapInArrow(lambda batches: _resemble(batches, similarity), "a long, b long"), "links")
-        self.links = links if self.links is None else self.links.unionAll(links)
-        self.tried = pairs if self.tried is None else self.tried.unionAll(pairs)
+        made = stored(with_columns(texts, [T.StructField("_set", T.BinaryType())], start, "_text").select("cls", "_set"), "sets")
+        self.known = made if self.known is None else self.known.unionAll(made)
+        return self.known
+
 
-    def labels(self) -> DataFrame:
-        return components(self.links).select(F.col("vertex").alias("cls"), F.col("root").alias("label"))
+def _star_labels(links: DataFrame) -> DataFrame:
+    """``cls, label`` of the documents linked to pivots (``a``): stars are contracted before components are sought."""
+    stars = stored(links.groupBy("b").agg(F.min("a").alias("star")), "stars")
+    between = links.join(stars, "b").select("star", "a")
+    roots = components(between, "star", "a")
+    every = stars.select(F.col("b").alias("cls"), "star").unionAll(
+        links.select(F.col("a").alias("cls"), F.col("a").alias("star")).distinct())
+    # A document may be a pivot and linked to another one: both say the same in the end.
+    named = every.join(roots, F.col("star") == F.col("vertex"), "left").select("cls", F.coalesce("root", "star").alias("label"))
+    return stored(named.groupBy("cls").agg(F.min("label").alias("label")), "labels")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Rows with the component of their class as ``label``, in nodes that still hold several.
 
     ``members`` is the size of the node, ``major`` its largest component and
-    ``work`` the number of pairs left: members outside that component times all.
+    ``least`` the smaller of the size and the number of members outside that component.
     """
     named = rows.select("node", "cls", F.col("cls").alias("label")) if labels is None else rows.select("node", "cls").join(
         labels, "cls", "left").select("node", "cls", F.coalesce("label", "cls").alias("label"))
@@ -278,77 +314,88 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
                                       F.count(F.lit(1)).alias("parts")).where("parts > 1")
     return named.join(sizes.select(
         "node", "members", F.col("most.label").alias("major"),
-        (F.col("members") * (F.col("members") - F.col("most.part"))).alias("work")), "node")
+        F.when(F.col("members") <= SMALL, F.col("members")).otherwise(F.col("members") - F.col("most.part")).alias("least")), "node")
 
 
 def _in_chunks(rows: DataFrame) -> DataFrame:
-    """Small nodes as they are compared: above ``SMALL`` members, those outside the largest component meet all in chunks."""
+    """``chunk, cls, label, lead, node`` of small nodes: above ``SMALL`` members, those outside the largest component visit all chunks."""
     chunks = F.ceil(F.col("members") / F.lit(SMALL)).cast("long")
-    number = F.explode(F.when(F.col("members") <= SMALL, F.array(F.lit(-1).cast("long"))).when(
-        F.col("label") != F.col("major"), F.sequence(F.lit(-1).cast("long"), chunks - 1)).otherwise(
-        F.array(F.lit(-1).cast("long"))))
-    own = F.pmod(F.xxhash64("cls"), chunks)
-    spread = rows.select("node", "cls", "label", "members", own.alias("own"), number.alias("number"))
-    # Number -1 stands for the document in its own chunk, the others for a leader that visits a chunk.
-    whole = F.col("members") <= SMALL
+    whole, home = F.col("members") <= SMALL, F.array(F.lit(-1).cast("long"))
+    visits = F.when(~whole & (F.col("label") != F.col("major")), F.sequence(F.lit(-1).cast("long"), chunks - 1)).otherwise(home)
+    spread = rows.select("node", "cls", "label", "members", F.pmod(F.xxhash64("cls"), chunks).alias("own"),
+                         F.explode(visits).alias("visit"))
     return spread.select(
-        F.when(whole, F.col("node")).otherwise(F.xxhash64("node", F.when(F.col("number") < 0, F.col("own")).otherwise(
-            F.col("number")))).alias("node"), "cls", "label", (whole | (F.col("number") >= 0)).alias("lead"))
+        F.when(whole, F.col("node")).otherwise(F.xxhash64("node", F.when(F.col("visit") < 0, F.col("own")).otherwise(
+            F.col("visit")))).alias("chunk"), "cls", "label", (whole | (F.col("visit") >= 0)).alias("lead"), "node")
 
 
 def _pivots(rows: DataFrame) -> DataFrame:
-    """``node, pivot, pivot_label`` for a few documents of every node, drawn by component so that small ones get their turn."""
+    """``node, cls, label`` for a few documents of every node, drawn by component so that small ones get their turn."""
     drawn = rows.groupBy("node").agg(*[
         F.min(F.struct(F.xxhash64("label", "node", F.lit(turn)), F.xxhash64("cls", F.lit(turn)), "cls", "label")).alias(f"p{turn}")
         for turn in range(PIVOTS)])
-    return drawn.select("node", F.explode(F.array_distinct(F.array(*[F.struct(
-        F.col(f"p{turn}.cls").alias("pivot"), F.col(f"p{turn}.label").alias("pivot_label")) for turn in range(PIVOTS)]))).alias(
-        "drawn")).select("node", "drawn.*")
+    return drawn.select("node", F.explode(F.array_distinct(F.array(*[
+        F.struct(F.col(f"p{turn}.cls"), F.col(f"p{turn}.label")) for turn in range(PIVOTS)]))).alias("drawn")).select("node", "drawn.*")
 
 
 def class_links(documents: DataFrame, classes: DataFrame, size: int, similarity: tuple[int, int],
-                missed: float = 1e-4) -> DataFrame | None:
-    """``cls, label``: components of the classes by the links found; none where no pair was a candidate."""
-    over, under = similarity
-    least, share = least_agreeing(over / under), over / under
+                missed: float = 1e-4) -> DataFrame:
+    """``cls, label``: components of the classes with a link."""
+    spark = documents.sparkSession
+    share = similarity[0] / similarity[1]
+    least = least_agreeing(share)
     # Two sets of fewer shingles than this are equal or below the similarity.
     fewest = math.ceil(share / (1 - share) - 1e-9)
-    taking_part = classes.where(F.col("n") >= fewest).select("cls", "sketch")
+    taking_part = classes.where(F.col("n") >= fewest).select("cls", "tokens", "bits")
     roots = [int.from_bytes(hashlib.sha256(f"tree {tree}".encode()).digest()[:8], "big") for tree in range(trees(share, missed))]
-    verifier, labels = _Verifier(documents, classes, size, similarity), None
-    below = taking_part.mapInArrow(lambda batches: _children(batches, roots), "a long, b long")
+    sets, labels, links = _Sets(documents, classes, size), None, None
+    below = taking_part.select("cls", "tokens").mapInArrow(lambda batches: _children(batches, roots), "a long, b long")
     small: list[DataFrame] = []
     while True:
         rows = stored(below.select(F.col("a").alias("node"), F.col("b").alias("cls")), "children")
         members = stored(_labelled(rows, labels), "nodes")
-        small.append(members.where(F.col("work") <= SMALL * SMALL).select("node", "cls"))
-        large = members.where(F.col("work") > SMALL * SMALL)
+        small.append(members.where(F.col("least") <= SMALL).select("node", "cls"))
+        large = members.where(F.col("least") > SMALL)
         if large.isEmpty():
             break
-        large = stored(large.join(taking_part, "cls").select("cls", "sketch", "node", "label"), "large-nodes")
-        chosen = _pivots(large).join(taking_part, F.col("pivot") == F.col("cls")).select(
-            "node", "pivot", "pivot_label", F.col("sketch").alias("pivot_sketch"))
-        met = large.join(chosen, "node").where("label <> pivot_label").select(
-            F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b"), "sketch", "pivot_sketch")
-        verifier.confirm(met.mapInArrow(lambda batches: _pivot_pairs(batches, least), "a long, b long"))
-        labels = verifier.labels()
+        chosen = _pivots(large).join(taking_part.select("cls", "bits"), "cls").groupBy("node").agg(
+            F.collect_list(F.struct(F.col("cls").alias("pivot"), "label", "bits")).alias("pivots"))
+        met = large.select("node", "cls", "label").join(taking_part.select("cls", "bits"), "cls").join(chosen, "node").select(
+            "cls", "label", "bits", "pivots")
+        pairs = stored(met.mapInArrow(lambda batches: _pivot_pairs(batches, least), "a long, b long").distinct(), "pivot-pairs")
+        known = sets.of(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
+        both = pairs.join(known.select(F.col("cls").alias("b"), F.col("_set").alias("two")), "b").join(
+            known.select(F.col("cls").alias("a"), F.col("_set").alias("one")), "a").select("a", "b", "one", "two")
+        found = stored(both.mapInArrow(lambda batches: _resemble(batches, similarity), "a long, b long"), "links")
+        links = found if links is None else links.unionAll(found)
+        labels = _star_labels(links)
         # Nodes that the pivots have all but connected do not branch.
         members = stored(_labelled(large, labels), "thinned-nodes")
-        small.append(members.where(F.col("work") <= SMALL * SMALL).select("node", "cls"))
-        open_ = members.where(F.col("work") > SMALL * SMALL)
+        small.append(members.where(F.col("least") <= SMALL).select("node", "cls"))
+        open_ = members.where(F.col("least") > SMALL)
         if open_.isEmpty():
             break
-        below = open_.join(taking_part, "cls").select("cls", "sketch", "node").mapInArrow(
+        below = open_.select("node", "cls").join(taking_part, "cls").select("cls", "tokens", "node").mapInArrow(
             lambda batches: _children(batches, None), "a long, b long")
     members = small[0]
     for more in small[1:]:
         members = members.unionAll(more)
-    for forest in (True, False):
-        open_ = _in_chunks(_labelled(members, labels)).join(taking_part, "cls").select("node", "cls", "label", "lead", "sketch")
-        dealt = open_.repartition(partitions(documents.sparkSession), "node").sortWithinPartitions("node")
-        verifier.confirm(dealt.mapInArrow(lambda batches, only=forest: _small_pairs(batches, least, only), "a long, b long"))
-        labels = verifier.labels()
-    return labels
+    members = stored(_labelled(members, labels).select("node", "cls", "label", "members", "major"), "small-nodes")
+    places = members.groupBy("cls").agg(F.collect_list("node").alias("nodes"))
+
+    def dealt(rows: DataFrame, *besides: str) -> DataFrame:
+        named = rows.join(places, "cls").join(taking_part.select("cls", "bits"), "cls").select(
+            "chunk", "cls", "label", "lead", "node", "nodes", "bits", *besides)
+        return named.repartition(partitions(spark), "chunk").sortWithinPartitions("chunk")
+
+    rows = stored(_in_chunks(members), "chunks")
+    involved = stored(dealt(rows).mapInArrow(lambda batches: _involved(batches, least), "a long, b long").select(
+        F.col("a").alias("chunk"), F.col("b").alias("cls")).distinct(), "involved")
+    known = sets.of(involved.select("cls").distinct())
+    asked = rows.join(involved, ["chunk", "cls"]).join(known, "cls")
+    found = stored(dealt(asked, "_set").mapInArrow(lambda batches: _decided(batches, least, similarity), "a long, b long"), "links")
+    links = found if links is None else links.unionAll(found)
+    return components(links).select(F.col("vertex").alias("cls"), F.col("root").alias("label"))
 
 
 def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 5,
@@ -373,14 +420,14 @@ def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc
             digests = np.frombuffer(b"".join(hashlib.blake2b(own.tobytes(), digest_size=16).digest() for own in sets),
                                     np.int64).reshape(-1, 2)
             return [[len(own) for own in sets], pa.array(digests[:, 0]), pa.array(digests[:, 1]),
-                    [row.tobytes() for row in sketches(sets)]]
+                    *([row.tobytes() for row in side] for side in sketches(sets))]
 
         return make
 
     long = T.LongType()
     signed = stored(with_columns(source, [
         T.StructField("n", long), T.StructField("_d0", long), T.StructField("_d1", long),
-        T.StructField("sketch", T.BinaryType())], start, "_text").drop("_text").withColumn(
+        T.StructField("tokens", T.BinaryType()), T.StructField("bits", T.BinaryType())], start, "_text").drop("_text").withColumn(
         "row", F.monotonically_increasing_id()), "sketches")
     firsts = stored(signed.where("n > 0").groupBy("_d0", "_d1").agg(
         F.min("row").alias("cls"), F.min("_id").alias("lowest")), "classes")

@@ -45,8 +45,8 @@ def edited(draw, words, share):
 
 
 def test_large_families_and_common_words(spark, monkeypatch):
-    # Small nodes of 32 make the families branch, meet pivots and be cut into chunks.
-    monkeypatch.setattr(chosen_path, "SMALL", 32)
+    # Small nodes of 48 make the families meet pivots, branch and be cut into chunks.
+    monkeypatch.setattr(chosen_path, "SMALL", 48)
     draw = random.Random(3)
     vocabulary = [f"w{number}" for number in range(300)]
     rows, bases = [], [draw.choices(vocabulary, k=60) for _ in range(2)]
