@@ -12,7 +12,7 @@ from arenaflow.plans.registry import query
 from arenaflow.plans.tables import Telemetry
 from arenaflow.schemas import staged_name, table_schema
 from arenaflow.session import scratch_path
-from arenaflow.sources import catalog, manifest, staged
+from arenaflow.sources import blobs, catalog, inspection, manifest, staged
 
 # --- staged rows ----------------------------------------------------------------------------
 
@@ -208,6 +208,169 @@ def blob_digest_violations(t: Telemetry) -> DataFrame:
     return staged.blob_digest_violations(_staged_tables(t)["blobs"].withColumn("value", F.unbase64("encoded")))
 
 
+# --- staged files ---------------------------------------------------------------------------
+
+_SCANNED = {
+    "records": "SELECT extraction_id, sequence AS key FROM ev",
+    "combatEvents": "SELECT extraction_id, sequence FROM ev",
+    "entityInstances": "SELECT DISTINCT extraction_id, slot FROM ev",
+    "entityEvents": "SELECT extraction_id, sequence FROM ev WHERE kind = 'click'",
+    "propertyUpdates": "SELECT extraction_id, sequence FROM ev WHERE kind = 'view'",
+    "checkpoints": "SELECT extraction_id, sequence FROM ev WHERE kind = 'purchase'",
+    "blobs": "SELECT extraction_id, sequence FROM ev WHERE kind = 'error'",
+    "heroPositions": "SELECT extraction_id, max(sequence) FROM ev GROUP BY extraction_id, slot, t_ms // 100",
+    "winProbability": "SELECT extraction_id, max(sequence) FROM ev WHERE kind = 'view' GROUP BY extraction_id, t_ms",
+}
+_KEYS = {"entityInstances": "entity_instance_id", "winProbability": "sample_index"}
+
+
+def _write_lines(lines: DataFrame, folder: str) -> None:
+    """NDJSON files in a folder for each extraction; every 97th row arrives cut off."""
+    text = F.when(F.col("key") % 97 == 5, F.expr("substring(value, 1, length(value) div 2)")).otherwise(F.col("value"))
+    lines.select("extraction_id", text.alias("value")).repartition("extraction_id").write.partitionBy(
+        "extraction_id").text(folder)
+
+
+@query("extraction_id:s table_name:s rows:i rescued_rows:i foreign_rows:i key_sum:i", """
+SELECT extraction_id, table_name, count(*) AS rows, count(*) FILTER (WHERE key % 97 = 5) AS rescued_rows, 0 AS foreign_rows,
+  sum(key) FILTER (WHERE key % 97 <> 5) AS key_sum
+FROM (""" + " UNION ALL ".join(f"SELECT '{name}' AS table_name, x.* FROM ({sql}) x" for name, sql in _SCANNED.items())
+       + ") GROUP BY ALL")
+def scanned_staged_tables(t: Telemetry) -> DataFrame:
+    """All nine staged tables written as files, one folder an extraction, and scanned."""
+    folder = scratch_path(t.spark, "staged")
+    tables = _staged_tables(t) | {
+        "combatEvents": t.combat,
+        "heroPositions": t.positions.withColumnRenamed("player_slot", "game_player_id"), "winProbability": t.probability}
+    found = None
+    for name, frame in tables.items():
+        key = _KEYS.get(name, "sequence")
+        if name == "winProbability":
+            lines = frame.select("extraction_id", F.col(key).alias("key"), F.to_json(F.struct(
+                F.col("extraction_id").alias("extractionId"), F.col("sample_index").alias("sampleIndex"),
+                F.col("game_time_seconds").alias("gameTimeSeconds"),
+                F.col("radiant_probability").alias("radiantProbability"), "source")).alias("value"))
+        else:
+            fields = [F.col("encoded" if (name, field.name) == ("blobs", "value") else field.name).alias(
+                staged_name(name, field.name)) for field in table_schema(name).fields
+                if field.name in frame.columns or (name, field.name) == ("blobs", "value")]
+            lines = frame.select("extraction_id", F.col(key).alias("key"), F.to_json(F.struct(*fields)).alias("value"))
+        _write_lines(lines, f"{folder}/{name}")
+        if name == "winProbability":
+            scanned = staged.probability_objects(staged.read_probability_lines(t.spark, f"{folder}/{name}/*")).select(
+                F.col("extraction_id").alias(staged.OWNER), F.col("extraction_id"), F.col(key).alias("key"),
+                F.col("invalid").alias("broken"))
+        else:
+            scanned = staged.scan_staged(t.spark, f"{folder}/{name}/*", name).select(
+                staged.OWNER, "extraction_id", F.col(key).alias("key"), F.col("rescued").isNotNull().alias("broken"))
+        scanned = scanned.withColumn("table_name", F.lit(name))
+        found = scanned if found is None else found.unionByName(scanned)
+    sound = ~F.col("broken")
+    return found.groupBy(F.col(staged.OWNER).alias("owner"), "table_name").agg(
+        F.count("*").alias("rows"), F.count_if("broken").alias("rescued_rows"),
+        F.count_if(sound & (F.col("extraction_id") != F.col(staged.OWNER))).alias("foreign_rows"),
+        F.sum(F.when(sound, F.col("key"))).alias("key_sum")).withColumnRenamed("owner", "extraction_id")
+
+
+_FILES = {"lines": """
+SELECT o_orderkey // 1000 AS n, 'f' || (o_orderkey // 1000) AS extraction_id, o_orderkey,
+  '{"order":' || o_orderkey || ',"customer":' || o_custkey || '}' || chr(10) AS line FROM orders"""}
+
+
+def _order_lines(t: Telemetry) -> DataFrame:
+    return t.table("orders").select(
+        F.expr("o_orderkey div 1000").alias("n"), F.concat(F.lit("f"), F.expr("o_orderkey div 1000")).alias("extraction_id"),
+        "o_orderkey", F.concat(F.lit('{"order":'), "o_orderkey", F.lit(',"customer":'), "o_custkey", F.lit("}")).alias("value"))
+
+
+def _inspected(t: Telemetry) -> DataFrame:
+    folder = scratch_path(t.spark, "order-files")
+    _order_lines(t).repartition("extraction_id").sortWithinPartitions("extraction_id", "o_orderkey").select(
+        "extraction_id", "value").write.partitionBy("extraction_id").text(folder)
+    # Pieces far smaller than a file, so that digests and counts run over several.
+    return inspection.inspect_files(t.spark, folder, ".txt", piece_bytes=4096).withColumn("path", F.lit("orders.ndjson"))
+
+
+@query("extraction_id:s actual_bytes:i actual_sha256:s actual_records:i ends_with_newline:b", """
+SELECT extraction_id, sum(strlen(line)) AS actual_bytes, sha256(string_agg(line, '' ORDER BY o_orderkey)) AS actual_sha256,
+  count(*) AS actual_records, true AS ends_with_newline FROM lines GROUP BY extraction_id""", _FILES)
+def inspected_files(t: Telemetry) -> DataFrame:
+    return _inspected(t)
+
+
+@query("extraction_id:s logical:s problem:s", """
+SELECT DISTINCT extraction_id, 'records' AS logical, CASE n % 7 WHEN 1 THEN 'size mismatch' WHEN 2 THEN 'checksum mismatch'
+  WHEN 3 THEN 'record count mismatch' END AS problem FROM lines WHERE n % 7 IN (1, 2, 3)
+UNION ALL SELECT DISTINCT 'g' || extraction_id, 'records', 'missing file' FROM lines WHERE n % 7 = 4""", _FILES)
+def staged_file_violations(t: Telemetry) -> DataFrame:
+    """Files against what a manifest says of them; three kinds of entries are wrong and some files are not there."""
+    number = F.col("n") % 7
+    declared = _order_lines(t).groupBy("n", "extraction_id").agg(
+        F.sum(F.length("value") + 1).alias("bytes"), F.count("*").alias("records"), F.sha2(F.concat(F.array_join(F.transform(
+            F.array_sort(F.collect_list(F.struct("o_orderkey", "value"))), lambda row: row["value"]), "\n"), F.lit("\n")).cast(
+            "binary"), 256).alias("sha256")).select(
+        F.when(number == 4, F.concat(F.lit("g"), "extraction_id")).otherwise(F.col("extraction_id")).alias("extraction_id"),
+        F.lit("records").alias("logical"), F.lit("orders.ndjson").alias("path"),
+        (F.col("bytes") + F.when(number == 1, 1).otherwise(0)).alias("bytes"),
+        (F.col("records") + F.when(number == 3, 1).otherwise(0)).alias("records"),
+        F.when(number == 2, "0" * 64).otherwise(F.col("sha256")).alias("sha256"))
+    return manifest.verify_staged_files(declared, _inspected(t))
+
+
+# --- binary values --------------------------------------------------------------------------
+
+_NOTE = r'{\"encoding\":\"base64\",\"valueBase64\":\"QQ==\"}'
+
+
+def _bytes_json(path: str, value: str) -> str:
+    return f"""'{{"encoding":"base64","fieldPath":"{path}","valueBase64":"' || to_base64(encode({value})) || '"}}'"""
+
+
+_BINARY = {
+    "written": f"""
+SELECT coalesce(source, '') AS extraction_id, doc_id AS sequence, coalesce(text, '') AS body, coalesce(lang, '') AS tag FROM documents""",
+    "whole": f"""
+SELECT extraction_id, sequence, '{{"doc":' || sequence || ',"note":"{_NOTE}","parts":[{{"data":' || {_bytes_json("parts[0].data", "body")}
+  || '}},{{"data":' || {_bytes_json("parts[1].data", "tag")} || ',"deep":[[' || {_bytes_json("parts[1].deep[0][0]", "tag")}
+  || ']]}}]}}' AS payload FROM written""",
+    "taken": f"""
+SELECT extraction_id, sequence, '{{"doc":' || sequence || ',"note":"{_NOTE}","parts":[{{"data":{{"blobId":"' || sha256(body)
+  || '"}}}},{{"data":{{"blobId":"' || sha256(tag) || '"}},"deep":[[{{"blobId":"' || sha256(tag) || '"}}]]}}]}}' AS payload FROM written""",
+}
+
+
+def _binary_documents(t: Telemetry) -> DataFrame:
+    """Every document as a record that holds its text and language as bytes, two of them equal and one deep inside."""
+    def data(path: str, value: Column) -> Column:
+        coded = F.regexp_replace(F.base64(F.coalesce(value, F.lit("")).cast("binary")), r"\s", "")
+        return F.struct(coded.alias("valueBase64"), F.lit("base64").alias("encoding"), F.lit(path).alias("fieldPath"))
+
+    text, lang = F.col("text"), F.col("lang")
+    parts = F.concat(F.lit("["), F.to_json(F.struct(data("parts[0].data", text).alias("data"))), F.lit(", "), F.to_json(F.struct(
+        F.array(F.array(data("parts[1].deep[0][0]", lang))).alias("deep"), data("parts[1].data", lang).alias("data"))), F.lit("]"))
+    return t.table("documents").select(
+        F.coalesce("source", F.lit("")).alias("extraction_id"), F.col("doc_id").alias("sequence"), F.concat(
+            F.lit('{"parts": '), parts, F.lit(', "note": "' + _NOTE + '", "doc": '), "doc_id", F.lit("}")).alias("payload"))
+
+
+@query("extraction_id:s record_sequence:i field_path:s blob_id:s size:i", """
+SELECT extraction_id, sequence AS record_sequence, 'parts[0].data' AS field_path, sha256(body) AS blob_id, strlen(body) AS size FROM written
+UNION ALL SELECT extraction_id, sequence, unnest(['parts[1].data', 'parts[1].deep[0][0]']), sha256(tag), strlen(tag) FROM written""", _BINARY)
+def extracted_blobs(t: Telemetry) -> DataFrame:
+    return blobs.extract_blobs(_binary_documents(t))[1].withColumn("size", F.octet_length("value"))
+
+
+@query("extraction_id:s sequence:i payload:s", "SELECT * FROM taken", _BINARY)
+def blob_documents(t: Telemetry) -> DataFrame:
+    return blobs.extract_blobs(_binary_documents(t))[0]
+
+
+@query("extraction_id:s sequence:i payload_sha256:s", "SELECT *, sha256(payload) AS payload_sha256 FROM whole", _BINARY)
+def restored_documents(t: Telemetry) -> DataFrame:
+    documents_, taken = blobs.extract_blobs(_binary_documents(t))
+    return blobs.restore_blobs(documents_, taken).withColumn("payload_sha256", F.sha2("payload", 256))
+
+
 @query("extraction_id:s table_name:s stored_rows:i expected_rows:i rejected_rows:i orphan_rows:i distinct_sequences:i consistent:b",
        """
 SELECT *, stored_rows = expected_rows AND rejected_rows = 0 AND orphan_rows = 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arenaflow import fixed_values as fixed
@@ -83,35 +83,14 @@ def enforce_limits(manifests: DataFrame) -> DataFrame:
     )
 
 
-def inspect_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Size, digest, newline count and trailing newline of staged files.
-
-    One file is one row, read by the executors through the binary file source.
-    """
-    content = F.col("content")
-    text = F.decode(content, "ISO-8859-1")
-    return spark.read.format("binaryFile").load(paths).select(
-        F.col("path").alias("location"),
-        F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("extraction_id"),
-        F.regexp_extract("path", "([^/]+)$", 1).alias("path"),
-        F.col("length").alias("actual_bytes"),
-        F.sha2(content, 256).alias("actual_sha256"),
-        (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).cast("bigint").alias("actual_records"),
-        (F.col("length") == 0).__or__(F.right(text, F.lit(1)) == "\n").alias("ends_with_newline"),
-    )
-
-
 def verify_staged_files(files: DataFrame, inspected: DataFrame) -> DataFrame:
     """``extraction_id, logical, problem`` where a file differs from its manifest entry.
 
-    A file scan yields no row for an empty file, so an entry that declares an
-    empty file is satisfied by the absence of content.
+    ``inspected`` comes from ``inspection.inspect_files``, which has a row for empty files too.
     """
     joined = files.join(inspected, ["extraction_id", "path"], "left")
-    empty = (F.col("bytes") == 0) & (F.col("records") == 0) & (F.col("sha256") == F.sha2(F.lit("").cast("binary"), 256))
     problem = (
-        F.when(F.col("actual_bytes").isNull() & empty, F.lit(None).cast("string"))
-        .when(F.col("actual_bytes").isNull(), "missing file")
+        F.when(F.col("actual_bytes").isNull(), "missing file")
         .when(F.col("actual_bytes") != F.col("bytes"), "size mismatch")
         .when(F.col("actual_sha256") != F.col("sha256"), "checksum mismatch")
         .when(~F.col("ends_with_newline"), "no trailing newline")

@@ -22,6 +22,18 @@ def read_staged(spark: SparkSession, path: str | list[str], logical: str) -> Dat
     )
 
 
+def scan_staged(spark: SparkSession, path: str | list[str], logical: str) -> DataFrame:
+    """Rows of staged files ``.../<extraction>/<file>`` with ``file_extraction_id``, ``file_name`` and ``rescued``.
+
+    A line that is broken or has a field of another kind does not end the scan: its row holds what could be
+    read and the whole line in ``rescued``, which is null for sound rows.
+    """
+    schema = T.StructType([*staged_schema(logical).fields, T.StructField("__rescued", T.StringType())])
+    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__rescued").json(path)
+    return to_warehouse(rows, logical, {
+        OWNER: _owner(), "file_name": F.col("_metadata.file_name"), "rescued": F.col("__rescued")})
+
+
 def parse_staged_lines(lines: DataFrame, logical: str, column: str = "value") -> DataFrame:
     """The same mapping over NDJSON lines that already sit in a text column."""
     schema = staged_schema(logical)
@@ -30,8 +42,8 @@ def parse_staged_lines(lines: DataFrame, logical: str, column: str = "value") ->
     )
 
 
-def to_warehouse(staged: DataFrame, logical: str) -> DataFrame:
-    """Rename and cast staged fields to the warehouse columns of ``logical``."""
+def to_warehouse(staged: DataFrame, logical: str, besides: dict[str, Column] | None = None) -> DataFrame:
+    """Rename and cast staged fields to the warehouse columns of ``logical``, with the columns ``besides``."""
     columns = []
     for field in table_schema(logical).fields:
         source = F.col(staged_name(logical, field.name))
@@ -42,7 +54,7 @@ def to_warehouse(staged: DataFrame, logical: str) -> DataFrame:
         if (logical, field.name) == ("propertyUpdates", "value"):
             value = F.coalesce(value, F.lit("null"))
         columns.append(value.alias(field.name))
-    return staged.select(*columns)
+    return staged.select(*columns, *[value.alias(name) for name, value in (besides or {}).items()])
 
 
 # --- strict scans ---------------------------------------------------------------------------
@@ -53,7 +65,8 @@ OWNER = "file_extraction_id"
 
 
 def _owner() -> Column:
-    return F.regexp_extract("_metadata.file_path", "([^/]+)/[^/]+$", 1).alias(OWNER)
+    """The folder of the file, named ``<extraction>`` or ``<column>=<extraction>``."""
+    return F.regexp_extract("_metadata.file_path", "([^/=]+)/[^/]+$", 1).alias(OWNER)
 
 
 def strict_positions(staged: DataFrame) -> DataFrame:
