@@ -290,15 +290,17 @@ class _Sets:
 
 
 def _star_labels(links: DataFrame) -> DataFrame:
-    """``cls, label`` of the documents linked to pivots (``a``): stars are contracted before components are sought."""
+    """``cls, label`` of the linked documents: every ``b`` is contracted into its least ``a`` before components are sought."""
     stars = stored(links.groupBy("b").agg(F.min("a").alias("star")), "stars")
-    between = links.join(stars, "b").select("star", "a")
-    roots = components(between, "star", "a")
-    every = stars.select(F.col("b").alias("cls"), "star").unionAll(
-        links.select(F.col("a").alias("cls"), F.col("a").alias("star")).distinct())
-    # A document may be a pivot and linked to another one: both say the same in the end.
-    named = every.join(roots, F.col("star") == F.col("vertex"), "left").select("cls", F.coalesce("root", "star").alias("label"))
-    return stored(named.groupBy("cls").agg(F.min("label").alias("label")), "labels")
+    centres = links.join(stars, "b").select("a", "star").join(
+        stars.select(F.col("b").alias("a"), F.col("star").alias("up")), "a", "left").select(
+        "a", "star", F.coalesce("up", "a").alias("centre"))
+    between = stored(centres.distinct(), "centres")
+    roots = components(between, "star", "centre")
+    placed = stars.select(F.col("b").alias("cls"), "star").unionAll(
+        between.where("a = centre").select(F.col("a").alias("cls"), F.col("a").alias("star")).distinct())
+    return stored(placed.join(roots, F.col("star") == F.col("vertex"), "left").select(
+        "cls", F.coalesce("root", "star").alias("label")), "labels")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -395,7 +397,7 @@ def class_links(documents: DataFrame, classes: DataFrame, size: int, similarity:
     asked = rows.join(involved, ["chunk", "cls"]).join(known, "cls")
     found = stored(dealt(asked, "_set").mapInArrow(lambda batches: _decided(batches, least, similarity), "a long, b long"), "links")
     links = found if links is None else links.unionAll(found)
-    return components(links).select(F.col("vertex").alias("cls"), F.col("root").alias("label"))
+    return _star_labels(links)
 
 
 def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 5,
@@ -431,7 +433,8 @@ def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc
         "row", F.monotonically_increasing_id()), "sketches")
     firsts = stored(signed.where("n > 0").groupBy("_d0", "_d1").agg(
         F.min("row").alias("cls"), F.min("_id").alias("lowest")), "classes")
-    classes = signed.join(firsts.select(F.col("cls").alias("row")), "row", "left_semi").withColumnRenamed("row", "cls")
+    classes = stored(signed.join(firsts.select(F.col("cls").alias("row")), "row", "left_semi").select(
+        F.col("row").alias("cls"), "n", "_id", "_hash", "tokens", "bits"), "class-sketches")
     labels = class_links(source, classes, size, similarity, missed)
     named = firsts.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     lowest = named.groupBy("label").agg(F.min("lowest").alias("component_id"))
