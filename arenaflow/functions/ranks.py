@@ -1,4 +1,4 @@
-"""Exact order statistics that never gather a group in one task."""
+"""Exact order statistics by radix selection: a fixed number of counting passes, no group is ordered."""
 
 from __future__ import annotations
 
@@ -6,10 +6,23 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-SPLITS = 64
-#: Times that a range is cut again: rows ordered in one task are about one in SPLITS ** ROUNDS of a group.
-ROUNDS = 2
+#: Bits of a value looked at in a pass: a group has at most 2 ** DIGIT counts, whatever its size.
+DIGIT = 16
+
+
+def ordered_bits(value: Column, kind: T.DataType) -> Column:
+    """A long that orders as ``value`` does: integers as they are, decimals unscaled, doubles by their bits (NaN last)."""
+    if isinstance(kind, T.IntegralType):
+        return value.cast("bigint")
+    if isinstance(kind, T.DecimalType) and kind.precision <= 18:
+        return (value.cast(f"decimal(38,{kind.scale})") * F.lit(10 ** kind.scale).cast("decimal(19,0)")).cast("bigint")
+    if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
+        bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value.cast("double")).cast("bigint")
+        # Negative doubles count backwards.
+        return F.when(bits >= 0, bits).otherwise(bits.bitwiseXOR(F.lit((1 << 63) - 1)))
+    raise TypeError(f"no order-preserving bits for {kind.simpleString()}")
 
 
 def exact_order_statistics(
@@ -21,42 +34,34 @@ def exact_order_statistics(
     """Values found at given 0-based sorted positions, one column per entry.
 
     ``positions`` maps an output name to a position expressed over the column
-    ``n`` (the group's row count).  Equal values are counted first; a bounded
-    quantile sketch then cuts each group into ranges, the range that holds a
-    wanted position is cut again, and only the rows left are ordered.
+    ``n`` (the group's row count).  Equal values are counted first.  Every pass counts the values by their
+    next ``DIGIT`` bits from the top and keeps those whose digit holds the wanted position, so
+    that after the last one a single value is left.  Counts are combined before every shuffle and only the counts
+    of a group's digits are added up in order.
     """
-    counted = frame.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__count"))
-    sizes = counted.groupBy(*keys).agg(F.sum("__count").alias("n"))
+    bits = ordered_bits(F.col(value), frame.schema[value].dataType)
+    rows = frame.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__count")).withColumn("__bits", bits)
+    sizes = rows.groupBy(*keys).agg(F.sum("__count").alias("n"))
     wanted = sizes.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(name).alias("__name"), positions[name].cast("bigint").alias("__position")) for name in positions
     ])).alias("want")).select(*keys, "want.*")
-    rows, wanted = _narrowed(counted, wanted, list(keys), value)
-    for _ in range(ROUNDS - 1):
-        rows, wanted = _narrowed(rows, wanted, [*keys, "__name"], value)
-    inside = Window.partitionBy(*keys, "__name").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    found = rows.join(wanted, [*keys, "__name"]).withColumn(
-        "__from", F.coalesce(F.sum("__count").over(inside), F.lit(0))).where(
-        (F.col("__position") >= F.col("__from")) & (F.col("__position") < F.col("__from") + F.col("__count")))
-    return found.groupBy(*keys).agg(
+    group = list(keys)
+    for shift in range(64 - DIGIT, -1, -DIGIT):
+        digit = F.shiftright("__bits", shift)
+        numbered = rows.withColumn("__digit", digit if shift == 64 - DIGIT else digit.bitwiseAND((1 << DIGIT) - 1))
+        before = Window.partitionBy(*group).orderBy("__digit").rowsBetween(Window.unboundedPreceding, -1)
+        counts = numbered.groupBy(*group, "__digit").agg(F.sum("__count").alias("__size")).withColumn(
+            "__before", F.coalesce(F.sum("__size").over(before), F.lit(0)))
+        located = wanted.join(counts, group).where(
+            (F.col("__position") >= F.col("__before")) & (F.col("__position") < F.col("__before") + F.col("__size")))
+        rows = numbered.join(located.select(*keys, "__name", "__digit"), [*group, "__digit"]).select(
+            *keys, "__name", value, "__count", "__bits")
+        wanted = located.select(*keys, "__name", (F.col("__position") - F.col("__before")).alias("__position"))
+        group = [*keys, "__name"]
+    return rows.groupBy(*keys).agg(
         *[F.max(F.when(F.col("__name") == name, F.col(value))).alias(name) for name in positions])
 
 
-def _narrowed(rows: DataFrame, wanted: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, DataFrame]:
-    """Rows of the range that holds each wanted position, by name, and the positions counted from its start."""
-    fractions = F.array(*[F.lit(step / SPLITS) for step in range(1, SPLITS)])
-    splits = rows.groupBy(*keys).agg(F.percentile_approx(value, fractions, F.lit(1000)).alias("__splits"))
-    ranged = rows.join(splits, keys).withColumn(
-        "__range", F.size(F.filter("__splits", lambda split: split < F.col(value)))).drop("__splits")
-    order = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranged.groupBy(*keys, "__range").agg(F.sum("__count").alias("__size")).withColumn(
-        "__before", F.coalesce(F.sum("__size").over(order), F.lit(0)))
-    located = wanted.join(ranges, keys).where(
-        (F.col("__position") >= F.col("__before")) & (F.col("__position") < F.col("__before") + F.col("__size")))
-    names = [name for name in wanted.columns if name != "__position"]
-    kept = ranged.join(located.select(*names, "__range"), [*keys, "__range"]).select(*names, value, "__count")
-    return kept, located.select(*names, (F.col("__position") - F.col("__before")).alias("__position"))
-
-
 def exact_median(frame: DataFrame, keys: Sequence[str], value: str, output: str) -> DataFrame:
     """Mean of the two middle values (the middle value for an odd count)."""
     return exact_order_statistics(frame, keys, value, {

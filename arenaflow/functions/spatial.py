@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from arenaflow.session import cut_lineage
 
-# Pairs of cells up to this many point pairs are compared point by point; larger
-# ones are split further until their bounding boxes decide.
-DIRECT_PAIRS = 4096
+#: Times that undecided pairs of cells are split, by ``SPLIT`` along every axis.
+LEVELS = 3
+SPLIT = 4
 
 
 def _cells(points: DataFrame, group: list[str], gap: float, side: float, prefix: str) -> DataFrame:
@@ -46,6 +46,16 @@ def _decide(pairs: DataFrame, gap: float, distance: float) -> DataFrame:
     return pairs.where(~never).withColumn("always", always)
 
 
+def _children(points: DataFrame, group: list[str], gap: float, side: float) -> DataFrame:
+    """Cells of this size, keyed by the cell ``SPLIT`` times as wide that they lie in."""
+    return _cells(points, group, gap, side, "child").select(
+        *group, *[F.floor(F.col(f"child.{axis}") / SPLIT).cast("bigint").alias(axis) for axis in ("ct", "cx", "cy")], "child")
+
+
+def _keyed(pairs: DataFrame, side_name: str) -> DataFrame:
+    return pairs.select("*", *[F.col(f"{side_name}.{axis}").alias(axis) for axis in ("ct", "cx", "cy")])
+
+
 def band_edges(points: DataFrame, group: list[str], gap: float, distance: float) -> DataFrame:
     """Edges that connect the points linked by ``|dt| <= gap`` and distance ``<= distance``.
 
@@ -53,7 +63,8 @@ def band_edges(points: DataFrame, group: list[str], gap: float, distance: float)
     same connected components as all linking pairs, without listing them: points
     of one small cell all link, so they form a star, and two neighbouring cells
     need a single edge.  Whether two cells link at all is decided from their
-    bounding boxes, or else from their points; crowded cells are split first.
+    bounding boxes (of a single point, the box is the point); pairs that boxes leave open are split a fixed
+    number of times, all by the same rule, and what is open then is a search for one point in reach.
     """
     # A cell narrower than distance / sqrt(2) keeps all its points within reach.
     side = distance / 1.415
@@ -81,43 +92,25 @@ def band_edges(points: DataFrame, group: list[str], gap: float, distance: float)
 
     edges = stars.unionByName(decided(pairs))
     level_gap, level_side = gap, side
-    while True:
-        unclear = pairs.where("NOT always")
-        direct = unclear.where(F.col("a.n") * F.col("b.n") <= DIRECT_PAIRS)
-        edges = edges.unionByName(_direct_edges(points, direct, group, gap, distance, level_gap, level_side))
-        crowded = unclear.where(F.col("a.n") * F.col("b.n") > DIRECT_PAIRS).select(*group, "from", "to", "a", "b")
-        if crowded.isEmpty():
-            return edges.distinct()
-        finer_gap, finer_side = level_gap / 4, level_side / 4
-        children = _cells(points, group, finer_gap, finer_side, "child").select(
-            *group, F.floor(F.col("child.ct") / 4).cast("bigint").alias("ct"),
-            F.floor(F.col("child.cx") / 4).cast("bigint").alias("cx"),
-            F.floor(F.col("child.cy") / 4).cast("bigint").alias("cy"), "child")
-
-        def split(frame: DataFrame, side_name: str) -> DataFrame:
-            keyed = frame.select("*", *[F.col(f"{side_name}.{axis}").alias(axis) for axis in ("ct", "cx", "cy")])
-            return keyed.join(children, [*group, "ct", "cx", "cy"]).drop("ct", "cx", "cy", side_name) \
-                .withColumnRenamed("child", side_name)
-
-        pairs = cut_lineage(_decide(split(split(crowded, "a"), "b"), gap, distance))
+    for _ in range(LEVELS):
+        level_gap, level_side = level_gap / SPLIT, level_side / SPLIT
+        children, open_ = _children(points, group, level_gap, level_side), pairs.where("NOT always").drop("always")
+        for name in ("a", "b"):
+            open_ = _keyed(open_, name).join(children, [*group, "ct", "cx", "cy"]).drop("ct", "cx", "cy", name).withColumnRenamed(
+                "child", name)
+        pairs = cut_lineage(_decide(open_, gap, distance))
         edges = edges.unionByName(decided(pairs))
-        level_gap, level_side = finer_gap, finer_side
-
-
-def _direct_edges(points: DataFrame, pairs: DataFrame, group: list[str], gap: float, distance: float,
-                  level_gap: float, level_side: float) -> DataFrame:
+    open_ = pairs.where("NOT always").select(*group, "from", "to", "a", "b")
     placed = points.select(*group, "t", "x", "y", *_coordinates(level_gap, level_side))
-
-    def members(frame: DataFrame, side_name: str) -> DataFrame:
-        keyed = frame.select("*", *[F.col(f"{side_name}.{axis}").alias(axis) for axis in ("ct", "cx", "cy")])
-        named = placed.select(*group, "ct", "cx", "cy", F.struct("t", "x", "y").alias(f"{side_name}_point"))
-        return keyed.join(named, [*group, "ct", "cx", "cy"]).drop("ct", "cx", "cy")
-
-    both = members(members(pairs.select(*group, "from", "to", "a", "b"), "a"), "b")
-    dt = F.abs(F.col("b_point.t") - F.col("a_point.t"))
-    dx, dy = F.col("b_point.x") - F.col("a_point.x"), F.col("b_point.y") - F.col("a_point.y")
-    return both.where((dt <= gap) & (dx * dx + dy * dy <= F.lit(distance * distance))).select(
-        *group, F.col("from.member").alias("left_id"), F.col("to.member").alias("right_id")).distinct()
+    seekers = _keyed(open_, "a").join(placed, [*group, "ct", "cx", "cy"]).select(
+        *group, "from", "to", F.col("t").alias("at"), F.col("x").alias("ax"), F.col("y").alias("ay"), "b")
+    p, q = _keyed(seekers, "b").alias("p"), placed.alias("q")
+    dx, dy = F.col("p.ax") - F.col("q.x"), F.col("p.ay") - F.col("q.y")
+    met = (F.abs(F.col("p.at") - F.col("q.t")) <= gap) & (dx * dx + dy * dy <= F.lit(distance * distance))
+    for name in (*group, "ct", "cx", "cy"):
+        met = (F.col(f"p.{name}") == F.col(f"q.{name}")) & met
+    return edges.unionByName(p.join(q, met, "left_semi").select(
+        *group, F.col("from.member").alias("left_id"), F.col("to.member").alias("right_id"))).distinct()
 
 
 # --- densest neighbourhood ------------------------------------------------------------------
@@ -129,65 +122,96 @@ def _exact(column: Column) -> Column:
     return column.cast(_COORDINATE)
 
 
-def densest_seed(points: DataFrame, group: list[str], radius: float, order: list[str]) -> DataFrame:
-    """Per group the point with most neighbours, then the nearest ones, then first in order.
-
-    ``points`` holds ``group``, ``x``, ``y`` and the ``order`` columns.  Cells
-    that lie wholly inside a point's disc count through their moments (count,
-    sums, sum of squares) and only cells cut by the circle are looked into.
-    Sums of squares use exact decimals, so equal distances tie exactly.
-    """
-    side = radius / 4
-    placed = points.select(*group, *order, "x", "y", F.floor(F.col("x") / side).cast("bigint").alias("cx"),
-                           F.floor(F.col("y") / side).cast("bigint").alias("cy"))
-    cells = placed.groupBy(*group, "cx", "cy").agg(
-        F.count("*").alias("n"), F.min("x").alias("lo_x"), F.max("x").alias("hi_x"), F.min("y").alias("lo_y"),
-        F.max("y").alias("hi_y"), F.sum(_exact(F.col("x"))).alias("sum_x"), F.sum(_exact(F.col("y"))).alias("sum_y"),
-        F.sum(_exact(F.col("x")) * _exact(F.col("x")) + _exact(F.col("y")) * _exact(F.col("y"))).alias("sum_sq"))
-    # The world is a fixed map, so the number of cells per group is bounded by its area.
-    a = cells.select(*group, "cx", "cy", *[F.col(n).alias(f"a_{n}") for n in ("lo_x", "hi_x", "lo_y", "hi_y")])
-    b = cells.select(*group, F.struct("cx", "cy", "n", "lo_x", "hi_x", "lo_y", "hi_y", "sum_x", "sum_y", "sum_sq")
-                     .alias("b"))
-    near = (F.abs(F.col("cx") - F.col("b.cx")) <= 5) & (F.abs(F.col("cy") - F.col("b.cy")) <= 5)
-    cell_pairs = a.join(b, group).where(near)
-    limit = F.lit(radius * radius)
+_MOMENTS = ("n", "sum_x", "sum_y", "sum_sq")
+_BOX = ("lo_x", "hi_x", "lo_y", "hi_y")
 
-    def farthest(axis: str, low: Column, high: Column) -> Column:
-        return F.greatest(F.col(f"b.hi_{axis}") - low, high - F.col(f"b.lo_{axis}"))
 
-    def closest(axis: str, low: Column, high: Column) -> Column:
-        return F.greatest(F.lit(0.0), F.col(f"b.lo_{axis}") - high, low - F.col(f"b.hi_{axis}"))
+def _nodes(points: DataFrame, group: list[str], side: float) -> DataFrame:
+    """Nodes of one level of the tree: place, box, and moments (count, sums, sum of squares) of their points."""
+    x, y = _exact(F.col("x")), _exact(F.col("y"))
+    return points.select(*group, "x", "y", *[F.floor(F.col(axis) / side).cast("bigint").alias(f"c{axis}") for axis in ("x", "y")]
+                         ).groupBy(*group, "cx", "cy").agg(
+        *[function(axis).alias(f"{name}_{axis}") for axis in ("x", "y") for name, function in (("lo", F.min), ("hi", F.max))],
+        F.count("*").alias("n"), F.sum(x).alias("sum_x"), F.sum(y).alias("sum_y"), F.sum(x * x + y * y).alias("sum_sq")).select(
+        *group, "cx", "cy", F.struct("cx", "cy", *_BOX, *_MOMENTS).alias("node"))
 
-    def square_sum(measure, box) -> Column:
-        parts = [measure(axis, *box(axis)) for axis in ("x", "y")]
-        return parts[0] * parts[0] + parts[1] * parts[1]
 
-    def cell_box(axis: str):
-        return F.col(f"a_lo_{axis}"), F.col(f"a_hi_{axis}")
+def _square(parts: list[Column]) -> Column:
+    return parts[0] * parts[0] + parts[1] * parts[1]
 
-    def point_box(axis: str):
-        return F.col(axis), F.col(axis)
 
-    moments = [F.sum(F.col(f"b.{name}")).alias(name) for name in ("n", "sum_x", "sum_y", "sum_sq")]
-    whole = cell_pairs.where(square_sum(farthest, cell_box) <= limit).groupBy(*group, "cx", "cy").agg(*moments)
-    cut = cell_pairs.where((square_sum(farthest, cell_box) > limit) & (square_sum(closest, cell_box) <= limit))
+def densest_seed(points: DataFrame, group: list[str], radius: float, order: list[str]) -> DataFrame:
+    """Per group the point with most neighbours, then the nearest ones, then first in order.
 
+    ``points`` holds ``group``, ``x``, ``y`` and the ``order`` columns.  Branch
+    and bound over a tree of moments: a node of possible seeds meets the nodes
+    around it; those within reach of all its points count through their
+    moments, those out of reach go, and pairs cut by a circle are opened on the
+    next level.  A node's seeds have no more neighbours than what counts and what is cut together,
+    so nodes below the count that is certain elsewhere in the group are not opened.  Only
+    pairs cut on the lowest level are looked into point by point.  Sums of squares
+    use exact decimals, so equal distances tie exactly.
+    """
+    limit = F.lit(radius * radius)
+    far = _square([F.greatest(F.col(f"b.hi_{axis}") - F.col(f"a.lo_{axis}"), F.col(f"a.hi_{axis}") - F.col(f"b.lo_{axis}"))
+                   for axis in ("x", "y")])
+    near = _square([F.greatest(F.lit(0.0), F.col(f"b.lo_{axis}") - F.col(f"a.hi_{axis}"),
+                               F.col(f"a.lo_{axis}") - F.col(f"b.hi_{axis}")) for axis in ("x", "y")])
+    side = radius / SPLIT
+    top = _nodes(points, group, side)
+    span = range(-SPLIT - 1, SPLIT + 2)
+    around = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in span for dy in span
+                       if max(abs(dx) - 1, 0) ** 2 + max(abs(dy) - 1, 0) ** 2 <= SPLIT ** 2])
+    met = top.select(*group, F.col("node").alias("a"), F.inline(around)).select(
+        *group, "a", (F.col("a.cx") + F.col("dx")).alias("cx"), (F.col("a.cy") + F.col("dy")).alias("cy")).join(
+        top.withColumnRenamed("node", "b"), [*group, "cx", "cy"]).drop("cx", "cy")
+    zero = F.struct(F.lit(0).cast("bigint").alias("n"), *[F.lit(0).cast(kind).alias(name) for name, kind in (
+        ("sum_x", "decimal(22,6)"), ("sum_y", "decimal(22,6)"), ("sum_sq", "decimal(36,12)"))])
+    met = met.withColumn("held", zero)
+    for level in range(LEVELS):
+        judged = cut_lineage(met.where(near <= limit).withColumn("whole", far <= limit))
+        node = [*group, "a.cx", "a.cy"]
+        counted = judged.groupBy(*group, F.col("a.cx").alias("cx"), F.col("a.cy").alias("cy")).agg(
+            F.struct(*[F.coalesce(F.sum(F.when(F.col("whole"), F.col(f"b.{name}"))), F.lit(0)).alias(name) for name in _MOMENTS]
+                     ).alias("more"), F.first("held").alias("before"), F.first("a").alias("a"),
+            F.coalesce(F.sum(F.when(~F.col("whole"), F.col("b.n"))), F.lit(0)).alias("open")).select(
+            *group, "cx", "cy", "a", "open", F.struct(*[
+                (F.col(f"more.{name}") + F.col(f"before.{name}")).cast(kind).alias(name) for name, kind in (
+                    ("n", "bigint"), ("sum_x", "decimal(22,6)"), ("sum_y", "decimal(22,6)"), ("sum_sq", "decimal(36,12)"))]).alias("held"))
+        best = counted.groupBy(*group).agg(F.max("held.n").alias("certain"))
+        hopeful = cut_lineage(counted.join(best, group).where(F.col("held.n") + F.col("open") >= F.col("certain")).drop("certain"))
+        cut = judged.where("NOT whole").select(*node, "b").join(hopeful.select(*group, "cx", "cy", "a", "held"), [*group, "cx", "cy"])
+        if level == LEVELS - 1:
+            break
+        side /= SPLIT
+        below = _nodes(points, group, side).select(
+            *group, *[F.floor(F.col(f"node.{place}") / SPLIT).cast("bigint").alias(place) for place in ("cx", "cy")],
+            F.col("node").alias("child"))
+        # Every node keeps one row that names no neighbour, so that children without cut pairs go on.
+        alone = hopeful.select(*group, "cx", "cy", "a", "held", F.lit(None).cast(
+            hopeful.schema["a"].dataType).alias("b"))
+        opened = cut.select(*group, "cx", "cy", "held", "b").join(below, [*group, "cx", "cy"]).drop("cx", "cy").select(
+            *group, F.col("child").alias("a"), "held", F.col("b.cx").alias("cx"), F.col("b.cy").alias("cy")).join(
+            below.withColumnRenamed("child", "b"), [*group, "cx", "cy"]).drop("cx", "cy")
+        met = opened.select(*group, "a", "b", "held").unionByName(alone.select(*group, "cx", "cy", "held", "b").join(
+            below, [*group, "cx", "cy"]).select(*group, F.col("child").alias("a"), "b", "held"))
+        # The missing neighbour stands at the node itself and counts nothing.
+        empty = F.struct("a.cx", "a.cy", *[F.col(f"a.{name}") for name in _BOX], *[
+            F.lit(0).cast(met.select(f"a.{name}").schema[0].dataType).alias(name) for name in _MOMENTS])
+        met = met.withColumn("b", F.coalesce("b", empty))
+    placed = points.select(*group, *order, "x", "y", *[F.floor(F.col(axis) / side).cast("bigint").alias(f"c{axis}")
+                                                      for axis in ("x", "y")])
     point = [*group, *order, "x", "y"]
-    from_whole = placed.join(whole, [*group, "cx", "cy"]).select(*point, "n", "sum_x", "sum_y", "sum_sq")
-    by_point = placed.join(cut.select(*group, "cx", "cy", "b"), [*group, "cx", "cy"]).where(
-        square_sum(closest, point_box) <= limit)
-    from_cells = by_point.where(square_sum(farthest, point_box) <= limit).select(
-        *point, "b.n", "b.sum_x", "b.sum_y", "b.sum_sq")
-    others = placed.select(*group, F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("cx").alias("bx"),
-                           F.col("cy").alias("by"))
+    candidates = hopeful.select(*group, "cx", "cy", "held").join(placed, [*group, "cx", "cy"])
+    others = placed.select(*group, F.col("x").alias("qx"), F.col("y").alias("qy"), "cx", "cy")
     dx, dy = F.col("qx") - F.col("x"), F.col("qy") - F.col("y")
-    ring = by_point.where(square_sum(farthest, point_box) > limit).select(
-        *point, F.col("b.cx").alias("bx"), F.col("b.cy").alias("by"))
-    from_ring = ring.join(others, [*group, "bx", "by"]).where(dx * dx + dy * dy <= limit).groupBy(*point).agg(
-        F.count("*").alias("n"), F.sum(_exact(F.col("qx"))).alias("sum_x"), F.sum(_exact(F.col("qy"))).alias("sum_y"),
-        F.sum(_exact(F.col("qx")) * _exact(F.col("qx")) + _exact(F.col("qy")) * _exact(F.col("qy"))).alias("sum_sq"))
-    total = from_whole.unionByName(from_cells).unionByName(from_ring).groupBy(*point).agg(
-        *[F.sum(name).alias(name) for name in ("n", "sum_x", "sum_y", "sum_sq")])
+    ring = cut.select(*group, "cx", "cy", F.col("b.cx").alias("bx"), F.col("b.cy").alias("by")).join(
+        placed, [*group, "cx", "cy"]).drop("cx", "cy").withColumnsRenamed({"bx": "cx", "by": "cy"}).join(
+        others, [*group, "cx", "cy"]).where(dx * dx + dy * dy <= limit).select(
+        *point, F.lit(1).cast("bigint").alias("n"), _exact(F.col("qx")).alias("sum_x"), _exact(F.col("qy")).alias("sum_y"),
+        (_exact(F.col("qx")) * _exact(F.col("qx")) + _exact(F.col("qy")) * _exact(F.col("qy"))).alias("sum_sq"))
+    total = candidates.select(*point, "held.*").unionByName(ring).groupBy(*point).agg(
+        *[F.sum(name).alias(name) for name in _MOMENTS])
     x, y = _exact(F.col("x")), _exact(F.col("y"))
     sum_x, sum_y = F.col("sum_x").cast("decimal(22,6)"), F.col("sum_y").cast("decimal(22,6)")
     spread = (

@@ -69,17 +69,32 @@ def team_name(team: Column) -> Column:
     return F.when(team == fixed.RADIANT, "Radiant").when(team == fixed.DIRE, "Dire")
 
 
+_PARTS = {"match": ", ".join(f"{name} STRING" for name in _OVERVIEW_FIELDS), "draft": "picks_bans STRING",
+          "players": f"players {_PLAYERS}"}
+
+
+def overviews(records: DataFrame, *parts: str) -> DataFrame:
+    """``extraction_id, m``: every overview document parsed once for the parts named (all: match, players, draft).
+
+    Players are rows and the draft is JSON text.  Tables of players, items,
+    drafts and matches follow from it; write it where several of them are read.
+    """
+    schema = ", ".join(_PARTS[part] for part in parts or _PARTS)
+    return _documents(records, fixed.OVERVIEW_DOCUMENT).select("extraction_id", F.from_json("payload", schema).alias("m"))
+
+
 def matches(records: DataFrame) -> DataFrame:
     """One typed row per overview document."""
-    schema = ", ".join(f"{name} STRING" for name in _OVERVIEW_FIELDS)
-    overview = _documents(records, fixed.OVERVIEW_DOCUMENT).select(
-        "extraction_id", F.from_json("payload", schema).alias("m")
-    )
     versions = _documents(records, fixed.METADATA_DOCUMENT).groupBy("extraction_id").agg(
         F.min_by(F.get_json_object("payload", "$.version").try_cast("int"), "sequence").alias("metadata_version")
     )
+    return match_rows(overviews(records, "match")).join(versions, "extraction_id", "left")
+
+
+def match_rows(parsed: DataFrame) -> DataFrame:
+    """Typed rows of parsed overviews, without the version of the metadata document."""
     winner = winner_code(F.col("m.match_outcome"))
-    return overview.select(
+    return parsed.select(
         "extraction_id",
         F.col("m.match_id").try_cast("decimal(20,0)").alias("match_id"),
         F.timestamp_seconds(F.col("m.starttime").try_cast("bigint")).alias("start_time"),
@@ -94,14 +109,13 @@ def matches(records: DataFrame) -> DataFrame:
         F.col("m.dire_team_name").alias("dire_team_name"),
         F.col("m.cluster").try_cast("int").alias("cluster"),
         F.col("m.first_blood_time").try_cast("int").alias("first_blood_seconds"),
-    ).join(versions, "extraction_id", "left")
+    )
 
 
-def _document_players(records: DataFrame) -> DataFrame:
+def _document_players(parsed: DataFrame) -> DataFrame:
     team = F.col("team_number")
     return (
-        _documents(records, fixed.OVERVIEW_DOCUMENT)
-        .select("extraction_id", F.inline(F.from_json("payload", f"players {_PLAYERS}")["players"]))
+        parsed.select("extraction_id", F.inline("m.players"))
         .withColumn("team_id", F.when(team == "DOTA_GC_TEAM_GOOD_GUYS", F.lit(fixed.RADIANT))
                     .when(team == "DOTA_GC_TEAM_BAD_GUYS", F.lit(fixed.DIRE)))
         .where("team_id IS NOT NULL")
@@ -110,9 +124,14 @@ def _document_players(records: DataFrame) -> DataFrame:
 
 def players(records: DataFrame) -> DataFrame:
     """Players of the two teams; other teams are dropped."""
+    return player_rows(overviews(records, "players"))
+
+
+def player_rows(parsed: DataFrame) -> DataFrame:
+    """Players of parsed overviews."""
     integers = ("hero_id", "level", "kills", "deaths", "assists", "last_hits", "denies", "gold_per_min", "xp_per_min",
                 "net_worth", "hero_damage", "tower_damage", "hero_healing")
-    return _document_players(records).select(
+    return _document_players(parsed).select(
         "extraction_id", F.col("player_slot").try_cast("bigint").alias("player_slot"), "team_id",
         team_name(F.col("team_id")).alias("team"), F.col("team_slot").try_cast("bigint").alias("team_slot"),
         F.col("account_id").try_cast("decimal(20,0)").alias("account_id"),
@@ -123,7 +142,7 @@ def players(records: DataFrame) -> DataFrame:
 
 def player_items(records: DataFrame) -> DataFrame:
     """Ten item slots per player."""
-    return _document_players(records).select(
+    return _document_players(overviews(records, "players")).select(
         "extraction_id", F.col("player_slot").try_cast("bigint").alias("player_slot"),
         F.posexplode(F.array(*[F.col(f"item_{slot}").try_cast("int") for slot in range(10)]))
         .alias("item_slot", "item_id"),
@@ -136,11 +155,14 @@ def hero_draft_events(records: DataFrame) -> DataFrame:
     Strict typing needs the JSON type, so entries are read as VARIANT: a quoted
     number or boolean is not accepted.
     """
-    entries = _documents(records, fixed.OVERVIEW_DOCUMENT).select(
+    return draft_rows(overviews(records, "draft"))
+
+
+def draft_rows(parsed: DataFrame) -> DataFrame:
+    """Draft entries of parsed overviews."""
+    entries = parsed.select(
         "extraction_id",
-        F.posexplode(F.try_variant_get(
-            F.try_parse_json(F.get_json_object("payload", "$.picks_bans")), "$", "array<variant>"))
-        .alias("draft_order", "entry"),
+        F.posexplode(F.try_variant_get(F.try_parse_json("m.picks_bans"), "$", "array<variant>")).alias("draft_order", "entry"),
     )
 
     def kind(field: str) -> Column:

@@ -10,6 +10,7 @@ from arenaflow.operators import documents, series, versions
 from arenaflow.operators.lens import match_search
 from arenaflow.plans.registry import query
 from arenaflow.plans.tables import Telemetry
+from arenaflow.session import write_once
 from arenaflow.sources import catalog
 
 # --- catalog --------------------------------------------------------------------------------
@@ -269,8 +270,9 @@ CROSS JOIN (SELECT count(*) AS match_count FROM doc_matches WHERE o IN (SELECT o
 @query("hero_id:i match_count:i picks:i bans:i wins:i losses:i pick_rate:d ban_rate:d win_rate:d loss_rate:d average_gpm:d "
        "average_xpm:d", _HERO_SQL, _DOCUMENTS)
 def hero_stats(t: Telemetry) -> DataFrame:
-    return series.hero_stats(documents.matches(t.records), _latest(t), documents.players(t.records),
-                             documents.hero_draft_events(t.records))
+    # One parse of the documents serves the three tables.
+    parsed = write_once(documents.overviews(t.records), "overviews")
+    return series.hero_stats(documents.match_rows(parsed), _latest(t), documents.player_rows(parsed), documents.draft_rows(parsed))
 
 
 @query("extraction_id:s match_id:i lobby_type:i lobby_type_name:s winner_team:s", """

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from arenaflow import fixed_values as fixed
 from arenaflow.operators import documents, items, quality, versions
+from arenaflow.plans import document_queries, match_queries  # noqa: F401  whose entries are counted
 from arenaflow.plans.match_queries import bounds
-from arenaflow.plans.registry import query
+from arenaflow.plans.registry import ENTRIES, query
 from arenaflow.plans.tables import Telemetry
 from arenaflow.schemas import staged_name, table_schema
 from arenaflow.session import scratch_path
@@ -388,12 +389,13 @@ def ingest_reconciliation(t: Telemetry) -> DataFrame:
     return quality.ingest_reconciliation(tables, stored)
 
 
-@query("extraction_id:s table_name:s row_count:i", """
-SELECT extraction_id, 'players' AS table_name, count(*) AS row_count FROM players GROUP BY extraction_id
-UNION ALL SELECT extraction_id, 'positions', count(*) FROM positions GROUP BY extraction_id
-UNION ALL SELECT extraction_id, 'team_series', count(*) FROM team_series GROUP BY extraction_id""")
-def analysis_row_counts(t: Telemetry) -> DataFrame:
-    return catalog.analysis_row_counts({"players": t.players, "positions": t.positions, "team_series": t.team_series})
+#: The nine derived tables and the queries that fill them.
+_DERIVED = {
+    "matches": "document_matches", "players": "document_players", "player_items": "player_items",
+    "team_time_series": "team_time_series", "player_gold_events": "player_gold_events",
+    "hero_draft_events": "hero_draft_events", "hero_position_samples": "imported_positions",
+    "neutral_camp_farming_actions": "farming_actions", "win_probability_samples": "imported_probabilities",
+}
 
 
 @query("extraction_id:s record_counts:s", """
@@ -635,3 +637,13 @@ def item_snapshot_checks(t: Telemetry) -> DataFrame:
         F.when((key % 60 == 1) & (step == 2), " ").otherwise(F.col("p_name")).alias("name"),
         F.col("p_size").alias("neutral_item_tier"), F.when(F.col("p_size") != 50, F.array("p_type")).alias("recipes"))
     return items.snapshot_checks(source)
+
+
+# --- counts of all derived tables -----------------------------------------------------------
+
+
+@query("extraction_id:s table_name:s row_count:i", " UNION ALL ".join(
+    f"SELECT extraction_id, '{name}' AS table_name, count(*) AS row_count FROM ({ENTRIES[source].statement()}) AS x GROUP BY extraction_id"
+    for name, source in _DERIVED.items()))
+def analysis_row_counts(t: Telemetry) -> DataFrame:
+    return catalog.analysis_row_counts({name: ENTRIES[source].build(t) for name, source in _DERIVED.items()})

@@ -108,8 +108,7 @@ class Telemetry:
             "spell_generated_attack": F.when(k % 2 == 0, True),
         }
         columns = []
-        for line in COMBAT_COLUMNS.strip().splitlines():
-            name, data_type = line.split(" ", 1)
+        for name, data_type in COMBAT_COLUMNS:
             columns.append(values.get(name, F.lit(None)).cast(data_type).alias(name))
         return ev.select("extraction_id", *columns)
 

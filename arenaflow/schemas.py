@@ -5,94 +5,94 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 # Staged column, warehouse column and type of the combat log.
-COMBAT_COLUMNS = """
-sequence BIGINT
-game_time DOUBLE
-raw_time DOUBLE
-event_type STRING
-target_name STRING
-attacker_name STRING
-damage_source_name STRING
-inflictor_name STRING
-target_team INT
-attacker_team INT
-value INT
-health INT
-location_x FLOAT
-location_y FLOAT
-event_location INT
-stun_duration FLOAT
-slow_duration FLOAT
-modifier_duration FLOAT
-gold_reason INT
-xp_reason INT
-last_hits INT
-net_worth INT
-gpm INT
-xpm INT
-attacker_hero_level INT
-target_hero_level INT
-damage_type INT
-damage_category INT
-rune_type INT
-stack_count INT
-observer_wards_placed INT
-assist_players ARRAY<INT>
-attacker_hero BOOLEAN
-target_hero BOOLEAN
-target_building BOOLEAN
-attacker_illusion BOOLEAN
-target_illusion BOOLEAN
-heal_save BOOLEAN
-long_range_kill BOOLEAN
-target_source_name STRING
-value_name STRING
-modifier_elapsed_duration FLOAT
-ability_level INT
-neutral_camp_type INT
-building_type INT
-modifier_purge_ability INT
-modifier_purge_npc INT
-total_unit_death_count INT
-modifier_ability INT
-kill_eater_event INT
-unit_status_label INT
-neutral_camp_team INT
-regenerated_health FLOAT
-tracked_stat_id INT
-modifier_purged_duration FLOAT
-visible_radiant BOOLEAN
-visible_dire BOOLEAN
-ability_toggle_on BOOLEAN
-ability_toggle_off BOOLEAN
-hidden_modifier BOOLEAN
-ultimate_ability BOOLEAN
-target_self BOOLEAN
-invisibility_modifier BOOLEAN
-silence_modifier BOOLEAN
-heal_from_lifesteal BOOLEAN
-modifier_purged BOOLEAN
-spell_evaded BOOLEAN
-motion_controller_modifier BOOLEAN
-root_modifier BOOLEAN
-aura_modifier BOOLEAN
-armor_debuff_modifier BOOLEAN
-no_physical_damage_modifier BOOLEAN
-modifier_hidden BOOLEAN
-inflictor_is_stolen_ability BOOLEAN
-spell_generated_attack BOOLEAN
-at_night_time BOOLEAN
-attacker_has_scepter BOOLEAN
-will_reincarnate BOOLEAN
-uses_charges BOOLEAN
-heal_from_regen BOOLEAN
-"""
+COMBAT_COLUMNS = (
+    ("sequence", "BIGINT"),
+    ("game_time", "DOUBLE"),
+    ("raw_time", "DOUBLE"),
+    ("event_type", "STRING"),
+    ("target_name", "STRING"),
+    ("attacker_name", "STRING"),
+    ("damage_source_name", "STRING"),
+    ("inflictor_name", "STRING"),
+    ("target_team", "INT"),
+    ("attacker_team", "INT"),
+    ("value", "INT"),
+    ("health", "INT"),
+    ("location_x", "FLOAT"),
+    ("location_y", "FLOAT"),
+    ("event_location", "INT"),
+    ("stun_duration", "FLOAT"),
+    ("slow_duration", "FLOAT"),
+    ("modifier_duration", "FLOAT"),
+    ("gold_reason", "INT"),
+    ("xp_reason", "INT"),
+    ("last_hits", "INT"),
+    ("net_worth", "INT"),
+    ("gpm", "INT"),
+    ("xpm", "INT"),
+    ("attacker_hero_level", "INT"),
+    ("target_hero_level", "INT"),
+    ("damage_type", "INT"),
+    ("damage_category", "INT"),
+    ("rune_type", "INT"),
+    ("stack_count", "INT"),
+    ("observer_wards_placed", "INT"),
+    ("assist_players", "ARRAY<INT>"),
+    ("attacker_hero", "BOOLEAN"),
+    ("target_hero", "BOOLEAN"),
+    ("target_building", "BOOLEAN"),
+    ("attacker_illusion", "BOOLEAN"),
+    ("target_illusion", "BOOLEAN"),
+    ("heal_save", "BOOLEAN"),
+    ("long_range_kill", "BOOLEAN"),
+    ("target_source_name", "STRING"),
+    ("value_name", "STRING"),
+    ("modifier_elapsed_duration", "FLOAT"),
+    ("ability_level", "INT"),
+    ("neutral_camp_type", "INT"),
+    ("building_type", "INT"),
+    ("modifier_purge_ability", "INT"),
+    ("modifier_purge_npc", "INT"),
+    ("total_unit_death_count", "INT"),
+    ("modifier_ability", "INT"),
+    ("kill_eater_event", "INT"),
+    ("unit_status_label", "INT"),
+    ("neutral_camp_team", "INT"),
+    ("regenerated_health", "FLOAT"),
+    ("tracked_stat_id", "INT"),
+    ("modifier_purged_duration", "FLOAT"),
+    ("visible_radiant", "BOOLEAN"),
+    ("visible_dire", "BOOLEAN"),
+    ("ability_toggle_on", "BOOLEAN"),
+    ("ability_toggle_off", "BOOLEAN"),
+    ("hidden_modifier", "BOOLEAN"),
+    ("ultimate_ability", "BOOLEAN"),
+    ("target_self", "BOOLEAN"),
+    ("invisibility_modifier", "BOOLEAN"),
+    ("silence_modifier", "BOOLEAN"),
+    ("heal_from_lifesteal", "BOOLEAN"),
+    ("modifier_purged", "BOOLEAN"),
+    ("spell_evaded", "BOOLEAN"),
+    ("motion_controller_modifier", "BOOLEAN"),
+    ("root_modifier", "BOOLEAN"),
+    ("aura_modifier", "BOOLEAN"),
+    ("armor_debuff_modifier", "BOOLEAN"),
+    ("no_physical_damage_modifier", "BOOLEAN"),
+    ("modifier_hidden", "BOOLEAN"),
+    ("inflictor_is_stolen_ability", "BOOLEAN"),
+    ("spell_generated_attack", "BOOLEAN"),
+    ("at_night_time", "BOOLEAN"),
+    ("attacker_has_scepter", "BOOLEAN"),
+    ("will_reincarnate", "BOOLEAN"),
+    ("uses_charges", "BOOLEAN"),
+    ("heal_from_regen", "BOOLEAN"),
+)
 
 _CLOCK = "demo_tick BIGINT, net_tick BIGINT, game_time DOUBLE"
 
 TABLES = {
     "records": f"extraction_id STRING, sequence BIGINT, {_CLOCK}, category STRING, record_type STRING, payload STRING",
-    "combatEvents": "extraction_id STRING, " + ", ".join(COMBAT_COLUMNS.strip().splitlines()),
+    "combatEvents": "extraction_id STRING, " + ", ".join(f"{name} {kind}" for name, kind in COMBAT_COLUMNS),
     "entityInstances": (
         "extraction_id STRING, sequence BIGINT, entity_instance_id BIGINT, entity_index BIGINT, serial BIGINT, "
         f"handle DECIMAL(20,0), class_id INT, class_name STRING, {_CLOCK}"

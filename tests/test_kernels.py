@@ -157,10 +157,10 @@ def test_components_without_edges(spark):
     assert connected_components(spark.createDataFrame([], "l BIGINT, r BIGINT"), "l", "r").count() == 0
 
 
-@pytest.mark.parametrize("direct", [4096, 9])
-def test_band_edges_keep_the_components_of_all_pairs(spark, monkeypatch, direct):
-    """A crowd, a spread and exact boundary distances; small limits force the cells to split."""
-    monkeypatch.setattr(spatial, "DIRECT_PAIRS", direct)
+@pytest.mark.parametrize("levels", [3, 1])
+def test_band_edges_keep_the_components_of_all_pairs(spark, monkeypatch, levels):
+    """A crowd, a spread and exact boundary distances; few splits leave more to the points."""
+    monkeypatch.setattr(spatial, "LEVELS", levels)
     source = random.Random(11)
     points = [("hot", number, source.uniform(0, 60), source.gauss(0, 900), source.gauss(0, 900)) for number in range(260)]
     points += [("hot", 300 + number, source.uniform(0, 400), source.uniform(-8000, 8000), source.uniform(-8000, 8000))
@@ -198,6 +198,26 @@ def test_densest_seed_matches_all_pairs(spark):
         assert got[group] == (best[2], best[3])
 
 
+def test_densest_seed_of_one_crowded_group(spark):
+    """A hundred thousand points of one group: the tree opens few of them, and no pair of all cells is made."""
+    import numpy as np
+
+    draw = np.random.default_rng(2)
+    count = 100_000
+    places = np.concatenate([draw.normal(2000, 1500, (count // 2, 2)), draw.uniform(-8000, 8000, (count // 2, 2))]).round(1)
+    frame = spark.createDataFrame([(1, number, float(x), float(y)) for number, (x, y) in enumerate(places)],
+                                  "g INT, ord BIGINT, x DOUBLE, y DOUBLE")
+    seed = spatial.densest_seed(frame, ["g"], 3500.0, ["ord"]).collect()[0].seed
+
+    def near(x, y):
+        return int((((places - (x, y)) ** 2).sum(axis=1) <= 3500.0 ** 2).sum())
+
+    # Points whose count is close to the best lie around the seed: count all of them.
+    around = places[((places - (seed.x, seed.y)) ** 2).sum(axis=1) <= 150.0 ** 2]
+    assert near(seed.x, seed.y) == max(near(x, y) for x, y in around)
+    assert near(seed.x, seed.y) >= max(near(x, y) for x, y in places[draw.choice(count, 300, replace=False)])
+
+
 def test_exact_order_statistics(facts):
     data, frame = facts
     found = exact_order_statistics(frame, ["key"], "value", {
@@ -208,6 +228,25 @@ def test_exact_order_statistics(facts):
         assert (row.low, row.middle, row.p95) == (values[0], values[size // 2], values[-(-size * 95 // 100) - 1])
 
 
+def test_order_statistics_of_one_hot_group(spark):
+    """Nearly all rows in one group, of values that differ in their lowest bits, signs and magnitudes."""
+    source = random.Random(8)
+    values = [source.choice([-1, 1]) * source.choice([1e-300, 1.0, 1e300]) * (1 + source.randrange(50) * 2.0 ** -50)
+              for _ in range(6000)] + [0.0, -0.0, float("inf"), float("-inf")]
+    rows = [("hot", value) for value in values] + [("cold", 3.5), ("cold", None)]
+    frame = spark.createDataFrame(rows, "g STRING, v DOUBLE")
+    places = {f"p{place}": place for place in (0, 1, 1500, 3001, 3002, 4500, len(values) - 1)}
+    found = {row.g: row for row in exact_order_statistics(frame, ["g"], "v", {
+        name: F.least(F.lit(place), F.col("n") - 1) for name, place in places.items()}).collect()}
+    for name, place in places.items():
+        assert found["hot"][name] == sorted(values)[place] and found["cold"][name] == 3.5
+    for kind in ("BIGINT", "INT", "DECIMAL(12,3)"):
+        typed = frame.where("abs(v) BETWEEN 0.5 AND 2 OR v = 0").selectExpr("g", f"CAST(v * 1000 AS {kind}) AS v")
+        middle = exact_order_statistics(typed, ["g"], "v", {"m": F.floor(F.col("n") / 2)})
+        want = {key: sorted(row.v for row in typed.collect() if row.g == key) for key in {row.g for row in typed.collect()}}
+        assert {row.g: row.m for row in middle.collect()} == {key: own[len(own) // 2] for key, own in want.items()}
+
+
 def test_exact_median_of_even_and_odd_groups(spark):
     frame = spark.createDataFrame([("a", 1.0), ("a", 4.0), ("b", 2.0), ("b", 9.0), ("b", 3.0)], "g STRING, v DOUBLE")
     assert {row.g: row.m for row in exact_median(frame, ["g"], "v", "m").collect()} == {"a": 2.5, "b": 3.0}

@@ -3,7 +3,7 @@
 import base64
 import hashlib
 import json
-import shutil
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,13 +136,36 @@ def test_a_failed_load_is_recorded_and_can_be_repeated(spark, tmp_path):
 
 def test_of_two_loads_at_once_one_counts(spark, tmp_path):
     warehouse = str(tmp_path / "w")
-    rows = spark.createDataFrame([("e1", 1), ("e1", 2)], "extraction_id STRING, n INT")
-    catalog.publish_extractions(spark, warehouse, {"facts": rows}, _attempts(spark, "e1"), "b1")
-    # As a load that began before the first one had committed would do.
-    catalog.publish_extractions(spark, str(tmp_path / "x"), {"facts": rows}, _attempts(spark, "e1"), "b2")
-    for name in ("facts", "catalog/extractions"):
-        shutil.copytree(tmp_path / "x" / name, tmp_path / "w" / name, dirs_exist_ok=True)
-    assert _published(spark, warehouse) == [1, 2]
+    loads = {label: spark.createDataFrame([("e1", number), ("e1", number + 1)], "extraction_id STRING, n INT")
+             for label, number in (("a", 1), ("b", 11))}
+    with ThreadPoolExecutor(2) as pool:
+        ends = list(pool.map(lambda label: catalog.publish_extractions(
+            spark, warehouse, {"facts": loads[label]}, _attempts(spark, "e1"), label), loads))
+    assert sorted(ends) == ["already_loaded", "loaded"]
+    assert _published(spark, warehouse) == ([1, 2] if ends[0] == "loaded" else [11, 12])
+
+
+def test_a_version_of_the_log_is_taken_once(spark, tmp_path):
+    path = str(tmp_path / "log" / "0.json")
+    assert catalog._create(spark, path, "one") and not catalog._create(spark, path, "two")
+    assert (tmp_path / "log" / "0.json").read_text() == "one"
+
+
+def test_small_loads_write_one_file_a_bucket_and_are_compacted(spark, tmp_path):
+    warehouse = str(tmp_path / "w")
+    rows = spark.createDataFrame([(f"e{number}", number) for number in range(40)], "extraction_id STRING, n INT").repartition(9)
+    for part in range(3):
+        names = [f"e{number}" for number in range(40) if number % 3 <= part]
+        catalog.publish_extractions(spark, warehouse, {"facts": rows}, _attempts(spark, *names), f"b{part}")
+    attempts = list((tmp_path / "w" / "facts").glob("attempt=*"))
+    assert len(attempts) == 3
+    for bucket in (tmp_path / "w" / "facts").glob("attempt=*/bucket=*"):
+        assert len(list(bucket.glob("part-*"))) == 1
+    made = catalog.compact(spark, warehouse, ["facts"])
+    assert _published(spark, warehouse) == list(range(40))
+    assert {row.attempt for row in catalog.committed_attempts(spark, warehouse).collect()} == {made}
+    assert catalog.compact(spark, warehouse, ["facts"]) is None
+    assert catalog.publish_extractions(spark, warehouse, {"facts": rows}, _attempts(spark, "e5"), "again") == "already_loaded"
 
 
 def test_positions_reject_the_whole_extraction(spark):
