@@ -9,9 +9,9 @@ in order, branch where neighbours differ, and a node is complete, its total
 the sum of its leaves, when the next suffix leaves it.  A prefix cut into several
 groups hands over partial totals, which are added up.
 
-Suffixes are read only as far as they can matter: a bitmap of fixed size
-holds which hashed word pairs can be frequent, and a suffix ends where a pair
-cannot be.  Pairs that share a bit only make suffixes longer, never a count wrong.
+Suffixes are read only as far as they can matter: bitmaps of fixed size
+hold which hashed pairs and triples of words can be frequent, triples being counted only where both of their pairs can,
+and a suffix ends where one cannot be.  Phrases that share a bit only make suffixes longer, never a count wrong.
 Equal suffixes are added up before they travel, so a passage found everywhere is one row.
 """
 
@@ -30,9 +30,11 @@ from arenaflow.llm.frames import numbered, partitions, slices, stored
 
 DEPTH = 4
 #: Suffixes of a group at least; a group is larger only where there are more than ``GROUPS`` of this size.
-BUDGET = 1 << 16
+BUDGET = 1 << 17
 GROUPS = 1 << 14
-PAIR_BITS = 26
+BITS = 26
+#: Words of the phrases that have a bitmap.
+MARKED = (2, 3)
 SLICE_BYTES = 8 << 20
 SEED = 42
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -78,15 +80,41 @@ def _mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
-def _pair_bits(lang: str, codes: np.ndarray, names: pa.Array) -> np.ndarray:
-    """The bit of the pair that starts at every word but the last; -1 across pieces."""
+def _word_hashes(lang: str, names: pa.Array) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
     own = np.fromiter((xxh64_intdigest(word, SEED) for word in names.to_pylist()), np.uint64, len(names))
-    own = _mix(own + np.uint64(xxh64_intdigest(lang.encode(), SEED)))
-    hashes = own[np.maximum(codes, 0)]
-    pairs = _mix(hashes[:-1] * np.uint64(3) + _mix(hashes[1:])) >> np.uint64(64 - PAIR_BITS)
-    return np.where((codes[:-1] >= 0) & (codes[1:] >= 0), pairs.astype(np.int64), -1)
+    return _mix(own + np.uint64(xxh64_intdigest(lang.encode(), SEED)))
+
+
+def _phrase_bits(hashes: np.ndarray, codes: np.ndarray, size: int) -> np.ndarray:
+    """The bit of the phrase of ``size`` words that starts at every word, -1 where it would leave the piece."""
+    found = np.full(len(codes), -1)
+    count = len(codes) - size + 1
+    if count > 0 and len(hashes):
+        own, inside = hashes[np.maximum(codes, 0)], codes >= 0
+        code, whole = own[:count], inside[:count].copy()
+        for at in range(1, size):
+            code = _mix(code * np.uint64(3) + _mix(own[at:at + count]))
+            whole &= inside[at:at + count]
+        found[:count] = np.where(whole, (code >> np.uint64(64 - BITS)).astype(np.int64), -1)
+    return found
+
+
+def _shifted(flags: np.ndarray, by: int) -> np.ndarray:
+    return np.append(flags[by:], np.zeros(by, bool))
+
+
+def _may_be_frequent(hashes: np.ndarray, codes: np.ndarray, bitmaps: list[np.ndarray]) -> list[np.ndarray]:
+    """For every bitmap, where a phrase of its size starts that may be frequent and whose parts may be."""
+    found: list[np.ndarray] = []
+    for size, bitmap in zip(MARKED, bitmaps):
+        bits = _phrase_bits(hashes, codes, size)
+        flags = (bits >= 0) & ((bitmap[np.maximum(bits, 0) >> 3] >> (bits & 7).astype(np.uint8)) & 1).astype(bool)
+        if found:
+            flags &= found[-1] & _shifted(found[-1], 1)
+        found.append(flags)
+    return found
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,30 +128,34 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 schema=schema)
 
 
-def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_bits(batches: Iterator[pa.RecordBatch], size: int, bitmaps: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Bits of the phrases of ``size`` words, with their counts, where the parts of the phrase may be frequent."""
     schema = pa.schema([("bit", pa.int32()), ("n", pa.int64())])
     for batch in _each_slice(batches):
         for lang, codes, names in _streams(batch):
-            bits = _pair_bits(lang, codes, names)
+            hashes = _word_hashes(lang, names)
+            bits = _phrase_bits(hashes, codes, size)
+            if bitmaps:
+                shorter = _may_be_frequent(hashes, codes, bitmaps)[-1]
+                bits = bits[shorter & _shifted(shorter, 1)]
             bits, counts = np.unique(bits[bits >= 0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(bits.astype(np.int32)), pa.array(counts.astype(np.int64))], schema=schema)
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Suffixes of two to ``DEPTH`` words that start with a pair of the bitmap, equal ones of a slice added up."""
+def _suffixes(batches: Iterator[pa.RecordBatch], bitmaps: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Suffixes of two to ``DEPTH`` words as far as they may be frequent, equal ones of a slice added up."""
     schema = pa.schema([("lang", pa.string()), ("suffix", pa.string()), ("n", pa.int64())])
     for batch in _each_slice(batches):
         for lang, codes, names in _streams(batch):
-            bits = _pair_bits(lang, codes, names)
-            good = np.zeros(len(codes) + DEPTH, bool)
-            good[:len(bits)] = (bits >= 0) & ((bitmap[np.maximum(bits, 0) >> 3] >> (bits & 7).astype(np.uint8)) & 1).astype(bool)
-            start = np.flatnonzero(good)
+            pairs, triples = _may_be_frequent(_word_hashes(lang, names), codes, bitmaps)
+            start = np.flatnonzero(pairs)
             if not len(start):
                 continue
             padded = np.append(codes, np.full(DEPTH, -1))
-            alive, columns = np.ones(len(start), bool), [names.take(pa.array(padded[start]))]
+            reach = (pairs, triples, triples & _shifted(triples, 1))
+            columns = [names.take(pa.array(padded[start]))]
             for step in range(1, DEPTH):
-                alive &= good[start + step - 1]
+                alive = reach[step - 1][start]
                 columns.append(names.take(pa.array(np.where(alive, padded[start + step], 0), mask=~alive)))
             columns.append(pa.array([b""] * len(start), pa.binary()))
             joined = pc.binary_join_element_wise(*columns, pa.scalar(_GAP.encode(), pa.binary()), null_handling="skip")
@@ -133,6 +165,18 @@ def _suffixes(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray) -> Iterator
                 counted.field("counts")], schema=schema)
 
 
+def _bitmap(documents: DataFrame, size: int, shorter: list, least: int) -> np.ndarray:
+    """The bits of phrases of ``size`` words that are found ``least`` times together: 2^BITS of them whatever the input."""
+    bits = documents.mapInArrow(
+        lambda batches: _count_bits(batches, size, [shared.value for shared in shorter]), "bit int, n long").groupBy("bit").agg(
+        F.sum("n").alias("n")).where(F.col("n") >= least).select(F.col("bit").cast("long").alias("bit"))
+    rows = bits.groupBy((F.col("bit") / 32768).cast("int").alias("at")).agg(F.bitmap_construct_agg(F.col("bit") % 32768).alias("bits"))
+    found = np.zeros((1 << BITS) >> 3, np.uint8)
+    for at, part in rows.collect():
+        found[at * 4096:(at + 1) * 4096] = np.frombuffer(part, np.uint8)
+    return found
+
+
 # vertical partitioning
 
 def _prefix(words: int) -> Column:
@@ -268,18 +312,14 @@ def phrase_counts(documents: DataFrame, least: int, budget: int = BUDGET) -> tup
     spark = documents.sparkSession
     words = stored(documents.mapInArrow(_count_words, "lang string, word string, f long").groupBy("lang", "word").agg(
         F.sum("f").alias("f")), "words")
-    bits = documents.mapInArrow(_count_pairs, "bit int, n long").groupBy("bit").agg(F.sum("n").alias("n")).where(
-        F.col("n") >= least).select(F.col("bit").cast("long").alias("bit"))
-    # The bitmap has 2^PAIR_BITS bits whatever the input.
-    rows = bits.groupBy((F.col("bit") / 32768).cast("int").alias("at")).agg(F.bitmap_construct_agg(F.col("bit") % 32768).alias("bits"))
-    bitmap = np.zeros((1 << PAIR_BITS) >> 3, np.uint8)
-    for at, part in rows.collect():
-        bitmap[at * 4096:(at + 1) * 4096] = np.frombuffer(part, np.uint8)
-    shared = spark.sparkContext.broadcast(bitmap)
+    bitmaps: list = []
+    for size in MARKED:
+        bitmaps.append(spark.sparkContext.broadcast(_bitmap(documents, size, bitmaps, least)))
     suffixes = stored(documents.mapInArrow(
-        lambda batches: _suffixes(batches, shared.value), "lang string, suffix string, n long").groupBy("lang", "suffix").agg(
-        F.sum("n").alias("n")), "suffixes")
-    shared.destroy()
+        lambda batches: _suffixes(batches, [shared.value for shared in bitmaps]), "lang string, suffix string, n long").groupBy(
+        "lang", "suffix").agg(F.sum("n").alias("n")), "suffixes")
+    for shared in bitmaps:
+        shared.destroy()
     starts = [_order(key) for key in partition_starts(suffixes, budget)]
     grouped = suffixes.mapInArrow(lambda batches: _to_groups(batches, starts), "lang string, suffix string, n long, part int")
     dealt = grouped.select("part", "lang", "suffix", "n").repartition(partitions(spark), "part").sortWithinPartitions(
