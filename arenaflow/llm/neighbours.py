@@ -75,7 +75,7 @@ class Tree:
 
 def search(vectors: np.ndarray, queries: np.ndarray, wanted: int, longest: float, settings: Settings,
            ) -> tuple[np.ndarray, np.ndarray, int]:
-    """Rows and inner products of the best ``wanted`` found for each query (-1 where there are fewer).
+    """Rows and inner products of the best ``wanted`` found for each query (-1 where there are fewer), ties to earlier rows.
 
     ``longest`` is the largest squared length of any vector of the collection.
     The third value counts verified pairs.
@@ -101,13 +101,14 @@ def search(vectors: np.ndarray, queries: np.ndarray, wanted: int, longest: float
             members = tree.leaves[leaf]
             products = queries[who] @ vectors[members].T
             verified += products.size
-            worth = (products > best[who, -1:]).any(axis=1)
+            worth = (products >= best[who, -1:]).any(axis=1)
             if not worth.any():
                 continue
             who, products = who[worth], products[worth]
             values = np.concatenate([best[who], products], axis=1)
             places = np.concatenate([rows[who], np.broadcast_to(members, products.shape)], axis=1)
-            top = np.argsort(-values, axis=1, kind="stable")[:, :wanted]
+            # Of equal products the earlier rows stay.
+            top = np.lexsort((places, -values), axis=1)[:, :wanted]
             best[who] = np.take_along_axis(values, top, axis=1)
             rows[who] = np.take_along_axis(places, top, axis=1)
         done = upto
@@ -171,6 +172,8 @@ def _answers(index: pd.DataFrame, block: pd.DataFrame, wanted: int, key: str, lo
              settings: Settings) -> Iterator[tuple[int, int, float]]:
     if not len(index) or not len(block):
         return
+    # Rows by their smallest id, so that ties go to it however many there are.
+    index = index.iloc[np.argsort([own[0] for own in index["_ids"]], kind="stable")]
     vectors = np.stack(index["_vector"]).astype(np.float64)
     queries = np.stack(block["_vector"]).astype(np.float64)
     ids = index["_ids"].tolist()
