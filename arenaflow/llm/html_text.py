@@ -82,6 +82,13 @@ class Part:
 def parts(page: str) -> Iterator[Part]:
     """Texts and tags of a page in order; elements that are left open end with the one around them."""
     stack: list[tuple[str, bool, bool, str]] = []
+    # Open elements by name: the stack is searched only for names that are in it, so deep pages stay linear.
+    open_ = Counter()
+
+    def end(depth: int) -> None:
+        open_.subtract(element[0] for element in stack[depth:])
+        del stack[depth:]
+
     at = 0
     while at < len(page):
         match = _TOKEN.match(page, at)
@@ -101,26 +108,26 @@ def parts(page: str) -> Iterator[Part]:
         if closing:
             if name in _VOID:
                 continue
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == name:
-                    del stack[depth:]
-                    break
+            if open_[name] > 0:
+                end(next(depth for depth in range(len(stack) - 1, -1, -1) if stack[depth][0] == name))
             yield Part(name, None, 0, left_out, labelled, name in _BLOCK)
             continue
-        if name in _CLOSES_P and any(element[0] == "p" for element in stack):
-            depth = max(depth for depth, element in enumerate(stack) if element[0] == "p")
-            if not any(element[0] in ("article", "section", "div", "td", "li") for element in stack[depth:]):
-                del stack[depth:]
-        elif name in ("li", "dd", "dt", "tr", "td", "th", "option"):
-            depth = next((depth for depth in range(len(stack) - 1, -1, -1) if stack[depth][0] in (name, "ul", "ol", "table")), -1)
-            if depth >= 0 and stack[depth][0] == name:
-                del stack[depth:]
+        if name in _CLOSES_P and open_["p"] > 0:
+            # Nearest first: an element that keeps paragraphs to itself ends the search as well.
+            depth = next(depth for depth in range(len(stack) - 1, -1, -1)
+                         if stack[depth][0] in ("p", "article", "section", "div", "td", "li"))
+            if stack[depth][0] == "p":
+                end(depth)
+        elif name in ("li", "dd", "dt", "tr", "td", "th", "option") and open_[name] > 0:
+            depth = next(depth for depth in range(len(stack) - 1, -1, -1) if stack[depth][0] in (name, "ul", "ol", "table"))
+            if stack[depth][0] == name:
+                end(depth)
         left_out = bool(stack) and stack[-1][1]
         labelled = bool(stack) and stack[-1][2]
         yield Part(name, None, 0, left_out, labelled, name in _BLOCK)
         if name in _RAW:
-            end = _RAW[name].search(page, at)
-            at = end.end() if end else len(page)
+            found = _RAW[name].search(page, at)
+            at = found.end() if found else len(page)
             continue
         if name in _VOID or attributes.rstrip().endswith("/") and name in ("path", "circle", "rect"):
             if name == "br":
@@ -132,6 +139,7 @@ def parts(page: str) -> Iterator[Part]:
         above = stack[-1][3] if stack else "body"
         kind = ("odd" if odd else name) if name in _BLOCK or odd else ("a" if name == "a" else above)
         kind = "odd" if left_out else kind
+        open_[name] += 1
         stack.append((name, left_out or odd, not odd and (labelled or name in ("article", "main")), kind))
 
 
@@ -160,10 +168,13 @@ def main_text(page: str, weights: Weights) -> str:
     best, best_from, best_to = 0.0, 0, 0
     total, start = 0.0, 0
     for at, part in enumerate(found):
-        if part.text is None:
+        # What is left out of the text neither helps nor cuts a stretch.
+        if part.left_out:
+            value = 0.0
+        elif part.text is None:
             value = weights.tags.get(part.kind, weights.other_tags)
         else:
-            value = part.words * (-3.0 if part.left_out else weights.words.get(part.kind, weights.other_words))
+            value = part.words * weights.words.get(part.kind, weights.other_words)
         if total <= 0:
             total, start = 0.0, at
         total += value
