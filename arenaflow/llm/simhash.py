@@ -16,6 +16,7 @@ their shingle sets, and blocks go on past pairs that fail.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
 from collections.abc import Iterator
@@ -63,7 +64,10 @@ def _shingle_hashes(text: str, size: int) -> np.ndarray:
 
 def fingerprint(text: str, size: int = 3, width: int = 1) -> list[int]:
     """``width`` unsigned 64-bit words; the first is the SimHash of XXH64, the others of hashes mixed from it."""
-    hashes = _shingle_hashes(text, size)
+    return _fingerprint_of(_shingle_hashes(text, size), width)
+
+
+def _fingerprint_of(hashes: np.ndarray, width: int) -> list[int]:
     if not len(hashes):
         return [0] * width
     found = []
@@ -96,6 +100,21 @@ def with_fingerprints(frame: DataFrame, text: str = "text", size: int = 3, width
     return with_columns(frame, [T.StructField(name, T.LongType()) for name in _word_names(width)], start, text)
 
 
+def with_signatures(frame: DataFrame, text: str, size: int, width: int) -> DataFrame:
+    """Append the fingerprint, as ``with_fingerprints`` does, and ``_set``, a digest of the set of shingles."""
+    def start():
+        def make(batch):
+            hashes = [_shingle_hashes(value, size) for value in texts_of(batch, text)]
+            rows = np.array([_fingerprint_of(own, width) for own in hashes], dtype=np.uint64)
+            digests = [hashlib.blake2b(np.unique(own.view(np.int64)).tobytes(), digest_size=16).digest() for own in hashes]
+            return [*(pa.array(column) for column in rows.reshape(-1, width).view(np.int64).T), digests]
+
+        return make
+
+    fields = [T.StructField(name, T.LongType()) for name in _word_names(width)]
+    return with_columns(frame, [*fields, T.StructField("_set", T.BinaryType())], start, text)
+
+
 def hexadecimal(word: Column) -> Column:
     return F.lower(F.lpad(F.hex(word), 16, "0"))
 
@@ -481,8 +500,9 @@ def deduplicate(documents: DataFrame, text: str = "text", doc_id: str = "doc_id"
     radius = math.floor(bits * share + 3 * math.sqrt(bits * share * (1 - share)))
     names = _word_names(width)
     key = F.xxhash64(doc_id, text).alias("_key")
-    prints = stored(with_fingerprints(documents.select(doc_id, text), text, size, width).select(
-        doc_id, key, F.xxhash64(*names).alias("node"), *names), "wide-fingerprints")
+    # A node is one fingerprint of one set: unlike texts with the same fingerprint meet like any others.
+    prints = stored(with_signatures(documents.select(doc_id, text), text, size, width).select(
+        doc_id, key, F.xxhash64(*names, "_set").alias("node"), *names), "wide-fingerprints")
     nodes = stored(prints.select("node", *names).distinct(), "nodes")
     keys = prints.groupBy("node").agg(F.min("_key").alias("_key"))
     keyed = documents.select(key, text)
