@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -236,7 +237,7 @@ def _fit(split: list[tuple[list[str], int]], settings: Settings) -> Model:
     return model
 
 
-def sample(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> pd.DataFrame:
+def sample(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """At most ``rows_per_label`` labelled texts of each label, chosen by a hash; the bound holds at every size.
 
     Rows whose crc32(doc_id) modulo 5 is zero are held out, and rows without a
@@ -250,12 +251,23 @@ def sample(documents: DataFrame, labels: DataFrame, settings: Settings = Setting
     # Two limits bound the chosen ids, so they may be broadcast.
     found = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text IS NOT NULL")
     bounded = found.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(2 * settings.rows_per_label)
-    return bounded.select("text", "toxic").toPandas()
+    return bounded.select("text", "toxic")
 
 
 def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
-    rows = sample(documents, labels, settings)
-    return train(rows["text"].tolist(), rows["toxic"].tolist(), settings)
+    """Train on the bounded sample in one task; the driver sees the finished weights only."""
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([pd.DataFrame({"text": [], "toxic": []}), *batches])
+        model = train(rows["text"].tolist(), [int(label) for label in rows["toxic"]], settings)
+        yield pd.DataFrame({"scores": [model.scores.astype(np.float32).tobytes()], "bias": [float(model.bias)],
+                            "slope": [float(model.slope)], "shift": [float(model.shift)]})
+
+    made = sample(documents, labels, settings).mapInPandas(
+        learn, "scores binary, bias double, slope double, shift double").collect()
+    if not made:  # without a row there is no task
+        return train([], [], settings)
+    fitted = made[0]
+    return Model(settings, np.frombuffer(fitted.scores, np.float32), fitted.bias, fitted.slope, fitted.shift)
 
 
 def with_score(frame: DataFrame, model: Model, text: str = "text") -> DataFrame:
