@@ -138,18 +138,22 @@ def _matrix(column: pa.Array, kind: type, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
+_NAMED = pa.schema([("node", pa.int64()), ("cls", pa.int64()), ("label", pa.int64())])
+
+
 def _children(batches: Iterator[pa.RecordBatch], roots: list[int] | None) -> Iterator[pa.RecordBatch]:
-    """``a`` node, ``b`` class for the children of every row (``cls, tokens`` and, below the roots, ``node``)."""
+    """``node, cls, label`` for the children of every row (``cls, tokens`` and, below the roots, ``node, label``)."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        cls, sketch = batch.column(0).to_numpy(), _matrix(batch.column(1), np.uint32, POSITIONS)
+        cls, sketch = batch.column(0), _matrix(batch.column(1), np.uint32, POSITIONS)
         nodes = ([np.full(len(cls), root, np.uint64) for root in roots] if roots is not None
                  else [batch.column(2).to_numpy().view(np.uint64)])
+        label = cls if roots is not None else batch.column(3)
         for node in nodes:
             made = _branch(node, sketch)
             for child in range(made.shape[1]):
-                yield pa.RecordBatch.from_arrays([pa.array(made[:, child].view(np.int64)), pa.array(cls)], schema=_EDGES)
+                yield pa.RecordBatch.from_arrays([pa.array(made[:, child].view(np.int64)), cls, label], schema=_NAMED)
 
 
 def _agreeing(one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -191,16 +195,22 @@ def _owned_pairs(table: pa.Table, least: int) -> tuple[np.ndarray, np.ndarray, n
     chunk, one of them leads, they agree, and no earlier node holds both.
     """
     chunk, cls, label, lead, node = (table.column(at).to_numpy() for at in range(5))
-    nodes, bits = table.column(5).to_pylist(), _matrix(table.column(6), np.uint8, COMPARED)
+    lists, bits = table.column(5).chunk(0) if len(chunk) else None, _matrix(table.column(6), np.uint8, COMPARED)
+    ends, held = (lists.offsets.to_numpy(), lists.values.to_numpy()) if len(chunk) else (None, None)
+    # A quarter of the positions rules out most pairs, with a wider margin.
+    few = np.ascontiguousarray(bits[:, :COMPARED // 4])
+    hint = max(0, least // 4 - 8)
     left, right, agreed = [], [], []
     for step in range(1, len(chunk)):
         one = np.flatnonzero(chunk[step:] == chunk[:-step])
         if not len(one):
             break
         one = one[(label[one] != label[one + step]) & (lead[one] | lead[one + step])]
+        one = one[_agreeing(few[one], few[one + step]) >= hint]
         same = _agreeing(bits[one], bits[one + step])
         kept = [at for at in np.flatnonzero(same >= least).tolist()
-                if min(set(nodes[one[at]]).intersection(nodes[one[at] + step])) == node[one[at]]]
+                if np.intersect1d(held[ends[one[at]]:ends[one[at] + 1]],
+                                  held[ends[one[at] + step]:ends[one[at] + step + 1]])[0] == node[one[at]]]
         left.append(one[kept])
         right.append(one[kept] + step)
         agreed.append(same[kept])
@@ -217,7 +227,7 @@ def _involved(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Reco
 
 
 def _decided(batches: Iterator[pa.RecordBatch], least: int, similarity: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """Links of the documents involved (with their set as the last column) that connect what was not connected."""
+    """Documents involved (with their set as the last column) that links connect, as stars around one of them."""
     for table in _whole_nodes(batches):
         table = table.combine_chunks()
         chunk, cls, label = (table.column(at).to_numpy() for at in range(3))
@@ -231,13 +241,20 @@ def _decided(batches: Iterator[pa.RecordBatch], least: int, similarity: tuple[in
                 key = parent[key]
             return key
 
-        links = []
+        joined = set()
         for at in np.argsort(-agreed, kind="stable").tolist():
             one, two = int(left[at]), int(right[at])
             low, high = top((int(chunk[one]), int(label[one]))), top((int(chunk[two]), int(label[two])))
             if low != high and _alike(sets[one], sets[two], similarity):
                 parent[low] = high
-                links.append((int(cls[one]), int(cls[two])))
+                joined |= {(int(chunk[one]), int(label[one])), (int(chunk[two]), int(label[two]))}
+        # What is connected is told as a star around its least class, which other nodes of the same documents share.
+        groups: dict[tuple[int, int], list[int]] = {}
+        for key, member in zip(zip(chunk.tolist(), label.tolist()), cls.tolist()):
+            if key in joined:
+                groups.setdefault(top(key), []).append(member)
+        links = [(least_class, member) for members in groups.values() for least_class in [min(members)]
+                 for member in set(members) if member != least_class]
         found = np.array(links, np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], schema=_EDGES)
 
@@ -303,14 +320,20 @@ def _star_labels(links: DataFrame) -> DataFrame:
         "cls", F.coalesce("root", "star").alias("label")), "labels")
 
 
-def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Rows with the component of their class as ``label``, in nodes that still hold several.
+def _relabelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``node, cls, label`` of rows ``node, cls``: a class is looked up once, however many nodes it is in."""
+    if labels is None:
+        return rows.select("node", "cls", F.col("cls").alias("label"))
+    places = rows.groupBy("cls").agg(F.collect_list("node").alias("nodes")).join(labels, "cls", "left")
+    return places.select(F.explode("nodes").alias("node"), "cls", F.coalesce("label", "cls").alias("label"))
+
+
+def _unsettled(named: DataFrame) -> DataFrame:
+    """The rows ``node, cls, label`` of nodes that still hold several components.
 
     ``members`` is the size of the node, ``major`` its largest component and
     ``least`` the smaller of the size and the number of members outside that component.
     """
-    named = rows.select("node", "cls", F.col("cls").alias("label")) if labels is None else rows.select("node", "cls").join(
-        labels, "cls", "left").select("node", "cls", F.coalesce("label", "cls").alias("label"))
     parts = named.groupBy("node", "label").agg(F.count(F.lit(1)).alias("part"))
     sizes = parts.groupBy("node").agg(F.sum("part").alias("members"), F.max(F.struct("part", "label")).alias("most"),
                                       F.count(F.lit(1)).alias("parts")).where("parts > 1")
@@ -351,11 +374,11 @@ def class_links(documents: DataFrame, classes: DataFrame, size: int, similarity:
     taking_part = classes.where(F.col("n") >= fewest).select("cls", "tokens", "bits")
     roots = [int.from_bytes(hashlib.sha256(f"tree {tree}".encode()).digest()[:8], "big") for tree in range(trees(share, missed))]
     sets, labels, links = _Sets(documents, classes, size), None, None
-    below = taking_part.select("cls", "tokens").mapInArrow(lambda batches: _children(batches, roots), "a long, b long")
+    below = taking_part.select("cls", "tokens").mapInArrow(
+        lambda batches: _children(batches, roots), "node long, cls long, label long")
     small: list[DataFrame] = []
     while True:
-        rows = stored(below.select(F.col("a").alias("node"), F.col("b").alias("cls")), "children")
-        members = stored(_labelled(rows, labels), "nodes")
+        members = stored(_unsettled(stored(below, "children")), "nodes")
         small.append(members.where(F.col("least") <= SMALL).select("node", "cls"))
         large = members.where(F.col("least") > SMALL)
         if large.isEmpty():
@@ -372,17 +395,18 @@ def class_links(documents: DataFrame, classes: DataFrame, size: int, similarity:
         links = found if links is None else links.unionAll(found)
         labels = _star_labels(links)
         # Nodes that the pivots have all but connected do not branch.
-        members = stored(_labelled(large, labels), "thinned-nodes")
+        members = stored(_unsettled(stored(_relabelled(large, labels), "relabelled")), "thinned-nodes")
         small.append(members.where(F.col("least") <= SMALL).select("node", "cls"))
         open_ = members.where(F.col("least") > SMALL)
         if open_.isEmpty():
             break
-        below = open_.select("node", "cls").join(taking_part, "cls").select("cls", "tokens", "node").mapInArrow(
-            lambda batches: _children(batches, None), "a long, b long")
+        below = open_.select("node", "cls", "label").join(taking_part, "cls").select("cls", "tokens", "node", "label").mapInArrow(
+            lambda batches: _children(batches, None), "node long, cls long, label long")
     members = small[0]
     for more in small[1:]:
         members = members.unionAll(more)
-    members = stored(_labelled(members, labels).select("node", "cls", "label", "members", "major"), "small-nodes")
+    members = stored(_unsettled(stored(_relabelled(members, labels), "relabelled")).select(
+        "node", "cls", "label", "members", "major"), "small-nodes")
     places = members.groupBy("cls").agg(F.collect_list("node").alias("nodes"))
 
     def dealt(rows: DataFrame, *besides: str) -> DataFrame:
