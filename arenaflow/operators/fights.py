@@ -564,11 +564,26 @@ class Fights:
         return self.anchors.select(*FIGHT, "sequence", F.col("t").alias("game_time_seconds"), "victim_slot",
                                    "killer_slot", "assist_slots", "x", "y")
 
+    @cached_property
+    def records(self) -> DataFrame:
+        """The list with the death times, participants and objectives of each fight as arrays of rows.
+
+        A fight has at most the roster's heroes; deaths and objectives are those of one fight.
+        """
+        times = self.anchors.groupBy(*FIGHT).agg(F.array_sort(F.collect_list("t")).alias("anchor_times"))
+        people = self.participants.groupBy(*FIGHT).agg(F.array_sort(F.collect_list(F.struct(
+            "player_slot", "team_id", "hero_id", "kills", "deaths", "assists"))).alias("participants"))
+        fallen = self.objectives.groupBy(*FIGHT).agg(F.array_sort(F.collect_list(F.struct(
+            "t", "sequence", "kind", "label", "team_id"))).alias("objectives"))
+        return self.fight_list.join(times, FIGHT).join(people, FIGHT).join(fallen, FIGHT, "left").withColumn(
+            "objectives", F.coalesce("objectives", F.array().cast(fallen.schema["objectives"].dataType)))
+
     def states(self, latest: DataFrame) -> DataFrame:
         """Every selected extraction with its availability, also without any fight."""
         combat = marker_availability(self.combat).select("extraction_id", "has_combat")
-        return latest.select("extraction_id").join(combat, "extraction_id", "left").withColumn(
-            "has_combat", F.coalesce("has_combat", F.lit(False)))
+        placed = self.positions.select("extraction_id").distinct().withColumn("has_positions", F.lit(True))
+        return latest.select("extraction_id").join(combat, "extraction_id", "left").join(placed, "extraction_id", "left").select(
+            "extraction_id", *[F.coalesce(name, F.lit(False)).alias(name) for name in ("has_combat", "has_positions")])
 
 
 def _both_ends(found: DataFrame, keys: list[str], value: Column, output: str) -> DataFrame:

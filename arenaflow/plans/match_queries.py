@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arenaflow.functions.heroes import pretty_name
@@ -562,6 +563,50 @@ def fight_list(t: Telemetry) -> DataFrame:
     return detect(t).fight_list
 
 
+@query("extraction_id:s fight_id:i duration_seconds:d anchor_times:s people:s fallen:s", """
+SELECT f.extraction_id, f.fight_id, f.combat_end - f.combat_start AS duration_seconds,
+  (SELECT string_agg(CAST(round(t * 1000) AS BIGINT), ',' ORDER BY t, sequence) FROM anchors a
+    WHERE a.extraction_id = f.extraction_id AND a.fight_id = f.fight_id) AS anchor_times,
+  (SELECT string_agg(player_slot || ':' || kills || ':' || deaths || ':' || assists, ',' ORDER BY player_slot) FROM participants p
+    WHERE p.extraction_id = f.extraction_id AND p.fight_id = f.fight_id) AS people,
+  coalesce((SELECT string_agg(kind || '@' || CAST(round(t * 1000) AS BIGINT), ',' ORDER BY t, sequence) FROM objectives o
+    WHERE o.extraction_id = f.extraction_id AND o.fight_id = f.fight_id), '') AS fallen
+FROM fights f""")
+def fight_records(t: Telemetry) -> DataFrame:
+    def text(array: str, shown: Callable[[Column], Column]) -> Column:
+        return F.array_join(F.transform(array, shown), ",")
+
+    def milliseconds(value: Column) -> Column:
+        return F.round(value * 1000).cast("bigint").cast("string")
+
+    return detect(t).records.select(
+        "extraction_id", "fight_id", "duration_seconds", text("anchor_times", milliseconds).alias("anchor_times"),
+        text("participants", lambda p: F.concat_ws(":", *[p[name].cast("string") for name in (
+            "player_slot", "kills", "deaths", "assists")])).alias("people"),
+        text("objectives", lambda o: F.concat(o["kind"], F.lit("@"), milliseconds(o["t"]))).alias("fallen"))
+
+
+@query("extraction_id:s fight_id:i sequence:i game_time_seconds:d victim_slot:i killer_slot:i assists:s x:d y:d", """
+SELECT a.extraction_id, a.fight_id, a.sequence, a.t AS game_time_seconds, a.victim_slot, a.killer_slot, a.x, a.y,
+  (SELECT coalesce(string_agg(s.slot, ',' ORDER BY s.slot), '') FROM assists s
+    WHERE s.extraction_id = a.extraction_id AND s.sequence = a.sequence) AS assists FROM anchors a""")
+def fight_anchor_details(t: Telemetry) -> DataFrame:
+    return detect(t).anchor_details.withColumn(
+        "assists", F.array_join(F.array_sort("assist_slots").cast("array<string>"), ","))
+
+
+@query("extraction_id:s has_combat:b has_positions:b", """
+SELECT 'x' || n AS extraction_id, EXISTS (SELECT 1 FROM combat c WHERE c.extraction_id = 'x' || n
+    AND c.event_type = 'DOTA_COMBATLOG_GAME_STATE' AND c.value = 4) AND EXISTS (SELECT 1 FROM combat c
+    WHERE c.extraction_id = 'x' || n AND c.event_type = 'DOTA_COMBATLOG_GAME_STATE' AND c.value = 6) AS has_combat,
+  EXISTS (SELECT 1 FROM positions p WHERE p.extraction_id = 'x' || n) AS has_positions
+FROM (SELECT unnest(range((SELECT max(ext) + 3 FROM ev))) AS n) AS wanted""")
+def fight_states(t: Telemetry) -> DataFrame:
+    """All extractions and two more that have no event."""
+    wanted = t.ev.agg(F.max("ext").alias("last")).select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last") + 2)).alias("n"))
+    return detect(t).states(wanted.select(F.concat(F.lit("x"), "n").alias("extraction_id")))
+
+
 @query("extraction_id:s fight_id:i game_time_milliseconds:i slots:s", """
 SELECT extraction_id, fight_id, game_time_milliseconds, string_agg(player_slot, ',' ORDER BY player_slot) AS slots
 FROM frame_positions GROUP BY ALL""")
