@@ -42,7 +42,7 @@ from arenaflow.llm.frames import partitions, stored, texts_of, with_columns
 POSITIONS = 64
 #: Positions compared, by one byte each.
 COMPARED = 256
-SMALL = 4096
+SMALL = 8192
 PIVOTS = 4
 SEED = 42
 #: Buckets of documents asked for; the broadcast table of those hit has at most so many rows.
