@@ -36,6 +36,9 @@ BITS = 26
 #: Words of the phrases that have a bitmap.
 MARKED = (2, 3)
 SLICE_BYTES = 8 << 20
+#: Bytes of text that are split, and words whose phrases are looked at, at once: what a slice takes besides its codes.
+SPLIT_BYTES = 1 << 20
+WORDS_AT_ONCE = 1 << 17
 SEED = 42
 _GOLDEN = 0x9E3779B97F4A7C15
 _SEPARATORS = bytes.maketrans(b",;:!?\n\v\f\r", b"." * 9)
@@ -46,17 +49,32 @@ _GAP = " "
 
 # words of texts
 
+def _split(texts: pa.Array, at: list[int]) -> Iterator[pa.Array]:
+    """Words of these texts and a stop between pieces, as arrays of about ``SPLIT_BYTES``."""
+    held: list[bytes] = []
+    size = 0
+    for place in at:
+        held.append(texts[place].as_py().encode().lower().translate(_SEPARATORS).replace(_STOP, b" . "))
+        size += len(held[-1])
+        if size >= SPLIT_BYTES:
+            yield pa.array(b" . ".join([*held, b""]).split(), pa.binary())
+            held, size = [], 0
+    yield pa.array(b" . ".join(held).split(), pa.binary())
+
+
 def _streams(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, pa.Array]]:
     """For every language of a batch (``lang, text``): its name, word codes in order (-1 between pieces), the words."""
-    texts: dict[str, list[bytes]] = {}
-    for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-        texts.setdefault(lang, []).append(text.encode().lower().translate(_SEPARATORS).replace(_STOP, b" . "))
-    for lang, parts in texts.items():
-        words = pa.array(b" . ".join(parts).split(), pa.binary()).dictionary_encode()
-        codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    places: dict[str, list[int]] = {}
+    for at, lang in enumerate(batch.column(0).to_pylist()):
+        places.setdefault(lang, []).append(at)
+    for lang, at in places.items():
+        words = pa.chunked_array(_split(batch.column(1), at), pa.binary()).dictionary_encode().combine_chunks()
+        codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int32)
         names = words.dictionary
         stop = pc.index(names, pa.scalar(_STOP, names.type)).as_py()
-        yield lang, np.where(codes == stop, -1, codes), names
+        del words
+        codes[codes == stop] = -1
+        yield lang, codes, names
 
 
 def _each_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,15 +107,18 @@ def _word_hashes(lang: str, names: pa.Array) -> np.ndarray:
 
 def _phrase_bits(hashes: np.ndarray, codes: np.ndarray, size: int) -> np.ndarray:
     """The bit of the phrase of ``size`` words that starts at every word, -1 where it would leave the piece."""
-    found = np.full(len(codes), -1)
-    count = len(codes) - size + 1
-    if count > 0 and len(hashes):
-        own, inside = hashes[np.maximum(codes, 0)], codes >= 0
+    found = np.full(len(codes), -1, np.int32)
+    if not len(hashes):
+        return found
+    for start in range(0, len(codes) - size + 1, WORDS_AT_ONCE):
+        part = codes[start:start + WORDS_AT_ONCE + size - 1]
+        count = len(part) - size + 1
+        own, inside = hashes[np.maximum(part, 0)], part >= 0
         code, whole = own[:count], inside[:count].copy()
         for at in range(1, size):
             code = _mix(code * np.uint64(3) + _mix(own[at:at + count]))
             whole &= inside[at:at + count]
-        found[:count] = np.where(whole, (code >> np.uint64(64 - BITS)).astype(np.int64), -1)
+        found[start:start + count] = np.where(whole, (code >> np.uint64(64 - BITS)).astype(np.int32), -1)
     return found
 
 
@@ -148,18 +169,22 @@ def _suffixes(batches: Iterator[pa.RecordBatch], bitmaps: list[np.ndarray]) -> I
     for batch in _each_slice(batches):
         for lang, codes, names in _streams(batch):
             pairs, triples = _may_be_frequent(_word_hashes(lang, names), codes, bitmaps)
-            start = np.flatnonzero(pairs)
-            if not len(start):
+            starts = np.flatnonzero(pairs)
+            if not len(starts):
                 continue
-            padded = np.append(codes, np.full(DEPTH, -1))
+            padded = np.append(codes, np.full(DEPTH, -1, np.int32))
             reach = (pairs, triples, triples & _shifted(triples, 1))
-            columns = [names.take(pa.array(padded[start]))]
-            for step in range(1, DEPTH):
-                alive = reach[step - 1][start]
-                columns.append(names.take(pa.array(np.where(alive, padded[start + step], 0), mask=~alive)))
-            columns.append(pa.array([b""] * len(start), pa.binary()))
-            joined = pc.binary_join_element_wise(*columns, pa.scalar(_GAP.encode(), pa.binary()), null_handling="skip")
-            counted = pc.value_counts(joined)
+            joined = []
+            for first in range(0, len(starts), WORDS_AT_ONCE):
+                start = starts[first:first + WORDS_AT_ONCE]
+                columns = [names.take(pa.array(padded[start]))]
+                for step in range(1, DEPTH):
+                    alive = reach[step - 1][start]
+                    columns.append(names.take(pa.array(np.where(alive, padded[start + step], 0), mask=~alive)))
+                columns.append(pa.array([b""] * len(start), pa.binary()))
+                joined.append(pc.binary_join_element_wise(*columns, pa.scalar(_GAP.encode(), pa.binary()), null_handling="skip"))
+            counted = pc.value_counts(pa.chunked_array(joined))
+            del joined, columns
             yield pa.RecordBatch.from_arrays([
                 pa.array([lang] * len(counted), pa.string()), counted.field("values").cast(pa.string()),
                 counted.field("counts")], schema=schema)

@@ -2,8 +2,10 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from arenaflow.llm import collocations
@@ -94,3 +96,22 @@ def test_subtree_reads_counts_from_its_leaves():
         tree.add(suffix, count)
     tree.finish()
     assert sorted(tree.found) == [("a b", 4), ("b a", 4), ("c a", 1)]
+
+
+def test_small_steps_give_the_same_counts(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "SPLIT_BYTES", 50)
+    monkeypatch.setattr(collocations, "WORDS_AT_ONCE", 7)
+    rows = [*texts(5, 60), (900, "en", "the the the of " * 90), (901, "en", "."), (902, None, "")]
+    assert found(spark.createDataFrame(rows, SCHEMA).repartition(2)) == by_hand(rows)
+
+
+def test_a_slice_takes_little_besides_its_text():
+    draw = random.Random(6)
+    lines = [" ".join(draw.choices("abcdefghij", k=500)) for _ in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(lines)), pa.array(lines)], ["lang", "text"])
+    tracemalloc.start()
+    for _ in collocations._count_words(iter([batch])):
+        pass
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most < 12 * sum(map(len, lines))
