@@ -4,7 +4,7 @@ A text is a row of words and one end.  A word is coded by its bytes and a final
 space, a byte by eight bits.  Six predictors give each bit a probability from
 the zeros and ones counted behind their contexts: the last one to five bytes of
 the word, and all of it so far.  Contexts are hashed into tables of fixed size.
-The predictor by the whole word knows the beginnings of the most frequent words;
+The predictor by the whole word counts the beginnings of all training words;
 a filter tells it that a beginning is none of theirs.
 The logistic of the predictions, weighted by a set of weights that a gate picks
 (the longest context with counts, and how many), is the mixed probability; a
@@ -34,12 +34,12 @@ from arenaflow.llm.frames import partitions, slices, stored
 
 #: Bytes of context of the predictors; None is the whole word so far.  The tables hold 2 to these powers of slots.
 ORDERS = (1, 2, 3, 4, 5, None)
-TABLE_BITS = (16, 18, 20, 21, 22, 23)
+TABLE_BITS = (16, 18, 20, 21, 22, 24)
 OFFSETS = tuple(sum(1 << bits for bits in TABLE_BITS[:order]) for order in range(len(TABLE_BITS)))
 SLOTS = sum(1 << bits for bits in TABLE_BITS)
-#: Slots of the contexts of one to five bytes, which all training words fill.
+#: Slots of the contexts of one to five bytes; those of the whole word so far follow.
 SHORT_SLOTS = OFFSETS[-1]
-FILTER_BITS = 24
+FILTER_BITS = 26
 CHUNK = 1 << 14
 CONFIDENCES = 4
 GATES = (len(ORDERS) + 1) * CONFIDENCES
@@ -100,7 +100,7 @@ class Coding:
         backward = np.multiply.accumulate(np.full(len(data) + 1, inverse, np.uint64))
         first = starts[self.word]
         keys.append((sums[:-1] - sums[first]) * backward[first] + place.astype(np.uint64))
-        self.beginning = [(keys[-1] * np.uint64(factor)) >> np.uint64(64 - FILTER_BITS) for factor in _MIX[:2]]
+        self.beginning = [((keys[-1] * np.uint64(factor)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64) for factor in _MIX[:2]]
         self.bits = np.unpackbits(data[:, None], axis=1)
         prefix = np.ones(len(data), np.uint64)
         nodes = np.empty((len(data), 8), np.uint64)
@@ -133,7 +133,7 @@ def batches_of(words: list[bytes]) -> Iterator[tuple[int, int]]:
 class Mixer:
     """Gated weights and the table of corrections; ``codes`` are the count bytes of all slots.
 
-    ``starts`` marks, by two hashes, the beginnings of the frequent words.
+    ``starts`` marks, by two hashes, the beginnings of the training words, eight marks to a byte.
     """
 
     codes: np.ndarray
@@ -150,7 +150,8 @@ class Mixer:
         for order, slots in enumerate(coding.slots):
             code = self.codes[slots].astype(np.int64)
             if ORDERS[order] is None:
-                code *= (self.starts[coding.beginning[0]] & self.starts[coding.beginning[1]])[:, None]
+                one_mark, other = (self.starts[places >> 3] >> (places & 7).astype(np.uint8) for places in coding.beginning)
+                code *= (one_mark & other & 1)[:, None]
             if own:
                 count = np.where(coding.bits == 1, code & 255, code >> 8)
                 code -= np.where((count > 0) & (count <= _EXACT), one, 0)
@@ -236,16 +237,24 @@ def count_words(documents: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word binary, count long").groupBy("word").agg(F.sum("count").alias("count"))
 
 
-def whole_word_contexts(names: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Count bytes of the beginnings of the given words, and the filter of these beginnings."""
-    table = np.zeros(2 << TABLE_BITS[-1], np.float32)
-    starts = np.zeros(1 << FILTER_BITS, bool)
+def _add_beginnings(table: np.ndarray, starts: np.ndarray, names: list[bytes], counts: np.ndarray) -> None:
+    """Count the beginnings of the given words and mark them in the filter."""
     for start, end in batches_of(names):
         coding = Coding(names[start:end])
         weight = np.repeat(counts[start:end][coding.word], 8).astype(np.float32)
         np.add.at(table, 2 * (coding.slots[-1] - SHORT_SLOTS).ravel() + coding.bits.ravel(), weight)
         for places in coding.beginning:
-            starts[places] = True
+            np.bitwise_or.at(starts, places >> 3, np.left_shift(1, places & 7).astype(np.uint8))
+
+
+def _no_beginnings() -> tuple[np.ndarray, np.ndarray]:
+    return np.zeros(2 << TABLE_BITS[-1], np.float32), np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+
+
+def whole_word_contexts(names: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Count bytes of the beginnings of the given words, and the filter of these beginnings."""
+    table, starts = _no_beginnings()
+    _add_beginnings(table, starts, names, counts)
     return count_bytes(table), starts
 
 
@@ -258,6 +267,25 @@ def count_bytes(table: np.ndarray) -> np.ndarray:
     return codes
 
 
+def _in_chunks(table: np.ndarray, size: int, first: int = 0) -> Iterator[pa.RecordBatch]:
+    """Rows ``chunk, counts`` of a table cut every ``size`` values, numbered from ``first``."""
+    chunks = range(0, len(table), size)
+    for at in range(0, len(chunks), 64):
+        some = chunks[at:at + 64]
+        yield pa.RecordBatch.from_arrays([
+            pa.array([first + start // size for start in some], pa.int32()),
+            pa.array([table[start:start + size].tobytes() for start in some], pa.binary())], ["chunk", "counts"])
+
+
+def _added_chunk(part):
+    """The count bytes of a chunk of all tasks' tables."""
+    total = np.zeros(2 * CHUNK)
+    for value in part["counts"]:
+        piece = np.frombuffer(value, np.float32)
+        total[:len(piece)] += piece
+    return part.head(1)[["chunk"]].assign(codes=count_bytes(total).tobytes())
+
+
 def count_contexts(words: DataFrame, tasks: int) -> np.ndarray:
     """The count bytes of the contexts of one to five bytes.  The tables have a fixed size, which bounds what reaches the driver."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,32 +298,44 @@ def count_contexts(words: DataFrame, tasks: int) -> np.ndarray:
                 bits = coding.bits.ravel().astype(np.int64)
                 for slots in coding.slots[:-1]:
                     np.add.at(table, 2 * slots.ravel() + bits, weight)
-        chunks = range(0, len(table), 2 * CHUNK)
-        for at in range(0, len(chunks), 64):
-            some = chunks[at:at + 64]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([start // (2 * CHUNK) for start in some], pa.int32()),
-                pa.array([table[start:start + 2 * CHUNK].tobytes() for start in some], pa.binary())], ["chunk", "counts"])
-
-    def added(part):
-        total = np.zeros(2 * CHUNK)
-        for value in part["counts"]:
-            piece = np.frombuffer(value, np.float32)
-            total[:len(piece)] += piece
-        return part.head(1)[["chunk"]].assign(codes=count_bytes(total).tobytes())
+        yield from _in_chunks(table, 2 * CHUNK)
 
     dealt = words.repartition(tasks).mapInArrow(run, "chunk int, counts binary")
-    found = dealt.groupBy("chunk").applyInPandas(added, "chunk int, codes binary").toArrow().sort_by("chunk")
+    found = dealt.groupBy("chunk").applyInPandas(_added_chunk, "chunk int, codes binary").toArrow().sort_by("chunk")
     codes = np.frombuffer(b"".join(found["codes"].to_pylist()), np.uint16)
     return codes[:SHORT_SLOTS] if len(codes) else np.zeros(SHORT_SLOTS, np.uint16)
 
 
+def count_beginnings(words: DataFrame, tasks: int) -> tuple[np.ndarray, np.ndarray]:
+    """``whole_word_contexts`` of all words (``word, count``), of the same fixed sizes."""
+    filters = (1 << TABLE_BITS[-1]) // CHUNK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, starts = _no_beginnings()
+        for batch in batches:
+            _add_beginnings(table, starts, batch.column(0).to_pylist(), batch.column(1).to_numpy())
+        yield from _in_chunks(table, 2 * CHUNK)
+        yield from _in_chunks(starts, 2 * CHUNK, filters)
+
+    def added(part):
+        if part["chunk"].iloc[0] < filters:
+            return _added_chunk(part)
+        marks = np.bitwise_or.reduce([np.frombuffer(value, np.uint8) for value in part["counts"]])
+        return part.head(1)[["chunk"]].assign(codes=marks.tobytes())
+
+    dealt = words.repartition(tasks).mapInArrow(run, "chunk int, counts binary")
+    found = dealt.groupBy("chunk").applyInPandas(added, "chunk int, codes binary").toArrow().sort_by("chunk")["codes"].to_pylist()
+    if not found:
+        return whole_word_contexts([], np.zeros(0))
+    return np.frombuffer(b"".join(found[:filters]), np.uint16), np.frombuffer(b"".join(found[filters:]), np.uint8)
+
+
 def learn_weights(words: DataFrame, codes: np.ndarray, starts: np.ndarray, tasks: int) -> Mixer:
     """Weights averaged over the tasks by the words each has seen; one row for each task reaches the driver."""
-    sent = words.sparkSession.sparkContext.broadcast((codes, np.packbits(starts)))
+    sent = words.sparkSession.sparkContext.broadcast((codes, starts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, seen = unpacked(sent.value), 0
+        mixer, seen = Mixer(*sent.value), 0
         for batch in batches:
             names, counts = batch.column(0).to_pylist(), batch.column(1).to_numpy()
             for start, end in batches_of(names):
@@ -319,11 +359,6 @@ def learn_weights(words: DataFrame, codes: np.ndarray, starts: np.ndarray, tasks
     return mixer
 
 
-def unpacked(sent: tuple) -> Mixer:
-    codes, starts, *learned = sent
-    return Mixer(codes, np.unpackbits(starts).astype(bool), *learned)
-
-
 def repeats(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For every word of a text: the chance left to the model, and the chance that earlier words of the text give it."""
     place = np.arange(len(ids))
@@ -367,11 +402,11 @@ def score_documents(documents: DataFrame) -> DataFrame:
     train_tokens, kinds = running + ends, distinct + (ends > 0)
     below = math.log10(train_tokens + BASE * (kinds + 1))
     tasks = max(1, -(-distinct // WORDS_TO_A_TASK), min(partitions(spark), -(-distinct // 100_000)))
-    # The most frequent words, HEAD at most, are all that reaches the driver of the words.
+    # The most frequent words, HEAD at most, are all that reaches the driver of the words; the model counts all of them.
     head = words.orderBy(F.desc("count"), "word").limit(HEAD).toArrow()
     names, counts = head["word"].to_pylist(), head["count"].to_numpy().astype(float)
-    whole, starts = whole_word_contexts(names, counts)
     short = count_contexts(words, max(1, tasks // 8))
+    whole, starts = count_beginnings(words, max(1, tasks // 8))
     mixer = learn_weights(words, np.concatenate([short, whole]), starts, tasks)
     share = (ends + 0.5) / (train_tokens + 1)
     end_score, word_score = math.log10(share), math.log10(1 - share)
@@ -380,7 +415,7 @@ def score_documents(documents: DataFrame) -> DataFrame:
     sent = spark.sparkContext.broadcast({
         "names": b" ".join(names), "base": np.log10(counts + BASE) - below,
         "score": mixer.scores(names)})
-    model = spark.sparkContext.broadcast((mixer.codes, np.packbits(mixer.starts), mixer.weights, mixer.hits, mixer.seen))
+    model = spark.sparkContext.broadcast((mixer.codes, mixer.starts, mixer.weights, mixer.hits, mixer.seen))
 
     def known_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = _Head((word, place) for place, word in enumerate(sent.value["names"].split()))
@@ -414,7 +449,7 @@ def score_documents(documents: DataFrame) -> DataFrame:
     rest = parts.select("row", F.explode("rest").alias("_rest")).select("row", "_rest.*")
 
     def rest_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = unpacked(model.value)
+        fitted = Mixer(*model.value)
         for batch in batches:
             encoded = batch.column(1).dictionary_encode()
             score = fitted.scores(encoded.dictionary.to_pylist())[encoded.indices.to_numpy()]

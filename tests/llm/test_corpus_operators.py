@@ -298,6 +298,26 @@ def test_mixed_chances_of_bits_add_up():
     assert 0 < alone.sum() < 1  # words of one byte are only some of all words
 
 
+def test_mixing_counts_the_beginnings_of_all_words(spark, monkeypatch):
+    """Words beyond the head count in the predictor by the whole word like those of it."""
+    words = ["abcdefgh" + chr(97 + at % 26) * (1 + at // 26) for at in range(60)]
+    texts = [" ".join(words[at % 60:] + words[:at % 60]) for at in range(40)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = {row["doc_id"]: row["score"] for row in mixing.score_documents(frame).collect()}
+    monkeypatch.setattr(mixing, "HEAD", 3)
+    few = {row["doc_id"]: row["score"] for row in mixing.score_documents(frame).collect()}
+    assert all(abs(whole[at] - few[at]) < 1e-4 * abs(whole[at]) for at in whole)
+
+
+def test_mixing_counts_do_not_depend_on_tasks(spark):
+    words = [b"the", b"then", b"an", b"and", "\u00e9t\u00e9".encode()]
+    counts = np.array([5, 2, 9, 1, 70])
+    frame = spark.createDataFrame(list(zip(words, counts.tolist())), "word binary, count long")
+    codes, starts = mixing.count_beginnings(frame, 3)
+    expected_codes, expected_starts = mixing.whole_word_contexts(words, counts.astype(float))
+    assert np.array_equal(codes, expected_codes) and np.array_equal(starts, expected_starts)
+
+
 def test_pipeline_stages(spark, tmp_path):
     draw = random.Random(8)
 
