@@ -151,22 +151,40 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def _blocks(prints: DataFrame, masks: list[list[int]], width: int) -> DataFrame:
-    """One row for each fingerprint and block; only blocks of two and more are kept, large ones in chunk pairs."""
+def _keyed(prints: DataFrame, masks: list[list[int]], width: int) -> DataFrame:
+    """One row for each fingerprint and mask, with the ``key`` of its block."""
     names = _word_names(width)
     keys = [F.xxhash64(F.lit(number), *[F.col(name).bitwiseAND(F.lit(_signed(mask)))
                                         for name, mask in zip(names, words) if mask])
             for number, words in enumerate(masks)]
-    keyed = prints.select("node", *names, F.explode(F.array(*keys)).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return prints.select("node", *names, F.explode(F.array(*keys)).alias("key"))
+
+
+def _chunk_pairs(sized: DataFrame, width: int) -> DataFrame:
+    """``block, node, ...`` of rows with the ``size`` of their key: large ones meet in chunk pairs."""
     chunks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("long")
     own = F.pmod(F.xxhash64("node"), F.col("chunks"))
     # Chunks meet pairwise; the pair of a chunk with itself is part of its pair with any other.
-    met = keyed.join(sizes, "key").withColumn("chunks", chunks).withColumn("own", own).withColumn(
+    met = sized.withColumn("chunks", chunks).withColumn("own", own).withColumn(
         "other", F.explode(F.expr("CASE WHEN chunks = 1 THEN array(0L) "
                                   "ELSE filter(sequence(0L, chunks - 1), x -> x <> own) END")))
     return met.select(
-        F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("block"), "node", *names)
+        F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("block"), "node", *_word_names(width))
+
+
+def _blocks(prints: DataFrame, masks: list[list[int]], width: int) -> DataFrame:
+    """One row for each fingerprint and block; only blocks of two and more are kept, large ones in chunk pairs."""
+    keyed = _keyed(prints, masks, width)
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return _chunk_pairs(keyed.join(sizes, "key"), width)
+
+
+def _crowded_blocks(prints: DataFrame, masks: list[list[int]], width: int) -> DataFrame:
+    """``_blocks`` and blocks of one, for masks under which few are alone: wide rows need not meet the sizes of their blocks."""
+    keyed = _keyed(prints, masks, width)
+    large = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BLOCK), "large-blocks")
+    return keyed.join(large, "key", "left_anti").select(F.col("key").alias("block"), "node", *_word_names(width)).unionAll(
+        _chunk_pairs(keyed.join(large, "key"), width))
 
 
 class Planes:
@@ -436,7 +454,7 @@ def _verified_groups(nodes: DataFrame, radius: int, masks: list[list[int]], widt
     """
     names = _word_names(width)
     spark = nodes.sparkSession
-    blocks = _blocks(nodes, masks, width)
+    blocks = _crowded_blocks(nodes, masks, width)
     members = blocks.select("block", "node", F.col("node").alias("label"), F.lit(0).cast("long").alias("done"), *names)
     found, budget = None, 0.5
     while True:

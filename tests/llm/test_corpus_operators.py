@@ -1,17 +1,21 @@
 """Near-duplicate, neighbour, language-model and pipeline operators against brute force."""
 
+import glob
 import itertools
 import math
 import random
+import tempfile
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from arenaflow.llm import line_dedup, mixing, neighbours, simhash
+from arenaflow.llm import frames, line_dedup, mixing, neighbours, simhash
 from arenaflow.llm.components import components
 
 
@@ -318,6 +322,38 @@ def test_mixing_counts_do_not_depend_on_tasks(spark):
     assert np.array_equal(codes, expected_codes) and np.array_equal(starts, expected_starts)
 
 
+def test_stored_frames_leave_no_shuffle_files(spark, tmp_path):
+    folder = spark.sparkContext.getConf().get("spark.local.dir", None) or tempfile.gettempdir()
+
+    def shuffled():
+        return set(glob.glob(f"{folder}/blockmgr-*/*/shuffle_*.data"))
+
+    before, setting = shuffled(), spark.conf.get(frames.CLEANED, None)
+    counted = spark.range(5000).groupBy((F.col("id") % 7).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    kept = frames.stored(counted.repartition(3, "n").groupBy("n").agg(F.max("k").alias("k")), "counts")
+    assert sorted(map(tuple, kept.collect())) == [(714, 6), (715, 1)]
+    until = time.monotonic() + 20
+    while shuffled() - before and time.monotonic() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before and spark.conf.get(frames.CLEANED, None) == setting
+
+
+def test_crowded_blocks_hold_the_pairs_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 4)
+    draw = random.Random(3)
+    prints = spark.createDataFrame([(at, draw.choice([0, 3, 7, 1 << 40]) ^ (1 << draw.randrange(63) if at % 3 else 0))
+                                    for at in range(60)], "node long, _w0 long")
+    masks = simhash.exact_masks(3)
+
+    def met(blocks):
+        held = {}
+        for row in blocks.collect():
+            held.setdefault(row["block"], []).append(row["node"])
+        return {pair for nodes in held.values() for pair in itertools.combinations(sorted(nodes), 2)}
+
+    assert met(simhash._crowded_blocks(prints, masks, 1)) == met(simhash._blocks(prints, masks, 1)) != set()
+
+
 def test_pipeline_stages(spark, tmp_path):
     draw = random.Random(8)
 
