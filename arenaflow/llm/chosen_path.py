@@ -44,6 +44,8 @@ POSITIONS = 64
 COMPARED = 256
 SMALL = 8192
 PIVOTS = 4
+#: Pairs whose nodes are looked up at once.
+PAIRS_AT_ONCE = 1 << 14
 SEED = 42
 #: Buckets of documents asked for; the broadcast table of those hit has at most so many rows.
 BUCKETS = 1 << 20
@@ -188,6 +190,25 @@ def _whole_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def _share_earlier(held: np.ndarray, ends: np.ndarray, node: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Whether the rows ``one`` and ``two`` of pairs are together in a node before their own, of ``held[ends[row]:ends[row + 1]]``."""
+    found = np.zeros(len(one), bool)
+    sizes = np.diff(ends)
+    for start in range(0, len(one), PAIRS_AT_ONCE):
+        part = slice(start, start + PAIRS_AT_ONCE)
+        a, b = one[part], two[part]
+        for i in range(int(sizes[a].max())):
+            at = held[np.minimum(ends[a] + i, len(held) - 1)]
+            open_ = np.flatnonzero(~found[part] & (i < sizes[a]) & (at < node[a]))
+            if not len(open_):
+                continue
+            for j in range(int(sizes[b[open_]].max())):
+                other = b[open_]
+                met = (j < sizes[other]) & (held[np.minimum(ends[other] + j, len(held) - 1)] == at[open_])
+                found[start + open_[met]] = True
+    return found
+
+
 def _owned_pairs(table: pa.Table, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of the pairs to decide in these whole nodes, and their agreement.
 
@@ -201,6 +222,16 @@ def _owned_pairs(table: pa.Table, least: int) -> tuple[np.ndarray, np.ndarray, n
     few = np.ascontiguousarray(bits[:, :COMPARED // 4])
     hint = max(0, least // 4 - 8)
     left, right, agreed = [], [], []
+    waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def settle() -> None:
+        one, two, same = (np.concatenate(side) for side in zip(*waiting))
+        waiting.clear()
+        first = ~_share_earlier(held, ends, node, one, two)
+        left.append(one[first])
+        right.append(two[first])
+        agreed.append(same[first])
+
     for step in range(1, len(chunk)):
         one = np.flatnonzero(chunk[step:] == chunk[:-step])
         if not len(one):
@@ -208,12 +239,12 @@ def _owned_pairs(table: pa.Table, least: int) -> tuple[np.ndarray, np.ndarray, n
         one = one[(label[one] != label[one + step]) & (lead[one] | lead[one + step])]
         one = one[_agreeing(few[one], few[one + step]) >= hint]
         same = _agreeing(bits[one], bits[one + step])
-        kept = [at for at in np.flatnonzero(same >= least).tolist()
-                if np.intersect1d(held[ends[one[at]]:ends[one[at] + 1]],
-                                  held[ends[one[at] + step]:ends[one[at] + step + 1]])[0] == node[one[at]]]
-        left.append(one[kept])
-        right.append(one[kept] + step)
-        agreed.append(same[kept])
+        kept = same >= least
+        waiting.append((one[kept], one[kept] + step, same[kept]))
+        if sum(len(pairs) for pairs, _, _ in waiting) >= PAIRS_AT_ONCE or len(waiting) >= 256:
+            settle()
+    if waiting:
+        settle()
     return tuple(np.concatenate([*side, np.empty(0, np.int64)]).astype(np.int64) for side in (left, right, agreed))
 
 

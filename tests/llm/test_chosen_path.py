@@ -1,9 +1,11 @@
 """The chosen-path join against all pairs, with large groups of copies."""
 
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from arenaflow.llm import chosen_path
@@ -94,3 +96,30 @@ def test_share_of_pairs_that_meet_in_a_tree():
                 chosen_path._branch(np.array([left]), one)[0], chosen_path._branch(np.array([right]), two)[0]) if a == b]
         lost += not alive
     assert lost <= 1
+
+
+def _nodes_table(nodes, own, bits):
+    lists = pa.array([sorted(row) for row in nodes], pa.list_(pa.int64()))
+    count = len(nodes)
+    return pa.table([
+        pa.array([own] * count), pa.array(range(count), pa.int64()), pa.array(range(count), pa.int64()), pa.array([True] * count),
+        pa.array([own] * count), lists, pa.array([bits] * count, pa.binary())],
+        names=["chunk", "cls", "label", "lead", "node", "nodes", "bits"]).combine_chunks()
+
+
+def test_pairs_belong_to_the_first_node_that_holds_both(monkeypatch):
+    monkeypatch.setattr(chosen_path, "PAIRS_AT_ONCE", 37)
+    draw = random.Random(9)
+    nodes = [{0, *(draw.randrange(-60, 60) for _ in range(draw.randrange(0, 9)))} for _ in range(60)]
+    left, right, _ = chosen_path._owned_pairs(_nodes_table(nodes, 0, bytes(chosen_path.COMPARED)), 200)
+    want = {(one, two) for two in range(60) for one in range(two) if min(nodes[one] & nodes[two]) == 0}
+    assert len(left) == len(want) and set(zip(left.tolist(), right.tolist())) == want
+
+
+def test_many_agreeing_pairs_take_little_time():
+    draw = random.Random(10)
+    nodes = [{7, *(draw.randrange(1 << 40) for _ in range(9))} for _ in range(1200)]
+    table = _nodes_table(nodes, 7, bytes(chosen_path.COMPARED))
+    start = time.process_time()
+    left, _, _ = chosen_path._owned_pairs(table, 200)
+    assert len(left) == 1200 * 1199 // 2 and time.process_time() - start < 6
