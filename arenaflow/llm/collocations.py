@@ -39,6 +39,9 @@ SLICE_BYTES = 8 << 20
 #: Bytes of text that are split, and words whose phrases are looked at, at once: what a slice takes besides its codes.
 SPLIT_BYTES = 1 << 20
 WORDS_AT_ONCE = 1 << 17
+#: Bytes of suffixes that a task holds to add up equal ones, and rows that it hands over at once.
+HELD_BYTES = 64 << 20
+ROWS_OUT = 1 << 16
 SEED = 42
 _GOLDEN = 0x9E3779B97F4A7C15
 _SEPARATORS = bytes.maketrans(b",;:!?\n\v\f\r", b"." * 9)
@@ -163,8 +166,8 @@ def _count_bits(batches: Iterator[pa.RecordBatch], size: int, bitmaps: list[np.n
             yield pa.RecordBatch.from_arrays([pa.array(bits.astype(np.int32)), pa.array(counts.astype(np.int64))], schema=schema)
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch], bitmaps: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Suffixes of two to ``DEPTH`` words as far as they may be frequent, equal ones of a slice added up."""
+def _slice_suffixes(batches: Iterator[pa.RecordBatch], bitmaps: list[np.ndarray]) -> Iterator[pa.Table]:
+    """For every slice and language, suffixes of two to ``DEPTH`` words as far as they may be frequent, equal ones added up."""
     schema = pa.schema([("lang", pa.string()), ("suffix", pa.string()), ("n", pa.int64())])
     for batch in _each_slice(batches):
         for lang, codes, names in _streams(batch):
@@ -185,11 +188,33 @@ def _suffixes(batches: Iterator[pa.RecordBatch], bitmaps: list[np.ndarray]) -> I
                 joined.append(pc.binary_join_element_wise(*columns, pa.scalar(_GAP.encode(), pa.binary()), null_handling="skip"))
             counted = pc.value_counts(pa.chunked_array(joined))
             del joined, columns
-            yield pa.RecordBatch.from_arrays([
+            yield pa.Table.from_arrays([
                 pa.array([lang] * len(counted), pa.string()), counted.field("values").cast(pa.string()),
                 counted.field("counts")], schema=schema)
 
 
+def _suffixes(batches: Iterator[pa.RecordBatch], bitmaps: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Suffixes as far as they may be frequent, equal ones of a task added up while no more than ``HELD_BYTES`` are held."""
+    held: list[pa.Table] = []
+    size = 0
+
+    def added() -> pa.Table:
+        return pa.concat_tables(held).group_by(["lang", "suffix"], use_threads=False).aggregate([("n", "sum")]).rename_columns(
+            ["lang", "suffix", "n"])
+
+    for made in _slice_suffixes(batches, bitmaps):
+        held.append(made)
+        size += made.nbytes
+        if size >= HELD_BYTES:
+            whole = added()
+            held, size = [whole], whole.nbytes
+            if size >= HELD_BYTES // 2:
+                yield from whole.to_batches(ROWS_OUT)
+                held, size = [], 0
+    if held:
+        yield from added().to_batches(ROWS_OUT)
+
+
 def _bitmap(documents: DataFrame, size: int, shorter: list, least: int) -> np.ndarray:
     """The bits of phrases of ``size`` words that are found ``least`` times together: 2^BITS of them whatever the input."""
     bits = documents.mapInArrow(

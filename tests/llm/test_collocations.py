@@ -5,6 +5,7 @@ import re
 import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -115,3 +116,25 @@ def test_a_slice_takes_little_besides_its_text():
     _, most = tracemalloc.get_traced_memory()
     tracemalloc.stop()
     assert most < 12 * sum(map(len, lines))
+
+
+def test_slices_of_a_task_add_up(monkeypatch):
+    monkeypatch.setattr(collocations, "SLICE_BYTES", 200)
+    bitmaps = [np.full((1 << collocations.BITS) >> 3, 255, np.uint8) for _ in collocations.MARKED]
+    rows = [("en" if at % 3 else "de", f"one two three four. five six {at % 5}") for at in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(side) for side in zip(*rows)], ["lang", "text"])
+
+    def made():
+        return [(lang, suffix, n) for part in collocations._suffixes(iter([batch, batch]), bitmaps)
+                for lang, suffix, n in zip(*(column.to_pylist() for column in part.columns))]
+
+    whole = made()
+    assert len({row[:2] for row in whole}) == len(whole)
+    assert dict(Counter(n for _, suffix, n in whole if suffix == "one two three four ")) == {400: 1, 200: 1}
+    # What does not fit is handed over in parts.
+    monkeypatch.setattr(collocations, "HELD_BYTES", 300)
+    monkeypatch.setattr(collocations, "ROWS_OUT", 2)
+    parts = Counter()
+    for lang, suffix, n in made():
+        parts[lang, suffix] += n
+    assert parts == {(lang, suffix): n for lang, suffix, n in whole}
