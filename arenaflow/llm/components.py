@@ -7,6 +7,7 @@ component or more vanish in a round, whatever its shape, so the edge tables
 shrink and the number of rounds follows the logarithm of the largest component.
 Minima are combined before every shuffle, so the centre of a large star is no
 hot spot.  The pointers are put together from the last, smallest round back.
+Once no more than ``FEW`` edges are left, a round is one task without a shuffle.
 """
 
 from __future__ import annotations
@@ -19,6 +20,14 @@ from pyspark.sql import functions as F
 from arenaflow.llm.frames import stored
 
 
+#: Edges that one task contracts; a fixed number, whatever the input.
+FEW = 1 << 16
+
+
+def _gathered(frame: DataFrame, few: bool) -> DataFrame:
+    return frame.coalesce(1) if few else frame
+
+
 def _simple(edges: DataFrame, left: str, right: str) -> DataFrame:
     return edges.where(F.col(left) != F.col(right)).select(
         F.least(left, right).alias("a"), F.greatest(left, right).alias("b")).distinct()
@@ -31,22 +40,25 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     """
     draw = random.Random(42)
     current = stored(_simple(edges, left, right), "edges")
-    steps: list[DataFrame] = []
-    while not current.isEmpty():
+    steps: list[tuple[DataFrame, bool]] = []
+    while count := current.count():
+        few = count <= FEW
         turn = F.lit(draw.getrandbits(63))
-        both = current.unionAll(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = _gathered(current.unionAll(current.select(F.col("b").alias("a"), F.col("a").alias("b"))), few)
         lowest = both.groupBy("a").agg(F.min(F.col("b").bitwiseXOR(turn)).alias("low"))
         step = stored(lowest.select(
             F.col("a").alias("vertex"),
             F.least("low", F.col("a").bitwiseXOR(turn)).bitwiseXOR(turn).alias("root")), "pointers")
-        steps.append(step)
-        near = current.join(step.select(F.col("vertex").alias("a"), F.col("root").alias("a2")), "a")
-        far = near.join(step.select(F.col("vertex").alias("b"), F.col("root").alias("b2")), "b")
+        steps.append((step, few))
+        pointers = _gathered(step, few)
+        near = _gathered(current, few).join(pointers.select(F.col("vertex").alias("a"), F.col("root").alias("a2")), "a")
+        far = near.join(pointers.select(F.col("vertex").alias("b"), F.col("root").alias("b2")), "b")
         current = stored(_simple(far.select("a2", "b2"), "a2", "b2"), "edges")
     if not steps:
         return current.select(F.col("a").alias("vertex"), F.col("b").alias("root"))
-    labels = steps.pop()
+    labels = _gathered(*steps.pop())
     while steps:
         later = labels.select(F.col("vertex").alias("root"), F.col("root").alias("last"))
-        labels = steps.pop().join(later, "root", "left").select("vertex", F.coalesce("last", "root").alias("root"))
+        labels = _gathered(*steps.pop()).join(later, "root", "left").select(
+            "vertex", F.coalesce("last", "root").alias("root"))
     return labels

@@ -7,6 +7,9 @@ often as their similarity to that power.  Bands bring lines together, the exact
 Jaccard similarity of their shingle sets decides, and distributed union-find
 keeps the first line of every component.
 
+Two lines of a band value meet where their odd sketches (Mitzenmacher, Pagh and
+Pham, "Efficient Estimation for High Similarities using Odd Sketches") allow that
+similarity.  The sketches bound the difference of the sets, so no pair is lost by them.
 Within a band value each line first meets two others, the ones with the smallest
 and the largest number.  Where that leaves several components, rounds follow in
 which ever more members (``LEADERS`` times as many each time) meet the rest, until
@@ -29,7 +32,9 @@ SHINGLE = 8
 SIMILARITY = 0.8
 BANDS = 6
 VALUES = 3
-LEADERS = 8
+#: Words of a sketch.
+WORDS = 16
+LEADERS = 64
 CHUNK = 4096
 
 
@@ -38,36 +43,71 @@ def _bound(value: str, name: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def _shingles(line: str, size: int) -> str:
-    """Hashes of the shingles of a line; a shorter line is one shingle.  Characters are UTF-16 units, two bytes each."""
-    return _bound(f"encode({line}, 'UTF-16BE')", "units",
-                  f"transform(sequence(1, greatest(octet_length(units) - {2 * size - 2}, 1), 2), "
-                  f"at -> xxhash64(substring(units, at, {2 * size})))")
+def _with_shingles(lines: DataFrame, size: int) -> DataFrame:
+    """Append ``hashes``, the sorted hashes of the shingles of every ``line``.
+
+    A shorter line is one shingle.  Characters are UTF-16 units, two bytes each.
+    """
+    hashes = _bound("encode(line, 'UTF-16BE')", "units",
+                    f"transform(sequence(1, greatest(octet_length(units) - {2 * size - 2}, 1), 2), "
+                    f"at -> xxhash64(substring(units, at, {2 * size})))")
+    made = lines.withColumn("made", F.expr(f"sort_array(array_distinct({hashes}))"))
+    # Expressions are not carried over an explode, so that hashes are made once for all that asks for them.
+    return made.select(*lines.columns, F.explode(F.array("made")).alias("hashes"))
+
+
+def _starts(parts: int) -> list[int]:
+    """The points that cut the ring of hashes into equal parts."""
+    return [-(1 << 63) + part * (1 << 64) // parts for part in range(parts)]
 
 
-def band_keys(line: str = "line", size: int = SHINGLE, bands: int = BANDS, values: int = VALUES) -> Column:
-    """One key for each band of MinHash values of a line."""
+def _before(start: int) -> str:
+    """Place of the last of the sorted ``hashes`` below ``start``, by jumps of falling size; -1 where there is none."""
+    return f"aggregate(jumps, -1, (at, jump) -> if(get(hashes, at + jump) < {start}L, at + jump, at))"
+
+
+def _with_jumps(body: str) -> str:
     jumps = ", ".join(str(1 << power) for power in range(30, -1, -1))
+    return _bound("size(hashes)", "count", _bound(f"filter(array({jumps}), jump -> jump <= count)", "jumps", body))
 
-    def key(band: int) -> str:
-        start = -(1 << 63) + band * (1 << 64) // bands
-        # Binary search for the last hash below the start of the band, by jumps of falling size.
-        before = f"aggregate(jumps, -1, (at, jump) -> if(get(hashes, at + jump) < {start}L, at + jump, at))"
+
+def band_keys(bands: int = BANDS, values: int = VALUES) -> Column:
+    """One key for each band of MinHash values of a line's ``hashes``."""
+    def key(band: int, start: int) -> str:
         taken = ", ".join(f"get(hashes, (before + {place}) % count)" for place in range(1, values + 1))
-        return _bound(before, "before", f"xxhash64({band}, {taken})")
+        return _bound(_before(start), "before", f"xxhash64({band}, {taken})")
+
+    keys = ", ".join(key(band, start) for band, start in enumerate(_starts(bands)))
+    return F.expr(_with_jumps(f"array({keys})"))
 
-    keys = ", ".join(map(key, range(bands)))
-    return F.expr(_bound(
-        f"sort_array(array_distinct({_shingles(line, size)}))", "hashes", _bound("size(hashes)", "count", _bound(
-            f"filter(array({jumps}), jump -> jump <= count)", "jumps", f"array({keys})"))))
 
+def odd_sketch(words: int = WORDS) -> Column:
+    """``WORDS`` words of 64 bits, one for each part of the ring: a bit tells whether an odd number of ``hashes`` has it.
+
+    Sets that differ in d hashes have sketches that differ in d bits at most.
+    """
+    ends = [*(_before(start) for start in _starts(words)[1:]), "count - 1"]
+    odd = ", ".join(
+        f"aggregate(slice(hashes, ends[{word}] + 2, ends[{word + 1}] - ends[{word}]), 0L, "
+        f"(bits, hash) -> bits ^ shiftleft(1L, cast(hash & 63 AS int)))" for word in range(words))
+    return F.expr(_with_jumps(_bound(f"array(-1, {', '.join(ends)})", "ends", f"array({odd})")))
+
+
+def _may_resemble(one: str, two: str, least: float, words: int = WORDS) -> Column:
+    """Whether sketches allow two lines (prefixes of their columns) to be as similar as ``least``.
+
+    Sets of this similarity differ in no more than (1 - least) / (1 + least) of the sum of their sizes, nor does the
+    smaller one hold less than ``least`` of the larger one's size.
+    """
+    bits = " + ".join(f"bit_count({one}odd{word} ^ {two}odd{word})" for word in range(words))
+    return F.expr(f"{1 + least}D * ({bits}) <= {1 - least}D * ({one}count + {two}count) + 1e-6D "
+                  f"AND least({one}count, {two}count) >= {least}D * greatest({one}count, {two}count) - 1e-6D")
 
-def similarity(left: str, right: str, size: int = SHINGLE) -> Column:
-    """Jaccard similarity of the shingle sets of two lines."""
-    return F.expr(_bound(
-        f"array_distinct({_shingles(left, size)})", "one",
-        _bound(f"array_distinct({_shingles(right, size)})", "two",
-               _bound("size(array_intersect(one, two))", "both", "both / (size(one) + size(two) - both)"))))
+
+def similarity(one: str, two: str) -> Column:
+    """Jaccard similarity of two sets of hashes."""
+    both = _bound(f"size(array_intersect({one}, {two}))", "both", f"both / (size({one}) + size({two}) - both)")
+    return F.expr(both)
 
 
 def lines_of(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -93,58 +133,73 @@ def line_groups(lines: DataFrame, size: int = SHINGLE, least: float = SIMILARITY
     lines.groupBy(F.xxhash64("line").alias("id")).agg(F.min("line").alias("line")).write.bucketBy(
         buckets, "id").option("path", scratch_path(spark, "lines")).saveAsTable(name)
     unique = spark.table(name)
-    met = stored(unique.select("id", F.explode(band_keys("line", size)).alias("key")), "bands")
-
+    met = stored(_with_shingles(unique, size).select("id", F.explode(band_keys()).alias("key")), "bands")
+    shared = met.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    # Turns follow the line's number alone, so that band values of the same lines have the same leaders and ask for the
+    # same pairs.
+    members = stored(met.join(shared, "key").select(
+        "key", "id", "size", F.expr("(pmod(xxhash64(id), 1073741824L) * size) div 1073741824L").alias("turn")), "members")
+    # Only lines that share a band value are looked at again.
+    crowded_name = f"{name}_crowded"
+    unique.join(members.select("id").distinct().hint("shuffle_hash"), "id").write.bucketBy(
+        buckets, "id").option("path", scratch_path(spark, "crowded-lines")).saveAsTable(crowded_name)
+    crowded = spark.table(crowded_name)
+    sketches = stored(_with_shingles(crowded, size).select("id", F.size("hashes").alias("count"), odd_sketch().alias("odd")).select(
+        "id", "count", *[F.col("odd")[word].alias(f"odd{word}") for word in range(WORDS)]), "sketches")
     def linked(pairs: DataFrame) -> DataFrame:
         # Few pairs fall into a bucket, so they are hashed there and the lines stream past unsorted.
-        known = pairs.hint("shuffle_hash").join(
-            unique.select(F.col("id").alias("a"), F.col("line").alias("left")), "a").hint("shuffle_hash").join(
-            unique.select(F.col("id").alias("b"), F.col("line").alias("right")), "b")
-        return stored(known.where(similarity("left", "right", size) >= least).select("a", "b"), "line-links")
-
-    shared = met.groupBy("key").agg(
-        F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("size")).where("first < last")
-    found = linked(met.join(shared, "key").select("id", F.explode(F.array("first", "last")).alias("other")).where(
-        "id <> other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
-    # With three members or fewer, every pair has the first or the last in it.  Turns follow the line's number alone, so
-    # that band values of the same lines have the same leaders and ask for the same pairs.
-    inner = met.join(shared.where("size > 3"), "key").where("id <> first AND id <> last").select(
-        "key", "id", "size", F.expr("(pmod(xxhash64(id), 1073741824L) * size) div 1073741824L").alias("turn"))
+        one = crowded.select(F.col("id").alias("a"), F.col("line").alias("left"))
+        two = crowded.select(F.col("id").alias("b"), F.col("line").alias("right"))
+        known = pairs.hint("shuffle_hash").join(one, "a").hint("shuffle_hash").join(two, "b")
+        both = _with_shingles(known.withColumnRenamed("left", "line"), size).select(
+            "a", "b", F.col("hashes").alias("one"), F.col("right").alias("line"))
+        return stored(_with_shingles(both, size).where(similarity("one", "hashes") >= least).select("a", "b"), "line-links")
+
+    ends = members.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    met = members.join(ends, "key").select("id", F.explode(F.array("first", "last")).alias("other")).where("id <> other").select(
+        F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    one, two = (sketches.select(*[F.col(name).alias(side if name == "id" else f"{side}_{name}") for name in sketches.columns])
+                for side in ("a", "b"))
+    found = linked(met.join(one, "a").join(two, "b").where(_may_resemble("a_", "b_", least)).select("a", "b"))
+    # With three members or fewer, every pair has the first or the last in it.
+    inner = members.where("size > 3").join(sketches, "id")
     groups = components(found)
     low, high = 0, LEADERS
     while True:
         inner = _unsettled(inner.where(F.col("size") > low), groups)
         if inner.isEmpty():
             break
-        found = found.unionAll(linked(_led_pairs(inner, low, high)))
+        found = found.unionAll(linked(_led_pairs(inner, low, high, least)))
         groups = components(found)
         low, high = high, high * LEADERS
-    spark.sql(f"DROP TABLE {name}")
+    for table in (name, crowded_name):
+        spark.sql(f"DROP TABLE {table}")
     return groups
 
 
 def _unsettled(members: DataFrame, groups: DataFrame) -> DataFrame:
     """Members of the band values that still hold lines of several components, with the component as ``label``."""
-    labelled = members.select("key", "id", "size", "turn").join(
-        groups, F.col("id") == F.col("vertex"), "left").select(
-        "key", "id", "size", "turn", F.coalesce("root", "id").alias("label"))
+    own = [name for name in members.columns if name != "label"]
+    labelled = members.select(*own).join(groups, F.col("id") == F.col("vertex"), "left").select(
+        *own, F.coalesce("root", "id").alias("label"))
     several = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
     return stored(labelled.join(several.select("key"), "key", "left_semi"), "open-bands")
 
 
-def _led_pairs(members: DataFrame, low: int, high: int) -> DataFrame:
-    """Pairs of members of two components whose earlier one has a turn from ``low`` to below ``high``.
+def _led_pairs(members: DataFrame, low: int, high: int, least: float) -> DataFrame:
+    """Pairs of members of two components that may resemble each other, the earlier one having a turn from ``low`` to below ``high``.
 
     Large band values are cut into chunks, and leaders meet every chunk.
     """
     chunks = F.ceil(F.col("size") / F.lit(CHUNK)).cast("long")
-    met = members.select("key", "id", "turn", "label", F.pmod(F.xxhash64("id"), chunks).alias("chunk"))
+    met = members.withColumn("chunk", F.pmod(F.xxhash64("id"), chunks)).drop("size")
     leaders = members.where(F.col("turn").between(low, high - 1)).select(
-        "key", F.col("id").alias("leader"), F.col("turn").alias("led"), F.col("label").alias("lead_label"),
+        "key", *[F.col(name).alias(f"lead_{name}") for name in members.columns if name not in ("key", "size")],
         F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk"))
-    later = (F.col("turn") > F.col("led")) | (F.col("turn") == F.col("led")) & (F.col("id") > F.col("leader"))
-    return met.join(leaders, ["key", "chunk"]).where(later & (F.col("label") != F.col("lead_label"))).select(
-        F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+    later = (F.col("turn") > F.col("lead_turn")) | (F.col("turn") == F.col("lead_turn")) & (F.col("id") > F.col("lead_id"))
+    return met.join(leaders, ["key", "chunk"]).where(
+        later & (F.col("label") != F.col("lead_label")) & _may_resemble("", "lead_", least)).select(
+        F.least("id", "lead_id").alias("a"), F.greatest("id", "lead_id").alias("b")).distinct()
 
 
 def mark_lines(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE,

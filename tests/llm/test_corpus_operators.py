@@ -380,3 +380,67 @@ def test_pipeline_stages(spark, tmp_path):
     assert len(ids & {130, 131}) == 1
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, documents.limit(0), str(tmp_path)).count() == 0
+
+
+def test_unlike_lines_of_a_band_value_are_not_fetched(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(line_dedup, "band_keys", lambda *given: F.array(F.lit(1).cast("long")))
+    led, asked = line_dedup._led_pairs, []
+
+    def counted(*given):
+        found = led(*given)
+        asked.append(found.count())
+        return found
+
+    monkeypatch.setattr(line_dedup, "_led_pairs", counted)
+    draw = random.Random(4)
+    pairs = []
+    for _ in range(40):
+        line = " ".join("".join(draw.choices("aeiounst", k=6)) for _ in range(20))
+        pairs.append((line, line + " x"))
+    assert all(_same_line(spark, pairs))
+    assert 0 < sum(asked) <= 60
+
+
+def test_odd_sketches_lose_no_pair(spark):
+    from pyspark.sql import functions as F
+
+    draw = random.Random(8)
+    rows = []
+    for _ in range(400):
+        words = ["".join(draw.choices("abcd", k=draw.randint(1, 6))) for _ in range(draw.randint(1, 400))]
+        share = draw.choice([0.03, 0.5])
+        other = [draw.choice(["", word, word + "a"]) if draw.random() < share else word for word in words]
+        rows.append((len(rows), " ".join(words), " ".join(other)))
+    rows.append((len(rows), "", "x" * 20000))
+    frame = spark.createDataFrame(rows, "at long, line string, other string")
+    sketch = [f"odd[{word}] AS odd{word}" for word in range(line_dedup.WORDS)]
+    first = line_dedup._with_shingles(frame.select("at", "line"), 8).select(
+        "at", "hashes", F.size("hashes").alias("count"), line_dedup.odd_sketch().alias("odd")).selectExpr("at", "hashes", "count", *sketch)
+    second = line_dedup._with_shingles(frame.selectExpr("at", "other AS line"), 8).select(
+        "at", "hashes", F.size("hashes").alias("count"), line_dedup.odd_sketch().alias("odd")).selectExpr(
+        "at", "hashes AS two_hashes", "count AS two_count", *[f"odd[{word}] AS two_odd{word}" for word in range(line_dedup.WORDS)])
+    found = first.join(second, "at").select(
+        "at", (line_dedup.similarity("hashes", "two_hashes") >= 0.8).alias("alike"),
+        line_dedup._may_resemble("", "two_", 0.8).alias("may")).collect()
+    assert len(found) == len(rows)
+    assert all(row["may"] for row in found if row["alike"])
+    assert sum(row["alike"] for row in found) > 100 and sum(not row["may"] for row in found) > 20
+
+
+@pytest.mark.parametrize("few", [0, 3, 40])
+def test_components_in_one_task_and_in_many(spark, monkeypatch, few):
+    from arenaflow.llm import components as module
+
+    monkeypatch.setattr(module, "FEW", few)
+    draw = random.Random(few)
+    edges = [(draw.randrange(90), draw.randrange(90)) for _ in range(60)] + [(at, at + 1) for at in range(200, 260)] + [(5, None)]
+    found = module.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    whole = [(a, b) for a, b in edges if b is not None and a != b]
+    classes = _classes({end for edge in whole for end in edge}, whole)
+    assert sorted(row["vertex"] for row in found) == sorted(classes)
+    roots = {row["vertex"]: row["root"] for row in found}
+    assert all(roots[root] == root for root in roots.values())
+    for one, two in itertools.combinations(classes, 2):
+        assert (roots[one] == roots[two]) == (classes[one] == classes[two])
