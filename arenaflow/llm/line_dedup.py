@@ -1,8 +1,8 @@
 """Fuzzy line dedup by MinHash, with DataFrame and SQL functions only.
 
-A line's shingles are its runs of ``SHINGLE`` characters, lower-cased.  The
-hashes of all of them are sorted once; every band starts at a point of its own in the ring of
-hashes and takes the ``VALUES`` next ones, which are equal in two lines about as
+A line's shingles are its runs of ``SHINGLE`` characters, lower-cased.  All of
+them are hashed, one row each, and the smallest hash of every bin is kept; a bin without
+one takes that of the next bin that has one, in a ring.  A band is ``VALUES`` bins, which are equal in two lines about as
 often as their similarity to that power.  Bands bring lines together, the exact
 Jaccard similarity of their shingle sets decides, and distributed union-find
 keeps the first line of every component.
@@ -43,15 +43,16 @@ def _bound(value: str, name: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def _with_shingles(lines: DataFrame, size: int) -> DataFrame:
-    """Append ``hashes``, the sorted hashes of the shingles of every ``line``.
+def _with_shingles(lines: DataFrame, size: int, ordered: bool = True) -> DataFrame:
+    """Append ``hashes``, the hashes of the shingles of every ``line``, sorted if ``ordered``.
 
     A shorter line is one shingle.  Characters are UTF-16 units, two bytes each.
     """
     hashes = _bound("encode(line, 'UTF-16BE')", "units",
                     f"transform(sequence(1, greatest(octet_length(units) - {2 * size - 2}, 1), 2), "
                     f"at -> xxhash64(substring(units, at, {2 * size})))")
-    made = lines.withColumn("made", F.expr(f"sort_array(array_distinct({hashes}))"))
+    distinct = f"array_distinct({hashes})"
+    made = lines.withColumn("made", F.expr(f"sort_array({distinct})" if ordered else distinct))
     # Expressions are not carried over an explode, so that hashes are made once for all that asks for them.
     return made.select(*lines.columns, F.explode(F.array("made")).alias("hashes"))
 
@@ -71,14 +72,28 @@ def _with_jumps(body: str) -> str:
     return _bound("size(hashes)", "count", _bound(f"filter(array({jumps}), jump -> jump <= count)", "jumps", body))
 
 
+def _low_hashes(lines: DataFrame, size: int, bins: int = BANDS * VALUES) -> DataFrame:
+    """``id`` and ``low0, low1, ...``: the smallest hash of the shingles of every ``line`` in each bin, null where it has none.
+
+    Shingles are those of ``_with_shingles``, as rows of their own, which are compiled; lambdas over arrays are not.
+    """
+    units = lines.select("id", F.encode("line", "UTF-16BE").alias("units"))
+    hashed = units.select("id", "units", F.expr(
+        f"explode(sequence(1, greatest(octet_length(units) - {2 * size - 2}, 1), 2)) AS at")).select(
+        "id", F.expr(f"xxhash64(substring(units, at, {2 * size}))").alias("hash"))
+    lowest = hashed.groupBy("id", F.expr(f"cast(shiftright(shiftrightunsigned(hash, 32) * {bins}, 32) AS int)").alias("bin")).agg(
+        F.min("hash").alias("low"))
+    return lowest.groupBy("id").agg(*[F.min(F.when(F.col("bin") == at, F.col("low"))).alias(f"low{at}") for at in range(bins)])
+
+
 def band_keys(bands: int = BANDS, values: int = VALUES) -> Column:
-    """One key for each band of MinHash values of a line's ``hashes``."""
-    def key(band: int, start: int) -> str:
-        taken = ", ".join(f"get(hashes, (before + {place}) % count)" for place in range(1, values + 1))
-        return _bound(_before(start), "before", f"xxhash64({band}, {taken})")
+    """One key for each band of the MinHash values ``low0, low1, ...`` of a line."""
+    bins = bands * values
+
+    def value(at: int) -> Column:
+        return F.coalesce(*[F.col(f"low{(at + step) % bins}") for step in range(bins)])
 
-    keys = ", ".join(key(band, start) for band, start in enumerate(_starts(bands)))
-    return F.expr(_with_jumps(f"array({keys})"))
+    return F.array(*[F.xxhash64(F.lit(band), *[value(band + place * bands) for place in range(values)]) for band in range(bands)])
 
 
 def odd_sketch(words: int = WORDS) -> Column:
@@ -133,7 +148,7 @@ def line_groups(lines: DataFrame, size: int = SHINGLE, least: float = SIMILARITY
     lines.groupBy(F.xxhash64("line").alias("id")).agg(F.min("line").alias("line")).write.bucketBy(
         buckets, "id").option("path", scratch_path(spark, "lines")).saveAsTable(name)
     unique = spark.table(name)
-    met = stored(_with_shingles(unique, size).select("id", F.explode(band_keys()).alias("key")), "bands")
+    met = stored(_low_hashes(unique, size).select("id", F.explode(band_keys()).alias("key")), "bands")
     shared = met.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     # Turns follow the line's number alone, so that band values of the same lines have the same leaders and ask for the
     # same pairs.
@@ -151,9 +166,9 @@ def line_groups(lines: DataFrame, size: int = SHINGLE, least: float = SIMILARITY
         one = crowded.select(F.col("id").alias("a"), F.col("line").alias("left"))
         two = crowded.select(F.col("id").alias("b"), F.col("line").alias("right"))
         known = pairs.hint("shuffle_hash").join(one, "a").hint("shuffle_hash").join(two, "b")
-        both = _with_shingles(known.withColumnRenamed("left", "line"), size).select(
+        both = _with_shingles(known.withColumnRenamed("left", "line"), size, ordered=False).select(
             "a", "b", F.col("hashes").alias("one"), F.col("right").alias("line"))
-        return stored(_with_shingles(both, size).where(similarity("one", "hashes") >= least).select("a", "b"), "line-links")
+        return stored(_with_shingles(both, size, ordered=False).where(similarity("one", "hashes") >= least).select("a", "b"), "line-links")
 
     ends = members.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"))
     met = members.join(ends, "key").select("id", F.explode(F.array("first", "last")).alias("other")).where("id <> other").select(

@@ -403,6 +403,24 @@ def test_unlike_lines_of_a_band_value_are_not_fetched(spark, monkeypatch):
     assert 0 < sum(asked) <= 60
 
 
+def test_lowest_hashes_of_bins_without_lambdas(spark):
+    draw = random.Random(12)
+    texts = ["ab", "of eight", "a" * 50, "\u00e9\U0001f600 " * 9, *("".join(draw.choices("abc ", k=size)) for size in (9, 30, 400, 5000))]
+    lines = spark.createDataFrame(list(enumerate(texts)), "id long, line string")
+    found = line_dedup._low_hashes(lines, 8)
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+    low = {row["id"]: list(row)[1:] for row in found.collect()}
+    bins = line_dedup.BANDS * line_dedup.VALUES
+    for row in line_dedup._with_shingles(lines, 8).collect():
+        held = [[] for _ in range(bins)]
+        for value in row["hashes"]:
+            held[((value % (1 << 64)) >> 32) * bins >> 32].append(value)
+        assert low.pop(row["id"]) == [min(values, default=None) for values in held]
+    assert not low
+    keys = {row["id"]: row["keys"] for row in found.select("id", line_dedup.band_keys().alias("keys")).collect()}
+    assert all(len(own) == line_dedup.BANDS and None not in own for own in keys.values()) and len(set(keys[0])) == line_dedup.BANDS
+
+
 def test_odd_sketches_lose_no_pair(spark):
     from pyspark.sql import functions as F
 
