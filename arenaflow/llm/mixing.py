@@ -27,6 +27,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,11 +58,35 @@ _POWER = 0x100000001B3
 _EXACT = 63
 
 
+def keep_freed_memory() -> None:
+    """Let a task's process keep what arrays of a batch give back.
+
+    Else every batch of words asks the system for its pages again, which takes longer than its arithmetic.  The C library
+    keeps blocks up to the size of the largest one freed, 32 MB at most; this one is never touched.
+    """
+    np.empty(30 << 20, np.uint8)
+
+
 def words_of(text: str) -> list[bytes]:
     """Words of a text with A-Z in lower case."""
     return text.encode().lower().split()
 
 
+def coded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """``words_of`` many texts: the words of each, their codes one text after the other, and the words that codes stand for.
+
+    A null text has no words.  Codes follow the first places of words.
+    """
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())))
+    found = split.flatten()
+    # White space at an end of a text leaves an empty word there.
+    real = pc.greater(pc.binary_length(found), 0)
+    before = np.append(0, np.cumsum(real.to_numpy(zero_copy_only=False)))
+    ends = before[np.append(0, np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False)))]
+    words = found.filter(real).cast(pa.large_binary()).dictionary_encode()
+    return np.diff(ends), words.indices.to_numpy(zero_copy_only=False).astype(np.int32), words.dictionary
+
+
 # counts as bytes
 
 def quantised(counts: np.ndarray) -> np.ndarray:
@@ -72,15 +97,26 @@ def quantised(counts: np.ndarray) -> np.ndarray:
 
 _AMOUNT = np.concatenate([np.arange(_EXACT + 1), _EXACT * 2.0 ** (np.arange(1, 256 - _EXACT) / 8)])
 _ZEROS, _ONES = np.repeat(_AMOUNT, 256), np.tile(_AMOUNT, 256)
-#: By the two count bytes of a slot: log odds of a one, and how sure the counts are.
-_STRETCH = np.log((_ONES + 0.4) / (_ZEROS + 0.4)).astype(np.float32)
-_SURE = np.digitize(_ZEROS + _ONES, [2, 8, 64]).astype(np.int8)
+_SLOT = np.arange(1 << 16)
+
+
+def _without_own(bit: int) -> np.ndarray:
+    """The count bytes that are left when one occurrence of ``bit`` is taken out of small counts."""
+    count = _SLOT & 255 if bit else _SLOT >> 8
+    return _SLOT - np.where((count > 0) & (count <= _EXACT), 1 if bit else 256, 0)
+
+
+#: Three tables in a row, by the two count bytes of a slot: as they are, less a zero, and less a one of the word's own.
+_LEFT = np.concatenate([_SLOT, _without_own(0), _without_own(1)])
+#: Log odds of a one, and how sure the counts are (-1 where there are none).
+_STRETCH = np.log((_ONES + 0.4) / (_ZEROS + 0.4)).astype(np.float32)[_LEFT]
+_SURE = np.where(_LEFT > 0, np.digitize(_ZEROS + _ONES, [2, 8, 64])[_LEFT], -1).astype(np.int8)
 
 
 class Coding:
-    """The bits of a batch of words: the slot of every predictor for every bit, and the bits themselves."""
+    """The bits of a batch of words: the slot of the predictors (all, or those at ``only``) for every bit, and the bits themselves."""
 
-    def __init__(self, words: list[bytes]):
+    def __init__(self, words: list[bytes], only: range = range(len(ORDERS))):
         lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
         data = np.frombuffer(b" ".join(words) + b" ", np.uint8)
         starts = np.cumsum(lengths) - lengths
@@ -109,7 +145,8 @@ class Coding:
             prefix = prefix * np.uint64(2) + self.bits[:, bit]
         nodes *= np.uint64(_MIX[1])
         self.slots = []
-        for order, (wanted, bits) in enumerate(zip(ORDERS, TABLE_BITS)):
+        for order in only:
+            wanted, bits = ORDERS[order], TABLE_BITS[order]
             context = keys[-1] if wanted is None else keys[wanted - 1]
             mixed = (context * np.uint64(_MIX[0]) + np.uint64(order))[:, None] ^ nodes
             mixed ^= mixed >> np.uint64(29)
@@ -145,18 +182,16 @@ class Mixer:
     def inputs(self, coding: Coding, own: bool) -> tuple[list[np.ndarray], np.ndarray]:
         """Log odds of every predictor and the gate of every bit; ``own`` takes one occurrence of the word out."""
         odds, gate = [], np.zeros(coding.bits.shape, np.int64)
-        if own:
-            one = np.where(coding.bits == 1, 1, 256)
+        table = ((coding.bits.astype(np.int64) + 1) << 16) if own else 0
         for order, slots in enumerate(coding.slots):
-            code = self.codes[slots].astype(np.int64)
+            code = self.codes.take(slots).astype(np.int64)
             if ORDERS[order] is None:
                 one_mark, other = (self.starts[places >> 3] >> (places & 7).astype(np.uint8) for places in coding.beginning)
                 code *= (one_mark & other & 1)[:, None]
-            if own:
-                count = np.where(coding.bits == 1, code & 255, code >> 8)
-                code -= np.where((count > 0) & (count <= _EXACT), one, 0)
-            odds.append(_STRETCH[code])
-            gate = np.where(code > 0, (order + 1) * CONFIDENCES + _SURE[code], gate)
+            code += table
+            odds.append(_STRETCH.take(code))
+            sure = _SURE.take(code)
+            gate = np.where(sure >= 0, (order + 1) * CONFIDENCES + sure, gate)
         return odds, gate
 
     def mixed(self, odds: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
@@ -217,6 +252,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def count_words(documents: DataFrame) -> DataFrame:
     """``word, count`` over all training documents; tasks add up their own words first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed_memory()
         counts: Counter = Counter()
 
         def emptied() -> pa.RecordBatch:
@@ -227,8 +263,9 @@ def count_words(documents: DataFrame) -> DataFrame:
 
         for whole in batches:
             for batch in slices(whole, "text"):
-                for text in batch.column(0).to_pylist():
-                    counts.update(words_of(text))
+                _, codes, names = coded_words(batch.column(0))
+                for word, count in zip(names.to_pylist(), np.bincount(codes, minlength=len(names)).tolist()):
+                    counts[word] += count
                 if len(counts) > COUNTED_AT_ONCE:
                     yield emptied()
         yield emptied()
@@ -240,7 +277,7 @@ def count_words(documents: DataFrame) -> DataFrame:
 def _add_beginnings(table: np.ndarray, starts: np.ndarray, names: list[bytes], counts: np.ndarray) -> None:
     """Count the beginnings of the given words and mark them in the filter."""
     for start, end in batches_of(names):
-        coding = Coding(names[start:end])
+        coding = Coding(names[start:end], range(len(ORDERS) - 1, len(ORDERS)))
         weight = np.repeat(counts[start:end][coding.word], 8).astype(np.float32)
         np.add.at(table, 2 * (coding.slots[-1] - SHORT_SLOTS).ravel() + coding.bits.ravel(), weight)
         for places in coding.beginning:
@@ -289,14 +326,15 @@ def _added_chunk(part):
 def count_contexts(words: DataFrame, tasks: int) -> np.ndarray:
     """The count bytes of the contexts of one to five bytes.  The tables have a fixed size, which bounds what reaches the driver."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed_memory()
         table = np.zeros(2 * SHORT_SLOTS, np.float32)
         for batch in batches:
             names, counts = batch.column(0).to_pylist(), batch.column(1).to_numpy()
             for start, end in batches_of(names):
-                coding = Coding(names[start:end])
+                coding = Coding(names[start:end], range(len(ORDERS) - 1))
                 weight = np.repeat(counts[start:end][coding.word], 8).astype(np.float32)
                 bits = coding.bits.ravel().astype(np.int64)
-                for slots in coding.slots[:-1]:
+                for slots in coding.slots:
                     np.add.at(table, 2 * slots.ravel() + bits, weight)
         yield from _in_chunks(table, 2 * CHUNK)
 
@@ -311,6 +349,7 @@ def count_beginnings(words: DataFrame, tasks: int) -> tuple[np.ndarray, np.ndarr
     filters = (1 << TABLE_BITS[-1]) // CHUNK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed_memory()
         table, starts = _no_beginnings()
         for batch in batches:
             _add_beginnings(table, starts, batch.column(0).to_pylist(), batch.column(1).to_numpy())
@@ -335,6 +374,7 @@ def learn_weights(words: DataFrame, codes: np.ndarray, starts: np.ndarray, tasks
     sent = words.sparkSession.sparkContext.broadcast((codes, starts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed_memory()
         mixer, seen = Mixer(*sent.value), 0
         for batch in batches:
             names, counts = batch.column(0).to_pylist(), batch.column(1).to_numpy()
@@ -359,14 +399,20 @@ def learn_weights(words: DataFrame, codes: np.ndarray, starts: np.ndarray, tasks
     return mixer
 
 
-def repeats(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every word of a text: the chance left to the model, and the chance that earlier words of the text give it."""
-    place = np.arange(len(ids))
-    order = np.argsort(ids, kind="stable")
+def repeats(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every word of texts of these lengths: the chance left to the model, and the chance that earlier words of its text give it."""
+    ends = np.cumsum(lengths)
+    starts = np.repeat(ends - lengths, lengths)
+    place = np.arange(len(ids)) - starts
+    order = np.empty(len(ids), np.int64)
+    for start, end in zip((ends - lengths).tolist(), ends.tolist()):
+        order[start:end] = ids[start:end].argsort(kind="stable")
+    order += starts
     ranked = ids[order]
-    first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(ids) else place
+    new = np.append(True, ranked[1:] != ranked[:-1])[:len(ids)] | (place == 0)
+    first = np.flatnonzero(new)
     earlier = np.empty(len(ids))
-    earlier[order] = place - np.repeat(first, np.diff(np.append(first, len(ids))))
+    earlier[order] = np.arange(len(ids)) - np.repeat(first, np.diff(np.append(first, len(ids))))
     drawn = REPEATED * place / (place + REPEATED_HALF)
     return 1 - drawn, drawn * earlier / np.maximum(place, 1)
 
@@ -377,13 +423,6 @@ def refined(score: np.ndarray, left: np.ndarray, again: np.ndarray) -> np.ndarra
     return np.where(again > 0, np.log10(left * 10.0 ** np.maximum(score, -300) + np.maximum(again, 1e-300)), alone)
 
 
-class _Head(dict):
-    """Places of the head words; any other word has place -1."""
-
-    def __missing__(self, word: bytes) -> int:
-        return -1
-
-
 _PART_DDL = ("doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, "
              "rest array<struct<word: binary, left: double, again: double>>")
 
@@ -396,6 +435,7 @@ def score_documents(documents: DataFrame) -> DataFrame:
     rows count and are scored as often as they occur.
     """
     spark = documents.sparkSession
+    keep_freed_memory()
     words = stored(count_words(documents), "word-counts")
     distinct, running = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("count"), F.lit(0))).first()
     ends = documents.where(~held_out()).count()
@@ -418,30 +458,29 @@ def score_documents(documents: DataFrame) -> DataFrame:
     model = spark.sparkContext.broadcast((mixer.codes, mixer.starts, mixer.weights, mixer.hits, mixer.seen))
 
     def known_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = _Head((word, place) for place, word in enumerate(sent.value["names"].split()))
+        keep_freed_memory()
+        places = {word: place for place, word in enumerate(sent.value["names"].split())}
         base, score = np.append(sent.value["base"], 0.0), np.append(sent.value["score"], 0.0)
         for whole in batches:
             for batch in slices(whole, "text"):
-                columns: tuple[list, ...] = ([], [], [], [], [])
-                for text in batch.column(2).to_pylist():
-                    found = words_of(text or "")
-                    at = np.fromiter(map(places.__getitem__, found), np.int64, len(found))
-                    missing = np.flatnonzero(at < 0)
-                    others: dict[bytes, int] = {}
-                    ids = at.copy()
-                    ids[missing] = [-1 - others.setdefault(found[place], len(others)) for place in missing.tolist()]
-                    left, again = repeats(ids)
-                    # A word beyond the head counts nothing here: its score is added after the join.
-                    own = np.where(at < 0, 0.0, refined(score[at], left, again) + word_score)
-                    rest = [{"word": found[place], "left": left[place], "again": again[place]} for place in missing.tolist()]
-                    for column, value in zip(columns, (
-                            len(found) + 1, len(found) - len(missing) + (ends > 0), float(base[at].sum()) + end_base,
-                            float(own.sum()) + end_score, rest)):
-                        column.append(value)
+                lengths, codes, names = coded_words(batch.column(2))
+                # Any word that is not of the head has place -1.
+                at = np.fromiter((places.get(word, -1) for word in names.to_pylist()), np.int64, len(names))[codes]
+                left, again = repeats(codes, lengths)
+                # A word beyond the head counts nothing here: its score is added after the join.
+                own = np.where(at < 0, 0.0, refined(score[at], left, again) + word_score)
+                stops = np.cumsum(lengths)
+                texts = list(zip((stops - lengths).tolist(), stops.tolist()))
+                missing = np.flatnonzero(at < 0)
+                beyond = np.searchsorted(missing, np.append(0, stops))
+                rest = pa.ListArray.from_arrays(pa.array(beyond, pa.int32()), pa.StructArray.from_arrays([
+                    names.take(pa.array(codes[missing])).cast(pa.binary()), pa.array(left[missing]), pa.array(again[missing])],
+                    ["word", "left", "again"]))
+                known = base[at]
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0), batch.column(1), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()),
-                    pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.float64()),
-                    pa.array(columns[4], pa.list_(pa.struct([("word", pa.binary()), ("left", pa.float64()), ("again", pa.float64())])))],
+                    batch.column(0), batch.column(1), pa.array(lengths + 1), pa.array(lengths - np.diff(beyond) + (ends > 0)),
+                    pa.array([known[start:end].sum() + end_base for start, end in texts], pa.float64()),
+                    pa.array([own[start:end].sum() + end_score for start, end in texts], pa.float64()), rest],
                     ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rest"])
 
     parts = stored(documents.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(
@@ -449,6 +488,7 @@ def score_documents(documents: DataFrame) -> DataFrame:
     rest = parts.select("row", F.explode("rest").alias("_rest")).select("row", "_rest.*")
 
     def rest_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed_memory()
         fitted = Mixer(*model.value)
         for batch in batches:
             encoded = batch.column(1).dictionary_encode()

@@ -4,12 +4,16 @@ import glob
 import itertools
 import math
 import random
+import subprocess
+import sys
 import tempfile
 import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -322,6 +326,43 @@ def test_mixing_counts_do_not_depend_on_tasks(spark):
     assert np.array_equal(codes, expected_codes) and np.array_equal(starts, expected_starts)
 
 
+def test_words_of_many_texts_at_once():
+    """Codes of a whole slice name the words of each text, and repeats are counted within a text."""
+    texts = ["b a\tB  a", None, "", " \n", "a", " a b a ", "\x00 \x1c\x1f\x85x \u00c9\u0130K\u212a"] + [
+        f"A{chr(at)}b{chr(at)}" for at in range(260)]
+    lengths, codes, names = mixing.coded_words(pa.array(texts, pa.string()))
+    split = [mixing.words_of(text or "") for text in texts]
+    assert lengths.tolist() == [len(own) for own in split]
+    assert [names[code].as_py() for code in codes.tolist()] == [word for own in split for word in own]
+    left, again = mixing.repeats(codes, lengths)
+    at = 0
+    for own in split:
+        for place, word in enumerate(own):
+            drawn = mixing.REPEATED * place / (place + mixing.REPEATED_HALF)
+            assert left[at] == 1 - drawn and again[at] == drawn * own[:place].count(word) / max(place, 1)
+            at += 1
+    for none in ([], [None], [""]):
+        lengths, codes, names = mixing.coded_words(pa.array(none, pa.string()))
+        assert lengths.tolist() == [0] * len(none) and not len(codes) and not len(mixing.repeats(codes, lengths)[0])
+
+
+def test_batches_of_words_do_not_ask_for_their_pages_again():
+    """In a process of its own, as the threshold of the C library only grows."""
+    code = """if 1:
+        import resource
+        from arenaflow.llm import mixing
+        mixing.keep_freed_memory()
+        words = [b"word%d" % at for at in range(1000)]
+        for _ in range(2):
+            mixing.Coding(words)
+        before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+        for _ in range(10):
+            mixing.Coding(words)
+        print(resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before)"""
+    run = subprocess.run([sys.executable, "-c", code], cwd=Path(mixing.__file__).parents[2], capture_output=True, text=True, timeout=120, check=True)
+    assert int(run.stdout) < 2000
+
+
 def test_stored_frames_leave_no_shuffle_files(spark, tmp_path):
     folder = spark.sparkContext.getConf().get("spark.local.dir", None) or tempfile.gettempdir()
 
