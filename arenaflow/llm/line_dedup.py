@@ -178,20 +178,34 @@ def line_groups(lines: DataFrame, size: int = SHINGLE, least: float = SIMILARITY
     found = linked(met.join(one, "a").join(two, "b").where(_may_resemble("a_", "b_", least)).select("a", "b"))
     # With three members or fewer, every pair has the first or the last in it.
     inner = members.where("size > 3").join(sketches, "id")
-    groups = components(found)
+    groups = stored(components(found), "line-groups")
     low, high = 0, LEADERS
     while True:
         inner = _unsettled(inner.where(F.col("size") > low), groups)
         if inner.isEmpty():
             break
-        found = found.unionAll(linked(_led_pairs(inner, low, high, least)))
-        groups = components(found)
+        groups = _merged(groups, linked(_led_pairs(inner, low, high, least)))
         low, high = high, high * LEADERS
     for table in (name, crowded_name):
         spark.sql(f"DROP TABLE {table}")
     return groups
 
 
+def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """``vertex, root`` with these links (``a, b``) added: only the roots that they connect are contracted again."""
+    def rooted(frame: DataFrame, end: str) -> DataFrame:
+        own = groups.select(F.col("vertex").alias(end), F.col("root").alias("own"))
+        return frame.join(own, end, "left").withColumn(end, F.coalesce("own", end)).drop("own")
+
+    later = stored(components(rooted(rooted(links, "a"), "b")), "root-groups").select(
+        F.col("vertex").alias("root"), F.col("root").alias("last"))
+    kept = groups.join(later, "root", "left").select("vertex", F.coalesce("last", "root").alias("root"))
+    # Lines that were alone are no vertices yet.
+    alone = later.select(F.col("root").alias("vertex"), F.col("last").alias("root")).join(
+        groups.select("vertex"), "vertex", "left_anti")
+    return stored(kept.unionAll(alone), "line-groups")
+
+
 def _unsettled(members: DataFrame, groups: DataFrame) -> DataFrame:
     """Members of the band values that still hold lines of several components, with the component as ``label``."""
     own = [name for name in members.columns if name != "label"]

@@ -363,6 +363,29 @@ def test_batches_of_words_do_not_ask_for_their_pages_again():
     assert int(run.stdout) < 2000
 
 
+def test_links_are_added_to_groups_of_lines(spark):
+    """Contracting only the new links between roots gives the components of all links, with one root of their own each."""
+    draw = random.Random(5)
+    links = [(draw.randrange(150), draw.randrange(150)) for _ in range(90)]
+    links = [(a, b) for a, b in links if a != b]
+    groups = components(spark.createDataFrame(links[:40], "a long, b long"))
+    for start, end in ((40, 60), (60, len(links)), (len(links), len(links))):
+        groups = line_dedup._merged(groups, spark.createDataFrame(links[start:end], "a long, b long"))
+    rows = groups.collect()
+    found = {row["vertex"]: row["root"] for row in rows}
+    names = {end for link in links for end in link}
+    expected = _classes(names, links)
+    assert len(rows) == len(found) and found.keys() == names and all(found[root] == root for root in found.values())
+    assert all((found[one] == found[two]) == (expected[one] == expected[two]) for one, two in itertools.combinations(names, 2))
+
+
+def test_few_edges_are_contracted_without_broadcasts(spark):
+    edges = spark.createDataFrame([(at, at + 1) for at in range(0, 60)], "a long, b long")
+    found = components(edges)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.select("root").distinct().count() == 1 and found.count() == 61
+
+
 def test_stored_frames_leave_no_shuffle_files(spark, tmp_path):
     folder = spark.sparkContext.getConf().get("spark.local.dir", None) or tempfile.gettempdir()
 
