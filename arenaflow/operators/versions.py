@@ -232,15 +232,17 @@ def match_summary(matches: DataFrame, latest: DataFrame, records: DataFrame | No
 def match_players(players: DataFrame, latest: DataFrame, items: DataFrame | None = None) -> DataFrame:
     """Players of the latest extractions, with their item strip when items are given.
 
-    A strip holds at most ten entries, so collecting it is bounded.
+    A strip holds at most ten entries, so collecting it is bounded.  Players and
+    items are exploded documents, which Spark takes to be as few as the documents
+    and would broadcast: they meet in merge joins.
     """
-    chosen = players.join(latest.select("extraction_id", "match_id"), "extraction_id")
+    chosen = players.join(latest.select("extraction_id", "match_id").hint("merge"), "extraction_id")
     if items is None:
         return chosen
     strip = items.groupBy("extraction_id", "player_slot").agg(
         F.array_sort(F.collect_list(F.struct("item_slot", "item_id"))).alias("items")
     )
-    return chosen.join(strip, ["extraction_id", "player_slot"], "left")
+    return chosen.join(strip.hint("merge"), ["extraction_id", "player_slot"], "left")
 
 
 def _final_checkpoint(instances: DataFrame, checkpoints: DataFrame, latest: DataFrame, class_name: str) -> DataFrame:

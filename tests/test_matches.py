@@ -415,3 +415,33 @@ def test_percentiles_follow_nearest_rank(spark):
     row = quality.nearest_rank_percentile(frame, ["g"], "v", {"p50": 0.5, "p95": 0.95}).first()
     assert (row.p50, row.p95) == (10, 19)
     assert quality.upper_median(frame, ["g"], "v", "m").first().m == 11
+
+
+def test_exploded_documents_are_not_broadcast(spark, rows):
+    """Spark sizes an exploded array like its document, so a broadcast of players would not be known to be large."""
+    def exploded(count, *fields):
+        return spark.range(3).select(F.concat(F.lit("d"), "id").alias("extraction_id"), F.explode(
+            F.sequence(F.lit(0), F.lit(count - 1))).alias("at")).select("extraction_id", *fields)
+
+    players = exploded(10, F.col("at").cast("bigint").alias("player_slot"), F.lit(2).alias("team_id"))
+    items = exploded(20, (F.col("at") % 10).cast("bigint").alias("player_slot"), (
+        F.col("at") / 10).cast("int").alias("item_slot"), F.lit(7).alias("item_id"))
+    latest = spark.createDataFrame([("d0", 1), ("d2", 3), ("x", 4)], "extraction_id STRING, match_id BIGINT")
+    found = versions.match_players(players, latest, items)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert rows(found, "match_id", "player_slot", "items") == sorted(
+        ((match, slot, [(0, 7), (1, 7)]) for match in (1, 3) for slot in range(10)), key=repr)
+
+    candidates = exploded(10, "at", F.col("at").alias("game_player_id"), F.col("at").cast("bigint").alias("player_slot"),
+                          F.lit(3).alias("team_id"))
+    # Number 4 of d1 has the id of 3, number 6 of d2 the slot of 5; a row without an extraction is one like any other.
+    mixed = candidates.select(
+        F.when(F.col("extraction_id") != "d0", F.col("extraction_id")).alias("extraction_id"),
+        F.when((F.col("extraction_id") == "d1") & (F.col("at") == 4), 3).otherwise(F.col("game_player_id")).alias("game_player_id"),
+        F.when((F.col("extraction_id") == "d2") & (F.col("at") == 6), 5).otherwise(F.col("player_slot")).alias("player_slot"), "team_id")
+    both = documents.metadata_roster(mixed, "both")
+    assert "Broadcast" not in both._jdf.queryExecution().executedPlan().toString()
+    left_out = {"d1": (3, 4), "d2": (5, 6)}
+    assert rows(both, "extraction_id", "game_player_id", "player_slot", "team_id") == sorted(
+        ((name, number, number, 3) for name in (None, "d1", "d2") for number in range(10)
+         if number not in left_out.get(name, ())), key=repr)
