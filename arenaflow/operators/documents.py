@@ -222,7 +222,11 @@ def metadata_roster(candidates: DataFrame, unique_by: str, identifier_limit: int
         ).where("candidates = 1").select("extraction_id", "game_player_id", "player_slot", "team_id")
 
     if unique_by == "both":
-        return unique("game_player_id").intersect(unique("player_slot"))
+        # Either side has a row once, so a row that is there twice is in both.  A join would do it too, but Spark takes
+        # exploded documents to be as few as the documents and would broadcast one side.
+        names = ["extraction_id", "game_player_id", "player_slot", "team_id"]
+        return unique("game_player_id").unionByName(unique("player_slot")).groupBy(*names).agg(
+            F.count("*").alias("sides")).where("sides = 2").select(*names)
     return unique(unique_by)
 
 
