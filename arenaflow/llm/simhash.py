@@ -173,10 +173,13 @@ def _chunk_pairs(sized: DataFrame, width: int) -> DataFrame:
 
 
 def _blocks(prints: DataFrame, masks: list[list[int]], width: int) -> DataFrame:
-    """One row for each fingerprint and block; only blocks of two and more are kept, large ones in chunk pairs."""
+    """One row for each fingerprint and block; only blocks of two and more are kept, large ones in chunk pairs.
+
+    Spark takes the keys to be as few as the fingerprints and would broadcast the sizes, so the join is a merge join.
+    """
     keyed = _keyed(prints, masks, width)
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return _chunk_pairs(keyed.join(sizes, "key"), width)
+    return _chunk_pairs(keyed.join(sizes.hint("merge"), "key"), width)
 
 
 def _crowded_blocks(prints: DataFrame, masks: list[list[int]], width: int) -> DataFrame:

@@ -116,6 +116,14 @@ def test_large_blocks_meet_in_chunks(spark, monkeypatch):
     assert len(set(found.values())) == len(set(wanted.values()))
 
 
+def test_sizes_of_blocks_are_not_broadcast(spark):
+    """A key for each mask makes more rows than Spark expects: the sizes of blocks have no bound."""
+    prints = spark.range(50).select(F.col("id").alias("node"), F.col("id").alias("_w0"))
+    blocks = simhash._blocks(prints, simhash.exact_masks(3), 1)
+    assert "Broadcast" not in blocks._jdf.queryExecution().executedPlan().toString()
+    assert blocks.groupBy("block").count().where("count < 2").count() == 0 < blocks.count()
+
+
 def _jaccard(one, two):
     first, second = ({tuple(words[at:at + 5]) for at in range(len(words) - 4)} for words in (one.split(), two.split()))
     return len(first & second) / len(first | second)
