@@ -77,7 +77,9 @@ def coded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 
     A null text has no words.  Codes follow the first places of words.
     """
-    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())))
+    # A slice is copied first: of one that was cast to long offsets, ascii_lower reads other bytes.
+    own = pc.fill_null(pa.concat_arrays([texts]), "").cast(pa.large_string())
+    split = pc.ascii_split_whitespace(pc.ascii_lower(own))
     found = split.flatten()
     # White space at an end of a text leaves an empty word there.
     real = pc.greater(pc.binary_length(found), 0)

@@ -354,6 +354,23 @@ def test_words_of_many_texts_at_once():
         assert lengths.tolist() == [0] * len(none) and not len(codes) and not len(mixing.repeats(codes, lengths)[0])
 
 
+def test_words_of_a_slice_of_texts(spark):
+    """A batch above the size of a slice is cut, and a cut array does not start at its buffers' first byte."""
+    texts = pa.array([f"Text {at} OF {'many ' * (at % 7)}words" for at in range(60)])
+    for start in (0, 1, 20, 59):
+        cut = texts.slice(start, 9)
+        lengths, codes, names = mixing.coded_words(cut)
+        split = [mixing.words_of(text) for text in cut.to_pylist()]
+        assert lengths.tolist() == [len(own) for own in split]
+        assert [names[code].as_py() for code in codes.tolist()] == [word for own in split for word in own]
+    draw = random.Random(5)
+    long = [" ".join(f"Word{draw.randrange(400)}" for _ in range(60_000)) for _ in range(24)]
+    frame = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string").coalesce(1)
+    assert sum(map(len, long)) > 2 * frames.SLICE_BYTES
+    counted = {bytes(row["word"]): row["count"] for row in mixing.count_words(frame).collect()}
+    assert counted == Counter(word for at, text in enumerate(long) if zlib.crc32(str(at).encode()) % 10 for word in mixing.words_of(text))
+
+
 def test_batches_of_words_do_not_ask_for_their_pages_again():
     """In a process of its own, as the threshold of the C library only grows."""
     code = """if 1:
