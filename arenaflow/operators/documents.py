@@ -83,12 +83,23 @@ def overviews(records: DataFrame, *parts: str) -> DataFrame:
     return _documents(records, fixed.OVERVIEW_DOCUMENT).select("extraction_id", F.from_json("payload", schema).alias("m"))
 
 
-def matches(records: DataFrame) -> DataFrame:
-    """One typed row per overview document."""
+def match_texts(records: DataFrame) -> DataFrame:
+    """``extraction_id, sequence, m, raw_lobby``: what match rows and the names of their lobbies are made of.
+
+    Write it where both are read: documents are large, and a filter on a parsed field would parse them once more.
+    """
+    return _documents(records, fixed.OVERVIEW_DOCUMENT).select(
+        "extraction_id", "sequence", F.from_json("payload", _PARTS["match"]).alias("m"),
+        F.get_json_object("payload", "$.lobby_type").alias("raw_lobby"))
+
+
+def matches(records: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
+    """One typed row per overview document; ``parsed`` are the documents of ``records`` where they are parsed already."""
     versions = _documents(records, fixed.METADATA_DOCUMENT).groupBy("extraction_id").agg(
         F.min_by(F.get_json_object("payload", "$.version").try_cast("int"), "sequence").alias("metadata_version")
     )
-    return match_rows(overviews(records, "match")).join(versions, "extraction_id", "left")
+    found = overviews(records, "match") if parsed is None else parsed
+    return match_rows(found).join(versions, "extraction_id", "left")
 
 
 def match_rows(parsed: DataFrame) -> DataFrame:

@@ -216,14 +216,15 @@ def farming_availability(extractions: DataFrame) -> DataFrame:
 # --- summaries ------------------------------------------------------------------------------
 
 
-def match_summary(matches: DataFrame, latest: DataFrame, records: DataFrame | None = None) -> DataFrame:
-    """Typed summary of the latest extraction; ``lobby_type_name`` falls back to the document."""
+def match_summary(matches: DataFrame, latest: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """Typed summary of the latest extraction; ``lobby_type_name`` falls back to the document.
+
+    ``texts`` (``extraction_id, sequence, raw_lobby``) holds what the overview documents say, see ``documents.match_texts``.
+    """
     chosen = matches.join(latest.select("extraction_id", "match_id"), ["extraction_id", "match_id"], "left_semi")
-    if records is None:
+    if texts is None:
         return chosen
-    raw = records.where(F.col("record_type") == fixed.OVERVIEW_DOCUMENT).groupBy("extraction_id").agg(
-        F.min_by(F.get_json_object("payload", "$.lobby_type"), "sequence").alias("raw_lobby")
-    )
+    raw = texts.groupBy("extraction_id").agg(F.min_by("raw_lobby", "sequence").alias("raw_lobby"))
     return chosen.join(raw, "extraction_id", "left").withColumn(
         "lobby_type_name", F.coalesce(F.col("lobby_type").cast("string"), F.col("raw_lobby"))
     ).drop("raw_lobby")

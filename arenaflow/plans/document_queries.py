@@ -279,7 +279,9 @@ def hero_stats(t: Telemetry) -> DataFrame:
 SELECT *, CASE o % 4 WHEN 0 THEN '7' WHEN 1 THEN '1' WHEN 2 THEN '12' ELSE 'OTHER' END AS lobby_type_name
 FROM doc_matches WHERE o IN (SELECT o FROM current_docs)""", _DOCUMENTS)
 def match_summary(t: Telemetry) -> DataFrame:
-    return versions.match_summary(documents.matches(t.records), _latest(t), t.records)
+    # One parse of the documents serves the typed rows and the names of their lobbies.
+    texts = write_once(documents.match_texts(t.records), "match-texts")
+    return versions.match_summary(documents.matches(t.records, texts), _latest(t), texts)
 
 
 @query("match_id:i player_slot:i team_id:i team_slot:i hero_id:i strip:s", """

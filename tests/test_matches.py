@@ -445,3 +445,24 @@ def test_exploded_documents_are_not_broadcast(spark, rows):
     assert rows(both, "extraction_id", "game_player_id", "player_slot", "team_id") == sorted(
         ((name, number, number, 3) for name in (None, "d1", "d2") for number in range(10)
          if number not in left_out.get(name, ())), key=repr)
+
+
+def test_match_summary_reads_documents_once(spark, rows, tmp_path):
+    overview, metadata = fixed.OVERVIEW_DOCUMENT, fixed.METADATA_DOCUMENT
+    records = spark.createDataFrame([
+        ("a", 1, overview, '{"match_id": 7, "lobby_type": "ODD", "duration": 60, "match_outcome": "k_EMatchOutcome_RadVictory"}'),
+        ("a", 2, metadata, '{"version": 4}'),
+        ("b", 3, overview, '{"match_id": 8, "lobby_type": "LATER"}'), ("b", 2, overview, '{"match_id": 8, "lobby_type": 12}'),
+        ("c", 4, overview, "no document"), ("d", 5, overview, '{"match_id": 9}'), (None, 6, overview, '{"match_id": 10}')],
+        "extraction_id STRING, sequence LONG, record_type STRING, payload STRING")
+    latest = spark.createDataFrame([("a", 7), ("b", 8), ("c", 1), ("d", 1), (None, 10)], "extraction_id STRING, match_id LONG").withColumn(
+        "match_id", F.col("match_id").cast("decimal(20,0)"))
+    documents.match_texts(records).write.parquet(str(tmp_path / "texts"))
+    texts = spark.read.parquet(str(tmp_path / "texts"))
+    found = versions.match_summary(documents.matches(records, texts), latest, texts)
+    # The two of b are two rows, which both take the name that the first one gives.
+    assert rows(found.withColumn("match_id", F.col("match_id").cast("int")), "extraction_id", "match_id", "lobby_type",
+                "lobby_type_name", "metadata_version") == [
+        ("a", 7, None, "ODD", 4), ("b", 8, 12, "12", None), ("b", 8, None, "12", None)]
+    plan = versions.match_summary(documents.matches(records, texts).drop("metadata_version"), latest, texts)
+    assert "json" not in plan._jdf.queryExecution().executedPlan().toString().lower()
