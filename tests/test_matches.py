@@ -466,3 +466,35 @@ def test_match_summary_reads_documents_once(spark, rows, tmp_path):
         ("a", 7, None, "ODD", 4), ("b", 8, 12, "12", None), ("b", 8, None, "12", None)]
     plan = versions.match_summary(documents.matches(records, texts).drop("metadata_version"), latest, texts)
     assert "json" not in plan._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_players_of_the_final_checkpoint(spark, rows):
+    def listed(*entries):
+        return "[" + ",".join(f'{{"propertyPath": "{path}", "valueType": "t", "value": {value}}}' for path, value in entries) + "]"
+
+    def player(index, team=2, name="n", valid="true", handle=5):
+        data, more = f"m_vecPlayerData.{index:04d}", f"m_vecPlayerTeamData.{index:04d}"
+        return [(f"{data}.m_bIsValid", f'"{valid}"'), (f"{data}.m_iPlayerTeam", f'"{team}"'),
+                (f"{data}.m_iszPlayerName", f'"{name}"'), (f"{more}.m_hSelectedHero", f'"{handle}"')]
+
+    final = listed(*player(0), *player(1, team=3, handle=-1), *player(2, valid="false"), *player(3, team=5), *player(12),
+                   ("m_vecPlayerTeamData.0000.m_iKills", '"9"'), ("m_vecPlayerTeamData.0000.m_iKills", '"10"'),
+                   ("m_vecPlayerTeamData.0000.m_iKills", "null"), ("other", '"1"'))
+    checkpoints = spark.createDataFrame([
+        ("a", 1, 10, "completion", listed(*player(0, name="old"))), ("a", 1, 30, "completion", final),
+        ("a", 1, 30, "completion", listed(("m_vecPlayerData.0000.m_iszPlayerName", '"z"'), ("m_vecPlayerTeamData.0000.m_iLevel", '"4"'))),
+        ("a", 1, 40, "creation", listed(*player(5))), ("a", 2, 50, "completion", listed(*player(6))),
+        ("b", 1, 30, "completion", "[" + listed(*player(0))), ("c", 1, 7, "completion", listed(*player(7)).replace("m_vecPlayer", "m_vec\\u0050layer")),
+        ("d", 1, 8, "completion", listed(*player(8))), ("d", 1, 9, "completion", listed(("other", '"1"')))],
+        "extraction_id STRING, entity_instance_id LONG, sequence LONG, checkpoint_kind STRING, properties STRING")
+    instances = spark.range(1).select(F.explode(F.sequence(F.lit(1), F.lit(6))).alias("n")).crossJoin(spark.createDataFrame(
+        [(name,) for name in "abcd"], "extraction_id STRING")).where("n < 6 OR extraction_id = 'a'").select(
+        "extraction_id", F.col("n").cast("bigint").alias("sequence"), F.col("n").cast("bigint").alias("entity_instance_id"),
+        F.least("n", F.lit(5)).cast("decimal(20,0)").alias("handle"),
+        F.when(F.col("n") <= 2, fixed.PLAYER_RESOURCE_CLASS).otherwise(F.concat(F.lit("C"), "n")).alias("class_name"))
+    latest = spark.createDataFrame([("a", 7), ("b", 8), ("c", 9), ("d", 10)], "extraction_id STRING, match_id LONG")
+    found = versions.players_from_checkpoint(instances, checkpoints, latest)
+    assert rows(found, "match_id", "player_index", "team_id", "player_name", "hero_class", "kills", "level") == [
+        (7, 0, 2, "z", "C5", 9, 4), (7, 0, 2, "z", "C6", 9, 4), (7, 1, 3, "n", None, None, None), (9, 7, 2, "n", "C5", None, None)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "RLIKE" not in plan
