@@ -2,7 +2,9 @@
 
 import random
 from decimal import Decimal
+from types import SimpleNamespace
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from arenaflow.operators.farming import damage_sessions
@@ -138,3 +140,60 @@ def test_streamed_sessions_equal_batch_sessions(spark, tmp_path):
     assert sorted(map(tuple, streamed.select(
         "player_slot", "damage_event_count", "total_damage", *[F.unix_millis(name) for name in at]).collect())) == sorted(
         map(tuple, batch.select("player_slot", "damage_event_count", "total_damage", "session_start", "session_end").collect()))
+
+
+class FakeState:
+    """A value state and the timers of one group, which count the calls made to them."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def clear(self):
+        self.calls += 1
+        self.value = None
+
+    def registerTimer(self, time):
+        self.calls += 1
+        self.timers.add(time)
+
+
+def test_open_rows_of_a_group_take_few_calls_to_its_state():
+    """A match alone gives what it gives among others, and the calls do not follow the number of matches."""
+    draw = random.Random(8)
+    names = ["match_id", "rank", "sequence", "closes_ms"]
+    batches = [(mark, [Row(**dict(zip([*names, "__group"], (draw.choice([None, *range(300)]), draw.choice([None, 1, 2, 3]), number * 1000 + at,
+                                                            HOUR * draw.randrange(1, 9), 0)))) for at in range(400)])
+               for number, mark in enumerate([0, 0, HOUR, 3 * HOUR - 1, 3 * HOUR, 5 * HOUR, 20 * HOUR])]
+
+    def run(chosen):
+        state, made = FakeState(), []
+        operator = stateful._Coalesce(names, "match_id", ["rank"], "sequence", "closes_ms")
+        operator.init(state)
+        for mark, rows in batches:
+            time = SimpleNamespace(getCurrentWatermarkInMs=lambda: mark)
+            made += operator.handleInputRows((0,), iter([row for row in rows if chosen(row)]), time)
+            for timer in sorted(timer for timer in state.timers if timer <= mark):
+                state.timers.discard(timer)
+                made += operator.handleExpiredTimer((0,), time, SimpleNamespace(getExpiryTimeInMs=lambda: timer))
+        return state, made
+
+    state, together = run(lambda row: True)
+    alone = [row for match in (None, *range(300)) for row in run(lambda row: row["match_id"] == match)[1]]
+    assert sorted(together, key=repr) == sorted(alone, key=repr)
+    assert sum(row["offers"] for row in together) == sum(len(rows) for _, rows in batches)
+    assert state.value is None and state.calls < 100
