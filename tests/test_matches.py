@@ -498,3 +498,18 @@ def test_players_of_the_final_checkpoint(spark, rows):
         (7, 0, 2, "z", "C5", 9, 4), (7, 0, 2, "z", "C6", 9, 4), (7, 1, 3, "n", None, None, None), (9, 7, 2, "n", "C5", None, None)]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "RLIKE" not in plan
+
+
+def test_tables_of_one_parse_are_those_of_the_records(spark, rows, tmp_path):
+    payload = ('{"match_id": 7, "players": [{"player_slot": 1, "team_number": "DOTA_GC_TEAM_GOOD_GUYS", "item_0": 5, "item_3": "x"}, '
+               '{"player_slot": 128, "team_number": "DOTA_GC_TEAM_BAD_GUYS"}, {"player_slot": 9, "team_number": "OTHER"}], '
+               '"picks_bans": [{"hero_id": 3, "is_pick": true, "team": 1}, {"hero_id": "4", "is_pick": true, "team": 0}]}')
+    records = spark.createDataFrame([("a", 1, fixed.OVERVIEW_DOCUMENT, payload), ("b", 2, fixed.OVERVIEW_DOCUMENT, "no document"),
+                                     (None, 3, fixed.OVERVIEW_DOCUMENT, payload)],
+                                    "extraction_id STRING, sequence LONG, record_type STRING, payload STRING")
+    documents.overviews(records, "players", "draft").write.parquet(str(tmp_path / "parsed"))
+    parsed = spark.read.parquet(str(tmp_path / "parsed"))
+    for of_parsed, of_records, count in ((documents.player_rows, documents.players, 4), (documents.item_rows, documents.player_items, 40),
+                                         (documents.draft_rows, documents.hero_draft_events, 2)):
+        found, wanted = of_parsed(parsed), of_records(records)
+        assert rows(found, *wanted.columns) == rows(wanted, *wanted.columns) and found.count() == count
